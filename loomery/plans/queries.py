@@ -1,0 +1,4 @@
+"""Driver queries over the test tables, with the SQL that gives the same rows."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
