@@ -8,7 +8,6 @@ and the other part maps their margin to a probability by isotonic regression (po
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -21,18 +20,19 @@ from .quality import LEAST, folds, training_rows
 TRAIN_DOCS = 2500  # labelled documents of each class that are learned from, at most
 TREES, DEPTH, RATE, BINS, MIN_LEAF, L2 = 60, 3, 0.2, 32, 8, 1.0
 STARTS = (4, 5, 6)
-LEAST_DOCS, LEAST_RATIO, LEXICON = 6, 12.0, 20_000
+LEAST_DOCS, LEAST_RATIO, LEXICON = 3, 12.0, 20_000
 NEAR = 5
 
 #: Second-person words (English, German, French, Spanish); fixed values.
-SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deiner ihr euch euer sie ihnen tu toi te vous votre vos ton ta tes tú ti usted ustedes vosotros tuyo".split())
-_OTHER = re.compile(r"[^\w@$*]+|_+")
-_UNDO = str.maketrans("013457@$", "oieastas")
-_MIXED = re.compile(r"[^\W\d_][\d@$*]+[^\W\d_]|(.)\1\1")
+SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deiner ihr euch euer sie ihnen tu toi te vous votre vos ton ta tes tú ti usted ustedes vosotros tuyo".encode().split())
+#: White space and ASCII punctuation part words, except the characters that stand in for letters.
+_PARTS = bytes(32 if c < 128 and not chr(c).isalnum() and chr(c) not in "@$*" else c for c in range(256))
+_ODD = b"0123456789@$*"
+_UNDO = bytes.maketrans(b"013457@$", b"oieastas")
 
 
-def words_of(text: str) -> list[str]:
-    return _OTHER.sub(" ", text.lower()).split()
+def words_of(text: str) -> list[bytes]:
+    return text.lower().encode("utf-8", "replace").translate(_PARTS).split()
 
 
 def learn_lexicon(texts: list[str], labels) -> dict[str, set]:
@@ -40,7 +40,8 @@ def learn_lexicon(texts: list[str], labels) -> dict[str, set]:
     seen = {y: (Counter(), Counter()) for y in (0, 1)}
     total = Counter(int(y) for y in labels)
     for text, y in zip(texts, labels):
-        words = {w.translate(_UNDO) for w in words_of(text)} | set(words_of(text))
+        own = set(words_of(text))
+        words = {w.translate(_UNDO) for w in own} | own
         seen[int(y)][0].update(words)
         seen[int(y)][1].update({w[:k] for w in words for k in STARTS if len(w) > k})
     out = {}
@@ -57,22 +58,28 @@ def text_features(text: str, lexicon: dict[str, set]) -> list[float]:
     n, size = max(1, len(words)), max(1, len(text))
     known, starts = lexicon["words"], lexicon["starts"]
     whole = [i for i, w in enumerate(words) if w in known]
-    begun = [i for i, w in enumerate(words) if w[:4] in starts or w[:5] in starts or w[:6] in starts]
-    odd = [i for i, w in enumerate(words) if not w.isalpha()]
-    undone = sum(1 for i in odd if (w := words[i].translate(_UNDO)) in known or w[:5] in starts)
+    shortest = lexicon.setdefault("_shortest", {w[: STARTS[0]] for w in starts})
+    begun = [i for i, w in enumerate(words) if w[: STARTS[0]] in shortest]
+    begun = [i for i in begun if any(words[i][:k] in starts for k in STARTS)]
+    raw = text.encode("utf-8", "replace")
+    odd = [i for i, w in enumerate(words) if w.translate(None, _ODD) != w] if len(raw) != len(raw.translate(None, _ODD)) else []
+    undone = sum(1 for i in odd if (w := words[i].translate(_UNDO)) in known or any(w[:k] in starts for k in STARTS))
+    mixed = sum(1 for i in odd if words[i].strip(_ODD).translate(None, _ODD) != words[i].strip(_ODD))
     second = [i for i, w in enumerate(words) if w in SECOND]
     hits = sorted({*whole, *begun})
     near = 0
     if hits and second:
         at = np.searchsorted(second, hits)
-        s = np.array([-(10**9), *second, 10**9])
-        near = int((np.minimum(np.array(hits) - s[at], s[at + 1] - np.array(hits)) <= NEAR).sum())
+        s, h = np.array([-(10**9), *second, 10**9]), np.array(hits)
+        near = int((np.minimum(h - s[at], s[at + 1] - h) <= NEAR).sum())
     upper = sum(map(str.isupper, text.split()))
     kinds = len({words[i] for i in hits})
+    b = np.frombuffer(raw, "u1")
+    thrice = int(((b[2:] == b[1:-1]) & (b[1:-1] == b[:-2]) & (b[2:] > 64)).sum())
     return [
         len(whole) / n, np.log1p(len(whole)), len(begun) / n, np.log1p(len(begun)), kinds, undone, undone / n, near, near / n, len(second) / n,
         upper / n, text.count("!") / size, text.count("?") / size, (text.count("*") + text.count("#") + text.count("$")) / size, len(odd) / n,
-        sum(1 for _ in _MIXED.finditer(text)) / n, np.log1p(n),
+        mixed / n, thrice / n, np.log1p(n),
     ]
 
 
