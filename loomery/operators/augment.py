@@ -167,9 +167,10 @@ def batch_samples(images: DataFrame, samplers: list[dict], seed: int, row: str =
         test = satisfies(B.Box.cols("xmin", "ymin", "xmax", "ymax", pixel=False), F.col(objects), s.get("sample_constraint") or {}, mode)
         ok = F.when(F.col("sampler") == k, test).otherwise(ok)
         most = F.when(F.col("sampler") == k, F.lit(int(s.get("max_sample", -1)))).otherwise(most)
-    good = patches.withColumn("_most", most).where(ok)
-    rank = F.row_number().over(Window.partitionBy(row, "sampler").orderBy("trial"))
-    good = good.withColumn("_rank", rank).where((F.col("_most") < 0) | (F.col("_rank") <= F.col("_most")))
+    tried = patches.select(row, "sampler", "trial", "xmin", "ymin", "xmax", "ymax", most.alias("_most"), ok.alias("_ok"))
+    # a running count, as a filter below the window would be pushed into the draws and repeat them many times over
+    rank = F.sum(F.col("_ok").cast("int")).over(Window.partitionBy(row, "sampler").orderBy("trial"))
+    good = tried.withColumn("_rank", rank).where(F.col("_ok") & ((F.col("_most") < 0) | (F.col("_rank") <= F.col("_most"))))
     chosen = good.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("sampler", "trial", "xmin", "ymin", "xmax", "ymax"))).alias("_p"))
     out = with_draws(images.select(row), row, seed, {"_pick": 44}).join(chosen, row, "left")
     at = F.floor(unit(F.col("_pick")) * F.size("_p")).cast("int")

@@ -611,8 +611,8 @@ def sample_constraint(spark, sf_dir):
 @query(
     f"""{_MEETS}, k AS (SELECT *, row_number() OVER (PARTITION BY image_id, sampler ORDER BY trial) AS rank FROM g WHERE meets),
 c AS (SELECT image_id, list(struct_pack(sampler, trial, x0) ORDER BY sampler, trial) AS l FROM k WHERE sampler = 1 OR rank <= 1 GROUP BY image_id),
-i AS (SELECT DISTINCT image_id FROM b), z AS (SELECT i.image_id, c.l, floor({sql_draw('i.image_id', SEED, 44)} / {M}.0::DOUBLE * coalesce(len(c.l), 0))::INTEGER + 1 AS at FROM i LEFT JOIN c ON c.image_id = i.image_id)
-SELECT image_id, coalesce(l[at].sampler, -1)::INTEGER AS sampler, coalesce(l[at].trial, -1)::INTEGER AS trial, round(coalesce(l[at].x0, 0), 6) AS x0 FROM z"""
+i AS (SELECT DISTINCT image_id FROM b), z AS (SELECT i.image_id, c.l, floor({sql_draw('i.image_id', SEED, 44)} / {M}.0::DOUBLE * coalesce(len(c.l), 0))::INTEGER + 1 AS place FROM i LEFT JOIN c ON c.image_id = i.image_id)
+SELECT image_id, coalesce(l[place].sampler, -1)::INTEGER AS sampler, coalesce(l[place].trial, -1)::INTEGER AS trial, round(coalesce(l[place].x0, 0), 6) AS x0 FROM z"""
 )
 def batch_sampler(spark, sf_dir):
     """One patch an image: of those that meet their constraints, or the full frame."""
@@ -685,9 +685,9 @@ def standardize(spark, sf_dir):
     return _long(planes(spark, sf_dir).withColumn("p", pixels.plane_standardize(F.col("p"), 0.45, 0.225)))
 
 
-@query(_sql_gather("k", 64, "1.3 * p[i + 1] + (1 - 1.3::DOUBLE) * (list_sum(p) / 64)").replace("round(1.3", "round(1.3::DOUBLE").replace(", 6) AS value", ", 4) AS value"))
+@query(_sql_gather("k", 64, "1.3 * p[i + 1] + (1 - 1.3::DOUBLE) * (list_sum(p) / 64)").replace("round(1.3", "round(1.3::DOUBLE").replace(", 6) AS value", ", 3) AS value"))
 def contrast(spark, sf_dir):
-    return _long(planes(spark, sf_dir).withColumn("p", pixels.plane_contrast(F.col("p"), 1.3))).withColumn("value", F.round("value", 4))
+    return _long(planes(spark, sf_dir).withColumn("p", pixels.plane_contrast(F.col("p"), 1.3))).withColumn("value", F.round("value", 3))
 
 
 @query(_sql_gather("k % 3 * 21 + k // 3", 63))
