@@ -28,6 +28,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id and ``lines``, the sorted numbers of its lines that repeat an earlier one; only documents with some."""
     rows = units(docs, id_col, text_col, min_words).where("doc_id is not null")
     first = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first")).where("n > 1").select("digest", "first")
+    first = stage_table(first, "firsts")  # so that both sides of the join are shuffles, which Spark may split for a hot line
     again = rows.join(first, "digest").where(F.struct("doc_id", "line") > F.col("first"))
     return again.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
