@@ -203,13 +203,13 @@ def report(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     return hit.select("doc_id", "n_words", n.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (n > 0).alias("contaminated"))
 
 
-def _cleaner(shared, max_share):
+def _cleaner(shared, max_share, column):
     def run(batches):
         auto = pickle.loads(shared.value)
         word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
         for b in batches:
             texts, keep = [], []
-            for raw in b.column("_text").to_pylist():
+            for raw in b.column(column).to_pylist():
                 words = words_of(raw)
                 spans, _ = auto.spans(words)
                 hit = sum(e - s for s, e in spans)
@@ -221,7 +221,7 @@ def _cleaner(shared, max_share):
                         end = at[e - 1][1]
                     raw = b"".join([*cut, raw[end:]])
                 texts.append(raw)
-            cols = [pa.array(texts, pa.binary()).cast(pa.string()) if n == "_text" else b.column(n) for n in b.schema.names]
+            cols = [pa.array(texts, pa.binary()).cast(pa.string()) if n == column else b.column(n) for n in b.schema.names]
             yield pa.RecordBatch.from_arrays(cols, list(b.schema.names)).filter(pa.array(keep))
 
     return run
@@ -237,9 +237,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     out = docs
     for auto in _automata(items, item_col, item_text, window, max_words):
         shared = docs.sparkSession.sparkContext.broadcast(auto)
-        names = [F.col(f"`{c}`").cast("binary").alias("_text") if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-        kinds = ", ".join(f"`{'_text' if f.name == text_col else f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        out = out.select(*names).mapInArrow(_cleaner(shared, max_share), kinds).withColumnRenamed("_text", text_col)
+        raw = out.select(*(F.col(f"`{c}`").cast("binary").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+        out = raw.mapInArrow(_cleaner(shared, max_share, text_col), docs.schema)
     return out
 
 

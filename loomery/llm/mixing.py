@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import fresh, stage_table
 
 MAX_REPEATS = 3
 RANGES = 4096  # hash ranges of a source
@@ -72,11 +72,16 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", share: float = 1.0, **columns) -> DataFrame:
-    """The mixed documents with their own columns, repeats included, globally sorted by virtual finish time."""
-    plan = plan_mix(docs, id_col, share=share, **columns).where("repeats > 0").dropDuplicates(["doc_id"])
-    again = F.explode(F.sequence(F.lit(0), F.col("repeats").cast("int") - 1))
-    plan = plan.select(F.col("doc_id").alias("_mix_id"), again.alias("_round"), F.col("finish").alias("_finish"), (F.col("source_size") / F.col("target")).alias("_lap"))
-    plan = plan.select("_mix_id", (F.col("_finish") + F.col("_round") * F.col("_lap")).alias("_finish"))
-    out = docs.join(plan, F.col(f"`{id_col}`").cast("long") == F.col("_mix_id"))
+    """The mixed documents with their own columns, repeats included, globally sorted by virtual finish time.
+
+    Rows that share an id, those without one among them, are all taken as often as the one of them taken most.
+    """
+    key, at = fresh(docs, "_mix_id"), fresh(docs, "_mix_finish")
+    plan = plan_mix(docs, id_col, share=share, **columns).where("repeats > 0")
+    plan = plan.groupBy("doc_id").agg(F.max(F.struct("repeats", F.coalesce("finish", F.lit(0.0)).alias("finish"), (F.col("source_size") / F.col("target")).alias("lap"))).alias("p"))
+    again = F.explode(F.sequence(F.lit(0), F.col("p.repeats").cast("int") - 1))
+    plan = plan.select(F.col("doc_id").alias(key), "p", again.alias("round"))
+    plan = plan.select(key, (F.col("p.finish") + F.col("round") * F.coalesce("p.lap", F.lit(1.0))).alias(at))
+    out = docs.join(plan, docs[id_col].cast("long").eqNullSafe(plan[key]))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartitionByRange(tasks, "_finish", "_mix_id").sortWithinPartitions("_finish", "_mix_id").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.repartitionByRange(tasks, at, key).sortWithinPartitions(at, key).select(*(F.col(f"`{c}`") for c in docs.columns))
