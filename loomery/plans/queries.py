@@ -334,13 +334,14 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.withColumn("gt_idx", F.row_number().over(order) - 1)
 
 
-_B = Box.cols("xmin", "ymin", "xmax", "ymax")
+def box() -> Box:
+    return Box.cols("xmin", "ymin", "xmax", "ymax")
 
 
 @query(f"WITH {_BOXES} SELECT image_id, gt_idx, xmax - xmin + 1 AS width, ymax - ymin + 1 AS height, (xmax - xmin + 1) * (ymax - ymin + 1) AS size, xmin + (xmax - xmin) / 2 AS cx, ymin + (ymax - ymin) / 2 AS cy FROM b")
 def box_geometry(spark, sf_dir):
-    cx, cy = _B.center
-    return boxes(spark, sf_dir).select(*_ID, _B.width.alias("width"), _B.height.alias("height"), _B.size.cast("double").alias("size"), cx.alias("cx"), cy.alias("cy"))
+    cx, cy = box().center
+    return boxes(spark, sf_dir).select(*_ID, box().width.alias("width"), box().height.alias("height"), box().size.cast("double").alias("size"), cx.alias("cx"), cy.alias("cy"))
 
 
 def box_pairs(spark, sf_dir):
@@ -358,14 +359,14 @@ s AS (SELECT *, (xmax - xmin + 1) * (ymax - ymin + 1) AS sa, (oxmax - oxmin + 1)
 @query(f"{_PAIRS} SELECT image_id, gt_idx, o_gt_idx, ixmin::DOUBLE AS ixmin, iymin::DOUBLE AS iymin, ixmax::DOUBLE AS ixmax, iymax::DOUBLE AS iymax, round(CASE WHEN si = 0 THEN 0 ELSE si / (sa + sb - si) END, 6) AS iou FROM s")
 def box_intersect_iou(spark, sf_dir):
     pairs, o = box_pairs(spark, sf_dir)
-    i = _B.intersect(o)
-    return pairs.select(*_ID, "o_gt_idx", i.xmin.cast("double").alias("ixmin"), i.ymin.cast("double").alias("iymin"), i.xmax.cast("double").alias("ixmax"), i.ymax.cast("double").alias("iymax"), r6(_B.jaccard(o)).alias("iou"))
+    i = box().intersect(o)
+    return pairs.select(*_ID, "o_gt_idx", i.xmin.cast("double").alias("ixmin"), i.ymin.cast("double").alias("iymin"), i.xmax.cast("double").alias("ixmax"), i.ymax.cast("double").alias("iymax"), r6(box().jaccard(o)).alias("iou"))
 
 
 @query(f"{_PAIRS} SELECT image_id, gt_idx, o_gt_idx, floor(CASE WHEN si = 0 THEN 0 ELSE si / sa END * 1000000 + 0.5) AS covered_ppm, floor(CASE WHEN si = 0 THEN 0 ELSE si / sb END * 1000000 + 0.5) AS covers_ppm FROM s")
 def box_coverage(spark, sf_dir):
     pairs, o = box_pairs(spark, sf_dir)
-    return pairs.select(*_ID, "o_gt_idx", ppm(_B.coverage(o)).alias("covered_ppm"), ppm(o.coverage(_B)).alias("covers_ppm"))
+    return pairs.select(*_ID, "o_gt_idx", ppm(box().coverage(o)).alias("covered_ppm"), ppm(o.coverage(box())).alias("covers_ppm"))
 
 
 def _sides(b: Box, *, round_: bool = True):
@@ -374,18 +375,18 @@ def _sides(b: Box, *, round_: bool = True):
 
 @query(f"WITH {_BOXES} SELECT image_id, gt_idx, round(xmin * 1.5, 6) AS x0, round(ymin * 0.75, 6) AS y0, round((xmax + 1) * 1.5 - 1, 6) AS x1, round((ymax + 1) * 0.75 - 1, 6) AS y1 FROM b")
 def box_rescale(spark, sf_dir):
-    return boxes(spark, sf_dir).select(*_ID, *_sides(_B.rescale(1.5, 0.75)))
+    return boxes(spark, sf_dir).select(*_ID, *_sides(box().rescale(1.5, 0.75)))
 
 
 @query(f"WITH {_BOXES} SELECT image_id, gt_idx, round(xmin / {CANVAS}, 6) AS x0, round(ymin / {CANVAS}, 6) AS y0, round((xmax + 1) / {CANVAS}, 6) AS x1, round((ymax + 1) / {CANVAS}, 6) AS y1, xmax + 1 <= {CANVAS} AND ymax + 1 <= {CANVAS} AS valid, round(xmax, 6) AS back FROM b")
 def box_normalize(spark, sf_dir):
-    n = _B.normalize(F.lit(CANVAS), F.lit(CANVAS))
+    n = box().normalize(F.lit(CANVAS), F.lit(CANVAS))
     return boxes(spark, sf_dir).select(*_ID, *_sides(n), n.is_normal().alias("valid"), r6(n.unnormalize(F.lit(CANVAS), F.lit(CANVAS)).xmax).alias("back"))
 
 
 @query(f"WITH {_BOXES} SELECT image_id, gt_idx, xmin + 30 AS x0, ymin + 20 AS y0, xmax + 30 AS x1, ymax + 20 AS y1 FROM b")
 def box_expand(spark, sf_dir):
-    return boxes(spark, sf_dir).select(*_ID, *_sides(_B.expand(30, 20, 2 * CANVAS, 2 * CANVAS), round_=False))
+    return boxes(spark, sf_dir).select(*_ID, *_sides(box().expand(30, 20, 2 * CANVAS, 2 * CANVAS), round_=False))
 
 
 _CROP = {"x": 60.0, "y": 40.0, "width": 200.0, "height": 120.0}
@@ -401,7 +402,7 @@ def _crop():
 
 
 def _transformed(spark, sf_dir, **how):
-    keep, b = transform_box(_B, _crop(), F.col("image_id") % 2 == 0, F.lit(300.0), F.lit(300.0), **how)
+    keep, b = transform_box(box(), _crop(), F.col("image_id") % 2 == 0, F.lit(300.0), F.lit(300.0), **how)
     return boxes(spark, sf_dir).where(keep), b
 
 
@@ -414,13 +415,13 @@ def box_crop_flip(spark, sf_dir):
 
 @query(f"WITH {_BOXES}, m AS (SELECT *, xmin + (xmax - xmin) / 2 AS cx, ymin + (ymax - ymin) / 2 AS cy FROM b) SELECT image_id, gt_idx, cx >= {_CX} AND cx <= {_CX + _CW - 1} AND cy >= {_CY} AND cy <= {_CY + _CH - 1} AS kept FROM m")
 def emit_center(spark, sf_dir):
-    return boxes(spark, sf_dir).select(*_ID, emit(_B, _crop(), "center").alias("kept"))
+    return boxes(spark, sf_dir).select(*_ID, emit(box(), _crop(), "center").alias("kept"))
 
 
 @query(f"""WITH {_BOXES}, o AS (SELECT *, greatest(0, least(xmax, {_CX + _CW - 1}) - greatest(xmin, {_CX}) + 1) * greatest(0, least(ymax, {_CY + _CH - 1}) - greatest(ymin, {_CY}) + 1) AS shared FROM b)
 SELECT image_id, gt_idx, shared / ((xmax - xmin + 1) * (ymax - ymin + 1)) >= 0.4 AS kept FROM o""")
 def emit_min_overlap(spark, sf_dir):
-    return boxes(spark, sf_dir).select(*_ID, emit(_B, _crop(), "min_overlap", 0.4).alias("kept"))
+    return boxes(spark, sf_dir).select(*_ID, emit(box(), _crop(), "min_overlap", 0.4).alias("kept"))
 
 
 @query(f"""WITH {_BOXES}, o AS (SELECT image_id, list([xmin, ymin, xmax, ymax] ORDER BY gt_idx) AS l FROM b GROUP BY image_id)
@@ -572,7 +573,7 @@ _SAMPLERS = [
 
 def _images(spark, sf_dir):
     b = boxes(spark, sf_dir)
-    n = _B.normalize(F.lit(512.0), F.lit(512.0))
+    n = box().normalize(F.lit(512.0), F.lit(512.0))
     return b.groupBy("image_id").agg(F.array_sort(F.collect_list(n.struct())).alias("objects"))
 
 
@@ -591,7 +592,7 @@ e AS (SELECT *, scale * sqrt(aspect) AS w, scale / sqrt(aspect) AS h FROM q), f
 def sampler_patch(spark, sf_dir):
     """All trial patches of two samplers."""
     p = augment.sampler_patches(boxes(spark, sf_dir).select("image_id").distinct(), _SAMPLERS, SEED)
-    return p.select("image_id", "sampler", "trial", *_sides(_B))
+    return p.select("image_id", "sampler", "trial", *_sides(box()))
 
 
 _MEETS = f"""WITH {_BOXES}, {_sql_patches()}, j AS (SELECT f.*, b.xmin / 512.0 AS ox0, b.ymin / 512.0 AS oy0, (b.xmax + 1) / 512.0 AS ox1, (b.ymax + 1) / 512.0 AS oy1 FROM f JOIN b USING (image_id)),
