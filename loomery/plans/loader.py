@@ -105,9 +105,9 @@ class DataLoader:
                 df = providers.add_boxes(df, kind, c, f"e{i}", cfg.augmentation)
             else:
                 df = df.withColumns(providers.text_provider(kind, c, F.col(f"e{i}")))
-                bad = F.col(f"`{providers.shapes(kind, c)[0][0]}`").isNull()
+                bad = F.col(providers.inner_name(providers.shapes(kind, c)[0][0])).isNull()
                 df = df.withColumn("_error", F.coalesce("_error", F.when(bad, F.lit(f"{kind} cannot be read"))))
-        return df.select("batch_id", "slot", F.col("_record").alias("row_idx"), *(F.col(f"`{s[0]}`") for s in self.shapes), "_error")
+        return df.select("batch_id", "slot", F.col("_record").alias("row_idx"), *(F.col(providers.inner_name(s[0])).alias(s[0]) for s in self.shapes), "_error")
 
     def _rcnn(self, df: DataFrame, c: dict, element: str) -> DataFrame:
         """Anchor targets of each record, joined back by its position."""
@@ -128,7 +128,7 @@ class DataLoader:
         scale = a["out_width"] / a["crop_width"]
         out = out.withColumns({"image_shape": F.array(a["out_width"], a["out_height"]), "image_scale": F.array(scale.cast("float")), "gt_boxes": F.coalesce("gt_boxes", none(4 * m, "float")), "gt_box_count": F.array(F.coalesce("gt_box_count", F.lit(0))), "gt_class_count": F.coalesce("gt_class_count", none(m, "int")), "difficult_flag": F.coalesce("difficult_flag", none(m, "int"))})
         prefix = f"{c['name']}." if c.get("name") else ""
-        return out.withColumnsRenamed({s[0][len(prefix) :]: s[0] for s in providers.shapes("localization_rcnn", c)}).drop("_json", "boxes") if prefix else out.drop("_json", "boxes")
+        return out.withColumnsRenamed({s[0][len(prefix) :]: providers.inner_name(s[0]) for s in providers.shapes("localization_rcnn", c)}).drop("_json", "boxes") if prefix else out.drop("_json", "boxes")
 
     def _batches(self, first: int, last: int) -> Iterator[tuple[tuple[str, np.ndarray], ...]]:
         df = self.plan(first, last).orderBy("batch_id", "slot")

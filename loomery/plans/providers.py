@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from ..functions import boxes as B
 from ..functions import text as X
-from ..functions.text import OTYPES, column_name, otype
+from ..functions.text import OTYPES, otype
+from ..functions.text import column_name as public_name
 from ..operators import pixels
 from ..operators.augment import Augmentation
 from ..sources.annotations import parse_annotations
@@ -25,10 +26,19 @@ from ..sources.containers import decode_image, read_avi_frames
 NUMPY = {"int8_t": "i1", "uint8_t": "u1", "int16_t": "i2", "uint16_t": "u2", "int32_t": "i4", "uint32_t": "u4", "float": "f4", "double": "f8", "char": "i1"}
 
 
+def inner_name(name: str) -> str:
+    """A column's name inside the plan: Arrow kernels resolve dots as fields."""
+    return name.replace(".", "\u00b7")
+
+
+def column_name(base: str, name: str | None) -> str:
+    return inner_name(public_name(base, name))
+
+
 def shapes(kind: str, cfg: dict[str, Any], bbox_shape: int = 4) -> list[tuple[str, tuple[int, ...], str, tuple[str, ...]]]:
     """(column, shape, output type, axis names) of a provider, in order, known before any data is read."""
     name = cfg.get("name") or None
-    one = lambda base, shape, kind_, axes=(): (column_name(base, name), tuple(shape), kind_, tuple(axes) or tuple(map(str, range(len(shape)))))
+    one = lambda base, shape, kind_, axes=(): (public_name(base, name), tuple(shape), kind_, tuple(axes) or tuple(map(str, range(len(shape)))))
     if kind in ("image", "pixelmask"):
         c, h, w = cfg["channels"], cfg["height"], cfg["width"]
         return [one(kind, (c, h, w), cfg["output_type"], ("channels", "height", "width")) if cfg["channel_major"] else one(kind, (h, w, c), cfg["output_type"], ("height", "width", "channels"))]
@@ -171,7 +181,7 @@ def add_sizes(df: DataFrame, element: str, video: bool = False) -> DataFrame:
 def add_pixels(df: DataFrame, kind: str, cfg: dict[str, Any], element: str, aug: Augmentation) -> DataFrame:
     """Adds the column of an image, mask or video provider; a record that cannot be decoded has null and ``_error``."""
     frame = {"channels": 3, "output_type": "uint8_t", "channel_major": True, "bgr_to_rgb": False} | cfg["frame"] if kind == "video" else cfg
-    out = shapes(kind, cfg)[0][0]
+    out = inner_name(shapes(kind, cfg)[0][0])
     dtype = NUMPY[frame["output_type"]]
     kind_of = T._parse_datatype_string(otype(frame["output_type"]))
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(kind_of))])
