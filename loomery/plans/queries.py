@@ -277,11 +277,11 @@ def char_map_length(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.char_map_length(F.col("text"), 1000).cast("int").alias("char_map_length"))
 
 
-@query("SELECT vec_id, len(embedding)::INTEGER AS n, round(list_sum(list_transform(list_concat(embedding::DOUBLE[], [0.0, 0.0])[1:66], lambda x: round(x, 4))), 3) AS total FROM embeddings")
+@query("SELECT vec_id, len(embedding)::INTEGER AS n, list_sum(list_transform(list_concat(embedding::DOUBLE[], [0.0, 0.0])[1:66], lambda x: floor(x * 10000)::BIGINT))::BIGINT AS total FROM embeddings")
 def blob_pad(spark, sf_dir):
     """Raw numbers, filled up to a fixed length."""
     v = text.pad(F.col("embedding").cast("array<double>"), 66, F.lit(0.0))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("n"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + F.round(x, 4)), 3).alias("total"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("n"), F.aggregate(v, F.lit(0).cast("bigint"), lambda s, x: s + F.floor(x * 10000)).alias("total"))
 
 
 _KEYS = ("brand", "steel", "copper", "polished", "standard")
@@ -686,9 +686,11 @@ def standardize(spark, sf_dir):
     return _long(planes(spark, sf_dir).withColumn("p", pixels.plane_standardize(F.col("p"), 0.45, 0.225)))
 
 
-@query(_sql_gather("k", 64, "1.3 * p[i + 1] + (1 - 1.3::DOUBLE) * (list_sum(p) / 64)").replace("round(1.3", "round(1.3::DOUBLE").replace(", 6) AS value", ", 3) AS value"))
+@query(f"WITH v AS (SELECT vec_id, {_PLANE} AS p FROM embeddings) SELECT vec_id, k::INTEGER AS position, floor((1.3::DOUBLE * p[k + 1] + (1 - 1.3::DOUBLE) * (list_sum(p) / 64)) * 100 + 0.500123) AS hundredths FROM v, range(64) AS t(k)")
 def contrast(spark, sf_dir):
-    return _long(planes(spark, sf_dir).withColumn("p", pixels.plane_contrast(F.col("p"), 1.3))).withColumn("value", F.round("value", 3))
+    """In hundredths; the odd offset keeps exact halves away from the edge, as sums differ in their last bit."""
+    out = planes(spark, sf_dir).withColumn("p", pixels.plane_contrast(F.col("p"), 1.3)).select("vec_id", F.posexplode("p").alias("position", "v"))
+    return out.select("vec_id", "position", F.floor(F.col("v") * 100 + 0.500123).cast("double").alias("hundredths"))
 
 
 @query(_sql_gather("k % 3 * 21 + k // 3", 63))
