@@ -12,8 +12,10 @@ A store is three Parquet tables in one folder, so that any Hadoop store holds it
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
+import re
 import uuid
 import zlib
 
@@ -30,46 +32,113 @@ END_ID = 2
 PACK = 4 << 20
 DICT_BYTES = 64 << 10
 DICT_DOCS = 1000  # documents that the dictionary is trained on; it only changes sizes
-CACHE = 600_000  # pieces that a worker remembers
+CACHE = 1_600_000  # pieces that a worker remembers; about 300 MB
 LEVEL = 3
 
 
+#: What the byte-level pre-tokenizer splits a text into; a fixed value of the vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+MARK = "\x01"
+#: Full stops, commas and line feeds that are not alone between words or before a space.
+_TOUCHING = re.compile(r"[.,\n](?:(?<=[\W_][.,])|(?<=\s\n)|(?<=\n)(?=\s)|(?<=[.,])(?=[^\w\s]|_))").search
+
+
 class Encoder:
     """Ids as little-endian bytes, the same as ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
     The byte-level pre-tokenizer never joins what stands before a single space with what follows it, so a text is the
-    sequence of its pieces, each but the first with its space, and frequent pieces are encoded once. Runs of spaces are
-    the one exception; a text that has one is encoded as a whole.
+    sequence of its pieces, each but the first with its space, and a piece is the sequence of its words. Pieces and
+    words are remembered; new words are encoded many at a time. Runs of spaces and special tokens are the exceptions: a
+    text that has one is encoded as a whole. What a process has remembered serves its later tasks too.
     """
 
     def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.known = Tokenizer.from_file(path), f"<u{width}", {}
-
-    def _fill(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > CACHE:
-            self.known.clear()
-        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            self.known[piece] = np.array(e.ids, self.kind).tobytes()
+        self.tokenizer, self.kind, self.width = Tokenizer.from_file(path), f"<u{width}", width
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.split = regex.compile(PATTERN).findall
+        self.spaced: dict[str, bytes] = {}  # pieces
+        self.words: dict[str, bytes] = {}  # words of pieces that are not just letters
+        vocabulary = self.tokenizer.get_vocab()
+        self.after_space = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.after_space[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # how the vocabulary writes a space
+        self.newline = vocabulary["\u010a"]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _learn(self, plain: list[str], words: list[str]) -> None:
+        """Encodes new words. Those of letters are joined to one text, in which each is a word of its own."""
+        if plain:
+            ids = self._ids(" " + " ".join(plain))
+            self._cut(ids, np.append(np.flatnonzero(self.after_space[ids]), len(ids)), 0, plain, self.spaced)
+        letters = [w for w in words if w.isalpha()]
+        if letters:
+            ids = self._ids("\n".join(letters) + "\n")
+            self._cut(ids, np.append(-1, np.flatnonzero(ids == self.newline)), 1, letters, self.words)
+        rest = [w for w in words if not w.isalpha()]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.words[w] = np.array(e.ids, self.kind).tobytes()
+
+    def _cut(self, ids: np.ndarray, marks: np.ndarray, skip: int, words: list[str], to: dict[str, bytes]) -> None:
+        if len(marks) != len(words) + 1:
+            raise ValueError("the tokenizer does not split words as its vocabulary says")
+        raw, at = ids.tobytes(), (marks * self.width).tolist()
+        skip *= self.width
+        to.update(zip(words, (raw[a + skip : b] for a, b in zip(at, at[1:]))))
+
+    def _pieces(self, text: str) -> list[str]:
+        """Parts of a text that are encoded one by one; a part without MARK has a space before it.
+
+        Full stops, commas and line feeds that stand alone are parts of their own, so that words repeat more often.
+        """
+        if MARK in text or _TOUCHING(text):
+            return (MARK + text).split(" ")
+        return (MARK + text.replace(".", f" {MARK}.").replace(",", f" {MARK},").replace("\n", f" {MARK}\n {MARK}")).split(" ")
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        plain = []
+        if len(self.spaced) > CACHE:
+            self.spaced.clear()
+        if len(self.words) > CACHE // 4:
+            self.words.clear()
+        get, new = self.spaced.get, set()
+        for i, t in enumerate(texts):
+            if "  " in t or any(s in t for s in self.special):
+                out[i] = self.whole(t)
+            else:
+                pieces = self._pieces(t)
+                found = [*map(get, pieces)]
+                missing = [x for x, v in zip(pieces, found) if v is None]
+                new.update(missing)
+                plain.append((i, pieces, found, bool(missing)))
+        letters = [x for x in new if x.isalpha()]
+        other = {x: self.split(x[1:] if x[:1] == MARK else " " + x) for x in new.difference(letters)}
+        inside = {w for p in other.values() for w in p}
+        self._learn(letters, [w for w in inside if w not in self.words])
+        known = self.words.__getitem__
+        self.spaced.update((x, b"".join(map(known, p))) for x, p in other.items())
+        for i, pieces, found, some in plain:
+            out[i] = b"".join([get(x) if v is None else v for x, v in zip(pieces, found)] if some else found)
+        return out
+
     def encode(self, text: str) -> bytes:
-        if "  " in text:
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        pieces = [first, *(" " + x for x in rest)]
-        for k in range(0, len(pieces), 100_000):
-            part = set(pieces[k : k + 100_000])
-            if new := [x for x in part if x not in self.known]:
-                self._fill(new)
-                if len(self.known) == len(new):  # it was cleared: what it had is gone
-                    self._fill([x for x in part if x not in self.known])
-            pieces[k : k + 100_000] = map(self.known.__getitem__, pieces[k : k + 100_000])
-        return b"".join(pieces)
+        return self.encode_all([text])[0]
+
+
+@functools.lru_cache(1)
+def encoder(path: str, width: int) -> Encoder:
+    """One per process."""
+    return Encoder(path, width)
 
 
 def id_width(path: str) -> int:
@@ -82,8 +151,7 @@ def train_dictionary(docs: DataFrame, path: str, width: int, n_docs: int = DICT_
     """A zstandard dictionary from the ids of ``n_docs`` documents, chosen by a hash of their ids, those over 1 MB aside."""
     few = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs)
     texts = docs.join(F.broadcast(few.distinct()), "doc_id").where(F.octet_length("text") <= 1 << 20).select("text").limit(2 * n_docs).collect()
-    enc = Encoder(path, width)
-    samples = [enc.encode(t[0] or "") for t in texts]
+    samples = Encoder(path, width).encode_all([t[0] or "" for t in texts])
     try:
         return zstandard.train_dictionary(DICT_BYTES, [s for s in samples if s]).as_bytes()
     except zstandard.ZstdError:  # too few to train on
@@ -100,20 +168,30 @@ PACKS_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", p
 
 def _packer(path, width, shared, sha):
     def run(batches):
-        enc = Encoder(path, width)
+        enc = encoder(path, width)
         zip_ = zstandard.ZstdCompressor(level=LEVEL, **_compressor(shared.value))
         end = np.array([END_ID], enc.kind).tobytes()
         part, seq, before, size = TaskContext.get().partitionId(), 0, 0, 0
         ids, counts, frames = [], [], []
 
+        def encoded(b):
+            docs, texts, n = [], [], 0
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                docs.append(doc), texts.append(text or "")
+                n += len(texts[-1])
+                if n > 1 << 20:
+                    yield from zip(docs, enc.encode_all(texts))
+                    docs, texts, n = [], [], 0
+            yield from zip(docs, enc.encode_all(texts))
+
         def pack():
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in frames])]).astype("i8")
             row = [part, seq, before, sum(counts), list(ids), offsets.tolist(), list(counts), sha, b"".join(frames)]
             return pa.RecordBatch.from_pylist([dict(zip(PACKS_ARROW.names, row))], PACKS_ARROW)
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = enc.encode(text or "") + end
+            for doc, raw in encoded(b):
+                raw += end
                 ids.append(doc), counts.append(len(raw) // width), frames.append(zip_.compress(raw))
                 size += len(frames[-1])
                 if size >= PACK:
