@@ -44,17 +44,21 @@ def subset(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
         return df
     n = df.count()
     want = int(n * fraction)
-    df = with_draws(df, "row_idx", seed, {"_u": 0}).withColumn("_hit", (unit(F.col("_u")) < fraction).cast("long"))
-    df = _running(df, "row_idx", [], F.col("_hit"), "_c", RANGES)
-    keep = ((F.col("_hit") == 1) & (F.col("_c") < want)) | (want - F.col("_c") >= n - F.col("row_idx"))
-    kept = df.where(keep).drop("_u", "_hit", "_c").withColumnRenamed("row_idx", "source_idx")
-    return with_row_index(kept, "source_idx")
+    ids = with_draws(df.sparkSession.range(n).withColumnRenamed("id", "source_idx"), "source_idx", seed, {"_u": 0})
+    ids = _running(ids.select("source_idx", (unit(F.col("_u")) < fraction).cast("long").alias("_hit")), "source_idx", [], F.col("_hit"), "_c", RANGES)
+    keep = ((F.col("_hit") == 1) & (F.col("_c") < want)) | (want - F.col("_c") >= n - F.col("source_idx"))
+    return _renumber(df, with_row_index(ids.where(keep).select("source_idx"), "source_idx"))
 
 
 def shuffle_rows(df: DataFrame, seed: int) -> DataFrame:
     """A permutation of all rows: ``source_idx`` keeps the old index, ``row_idx`` is the new one."""
-    df = with_draws(df.withColumnRenamed("row_idx", "source_idx"), "source_idx", seed, {"_u": 1})
-    return with_row_index(df, "_u", ("source_idx",)).drop("_u")
+    ids = with_draws(df.sparkSession.range(df.count()).withColumnRenamed("id", "source_idx"), "source_idx", seed, {"_u": 1})
+    return _renumber(df, with_row_index(ids, "_u", ("source_idx",)).drop("_u"))
+
+
+def _renumber(df: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows at their new places. ``places`` depends on row numbers alone, so the table is read for one join only."""
+    return df.withColumnRenamed("row_idx", "source_idx").join(places, "source_idx")
 
 
 def shard(df: DataFrame, n_rows: int, node_id: int, node_count: int, batch_size: int) -> DataFrame:
