@@ -32,7 +32,7 @@ END_ID = 2
 PACK = 4 << 20
 DICT_BYTES = 64 << 10
 DICT_DOCS = 1000  # documents that the dictionary is trained on; it only changes sizes
-CACHE = 1_600_000  # pieces that a worker remembers; about 300 MB
+CACHE = 600_000  # pieces that a worker remembers; about 140 MB
 LEVEL = 3
 
 
