@@ -42,7 +42,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     gone = stage_table(removed_lines(docs, id_col, text_col, min_words), "repeats")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    both = texts.join(gone, "doc_id", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<int>")))
+    # the same join at every size: one that is broadcast while it is small says nothing about a large table
+    both = texts.join(gone.hint("merge"), "doc_id", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<int>")))
     both = both.withColumn("_all", F.split("text", "\n"))
     step = lambda s, x: F.struct((s["at"] + F.length(x) + 1).alias("at"), F.concat(s["ends"], F.array(s["at"] + F.length(x) + 1)).alias("ends"))
     none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
