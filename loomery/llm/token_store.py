@@ -43,15 +43,24 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 MARK = "\x01"
 #: Full stops, commas and line feeds that are not alone between words or before a space.
 _TOUCHING = re.compile(r"[.,\n](?:(?<=[\W_][.,])|(?<=\s\n)|(?<=\n)(?=\s)|(?<=[.,])(?=[^\w\s]|_))").search
+#: A space in a run of white space. The pre-tokenizer may put it in one word with what stands on both sides of it.
+_RUN = re.compile(r" \s|\s ").search
+
+
+def _at_run(piece: str) -> bool:
+    """Whether a piece has white space at an end where a space may be next to it."""
+    return piece[-1:].isspace() and piece != MARK + "\n" or piece[:1].isspace()
 
 
 class Encoder:
     """Ids as little-endian bytes, the same as ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
-    The byte-level pre-tokenizer never joins what stands before a single space with what follows it, so a text is the
-    sequence of its pieces, each but the first with its space, and a piece is the sequence of its words. Pieces and
-    words are remembered; new words are encoded many at a time. Runs of spaces and special tokens are the exceptions: a
-    text that has one is encoded as a whole. What a process has remembered serves its later tasks too.
+    The byte-level pre-tokenizer never joins what stands before a space with what follows it if neither is white space,
+    so a text is the sequence of its pieces, each but the first with its space, and a piece is the sequence of its words.
+    Pieces and words are remembered; new words are encoded many at a time. Runs of white space with a space in them
+    and special tokens are the exceptions: a text that has one is encoded as a whole. Pieces with white space at an end
+    are not remembered, so that each text with one is searched for such runs. What a process has remembered serves its
+    later tasks too.
     """
 
     def __init__(self, path: str, width: int):
@@ -111,14 +120,19 @@ class Encoder:
             self.spaced.clear()
         if len(self.words) > CACHE // 4:
             self.words.clear()
-        get, new = self.spaced.get, set()
+        get, new, odd = self.spaced.get, set(), set()
         for i, t in enumerate(texts):
-            if "  " in t or any(s in t for s in self.special):
+            if "  " in t or t[:2] == "\n " or any(s in t for s in self.special):
                 out[i] = self.whole(t)
             else:
                 pieces = self._pieces(t)
                 found = [*map(get, pieces)]
                 missing = [x for x, v in zip(pieces, found) if v is None]
+                at_run = [x for x in missing if _at_run(x)]
+                if at_run and _RUN(t):
+                    out[i] = self.whole(t)
+                    continue
+                odd.update(at_run)
                 new.update(missing)
                 plain.append((i, pieces, found, bool(missing)))
         letters = [x for x in new if x.isalpha()]
@@ -129,6 +143,8 @@ class Encoder:
         self.spaced.update((x, b"".join(map(known, p))) for x, p in other.items())
         for i, pieces, found, some in plain:
             out[i] = b"".join([get(x) if v is None else v for x, v in zip(pieces, found)] if some else found)
+        for x in odd:
+            del self.spaced[x]
         return out
 
     def encode(self, text: str) -> bytes:

@@ -319,6 +319,19 @@ def test_encoder_is_exact():
         assert np.frombuffer(enc.encode(t), "<u2").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_encoder_with_white_space_runs():
+    """Spaces next to other white space, between remembered pieces too."""
+    enc = token_store.Encoder(tokenizer_path(), 2)
+    rng = random.Random(6)
+    texts = ["a \u00a0 \u00a0 b", "a" + " \u00a0" * 8 + " b", "a\u00a0 \u00a0b", "\u00a0 \u00a0", "a\n ", "\n ", " \n", "\n b", "a \u00a0b", "a\u00a0 b", "a\u00a0b", "\u00a0", "a\u3000 \u3000 b", "a\n\n", "\n\na b"]
+    texts += ["".join(rng.choice([" ", " ", "\u00a0", "\u00a0", "\n", "\t", "\u2003", "a", "b.", ",", "\u00e9", "1"]) for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 11504, 275]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u2").tolist() for x in enc.encode_all(texts)] == want
+    assert [np.frombuffer(enc.encode(t), "<u2").tolist() for t in texts] == want
+
+
 def test_mix(docs, corpus, empty):
     import re
 
