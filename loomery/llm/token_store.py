@@ -57,8 +57,8 @@ class Encoder:
 
     The byte-level pre-tokenizer never joins what stands before a space with what follows it if neither is white space,
     so a text is the sequence of its pieces, each but the first with its space, and a piece is the sequence of its words.
-    Pieces and words are remembered; new words are encoded many at a time. Runs of white space with a space in them
-    and special tokens are the exceptions: a text that has one is encoded as a whole. Pieces with white space at an end
+    Pieces and words are remembered; new words are encoded many at a time. Runs of white space with a space in them,
+    special tokens and MARK are the exceptions: a text that has one is encoded as a whole. Pieces with white space at an end
     are not remembered, so that each text with one is searched for such runs. What a process has remembered serves its
     later tasks too.
     """
@@ -109,7 +109,7 @@ class Encoder:
 
         Full stops, commas and line feeds that stand alone are parts of their own, so that words repeat more often.
         """
-        if MARK in text or _TOUCHING(text):
+        if _TOUCHING(text):
             return (MARK + text).split(" ")
         return (MARK + text.replace(".", f" {MARK}.").replace(",", f" {MARK},").replace("\n", f" {MARK}\n {MARK}")).split(" ")
 
@@ -122,7 +122,7 @@ class Encoder:
             self.words.clear()
         get, new, odd = self.spaced.get, set(), set()
         for i, t in enumerate(texts):
-            if "  " in t or t[:2] == "\n " or any(s in t for s in self.special):
+            if "  " in t or t[:2] == "\n " or MARK in t or any(s in t for s in self.special):
                 out[i] = self.whole(t)
             else:
                 pieces = self._pieces(t)

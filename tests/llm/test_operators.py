@@ -332,6 +332,17 @@ def test_encoder_with_white_space_runs():
     assert [np.frombuffer(enc.encode(t), "<u2").tolist() for t in texts] == want
 
 
+def test_encoder_keeps_control_characters():
+    """Texts that hold the character that marks pieces."""
+    enc = token_store.Encoder(tokenizer_path(), 2)
+    mark = token_store.MARK
+    texts = [f"a {mark}b", f"{mark}b", mark, f"{mark} {mark}", f"a{mark} b", f"a {mark}. b, c", f"a. {mark}\nb", f"{mark}{mark} x"]
+    for _ in range(2):
+        for t in texts:
+            assert np.frombuffer(enc.encode(t), "<u2").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
+    assert np.frombuffer(enc.encode(texts[0]), "<u2").tolist() == [64, 220, 189, 65]
+
+
 def test_mix(docs, corpus, empty):
     import re
 
