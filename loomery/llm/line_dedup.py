@@ -2,7 +2,8 @@
 
 Lines are normalised (lower case, runs of white space as one space, trimmed) and hashed. The earliest line of each
 digest, by doc_id and then place, stays; the others are removed, with their offsets in the original text retained.
-Lines of fewer than ``MIN_WORDS`` words always stay: they repeat in clean text too.
+Lines of fewer than ``MIN_WORDS`` words always stay, as in the SQL of the query. Words are what spaces part, so a line
+in a script without spaces is one word at any length. ``min_words=1`` removes every line that repeats, these too.
 """
 
 from __future__ import annotations

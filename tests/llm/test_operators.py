@@ -188,6 +188,14 @@ def test_lines(docs, corpus, empty, spark):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_short_lines(spark):
+    """With ``min_words=1`` every line that repeats goes, short or without spaces."""
+    cjk = "\u65e5\u672c\u8a9e" * 30
+    df = spark.createDataFrame([(1, f"les.\n{cjk}\n\nkept"), (2, f"LES. \n\n{cjk}\nles.")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.dedup_lines(df, min_words=1).collect()}
+    assert got == {1: (0, f"les.\n{cjk}\n\nkept"), 2: (3, "")}
+
+
 def slow_removal(texts, n):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(b[p : p + n] for b in raw for p in range(len(b) - n + 1))
