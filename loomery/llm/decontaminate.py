@@ -11,6 +11,7 @@ words, and documents pass each in turn (a window never spans items, so the resul
 from __future__ import annotations
 
 import hashlib
+import itertools
 import pickle
 import re
 from collections.abc import Iterable
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import drop_table, stage_table
 
 WINDOW = 10
 MAX_WORDS = 400_000  # words in one automaton; about 100 MB in a Python worker
@@ -126,17 +127,18 @@ class Automaton:
 
 
 def _scan(shared):
+    """What the automaton finds in the last column, beside the other columns."""
+
     def run(batches):
         auto = pickle.loads(shared.value)
         for b in batches:
             n, spans, items = [], [], []
-            for raw in b.column(1).to_pylist():
+            for raw in b.columns[-1].to_pylist():
                 words = words_of(raw)
                 found = auto.spans(words)
                 n.append(len(words)), spans.append([x for s in found[0] for x in s]), items.append(sorted(found[1]))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"]
-            )
+            cols = [*b.columns[:-1], pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:-1], "n_words", "spans", "items"])
 
     return run
 
@@ -159,20 +161,27 @@ def _automata(items: DataFrame, id_col: str, text_col: str, window: int, max_wor
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, spans (flat start, end word positions of hit runs), items (sorted ids).
 
-    Null and empty texts have no words; items without words or id are ignored; without items nothing is hit. With one
-    automaton (``max_words`` not exceeded) rows that repeat a doc_id stay apart, with more they are one row.
+    Null and empty texts have no words; items without words or id are ignored; without items nothing is hit. Rows that
+    repeat a doc_id, or have none, stay apart. With several automata (``max_words`` exceeded) the rows are written with
+    a number each, by which the results of the passes meet.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary"))
-    parts = []
-    for auto in _automata(items, item_col, item_text, window, max_words):
-        parts.append(rows.mapInArrow(_scan(spark.sparkContext.broadcast(auto)), "doc_id long, n_words long, spans array<long>, items array<string>"))
-    if len(parts) == 1:
-        return parts[0]
-    all_ = stage_table(parts[0], "hits-0")
-    for k, p in enumerate(parts[1:], 1):
-        all_ = all_.unionByName(stage_table(p, f"hits-{k}"))
-    both = all_.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
+    scan = lambda rows, auto, keys: rows.mapInArrow(_scan(spark.sparkContext.broadcast(auto)), f"{keys}, n_words long, spans array<long>, items array<string>")
+    automata = _automata(items, item_col, item_text, window, max_words)
+    first, second = next(automata), next(automata, None)
+    if second is None:
+        return scan(rows, first, "doc_id long")
+    numbered = stage_table(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "raw"), "rows")
+    all_ = None
+    for k, auto in enumerate(itertools.chain([first, second], automata)):
+        found = scan(numbered, auto, "row long, doc_id long")
+        if k:  # the first pass has a result for each row
+            found = found.where(F.size("spans") > 0)
+        found = stage_table(found, f"hits-{k}")
+        all_ = found if all_ is None else all_.unionByName(found)
+    drop_table(numbered)
+    both = all_.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return both.mapInArrow(_merge, "doc_id long, n_words long, spans array<long>, items array<string>")
 
 

@@ -279,6 +279,17 @@ def test_contamination(docs, corpus, empty, spark):
     assert decontaminate.report(empty, df).count() == 0
 
 
+def test_contamination_by_row(spark):
+    """Rows that share an id, or have none, are reported alone whatever the number of automata."""
+    a, b, c = (f"{x}1 {x}2 {x}3 {x}4" for x in "abc")
+    df = spark.createDataFrame([(1, f"x {a}"), (1, f"{b} {c} y z"), (1, "x"), (None, a), (None, f"x x {b}"), (None, None), (2, c), (2, c)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, a), (2, b), (3, c)], "item_id long, text string")
+    want = Counter([(1, 5, 4, 1), (1, 10, 8, 2), (1, 1, 0, 0), (None, 4, 4, 1), (None, 6, 4, 1), (None, 0, 0, 0), (2, 4, 4, 1), (2, 4, 4, 1)])
+    for most in (decontaminate.MAX_WORDS, 8, 4):
+        got = decontaminate.report(df, items, max_words=most).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got) == want
+
+
 def test_random_automata():
     rng = random.Random(8)
     for _ in range(60):
