@@ -11,6 +11,10 @@ come from a text, and both can be undone.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,7 +108,7 @@ def canonical_turns(df: DataFrame, json_col: str) -> DataFrame:
     return df.withColumn("layout", pick(lambda name, _: F.lit(name))).withColumn("turns", pick(lambda _, turns: _mapped(F.col("_rec"), turns))).drop("_rec", "_print")
 
 
-#: Tables with a row per turn, by their fingerprint: conversation, order, role and text column.
+#: Tables with a row per turn, by their sorted column paths: conversation, order, role and text column.
 ROW_LAYOUTS = {
     ("conv_id", "role", "text", "turn"): ("conv_id", "turn", "role", "text"),
     ("content", "conversation_id", "message_index", "role"): ("conversation_id", "message_index", "role", "content"),
@@ -112,6 +116,29 @@ ROW_LAYOUTS = {
 }
 
 
+def path_hash(paths: Iterable[str]) -> str:
+    """What :func:`fingerprint` gives, for paths at hand."""
+    return hashlib.sha256("\n".join(paths).encode()).hexdigest()
+
+
+def row_layout(schema: T.StructType) -> tuple[str, str, str, str]:
+    """The layout of a table with a row per turn, selected by the hash of its column paths.
+
+    A table that has further columns is looked up by the hashes of what it has of the known paths, taken as many at a time as
+    a layout has. More than one layout then, or none, is an error that names the paths.
+    """
+    known = {path_hash(k): v for k, v in ROW_LAYOUTS.items()}
+    paths = schema_paths(schema)
+    if (whole := path_hash(paths)) in known:
+        return known[whole]
+    some = [p for p in paths if any(p in k for k in ROW_LAYOUTS)]
+    prints = {path_hash(c) for n in {len(k) for k in ROW_LAYOUTS} for c in itertools.combinations(some, n)}
+    fits = [known[h] for h in prints & known.keys()]
+    if len(fits) != 1:
+        raise ValueError(f"no single row layout for columns {paths}")
+    return fits[0]
+
+
 def segments(turns):
     """Formatted turns as (text, loss) segments; loss is true for what assistants say."""
     one = lambda t: F.array(
@@ -125,16 +152,12 @@ def segments(turns):
 def format_rows(df: DataFrame) -> DataFrame:
     """Formats a table with a row per turn: conv_id and ``segments``, one row per conversation.
 
-    The table's layout is found by the fingerprint of its columns; further columns are ignored. Turns go by their order
+    The table's layout is found by the fingerprint of its column paths; further columns are ignored. Turns go by their order
     column, then role and text; null ones come first. A null role or text is empty. Rows with a null conversation are
     one conversation, and repeated rows are turns of their own. No rows give no rows. A conversation is one text, so
     its turns meet in one task; they are formatted before they do.
     """
-    have = set(df.columns)
-    fits = [v for k, v in ROW_LAYOUTS.items() if set(k) <= have]
-    if len(fits) != 1:
-        raise ValueError(f"no single row layout for columns {sorted(have)}")
-    conv, turn, role, text = (F.col(f"`{c}`") for c in fits[0])
+    conv, turn, role, text = (F.col(f"`{c}`") for c in row_layout(df.schema))
     turn_of = F.struct(turn.alias("turn"), F.coalesce(role.cast("string"), F.lit("")).alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
     grouped = df.groupBy(conv.alias("conv_id")).agg(F.array_sort(F.collect_list(turn_of)).alias("turns"))
     return grouped.select("conv_id", segments(F.col("turns")).alias("segments"))

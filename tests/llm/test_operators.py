@@ -437,6 +437,18 @@ def test_chat_layouts(spark):
     ]
 
 
+def test_chat_row_layout(spark):
+    """The hash of the column paths selects the layout; a nested column is not the text."""
+    schema = lambda ddl: spark.createDataFrame([], ddl).schema
+    for paths, layout in chat.ROW_LAYOUTS.items():
+        assert chat.path_hash(paths) == spark.range(1).select(chat.fingerprint(F.array(*map(F.lit, paths)))).first()[0]
+        assert chat.row_layout(schema(", ".join(f"{p} string" for p in reversed(paths)))) == layout
+    assert chat.row_layout(schema("role string, content string, turn int, text string, conv_id long, more struct<a:int>"))[3] == "text"
+    for ddl in ("conv_id long, turn long, role string, text struct<body:string>", "conv_id long, turn long, role string, text string, conversation_id long, message_index int, content string", "a int"):
+        with pytest.raises(ValueError, match="no single row layout"):
+            chat.format_rows(spark.createDataFrame([], ddl))
+
+
 @pytest.mark.parametrize("module,label,report", [(quality, "quality", quality.quality_report), (toxicity, "toxic", toxicity.toxicity_report)])
 def test_classifiers(spark, module, label, report):
     """Held-out accuracy on the labelled documents; a score depends on the text alone."""
