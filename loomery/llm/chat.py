@@ -178,7 +178,8 @@ def parse_turns(text):
 
 
 def loss_text(segs):
-    return unescape(F.array_join(F.transform(F.filter(segs, lambda s: s["loss"]), lambda s: s["text"]), ""))
+    """What assistants say, undone text by text: two texts may join to what looks like an escape."""
+    return F.array_join(F.transform(F.filter(segs, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
 
 
 def chat_report(df: DataFrame) -> DataFrame:

@@ -424,6 +424,13 @@ def test_chat_rows(spark):
     assert chat.chat_report(df.limit(0)).count() == 0
 
 
+def test_chat_loss_across_turns(spark):
+    """A text that ends in '<' before one that starts with '||' loses nothing."""
+    df = spark.createDataFrame([(1, 0, "assistant", "a<"), (1, 1, "user", "u"), (1, 2, "assistant", "||b")], "conv_id long, turn long, role string, text string")
+    r = chat.chat_report(df).first()
+    assert (r.loss_chars, r.loss_sha256) == (5, hashlib.sha256(b"a<||b").hexdigest())
+
+
 def test_chat_layouts(spark):
     rows = [
         '{"prompt": "p", "response": "r"}', '{"instruction": "i", "input": "x", "output": "o"}', '{"instruction": "i", "output": "o", "other": 5}',
