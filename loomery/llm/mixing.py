@@ -46,42 +46,45 @@ def _targets(sizes: DataFrame, share: float) -> DataFrame:
     return per.select("no_source", "src", "source_size", F.least("cap", F.coalesce(level, F.lit(float("inf"))) * F.col("weight")).alias("target"))
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.0) -> DataFrame:
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.0, row_col: str | None = None) -> DataFrame:
     """How often the mix takes each document: doc_id, size, source_size, target, repeats, taken, finish.
 
     Sources in code point order, null last, weigh 1, 2, 3, repeating. ``size`` counts words (null: 0); ``finish`` is the
     first virtual finish time (null in a source without words); ``taken`` = size * repeats. A document without words is
     taken once if its place in the queue is before the cut. Rows that repeat an id keep a row each. Same input, same
-    result. ``share`` is the budget as a share of all words; no rows give no rows.
+    result. ``share`` is the budget as a share of all words; no rows give no rows. ``row_col`` names a column that numbers the rows; it
+    is given back as ``row``, and rows of one id and size then go by a hash of their text.
     """
     h = F.xxhash64(F.lit(SEED), F.col(id_col).cast("long"))
     src = F.col(source_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), src.isNull().alias("no_source"), F.coalesce(src, F.lit("")).alias("src"), n_words(F.col(text_col)).alias("size"), h.alias("h"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), src.isNull().alias("no_source"), F.coalesce(src, F.lit("")).alias("src"), n_words(F.col(text_col)).alias("size"), h.alias("h"), *([] if row_col is None else [F.xxhash64(F.col(text_col)).alias("same"), F.col(row_col).alias("row")]))
     rows = stage_table(rows, "sizes").withColumn("part", F.shiftrightunsigned("h", 52).cast("int"))
+    ties, row = ([], []) if row_col is None else (["same", "row"], ["row"])
     parts = rows.groupBy("no_source", "src", "part").agg(F.sum("size").alias("n"))
     before = F.sum("n").over(Window.partitionBy("no_source", "src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("no_source", "src", "part", F.coalesce(before, F.lit(0)).alias("before"))
     parts = parts.join(_targets(rows, share), ["no_source", "src"])
-    own = Window.partitionBy("no_source", "src", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("no_source", "src", "part").orderBy("h", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("upto", F.sum("size").over(own)).join(parts, ["no_source", "src", "part"]).withColumn("upto", F.col("upto") + F.col("before"))
     middle = F.col("upto") - F.col("size") / 2
     rounds = F.floor((F.col("target") - middle) / F.col("source_size")) + 1
     repeats = F.when(F.col("source_size") > 0, F.least(F.lit(MAX_REPEATS), F.greatest(F.lit(0), rounds))).otherwise(0).cast("long")
     finish = F.when(F.col("target") > 0, F.col("upto") / F.col("target"))
-    return rows.select("doc_id", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"), finish.alias("finish"))
+    return rows.select("doc_id", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"), finish.alias("finish"), *row)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", share: float = 1.0, **columns) -> DataFrame:
     """The mixed documents with their own columns, repeats included, globally sorted by virtual finish time.
 
-    Rows that share an id, those without one among them, are all taken as often as the one of them taken most.
+    Each row is taken as often as the plan says for it, also if it shares its id or has none: the documents are written
+    with a number each, by which they meet their plan.
     """
-    key, at = fresh(docs, "_mix_id"), fresh(docs, "_mix_finish")
-    plan = plan_mix(docs, id_col, share=share, **columns).where("repeats > 0")
-    plan = plan.groupBy("doc_id").agg(F.max(F.struct("repeats", F.coalesce("finish", F.lit(0.0)).alias("finish"), (F.col("source_size") / F.col("target")).alias("lap"))).alias("p"))
-    again = F.explode(F.sequence(F.lit(0), F.col("p.repeats").cast("int") - 1))
-    plan = plan.select(F.col("doc_id").alias(key), "p", again.alias("round"))
-    plan = plan.select(key, (F.col("p.finish") + F.col("round") * F.coalesce("p.lap", F.lit(1.0))).alias(at))
-    out = docs.join(plan, docs[id_col].cast("long").eqNullSafe(plan[key]))
+    row, key, at = fresh(docs, "_mix_row"), fresh(docs, "_mix_id"), fresh(docs, "_mix_finish")
+    docs = stage_table(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    plan = plan_mix(docs, id_col, share=share, row_col=row, **columns).where("repeats > 0")
+    again = F.explode(F.sequence(F.lit(0), F.col("repeats").cast("int") - 1))
+    plan = plan.select("row", "doc_id", F.coalesce("finish", F.lit(0.0)).alias("finish"), (F.col("source_size") / F.col("target")).alias("lap"), again.alias("round"))
+    plan = plan.select(F.col("row").alias(row), F.col("doc_id").alias(key), (F.col("finish") + F.col("round") * F.coalesce("lap", F.lit(1.0))).alias(at))
+    out = docs.join(plan, row)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartitionByRange(tasks, at, key).sortWithinPartitions(at, key).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.repartitionByRange(tasks, at, key, row).sortWithinPartitions(at, key, row).select(*(F.col(f"`{c}`") for c in docs.columns if c != row))

@@ -403,6 +403,18 @@ def test_mix(docs, corpus, empty):
     assert mixing.plan_mix(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_mix_takes_rows_by_their_own_plan(spark):
+    """Rows without an id, or with one id, do not take over each other's repeats."""
+    rows = [(None if i % 2 else 7, f"{i} " + "w " * 9, "a" if i < 30 else "b") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.plan_mix(df).groupBy("source_size").agg(F.sum("repeats").alias("n")).collect()
+    got = mixing.mix(df).collect()
+    by = Counter(r.source for r in got)
+    assert {300: by["a"], 100: by["b"]} == {r.source_size: r.n for r in plan}
+    assert abs(by["a"] - 40 / 3) <= 1 and abs(by["b"] - 80 / 3) <= 1
+    assert Counter(mixing.mix(df.repartition(3)).collect()) == Counter(got)
+
+
 def test_mix_caps_small_sources(spark):
     rows = [(i, "w " * 10, "a" if i < 90 else "b" if i < 92 else "c") for i in range(100)]
     got = mixing.plan_mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source_size").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
