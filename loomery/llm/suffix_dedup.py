@@ -7,8 +7,8 @@ anchors, about one byte in 190, therefore find every repeat:
 
 1. Runs are reduced to hashes. Anchors that occur once go. Contexts that occur twice are repeated as a whole.
 2. Where an anchor has several different contexts, one copy of each context is fetched and range-partitioned by the
-   leading bytes of the suffix at its anchor (Spark samples the splitters). In a bucket, suffixes with the same
-   anchor are sorted by multikey quicksort, as are the reversed texts before it. The common prefixes of neighbours then
+   leading bytes of the suffix at its anchor (Spark samples the splitters). In a bucket, up to ``PAIRWISE`` suffixes with
+   the same anchor are compared pair by pair; more are sorted by multikey quicksort, as are the reversed texts before it. The common prefixes of neighbours then
    tell for each window offset which contexts share the window: they agree on enough bytes on both sides. Equal
    leading bytes never fall on two sides of a splitter, so no neighbour is missed at a boundary.
 3. An anchor with more than ``GROUP`` contexts does not fit one task. Its windows are hashed and counted as rows.
