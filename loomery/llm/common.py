@@ -11,31 +11,53 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only when the session names no shared folder, as in tests on one machine.
+#: Used only by a session in local mode that names no shared folder, as in tests on one machine.
 LOCAL_SHARED = "/tmp/checkpoints/loomery"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The folder that driver and executors share. A cluster's session that names none is an error."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (given or LOCAL_SHARED).rstrip("/")
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path below the application's own folder; :func:`drop_work` deletes them all."""
+    return f"{_work_dir(spark)}/{uuid.uuid4().hex}-{name}"
+
+
+def _work_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/loomery-{spark.sparkContext.applicationId}"
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomery-{uuid.uuid4().hex}-{name}"
+    path = work_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomery_path = path
     return out
 
 
-def drop_table(table: DataFrame) -> None:
-    """Delete a stage table that nothing reads any more."""
-    path = getattr(table, "_loomery_path", None)
-    if path:
-        sc = table.sparkSession.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Delete stage tables that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_loomery_path", None)
+        if path:
+            _delete(table.sparkSession, path)
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Delete every stage table and token store of this application: results are lazy, so call it when they are written."""
+    _delete(spark, _work_dir(spark))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,7 +72,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph.
 
     ``edges`` has two long columns ``a`` and ``b``. Returns (node, root), root being the smallest node reachable, for
@@ -62,20 +84,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = edges.where("a is not null and b is not null and a <> b")
     e = stage_table(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state[0] == 0 or state == seen:
             break
         seen, old = state, e
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = stage_table(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         pairs = F.explode(F.array(F.struct(F.col("b").alias("a"), "m"), F.struct("a", "m")))
         small = large.join(low, "a").select(pairs.alias("p")).select(F.col("p.a").alias("a"), F.col("p.m").alias("b"))
         e = stage_table(small.where("a <> b").distinct(), "edges")
-        drop_table(old)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        drop_table(old, large)
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

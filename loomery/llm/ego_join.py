@@ -2,8 +2,9 @@
 
 Vectors are scaled to length one, so cosine >= c is Euclidean distance <= eps = sqrt(2 - 2c). They are turned to the
 principal axes, sorted by the eps-grid cells of the leading axes, and cut into sequence intervals with a bounding box.
-Interval pairs whose boxes are further apart than eps are skipped; the others are joined by halving both sequences,
-again skipping distant halves. In a leaf a bound from the leading axes and the length of the rest (Cauchy-Schwarz)
+The sequence is joined with itself from long stretches of intervals to short ones: a pair of stretches whose boxes are
+further apart than eps is skipped, any other gives way to the pairs of its ``FAN`` parts, so that no key holds all
+pairs. Pairs of intervals are joined by halving both, again skipping distant halves. In a leaf a bound from the leading axes and the length of the rest (Cauchy-Schwarz)
 leaves few pairs, and those are decided by the dot product in double precision.
 
 Exact copies are one vector with a count, and a tile returns link counts and a spanning forest, never its pairs.
@@ -22,7 +23,9 @@ from pyspark.sql import types as T
 
 from .common import components, stage_table
 
-INTERVAL = 8192  # vectors in a sequence interval; bounds a task's memory
+INTERVAL = 8192  # vectors in a sequence interval, at most
+INTERVAL_BYTES = 16 << 20  # bytes of vectors in one, at most; both bound a task's memory
+FAN_BITS = 3  # a stretch has 2 ** FAN_BITS parts
 LEAF = 512
 HEAD = 16  # principal axes used for boxes and for the bound
 CELLS = 4  # of those, axes that the grid order uses
@@ -70,15 +73,20 @@ def _cells(axes, eps):
     return run
 
 
-def _intervals(axes):
-    """Packs consecutive vectors of one length, in grid order, and boxes them."""
+def interval_size(dim: int) -> int:
+    return max(1, min(INTERVAL, INTERVAL_BYTES // (8 * dim)))
+
+
+def _intervals(axes, most):
+    """Packs consecutive vectors of one length, in grid order, and boxes them. Axes that a short vector lacks are 0."""
 
     def pack(part, seq, rows):
         dim = rows[0][0]
         unit = np.frombuffer(b"".join(r[3] for r in rows), "f8").reshape(-1, dim)
-        head = unit @ axes[dim][:, :HEAD]
+        head = np.zeros((len(rows), HEAD))
+        head[:, : min(dim, HEAD)] = unit @ axes[dim][:, :HEAD]
         return {
-            "iid": (part << 32) + seq, "dim": dim, "lo": head.min(0).tolist(), "hi": head.max(0).tolist(),
+            "part": part, "iid": (part << 32) + seq, "dim": dim, "lo": head.min(0).tolist(), "hi": head.max(0).tolist(),
             "keys": b"".join(r[1] for r in rows), "reps": np.array([r[2] for r in rows], "i8").tobytes(),
             "counts": np.array([r[4] for r in rows], "i8").tobytes(), "units": unit.tobytes(),
         }
@@ -87,7 +95,7 @@ def _intervals(axes):
         part, seq, rows = TaskContext.get().partitionId(), 0, []
         for b in batches:
             for r in zip(*(b.column(c).to_pylist() for c in ("dim", "key", "rep", "unit", "n"))):
-                if rows and (len(rows) == INTERVAL or rows[0][0] != r[0]):
+                if rows and (rows[0][0] != r[0] or len(rows) == most[r[0]]):
                     yield pa.RecordBatch.from_pylist([pack(part, seq, rows)], INTERVAL_ARROW)
                     seq, rows = seq + 1, []
                 rows.append(r)
@@ -97,8 +105,8 @@ def _intervals(axes):
     return run
 
 
-INTERVAL_ARROW = pa.schema([("iid", pa.int64()), ("dim", pa.int32()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("keys", pa.binary()), ("reps", pa.binary()), ("counts", pa.binary()), ("units", pa.binary())])
-INTERVAL_SQL = "iid long, dim int, lo array<double>, hi array<double>, keys binary, reps binary, counts binary, units binary"
+INTERVAL_ARROW = pa.schema([("part", pa.int32()), ("iid", pa.int64()), ("dim", pa.int32()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("keys", pa.binary()), ("reps", pa.binary()), ("counts", pa.binary()), ("units", pa.binary())])
+INTERVAL_SQL = "part int, iid long, dim int, lo array<double>, hi array<double>, keys binary, reps binary, counts binary, units binary"
 
 
 def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -176,6 +184,40 @@ def _tiles(axes, least):
     return run
 
 
+def interval_pairs(seq: DataFrame, eps2: float) -> DataFrame:
+    """Pairs (a, b, dim) of intervals, a <= b in the sequence, whose boxes are within the square root of ``eps2``.
+
+    Stretches are numbers of range partitions without their last bits. The pair of the whole sequence with itself is
+    split bit by bit on both sides, and pairs too far apart go at each step, before they are split further.
+    """
+    edges = [f"{s}{i}" for s in "lh" for i in range(HEAD)]
+    boxes = seq.select("dim", "part", "iid", *(F.get("lo", i).alias(f"l{i}") for i in range(HEAD)), *(F.get("hi", i).alias(f"h{i}") for i in range(HEAD)))
+    top = seq.agg(F.max("part")).first()[0] or 0
+    levels = -(-int(top).bit_length() // FAN_BITS)
+
+    def stretches(shift):
+        node = F.shiftright("part", shift)
+        return boxes.groupBy("dim", node.alias("node")).agg(*(F.min(c).alias(c) if c[0] == "l" else F.max(c).alias(c) for c in edges))
+
+    def side(df, s, parent):
+        return df.select(F.col("dim").alias(f"{s}_dim"), parent.alias(f"{s}_up"), F.col("node").alias(f"{s}_node"), *(F.col(c).alias(f"{s}_{c}") for c in edges))
+
+    def near(i):
+        gap = F.greatest(F.lit(0.0), F.col(f"a_l{i}") - F.col(f"b_h{i}"), F.col(f"b_l{i}") - F.col(f"a_h{i}"))
+        return gap * gap
+
+    def split(pairs, parts, parent):
+        left, right = side(parts, "a", parent), side(parts, "b", parent)
+        out = pairs.join(left, (pairs.dim == left.a_dim) & (pairs.a == left.a_up)).drop("a_dim", "a_up")
+        out = out.join(right, (out.dim == right.b_dim) & (out.b == right.b_up)).where("a_node <= b_node")
+        return out.where(sum((near(i) for i in range(HEAD)), F.lit(0.0)) <= eps2).select("dim", F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+    pairs = stretches(FAN_BITS * levels).select("dim", F.col("node").alias("a"), F.col("node").alias("b"))
+    for k in reversed(range(levels)):
+        pairs = split(pairs, stretches(FAN_BITS * k), F.shiftright("node", FAN_BITS))
+    return split(pairs, boxes.withColumn("node", F.col("iid")), F.col("part"))
+
+
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.9) -> DataFrame:
     """Links every two vectors with cosine >= ``least`` and returns one row per input row.
 
@@ -189,8 +231,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     valid = rows.where("dim is not null and vec_id is not null")
     reps = stage_table(valid.groupBy("dim", "key").agg(F.count("*").alias("n"), F.min("vec_id").alias("rep"), F.min_by("unit", "vec_id").alias("unit")), "vectors")
 
-    axes = {}
-    for (dim,) in reps.select("dim").distinct().collect():
+    axes, sizes = {}, {r.dim: r.n for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row per length
+    for dim in sizes:
         few = reps.where(F.col("dim") == dim).orderBy("key").limit(PCA_SAMPLE).select("unit").collect()
         x = np.frombuffer(b"".join(bytes(r[0]) for r in few), "f8").reshape(-1, dim)
         axes[dim] = np.ascontiguousarray(np.linalg.eigh(x.T @ x)[1][:, ::-1])
@@ -198,15 +240,11 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     eps = float(np.sqrt(2 - 2 * least))
     order = ["dim", *(f"c{i}" for i in range(CELLS)), "key"]
     sized = T.StructType(reps.schema.fields + [T.StructField(f"c{i}", T.IntegerType()) for i in range(CELLS)])
-    tasks = max(1, -(-reps.count() // INTERVAL))
+    tasks = max(1, sum(-(-n // interval_size(dim)) for dim, n in sizes.items()))
     cut = reps.mapInArrow(_cells(axes, eps), sized).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-    seq = stage_table(cut.mapInArrow(_intervals(axes), INTERVAL_SQL), "intervals")
+    seq = stage_table(cut.mapInArrow(_intervals(axes, {dim: interval_size(dim) for dim in sizes}), INTERVAL_SQL), "intervals")
+    pairs = stage_table(interval_pairs(seq, 2 - 2 * least + 1e-9), "pairs")
 
-    gap = lambda x, y: F.greatest(F.lit(0.0), x - y)
-    box = seq.select("iid", "dim", "lo", "hi")
-    near = box.alias("x").join(box.alias("y"), (F.col("x.dim") == F.col("y.dim")) & (F.col("x.iid") <= F.col("y.iid")))
-    apart = F.zip_with(F.zip_with("x.lo", "y.hi", gap), F.zip_with("y.lo", "x.hi", gap), lambda x, y: F.greatest(x, y) * F.greatest(x, y))
-    pairs = near.where(F.aggregate(apart, F.lit(0.0), lambda s, x: s + x) <= 2 - 2 * least + 1e-9).select(F.col("x.iid").alias("a"), F.col("y.iid").alias("b"), "x.dim")
     side = lambda s, at: seq.select(F.col("iid").alias(at), *(F.col(c).alias(f"{s}_{c}") for c in ("keys", "reps", "counts", "units")))
     own = lambda c: F.when(F.col("a") != F.col("b"), F.col(c)).alias(c)  # noqa: E731  a tile of one interval carries it once
     tiles = pairs.join(side("l", "a"), "a").join(side("r", "b"), "b")

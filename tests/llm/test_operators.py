@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -129,40 +130,63 @@ def test_near_texts(docs, corpus, empty):
     assert simhash.near_texts(empty).count() == 0
 
 
-def test_long_posting_lists(spark):
-    """Many fingerprints a few bits apart: lists that are walked, and lists that are cut into blocks."""
+@pytest.mark.parametrize("few,block", [(64, 8192), (4, 8192), (4, 16)])
+def test_long_posting_lists(spark, monkeypatch, few, block):
+    """Many fingerprints a few bits apart: lists that are paired, walked, and cut into blocks."""
     rng = random.Random(2)
     base = rng.getrandbits(64)
     fps = {base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 7))) for _ in range(500)} | {rng.getrandbits(64) for _ in range(300)}
     fps = sorted(fps)
     roots = union_find([(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4], range(len(fps)))
-    rows = spark.createDataFrame([(i, x - (x >> 63 << 64)) for i, x in enumerate(fps)], "doc_id long, fp long")
-    old = simhash.FEW, simhash.BLOCK, simhash._fingerprints
-    try:
-        for few, block in ((64, 8192), (4, 8192), (4, 16)):
-            simhash.FEW, simhash.BLOCK = few, block
-            key = np.array([c << 24 for c in range(len(simhash.COMBOS)) for _ in fps])
-            fp = np.array([x - (x >> 63 << 64) for _ in simhash.COMBOS for x in fps], "i8")
-            for c, ps in enumerate(simhash.COMBOS):
-                part = slice(c * len(fps), (c + 1) * len(fps))
-                for k, p in enumerate(ps):
-                    key[part] += ((fp[part] >> (56 - 8 * p)) & 255) << (16 - 8 * k)
-            rep = np.tile(np.arange(len(fps)), len(simhash.COMBOS))
-            order = np.lexsort((fp, key))
-            import pyarrow as pa
-
-            batches = [pa.RecordBatch.from_arrays([pa.array(x[order][k : k + 997]) for x in (key, fp, rep)], ["key", "fp", "rep"]) for k in range(0, len(order), 997)]
-            out = [r for b in simhash._lists(iter(batches)) for r in b.to_pylist()]
-            edges = [(r["a"], r["b"]) for r in out if r["a"] is not None]
-            hot = [r for r in out if r["key"] is not None]
-            assert bool(hot) == (block == 16)
-            pairs = [{"x_block": x["block"], "y_block": y["block"], "x_fps": x["fps"], "x_reps": x["reps"], "y_fps": y["fps"], "y_reps": y["reps"]} for x in hot for y in hot if x["key"] == y["key"] and x["block"] <= y["block"]]
-            if pairs:
-                edges += [(r["a"], r["b"]) for b in simhash._blocks(iter([pa.RecordBatch.from_pylist(pairs)])) for r in b.to_pylist()]
-            assert union_find(edges, range(len(fps))) == roots
-    finally:
-        simhash.FEW, simhash.BLOCK, _ = old
-    assert rows.count() == len(fps)
+    sketch = simhash.EXACT
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    key = np.array([(c << 24) + sum((x >> 56 - 8 * p & 255) << 16 - 8 * k for k, p in enumerate(ps)) for c, ps in enumerate(sketch.combos) for x in fps])
+    fp = np.tile(np.array(fps, "u8").view("i8"), len(sketch.combos))
+    rep = np.tile(np.arange(len(fps)), len(sketch.combos))
+    order = np.lexsort((fp, key))
+    cut = lambda k: slice(k, k + 997)
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[order][cut(k)]), pa.array([[x] for x in fp[order][cut(k)].tolist()], pa.list_(pa.int64())), pa.array(rep[order][cut(k)])], ["key", "fp", "rep"]) for k in range(0, len(order), 997)]
+    out = [r for b in simhash._lists(sketch)(iter(batches)) for r in b.to_pylist()]
+    edges = [(r["a"], r["b"]) for r in out if r["a"] is not None]
+    hot = [(r["key"], r["block"], r["fps"], r["reps"]) for r in out if r["key"] is not None]
+    assert bool(hot) == (block == 16)
+    if hot:
+        pairs = simhash._block_pairs(spark.createDataFrame(hot, "key long, block int, fps binary, reps binary")).toArrow()
+        n = Counter(k for k, *_ in hot)
+        assert pairs.num_rows == sum(k * (k + 1) // 2 for k in n.values())
+        edges += [(r["a"], r["b"]) for b in simhash._blocks(sketch)(pairs.to_batches()) for r in b.to_pylist()]
+    assert union_find(edges, range(len(fps))) == roots
+
+
+def test_tally_and_bits():
+    """A pair counts if it shares enough positional bytes and differs in few enough bits, in that order."""
+    rng = np.random.default_rng(4)
+    for sketch in (simhash.EXACT, simhash.SIMILAR):
+        n = 8 * sketch.words
+        x = rng.integers(0, 256, (4000, n)).astype("u1")
+        flips = np.packbits(rng.random((4000, 8 * n)) < rng.uniform(0, 0.3, (4000, 1)), axis=1)
+        y = x ^ flips
+        want = [(a == b).sum() >= sketch.shared and sum((int(p) ^ int(q)).bit_count() for p, q in zip(a, b)) <= sketch.bits for a, b in zip(x, y)]
+        assert simhash._linked(x, y, sketch).tolist() == want and 100 < sum(want) < 3900
+
+
+def test_similar_texts(spark):
+    """The wide sketch finds near copies that 64 bits leave apart, and joins nothing else."""
+    rng = random.Random(11)
+    base = [[rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(300)] for _ in range(60)]
+    rows = []
+    for i, words in enumerate(base):
+        rows.append((2 * i, " ".join(words)))
+        changed = list(words)
+        for k in rng.sample(range(300), 6):
+            changed[k] = f"other{rng.randrange(10**6)}"
+        rows.append((2 * i + 1, " ".join(changed)))
+    df = spark.createDataFrame([*rows, (1000, ""), (1001, None), (1002, "a b")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_texts(df, sketch=simhash.SIMILAR).collect()}
+    assert all(got[2 * i] == 2 * i and got[2 * i + 1] in (2 * i, 2 * i + 1) for i in range(60))
+    assert sum(got[2 * i + 1] == 2 * i for i in range(60)) >= 40  # 0.79 of them by the odds
+    assert (got[1000], got[1001], got[1002]) == (1000, 1000, 1002)
 
 
 def test_lines(docs, corpus, empty, spark):
