@@ -5,7 +5,8 @@ document's words stream through it once, keeping the length of the longest item
 that length reaches the window, the last ``window`` words are marked. Items below the window count when whole.
 
 An automaton is sent to the executors, so its size is bounded: items are dealt to automata of at most ``max_words``
-words, and documents pass each in turn (a window never spans items, so the results add up).
+words, and documents pass each in turn (a window never spans items, so the results add up). Only one automaton is held
+at a time: its pass is written before the next one is built.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, stage_table
+from .common import drop_table, fresh, stage_table
 
 WINDOW = 10
 MAX_WORDS = 400_000  # words in one automaton; about 100 MB in a Python worker
@@ -40,7 +41,6 @@ class Automaton:
         self.window = window
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length = [-1], [0]
-        ends: dict[int, set] = {}
         short: dict[int, list[tuple[int, object]]] = {}
         wholes = []
         for item, words in items:
@@ -49,17 +49,12 @@ class Automaton:
                 last = self._extend(last, w)
             wholes.append((item, words))
         for item, words in wholes:  # states are final now
-            at = 0
-            for w in words:
-                at = self.next[at][w]
-                if len(words) >= window:
-                    ends.setdefault(at, set()).add(item)
             if words and len(words) < window:
+                at = 0
+                for w in words:
+                    at = self.next[at][w]
                 short.setdefault(at, []).append((len(words), item))
         order = sorted(range(1, len(self.link)), key=self.length.__getitem__)
-        for s in reversed(order):  # an item passes through all suffixes of its prefixes
-            if self.link[s] > 0 and s in ends:
-                ends.setdefault(self.link[s], set()).update(ends[s])
         #: For each state the one that stands for its last ``window`` words, and the whole short items that end in it.
         self.at_window, self.short = [0] * len(self.link), [()] * len(self.link)
         for s in order:
@@ -67,7 +62,14 @@ class Automaton:
             if self.length[s] >= window:
                 self.at_window[s] = s if self.length[up] < window else self.at_window[up]
             self.short[s] = (*short.get(s, ()), *self.short[up])
-        self.items = {s: frozenset(ends.get(s, ())) for s in set(self.at_window) if s}
+        found: dict[int, set] = {}
+        for item, words in wholes:  # one entry per window of an item: what items have in common counts once for each
+            at = 0
+            for i, w in enumerate(words, 1):
+                at = self.next[at][w]
+                if i >= window:
+                    found.setdefault(self.at_window[at], set()).add(item)
+        self.items = {s: frozenset(x) for s, x in found.items()}
 
     def _new(self, length: int, link: int, following: dict) -> int:
         self.next.append(following), self.link.append(link), self.length.append(length)
@@ -165,24 +167,33 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     repeat a doc_id, or have none, stay apart. With several automata (``max_words`` exceeded) the rows are written with
     a number each, by which the results of the passes meet.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
-    scan = lambda rows, auto, keys: rows.mapInArrow(_scan(spark.sparkContext.broadcast(auto)), f"{keys}, n_words long, spans array<long>, items array<string>")
     automata = _automata(items, item_col, item_text, window, max_words)
     first, second = next(automata), next(automata, None)
     if second is None:
-        return scan(rows, first, "doc_id long")
+        return rows.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(first)), f"doc_id long, {FOUND_SQL}")
     numbered = stage_table(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "raw"), "rows")
+    found = _passes(numbered, itertools.chain([first, second], automata)).drop("row")
+    drop_table(numbered)
+    return found
+
+
+FOUND_SQL = "n_words long, spans array<long>, items array<string>"
+
+
+def _passes(numbered: DataFrame, automata: Iterable[bytes]) -> DataFrame:
+    """What all automata find in rows of (row, doc_id, raw): row, doc_id, n_words, spans, items."""
     all_ = None
-    for k, auto in enumerate(itertools.chain([first, second], automata)):
-        found = scan(numbered, auto, "row long, doc_id long")
+    for k, auto in enumerate(automata):
+        shared = numbered.sparkSession.sparkContext.broadcast(auto)
+        found = numbered.mapInArrow(_scan(shared), f"row long, doc_id long, {FOUND_SQL}")
         if k:  # the first pass has a result for each row
             found = found.where(F.size("spans") > 0)
         found = stage_table(found, f"hits-{k}")
+        shared.destroy()
         all_ = found if all_ is None else all_.unionByName(found)
-    drop_table(numbered)
     both = all_.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return both.mapInArrow(_merge, "doc_id long, n_words long, spans array<long>, items array<string>")
+    return both.mapInArrow(_merge, f"row long, doc_id long, {FOUND_SQL}")
 
 
 def _merge(batches):
@@ -196,7 +207,8 @@ def _merge(batches):
                 else:
                     runs.append([s, e])
             out.append([x for r in runs for x in r])
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(out, pa.list_(pa.int64())), b.column("items")], ["doc_id", "n_words", "spans", "items"])
+        cols = [b.column("row"), b.column("doc_id"), b.column("n_words"), pa.array(out, pa.list_(pa.int64())), b.column("items")]
+        yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n_words", "spans", "items"])
 
 
 def hit_words(spans):
@@ -212,26 +224,48 @@ def report(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     return hit.select("doc_id", "n_words", n.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (n > 0).alias("contaminated"))
 
 
+def _kept(raw: bytes, words: int, spans: list[tuple[int, int]], max_share: float) -> tuple[bytes, bool]:
+    """The text without the spans of its words, and whether it stays at all."""
+    hit = sum(e - s for s, e in spans)
+    if not hit:
+        return raw, True
+    if not max_share > 0 or hit > max_share * words:
+        return raw, False
+    at, cut, end = [m.span() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", raw)], [], 0
+    for s, e in spans:
+        cut.append(raw[end : at[s][0]])
+        end = at[e - 1][1]
+    return b"".join([*cut, raw[end:]]), True
+
+
+def _cleaned(b: pa.RecordBatch, column: str, spans_of, max_share: float, names: list[str]) -> pa.RecordBatch:
+    texts, keep = [], []
+    for i, raw in enumerate(b.column(column).to_pylist()):
+        text, stays = _kept(raw, *spans_of(i, raw), max_share)
+        texts.append(text), keep.append(stays)
+    cols = [pa.array(texts, pa.binary()).cast(pa.string()) if n == column else b.column(n) for n in names]
+    return pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep, pa.bool_()))
+
+
 def _cleaner(shared, max_share, column):
     def run(batches):
         auto = pickle.loads(shared.value)
-        word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+        def spans_of(_, raw):
+            words = words_of(raw)
+            return len(words), auto.spans(words)[0]
+
         for b in batches:
-            texts, keep = [], []
-            for raw in b.column(column).to_pylist():
-                words = words_of(raw)
-                spans, _ = auto.spans(words)
-                hit = sum(e - s for s, e in spans)
-                keep.append(not hit or (max_share > 0 and hit <= max_share * len(words)))
-                if hit and keep[-1]:
-                    at, cut, end = [m.span() for m in word.finditer(raw)], [], 0
-                    for s, e in spans:
-                        cut.append(raw[end : at[s][0]])
-                        end = at[e - 1][1]
-                    raw = b"".join([*cut, raw[end:]])
-                texts.append(raw)
-            cols = [pa.array(texts, pa.binary()).cast(pa.string()) if n == column else b.column(n) for n in b.schema.names]
-            yield pa.RecordBatch.from_arrays(cols, list(b.schema.names)).filter(pa.array(keep))
+            yield _cleaned(b, column, spans_of, max_share, b.schema.names)
+
+    return run
+
+
+def _cutter(max_share, column, names, found):
+    def run(batches):
+        for b in batches:
+            n, spans = (b.column(c).to_pylist() for c in found)
+            yield _cleaned(b, column, lambda i, _: (n[i], list(zip(spans[i][::2], spans[i][1::2]))), max_share, names)
 
     return run
 
@@ -241,14 +275,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
     A document in which more than ``max_share`` of the words are hit goes; from the others the hit spans are cut, with
     the text around them as it was. 0 drops every document that has a window. Texts without a hit, null ones included,
-    stay as they are. With several automata each works on what the one before has kept.
+    stay as they are. Shares and spans are those of all items in the text as given, whatever the number of automata.
     """
-    out = docs
-    for auto in _automata(items, item_col, item_text, window, max_words):
-        shared = docs.sparkSession.sparkContext.broadcast(auto)
-        raw = out.select(*(F.col(f"`{c}`").cast("binary").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
-        out = raw.mapInArrow(_cleaner(shared, max_share, text_col), docs.schema)
-    return out
+    raw = lambda df: df.select(*(F.col(f"`{c}`").cast("binary").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns))
+    automata = _automata(items, item_col, item_text, window, max_words)
+    first, second = next(automata), next(automata, None)
+    if second is None:
+        return raw(docs).mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(first), max_share, text_col), docs.schema)
+    row, n, spans = (fresh(docs, c) for c in ("_row", "_n_words", "_spans"))
+    numbered = stage_table(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    slim = numbered.select(F.col(row).alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("raw"))
+    found = _passes(slim, itertools.chain([first, second], automata)).select(F.col("row").alias(row), F.col("n_words").alias(n), F.col("spans").alias(spans))
+    return raw(numbered.join(found, row).drop(row)).mapInArrow(_cutter(max_share, text_col, docs.columns, (n, spans)), docs.schema)
 
 
 def items_digest(ids: Iterable) -> str:
