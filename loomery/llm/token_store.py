@@ -5,8 +5,9 @@ A store is three Parquet tables in one folder, so that any Hadoop store holds it
 * ``dictionary``: one row with the zstandard dictionary (trained on serialized id arrays), its SHA-256, the tokenizer's
   name, the end id and the bytes per id.
 * ``packs``: rows of about ``PACK`` bytes. ``payload`` is the concatenation of one frame per document in ascending
-  doc_id order; ``doc_ids``, ``offsets`` (one more than documents), and ``n_tokens`` index it, ``before`` is the number of
-  ids before the pack in its task, ``dict_sha256`` names the dictionary. One document is one slice of one payload.
+  doc_id order; ``doc_ids``, ``offsets`` (one more than documents), and ``n_tokens`` index it, ``first_id`` and ``last_id``
+  tell which packs may hold an id, ``before`` is the number of ids before the pack in its task, ``dict_sha256`` names the
+  dictionary. One document is one slice of one payload.
 * ``bases``: a row per writing task with the number of ids before it.
 """
 
@@ -16,7 +17,6 @@ import functools
 import hashlib
 import os
 import re
-import uuid
 import zlib
 
 import numpy as np
@@ -26,13 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import work_path
 
 END_ID = 2
 PACK = 4 << 20
 DICT_BYTES = 64 << 10
 DICT_DOCS = 1000  # documents that the dictionary is trained on; it only changes sizes
-CACHE = 600_000  # pieces that a worker remembers; about 140 MB
+DICT_TEXT = 32 << 10  # bytes of such a document, at most
+CACHE_BYTES = 140 << 20  # what a worker remembers, about
+LONG = 100  # characters of a piece that is remembered, at most
 LEVEL = 3
 
 
@@ -59,8 +61,8 @@ class Encoder:
     so a text is the sequence of its pieces, each but the first with its space, and a piece is the sequence of its words.
     Pieces and words are remembered; new words are encoded many at a time. Runs of white space with a space in them,
     special tokens and MARK are the exceptions: a text that has one is encoded as a whole. Pieces with white space at an end
-    are not remembered, so that each text with one is searched for such runs. What a process has remembered serves its
-    later tasks too.
+    are not remembered, so that each text with one is searched for such runs, nor are long pieces. What a process has
+    remembered serves its later tasks too, until it takes ``CACHE_BYTES``.
     """
 
     def __init__(self, path: str, width: int):
@@ -77,6 +79,7 @@ class Encoder:
         self.after_space = np.zeros(max(vocabulary.values()) + 1, bool)
         self.after_space[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # how the vocabulary writes a space
         self.newline = vocabulary["\u010a"]
+        self.held = 0  # bytes that spaced and words take, about
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -116,10 +119,9 @@ class Encoder:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         plain = []
-        if len(self.spaced) > CACHE:
-            self.spaced.clear()
-        if len(self.words) > CACHE // 4:
-            self.words.clear()
+        if self.held > CACHE_BYTES:
+            self.spaced.clear(), self.words.clear()
+            self.held = 0
         get, new, odd = self.spaced.get, set(), set()
         for i, t in enumerate(texts):
             if "  " in t or t[:2] == "\n " or MARK in t or any(s in t for s in self.special):
@@ -138,13 +140,18 @@ class Encoder:
         letters = [x for x in new if x.isalpha()]
         other = {x: self.split(x[1:] if x[:1] == MARK else " " + x) for x in new.difference(letters)}
         inside = {w for p in other.values() for w in p}
-        self._learn(letters, [w for w in inside if w not in self.words])
+        fresh = [w for w in inside if w not in self.words]
+        self._learn(letters, fresh)
         known = self.words.__getitem__
         self.spaced.update((x, b"".join(map(known, p))) for x, p in other.items())
         for i, pieces, found, some in plain:
             out[i] = b"".join([get(x) if v is None else v for x, v in zip(pieces, found)] if some else found)
-        for x in odd:
-            del self.spaced[x]
+        for learned, kept, drop in ((new, self.spaced, odd), (fresh, self.words, ())):
+            for x in learned:
+                if len(x) > LONG or x in drop:
+                    del kept[x]
+                else:
+                    self.held += 200 + 2 * len(x) + len(kept[x])
         return out
 
     def encode(self, text: str) -> bytes:
@@ -164,9 +171,9 @@ def id_width(path: str) -> int:
 
 
 def train_dictionary(docs: DataFrame, path: str, width: int, n_docs: int = DICT_DOCS) -> bytes:
-    """A zstandard dictionary from the ids of ``n_docs`` documents, chosen by a hash of their ids, those over 1 MB aside."""
-    few = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs)
-    texts = docs.join(F.broadcast(few.distinct()), "doc_id").where(F.octet_length("text") <= 1 << 20).select("text").limit(2 * n_docs).collect()
+    """A zstandard dictionary from the ids of ``n_docs`` documents of at most DICT_TEXT bytes, chosen by a hash of their ids."""
+    few = docs.where("doc_id is not null").where(F.octet_length("text") <= DICT_TEXT).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs)
+    texts = docs.join(F.broadcast(few.distinct()), "doc_id").where(F.octet_length("text") <= DICT_TEXT).select("text").limit(n_docs).collect()
     samples = Encoder(path, width).encode_all([t[0] or "" for t in texts])
     try:
         return zstandard.train_dictionary(DICT_BYTES, [s for s in samples if s]).as_bytes()
@@ -178,8 +185,8 @@ def _compressor(raw: bytes):
     return {"dict_data": zstandard.ZstdCompressionDict(raw)} if raw else {}
 
 
-PACKS = "part int, seq int, before long, n_ids long, doc_ids array<long>, offsets array<long>, n_tokens array<long>, dict_sha256 string, payload binary"
-PACKS_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("dict_sha256", pa.string()), ("payload", pa.binary())])
+PACKS = "part int, seq int, first_id long, last_id long, before long, n_ids long, doc_ids array<long>, offsets array<long>, n_tokens array<long>, dict_sha256 string, payload binary"
+PACKS_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("dict_sha256", pa.string()), ("payload", pa.binary())])
 
 
 def _packer(path, width, shared, sha):
@@ -202,7 +209,8 @@ def _packer(path, width, shared, sha):
 
         def pack():
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in frames])]).astype("i8")
-            row = [part, seq, before, sum(counts), list(ids), offsets.tolist(), list(counts), sha, b"".join(frames)]
+            known = [i for i in ids if i is not None] or [None]
+            row = [part, seq, known[0], known[-1], before, sum(counts), list(ids), offsets.tolist(), list(counts), sha, b"".join(frames)]
             return pa.RecordBatch.from_pylist([dict(zip(PACKS_ARROW.names, row))], PACKS_ARROW)
 
         for b in batches:
@@ -223,8 +231,8 @@ def _packer(path, width, shared, sha):
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", tasks: int | None = None) -> None:
     """Writes documents to a store at ``path`` (any path that Spark writes), in ascending doc_id order.
 
-    A null text is empty, so its ids are the end id alone. Rows without an id come first; rows that repeat an id follow
-    each other in no set order. An empty table gives a store without packs.
+    A null text is empty, so its ids are the end id alone. Rows without an id come first; rows that repeat an id, or have
+    none, go by a hash of their text, so that many of them are no one task's. An empty table gives a store without packs.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -233,7 +241,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
     sha = hashlib.sha256(raw).hexdigest()
     about = [(bytearray(raw), sha, os.path.basename(tokenizer_path), END_ID, width)]
     spark.createDataFrame(about, "dictionary binary, sha256 string, tokenizer string, end_id int, width int").coalesce(1).write.parquet(f"{path}/dictionary")
-    ordered = rows.repartitionByRange(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id")
+    ordered = rows.withColumn("_tie", F.xxhash64("text")).repartitionByRange(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
     ordered.mapInArrow(_packer(tokenizer_path, width, spark.sparkContext.broadcast(raw), sha), PACKS).write.parquet(f"{path}/packs")
     packs = spark.read.schema(PACKS).parquet(f"{path}/packs")
     sums = {r.part: r.n for r in packs.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}  # a number per task
@@ -278,7 +286,7 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]
     """The ids of every row with this id, without decoding any other document."""
     about = spark.read.parquet(f"{path}/dictionary").first()
     unzip = zstandard.ZstdDecompressor(**_compressor(bytes(about.dictionary)))
-    packs = spark.read.schema(PACKS).parquet(f"{path}/packs").where(F.array_contains("doc_ids", doc_id))
+    packs = spark.read.schema(PACKS).parquet(f"{path}/packs").where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
     at = F.filter(F.transform("doc_ids", lambda x, k: F.when(x == doc_id, k)), lambda k: k.isNotNull())
     frame = lambda k: F.substring("payload", F.element_at("offsets", k + 1).cast("int") + 1, (F.element_at("offsets", k + 2) - F.element_at("offsets", k + 1)).cast("int"))
     rows = packs.select(F.explode(at).alias("k"), "offsets", "payload").select(frame(F.col("k")).alias("f")).collect()
@@ -286,4 +294,4 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]
 
 
 def new_store_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/loomery-{uuid.uuid4().hex}-tokens"
+    return work_path(spark, "tokens")
