@@ -2,11 +2,14 @@
 
 Each source is a queue of its documents in an order shuffled by a hash. A document's virtual finish time is the number
 of its source's words up to and with it, divided by the source's target; a queue that is used up starts again, up to
-``MAX_REPEATS`` times. Serving documents in the order of these times keeps the sources at their weights at any point.
-The targets add up to the total budget, so the budget is used up at virtual time one, where the mix is cut: a document
-belongs to it if at least half of it lies before the cut in its queue.
-
-Running sums go over hash ranges of a source first and then within each, so that no task holds a source as a whole.
+``MAX_REPEATS`` times. Serving documents in the order of these times keeps the sources at their weights at any point. The
+documents of all sources are range-sorted by them, their words added up in that order, and the mix is cut where the
+total budget is used up: the document that would pass it and all after it stay out. The targets add up to the budget,
+so that is near virtual time one. A queue offers nothing that starts after that time, so that no source makes up for
+another's long last document: each is off its target by less than one document.
+
+Running sums go over ranges first and then within each: hash ranges of a source for its queue, and ranges of virtual time,
+which hold about equally many words, for the mix. So no task holds a source, or the mix, as a whole.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import fresh, stage_table
 
 MAX_REPEATS = 3
-RANGES = 4096  # hash ranges of a source
+RANGES = 4096  # hash ranges of a source, and ranges of virtual time
 SEED = 17
 
 
@@ -43,7 +46,24 @@ def _targets(sizes: DataFrame, share: float) -> DataFrame:
     per = per.withColumn("level", (budget - used) / weight_left)  # if all before are full and no other is
     fits = F.col("level") <= F.col("cap") / F.col("weight")
     level = F.min(F.when(fits, F.struct(F.col("cap") / F.col("weight"), "level"))).over(whole)["level"]
-    return per.select("no_source", "src", "source_size", F.least("cap", F.coalesce(level, F.lit(float("inf"))) * F.col("weight")).alias("target"))
+    return per.select("no_source", "src", "source_size", budget.alias("budget"), F.least("cap", F.coalesce(level, F.lit(float("inf"))) * F.col("weight")).alias("target"))
+
+
+def _served(queued: DataFrame) -> DataFrame:
+    """n and repeats: how often each row is in the mix, for rows that are in it.
+
+    A row is offered once per lap of its queue in which it starts before virtual time one.
+    """
+    laps = F.least(F.lit(MAX_REPEATS), F.ceil((F.col("target") - F.col("upto") + F.col("size")) / F.col("source_size"))).cast("int")
+    served = queued.where((F.col("size") > 0) & (F.col("target") > 0)).withColumn("laps", laps).where("laps > 0")
+    served = served.select("n", "h", "doc_id", "size", "budget", "source_size", "target", "upto", F.explode(F.sequence(F.lit(0), F.col("laps") - 1)).alias("lap"))
+    served = served.withColumn("finish", (F.col("upto") + F.col("lap") * F.col("source_size")) / F.col("target"))
+    served = served.withColumn("range", F.least(F.floor(F.col("finish") * RANGES), F.lit(RANGES)))
+    sums = served.groupBy("range").agg(F.sum("size").alias("words"))
+    before = F.sum("words").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # a row per range
+    sums = F.broadcast(sums.select("range", F.coalesce(before, F.lit(0)).alias("before")))
+    own = F.sum("size").over(Window.partitionBy("range").orderBy("finish", "h", "doc_id", "size", "n", "lap").rowsBetween(Window.unboundedPreceding, 0))
+    return served.withColumn("own", own).join(sums, "range").where(F.col("before") + F.col("own") <= F.col("budget")).groupBy("n").agg(F.count("*").alias("repeats"))
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.0, row_col: str | None = None) -> DataFrame:
@@ -51,26 +71,27 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     Sources in code point order, null last, weigh 1, 2, 3, repeating. ``size`` counts words (null: 0); ``finish`` is the
     first virtual finish time (null in a source without words); ``taken`` = size * repeats. A document without words is
-    taken once if its place in the queue is before the cut. Rows that repeat an id keep a row each. Same input, same
-    result. ``share`` is the budget as a share of all words; no rows give no rows. ``row_col`` names a column that numbers the rows; it
-    is given back as ``row``, and rows of one id and size then go by a hash of their text.
+    taken once if its place in the queue is before virtual time one. Rows that repeat an id keep a row each; of rows of one
+    id and size those go first whose text has the smaller hash. Same input, same result. ``share`` is the budget as a share
+    of all words; no rows give no rows. ``row_col`` names a column that numbers the rows; it is given back as ``row``.
     """
     h = F.xxhash64(F.lit(SEED), F.col(id_col).cast("long"))
     src = F.col(source_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), src.isNull().alias("no_source"), F.coalesce(src, F.lit("")).alias("src"), n_words(F.col(text_col)).alias("size"), h.alias("h"), *([] if row_col is None else [F.xxhash64(F.col(text_col)).alias("same"), F.col(row_col).alias("row")]))
-    rows = stage_table(rows, "sizes").withColumn("part", F.shiftrightunsigned("h", 52).cast("int"))
-    ties, row = ([], []) if row_col is None else (["same", "row"], ["row"])
-    parts = rows.groupBy("no_source", "src", "part").agg(F.sum("size").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("no_source", "src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    row = [] if row_col is None else [F.col(row_col).alias("row")]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), src.isNull().alias("no_source"), F.coalesce(src, F.lit("")).alias("src"), n_words(F.col(text_col)).alias("size"), h.alias("h"), F.xxhash64(F.col(text_col)).alias("same"), *row)
+    rows = stage_table(rows.withColumn("n", F.monotonically_increasing_id()), "sizes").withColumn("part", F.shiftrightunsigned("h", 52).cast("int"))
+    parts = rows.groupBy("no_source", "src", "part").agg(F.sum("size").alias("words"))
+    before = F.sum("words").over(Window.partitionBy("no_source", "src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("no_source", "src", "part", F.coalesce(before, F.lit(0)).alias("before"))
     parts = parts.join(_targets(rows, share), ["no_source", "src"])
-    own = Window.partitionBy("no_source", "src", "part").orderBy("h", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("upto", F.sum("size").over(own)).join(parts, ["no_source", "src", "part"]).withColumn("upto", F.col("upto") + F.col("before"))
-    middle = F.col("upto") - F.col("size") / 2
-    rounds = F.floor((F.col("target") - middle) / F.col("source_size")) + 1
-    repeats = F.when(F.col("source_size") > 0, F.least(F.lit(MAX_REPEATS), F.greatest(F.lit(0), rounds))).otherwise(0).cast("long")
+    own = Window.partitionBy("no_source", "src", "part").orderBy("h", "doc_id", "size", "same", "n").rowsBetween(Window.unboundedPreceding, 0)
+    queued = rows.withColumn("upto", F.sum("size").over(own)).join(parts, ["no_source", "src", "part"]).withColumn("upto", F.col("upto") + F.col("before"))
+    queued = stage_table(queued.select("n", "h", "doc_id", "size", "source_size", "target", "budget", "upto", *(["row"] if row else [])), "queues")
+    empty = (F.col("size") == 0) & (F.col("upto") <= F.col("target")) & (F.col("source_size") > 0)
+    repeats = F.coalesce("repeats", empty.cast("long"))
     finish = F.when(F.col("target") > 0, F.col("upto") / F.col("target"))
-    return rows.select("doc_id", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"), finish.alias("finish"), *row)
+    out = queued.join(_served(queued), "n", "left").withColumn("repeats", repeats)
+    return out.select("doc_id", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"), finish.alias("finish"), *(["row"] if row else []))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", share: float = 1.0, **columns) -> DataFrame:
