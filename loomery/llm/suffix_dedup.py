@@ -7,12 +7,14 @@ anchors, about one byte in 190, therefore find every repeat:
 
 1. Runs are reduced to hashes. Anchors that occur once go. Contexts that occur twice are repeated as a whole.
 2. Where an anchor has several different contexts, one copy of each context is fetched and range-partitioned by the
-   leading bytes of the suffix at its anchor (Spark samples the splitters). In a bucket, up to ``PAIRWISE`` suffixes with
-   the same anchor are compared pair by pair; more are sorted by multikey quicksort, as are the reversed texts before it. The common prefixes of neighbours then
+   leading bytes of the suffix at its anchor (Spark samples the splitters). In a bucket, the suffixes with the same anchor
+   and the reversed texts before it are sorted by multikey quicksort. The common prefixes of neighbours then
    tell for each window offset which contexts share the window: they agree on enough bytes on both sides. Equal
    leading bytes never fall on two sides of a splitter, so no neighbour is missed at a boundary.
-3. An anchor with more than ``GROUP`` contexts does not fit one task. Its windows are hashed and counted as rows.
+3. An anchor with more than ``GROUP`` contexts does not fit one task. Its contexts stay where they are, and their windows
+   are hashed and counted as rows.
 
+An anchor or a context with a large share of all rows meets its like in no task: see :func:`_join_counted`.
 Texts travel compressed, and only hashes of runs are shuffled otherwise.
 """
 
@@ -32,7 +34,8 @@ from .common import drop_table, stage_table
 LENGTH = 400
 GRAM = 16
 GROUP = 40_000  # contexts of one anchor that a task resolves
-PAIRWISE = 24
+PAIRWISE = 24  # contexts of one anchor whose common prefixes are taken pair by pair after the sort
+HOT = 1000  # see _join_counted
 BUFFER = 2 << 20  # bytes of text that are hashed at a time
 
 
@@ -131,15 +134,15 @@ def _fetch(length):
                 raw = unzip.decompress(z)
                 for w in want:
                     a = w["lo"] + w["off"]
-                    out.append((raw[a : a + GRAM], w["g"], w["c1"], w["c2"], raw[w["lo"] : a], raw[a : w["lo"] + w["n"] - 1 + length]))
+                    out.append((raw[a : a + GRAM], w["g"], w["c1"], w["c2"], raw[w["lo"] : a], raw[a : w["lo"] + w["n"] - 1 + length], w["wide"]))
                 if len(out) > 20_000:
                     yield pack(out)
                     out = []
             yield pack(out)
 
     def pack(out):
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["lead", "g", "c1", "c2", "before", "after"])
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["lead", "g", "c1", "c2", "before", "after", "wide"])
 
     return run
 
@@ -186,6 +189,39 @@ def _common(a: bytes, b: bytes) -> int:
     return lo
 
 
+def _few_prefixes(strings: list[bytes]) -> tuple[list[int], list[list[int]]]:
+    """For a few strings: the place of each in multikey quicksort order, and the common bytes of the strings at two places.
+
+    The bytes that all have in common need no sorting. Two strings share as many bytes as the neighbours between them.
+    """
+    same = min(_common(strings[0], s) for s in strings) // 8
+    digits = lambda s, d: int.from_bytes(s[8 * d : 8 * d + 8].ljust(8, b"\0"), "big")
+
+    def order(rows, d):
+        if len(rows) < 2:
+            return rows
+        if all(8 * d >= len(strings[i]) for i in rows):
+            return sorted(rows, key=lambda i: len(strings[i]))
+        keys = [digits(strings[i], d) for i in rows]
+        pivot = keys[len(keys) // 2]
+        less, equal, more = ([i for i, k in zip(rows, keys) if k < pivot], [i for i, k in zip(rows, keys) if k == pivot], [i for i, k in zip(rows, keys) if k > pivot])
+        return [*order(less, d), *order(equal, d + 1), *order(more, d)]
+
+    rows = order(list(range(len(strings))), same)
+    place = [0] * len(rows)
+    for x, i in enumerate(rows):
+        place[i] = x
+    near = [_common(strings[a], strings[b]) for a, b in zip(rows, rows[1:])]
+    common = []
+    for x in range(len(rows)):
+        least, line = 1 << 60, [0] * len(rows)
+        for y in range(x + 1, len(rows)):
+            least = min(least, near[y - 1])
+            line[y] = least
+        common.append(line)
+    return place, common
+
+
 def shared_offsets(contexts: list[tuple[bytes, bytes]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """For each context (bytes before its anchor, bytes from it on) the window offsets, as inclusive ranges, that it shares.
 
@@ -193,13 +229,12 @@ def shared_offsets(contexts: list[tuple[bytes, bytes]], length: int = LENGTH) ->
     """
     out: list[list[tuple[int, int]]] = [[] for _ in contexts]
     if len(contexts) <= PAIRWISE:
-        back = [c[0][::-1] for c in contexts]
+        rplace, rcommon = _few_prefixes([after for _, after in contexts])
+        lplace, lcommon = _few_prefixes([before[::-1] for before, _ in contexts])
         for i in range(len(contexts)):
             for j in range(i):
-                right = _common(contexts[i][1], contexts[j][1])
-                if right + min(len(back[i]), len(back[j])) < length:
-                    continue
-                left = _common(back[i], back[j])
+                right = rcommon[min(rplace[i], rplace[j])][max(rplace[i], rplace[j])]
+                left = lcommon[min(lplace[i], lplace[j])][max(lplace[i], lplace[j])]
                 if left + right >= length:
                     for x in (i, j):
                         out[x].append((length - right, left))
@@ -226,44 +261,31 @@ def shared_offsets(contexts: list[tuple[bytes, bytes]], length: int = LENGTH) ->
     return out
 
 
-SHARE_SQL = "g long, c1 long, c2 long, ranges array<int>, w1 long, w2 long, d int"
-SHARE_ARROW = pa.schema([("g", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("ranges", pa.list_(pa.int32())), ("w1", pa.int64()), ("w2", pa.int64()), ("d", pa.int32())])
+SHARE_SQL = "g long, c1 long, c2 long, ranges array<int>"
+SHARE_ARROW = pa.schema([("g", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("ranges", pa.list_(pa.int32()))])
 
 
-def _resolve(length, group):
-    """Sorted contexts to the offsets that they share, or to hashed windows where an anchor has too many."""
+def _resolve(length):
+    """Contexts, sorted by their anchors' bytes, to the offsets that they share."""
 
     def run(batches):
-        lead, rows, wide, out = None, [], False, []
+        lead, rows, out = None, [], []
         for b in batches:
             for r in zip(*(b.column(c).to_pylist() for c in ("lead", "g", "c1", "c2", "before", "after"))):
                 if r[0] != lead:
-                    out += done(rows, wide)
-                    lead, rows, wide = r[0], [], False
+                    out += done(rows)
+                    lead, rows = r[0], []
                 elif rows and rows[-1][2:4] == r[2:4]:
                     continue  # a repeated row's copy
                 rows.append(r)
-                if len(rows) > group:
-                    out, rows, wide = out + windows(rows[:-1]), rows[-1:], True
                 if len(out) > 20_000:
                     yield pack(out)
                     out = []
-        yield pack(out + done(rows, wide))
+        yield pack(out + done(rows))
 
-    def done(rows, wide):
-        if wide:
-            return windows(rows)
+    def done(rows):
         found = shared_offsets([r[4:6] for r in rows], length) if len(rows) > 1 else []
-        return [(r[1], r[2], r[3], [x for p in f for x in p], None, None, None) for r, f in zip(rows, found) if f]
-
-    def windows(rows):
-        out = []
-        for _, g, c1, c2, before, after in rows:
-            raw = before + after
-            for p in range(len(raw) - length + 1):
-                w = np.frombuffer(xxhash.xxh3_128_digest(raw[p : p + length]), "<i8").tolist()
-                out.append((g, c1, c2, None, *w, len(before) - p))
-        return out
+        return [(r[1], r[2], r[3], [x for p in f for x in p]) for r, f in zip(rows, found) if f]
 
     def pack(out):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(SHARE_ARROW.types)], schema=SHARE_ARROW)
@@ -271,39 +293,80 @@ def _resolve(length, group):
     return run
 
 
+WINDOW_SQL = "g long, c1 long, c2 long, w1 long, w2 long, d int"
+
+
+def _windows(length):
+    """Contexts to the hashes of their windows and the windows' offsets, about 20,000 rows at a time."""
+
+    def run(batches):
+        digest = xxhash.xxh3_128_digest
+        for b in batches:
+            part, n = [], 0
+            for r in zip(*(b.column(c).to_pylist() for c in ("g", "c1", "c2", "before", "after"))):
+                raw = r[3] + r[4]
+                w = np.frombuffer(b"".join([digest(raw[p : p + length]) for p in range(len(raw) - length + 1)]), "<i8").reshape(-1, 2)
+                part.append((np.tile(np.array(r[:3], "i8"), (len(w), 1)), w, len(r[3]) - np.arange(len(w), dtype="i4")))
+                n += len(w)
+                if n > 20_000:
+                    yield pack(part)
+                    part, n = [], 0
+            if part:
+                yield pack(part)
+
+    def pack(part):
+        ids, w, d = (np.concatenate([p[k] for p in part]) for k in range(3))
+        cols = [*(np.ascontiguousarray(x[:, k]) for x in (ids, w) for k in range(x.shape[1])), d]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["g", "c1", "c2", "w1", "w2", "d"])
+
+    return run
+
+
+def _join_counted(rows: DataFrame, per: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Joins rows with ``per``, which has a row per key with ``share``, the number of rows that have it.
+
+    Keys that count over one in HOT of ``total`` rows join by broadcast, wherever their rows are: as the shares add up to no
+    more than ``total``, fewer than HOT keys are broadcast. The others are shuffled, so no task gets more than its share.
+    """
+    often = F.broadcast(per.where(F.col("share") > total / HOT))
+    rest = rows.join(often.select(*keys), keys, "left_anti").join(per.where(F.col("share") <= total / HOT), keys)
+    return rows.join(often, keys).unionByName(rest)
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """doc_id, k (hash of the text) and spans (flat byte start, end; they may overlap) of what repeats."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
     rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
     runs = stage_table(rows.mapInArrow(_scan(length), RUN_SQL), "runs")
-    often = runs.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g")
-    some = stage_table(runs.join(often, "g", "left_semi"), "anchors")
-    drop_table(runs)
+    often = stage_table(runs.groupBy("g").agg(F.count("*").alias("share")).where("share > 1"), "often")
+    some = stage_table(_join_counted(runs, often, ["g"], runs.count()).drop("share"), "anchors")
+    drop_table(runs, often)
     ctx = ["g", "c1", "c2"]
     contexts = some.groupBy(*ctx).agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "k", "lo", "n", "off")).alias("one"))
     contexts = stage_table(contexts, "contexts")
-    several = contexts.groupBy("g").agg(F.count("*").alias("v")).where("v > 1").select("g")
-    want = contexts.join(several, "g", "left_semi").select("one.doc_id", "one.k", F.struct(*ctx, "one.lo", "one.n", "one.off").alias("w"))
+    several = stage_table(contexts.groupBy("g").agg(F.count("*").alias("share")).where("share > 1"), "several")
+    want = _join_counted(contexts, several, ["g"], contexts.count())
+    want = want.select("one.doc_id", "one.k", F.struct(*ctx, "one.lo", "one.n", "one.off", (F.col("share") > group).alias("wide")).alias("w"))
     want = want.groupBy("doc_id", "k").agg(F.collect_list("w").alias("want"))
     texts = rows.mapInArrow(_squeeze, "doc_id long, k long, z binary")
     fetched = texts.join(want, ["doc_id", "k"]).select("z", "want")
-    fetched = stage_table(fetched.mapInArrow(_fetch(length), "lead binary, g long, c1 long, c2 long, before binary, after binary"), "suffixes")
+    fetched = stage_table(fetched.mapInArrow(_fetch(length), "lead binary, g long, c1 long, c2 long, before binary, after binary, wide boolean"), "suffixes")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = fetched.repartitionByRange(tasks, "lead").sortWithinPartitions("lead", "c1", "c2")
-    shared = stage_table(buckets.mapInArrow(_resolve(length, group), SHARE_SQL), "shared")
-    drop_table(fetched)
-    ranges = shared.where("ranges is not null").select(*ctx, "ranges")
-    hashed = shared.where("w1 is not null")
+    buckets = fetched.where("not wide").repartitionByRange(tasks, "lead").sortWithinPartitions("lead", "c1", "c2")
+    ranges = stage_table(buckets.mapInArrow(_resolve(length), SHARE_SQL), "shared")
+    hashed = stage_table(fetched.where("wide").dropDuplicates(ctx).mapInArrow(_windows(length), WINDOW_SQL), "windows")
+    drop_table(fetched, several)
     if not hashed.isEmpty():
-        twice = hashed.groupBy("w1", "w2").agg(F.count("*").alias("m")).where("m > 1").select("w1", "w2")
+        twice = hashed.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
         ds = hashed.join(twice, ["w1", "w2"], "left_semi").groupBy(*ctx).agg(F.flatten(F.collect_list(F.array("d", "d"))).alias("ranges"))
         ranges = ranges.unionByName(ds)
-    found = contexts.select(*ctx, "m").join(ranges, ctx, "left").where("m > 1 or ranges is not null").select(*ctx, F.when(F.col("m") == 1, F.col("ranges")).alias("ranges"))
+    found = contexts.select(*ctx, "m").join(ranges, ctx, "left").where("m > 1 or ranges is not null")
+    found = stage_table(found.select(*ctx, F.col("m").alias("share"), F.when(F.col("m") == 1, F.col("ranges")).alias("ranges")), "found")
     at = F.col("lo") + F.col("off")
     whole = F.array(F.col("lo"), F.col("lo") + F.col("n") - 1 + length)
     pairs = F.transform(F.sequence(F.lit(0), (F.size("ranges") / 2 - 1).cast("int")), lambda i: F.array(at - F.get("ranges", 2 * i + 1), at - F.get("ranges", 2 * i) + length))
     spans = F.when(F.col("ranges").isNull(), whole).otherwise(F.flatten(pairs))
-    hit = some.join(found, ctx).select("doc_id", "k", spans.alias("s"))
+    hit = _join_counted(some, found, ctx, some.count()).select("doc_id", "k", spans.alias("s"))
     return hit.groupBy("doc_id", "k").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
