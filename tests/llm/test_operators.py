@@ -220,6 +220,41 @@ def test_short_lines(spark):
     assert got == {1: (0, f"les.\n{cjk}\n\nkept"), 2: (3, "")}
 
 
+@pytest.mark.parametrize("unit", ["paragraph", "sentence"])
+def test_other_units(spark, unit):
+    """Paragraphs and sentences by a plain version: what stays is the text less the spans, and spans hold repeats only."""
+    import re
+
+    rng = random.Random(3)
+    pool = ["One two three four five six.", "Some OTHER words  are here, really!", "what is it that you want?", "A short one.", "it goes on\nover a line and ends."]
+    texts = ["".join(rng.choice(pool) + rng.choice([" ", "\n", "\n\n", "\n \n\n", "  "]) for _ in range(rng.randint(1, 9))) for _ in range(40)]
+    gap, seen = re.compile(line_dedup.UNITS[unit]), set()
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), unit=unit).collect()}
+    for d, t in enumerate(texts):
+        ends = [m.end() for m in gap.finditer(t)]
+        spans = []
+        for s, e in zip([0, *ends], [*ends, len(t)]):
+            norm = " ".join(gap.split(t[s:e])[0].lower().split())
+            if len(norm.split()) >= 5 and norm in seen:
+                spans.append((s, e))
+            seen.add(norm)
+        assert ([tuple(x) for x in got[d].removed], got[d].n_lines) == (spans, len(ends) + 1)
+        rest, at = [], 0
+        for s, e in spans:
+            rest.append(t[at:s])
+            at = e
+        want = "".join([*rest, t[at:]])
+        assert got[d].text == want or want.startswith(got[d].text) and gap.fullmatch(want[len(got[d].text) :])
+
+
+def test_long_text_of_lines(spark):
+    """A text of very many lines is cut in time that grows with its length."""
+    lines = [f"line number {i % 50000} is one of many" for i in range(100_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[:2]))], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert (got[1].n_removed, got[1].n_lines, got[1].text) == (50_000, 100_000, "\n".join(lines[:50_000])) and got[2].text == ""
+
+
 def slow_removal(texts, n):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(b[p : p + n] for b in raw for p in range(len(b) - n + 1))
@@ -334,6 +369,28 @@ def test_decontaminate(docs, spark):
     assert kept[1].text == text.replace("One, two three four five six seven eight nine TEN", "") and kept[1]._text == "x"
 
 
+def test_decontaminate_by_several_automata(spark):
+    """Shares are judged on the text as given, so the number of automata changes nothing; rows stay apart."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(12)) for x in "abc")
+    texts = [f"{a} x x {b} y", f"{a}. {' z' * 30}", f"{b} {c}", "clean", None, f"{c}", f"x {a} {' z' * 30} {c}", ""]
+    df = spark.createDataFrame([(i if i % 2 else None, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, _spans string")
+    items = spark.createDataFrame([(1, a), (2, b), (3, c)], "item_id long, text string")
+    for share in (0.0, 0.45, 0.9, 1.0):
+        one = Counter(map(tuple, decontaminate.decontaminate(df, items, max_share=share).collect()))
+        for most in (30, 12, 1):
+            assert Counter(map(tuple, decontaminate.decontaminate(df, items, max_share=share, max_words=most).collect())) == one
+    assert sum(one.values()) == len(texts) and decontaminate.decontaminate(df.limit(0), items, max_words=12).count() == 0
+
+
+def test_boilerplate_of_many_items():
+    """What items have in common takes room for each item once per window, and every item is found."""
+    same = [f"w{k}".encode() for k in range(40)]
+    auto = decontaminate.Automaton([(str(i), [*same, f"own{i}".encode()]) for i in range(300)])
+    assert sum(map(len, auto.items.values())) <= 300 * 32
+    assert auto.spans(same)[1] == {str(i) for i in range(300)} and auto.spans([*same[32:], b"own7", b"x"])[1] == set()
+    assert auto.spans([*same[30:], b"own7"]) == ([(0, 11)], {str(i) for i in range(300)})
+
+
 def test_token_store(docs, corpus, empty, spark):
     from tokenizers import Tokenizer
 
@@ -386,6 +443,22 @@ def test_encoder_keeps_control_characters():
     assert np.frombuffer(enc.encode(texts[0]), "<u2").tolist() == [64, 220, 189, 65]
 
 
+def test_encoder_on_all_kinds_of_characters(monkeypatch):
+    """Random texts over all control and white-space characters, with what is remembered thrown away now and then."""
+    enc = token_store.Encoder(tokenizer_path(), 2)
+    rng = random.Random(16)
+    spaces = [chr(c) for c in [*range(0x21), *range(0x7F, 0xA1), 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]]
+    solid = ["a", "B", "the", "x1", "7", "'s", "'ll", ".", ",", "!", "_", "$", "\u00e9", "\u65e5\u672c", "\U0001f600", "e\u0301", "<|", "|>"]
+    texts = ["".join(rng.choice(spaces if rng.random() < p else solid) for _ in range(rng.randint(1, 25))) for p in (0.1, 0.3, 0.6) for _ in range(4000)]
+    texts += [" ".join(rng.choice(solid) * rng.randint(1, 3) for _ in range(12)) for _ in range(3000)] + ["\u65e5\u672c\u8a9e" * 4000, "ab" * 9000 + " c" + "d" * 300]
+    want = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for most in (token_store.CACHE_BYTES, 60_000):
+        monkeypatch.setattr(token_store, "CACHE_BYTES", most)
+        for k in range(0, len(texts), 500):
+            assert [np.frombuffer(x, "<u2").tolist() for x in enc.encode_all(texts[k : k + 500])] == want[k : k + 500]
+    assert max(map(len, enc.spaced)) <= token_store.LONG and max(map(len, enc.words)) <= token_store.LONG
+
+
 def test_mix(docs, corpus, empty):
     import re
 
@@ -427,6 +500,34 @@ def test_mix(docs, corpus, empty):
     assert mixing.plan_mix(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("share", [1.0, 0.4])
+def test_mix_is_the_head_of_one_queue(docs, corpus, share):
+    """The plan against one sorted list of virtual finish times, cut at the budget, and against the closed form."""
+    got = mixing.plan_mix(docs, share=share).collect()
+    source = {d: s for d, _, _, s, _ in corpus}
+    hashed = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.lit(mixing.SEED), "doc_id").alias("h")).collect()}
+    queue, served, about = {}, [], {}
+    for r in sorted(got, key=lambda r: (hashed[r.doc_id] % 2**64, r.doc_id is not None, r.doc_id or 0, r["size"])):
+        s = source[r.doc_id]
+        queue[s] = queue.get(s, 0) + r["size"]
+        about[s] = r.source_size, r.target
+        if r["size"]:
+            ends = [queue[s] + lap * r.source_size for lap in range(3)]
+            served += [(end / r.target, hashed[r.doc_id], r.doc_id or 0, r["size"], s) for end in ends if end - r["size"] < r.target]
+    budget, total, taken = sum(r["size"] for r in got) * share, 0, Counter()
+    for _, _, d, size, s in sorted(served):
+        total += size
+        if total > budget:
+            break
+        taken[s] += size
+    have = Counter()
+    for r in got:
+        have[source[r.doc_id]] += r.taken
+    assert +have == +taken and sum(have.values()) <= budget
+    largest = {s: max(r["size"] for r in got if source[r.doc_id] == s) for s in about}
+    assert all(abs(have[s] - about[s][1]) <= largest[s] for s in about)
+
+
 def test_mix_takes_rows_by_their_own_plan(spark):
     """Rows without an id, or with one id, do not take over each other's repeats."""
     rows = [(None if i % 2 else 7, f"{i} " + "w " * 9, "a" if i < 30 else "b") for i in range(40)]
@@ -509,6 +610,166 @@ def test_classifiers(spark, module, label, report):
     assert module.score(odd.limit(0), module.train(docs, labels)).count() == 0
 
 
+def slow_passages(raw):
+    """Dense features and distinct n-grams of each passage, by plain loops."""
+    words = (raw or b"").split()
+    out = []
+    for k in range(0, max(1, len(words)), quality.PASSAGE):
+        w = words[k : k + quality.PASSAGE]
+        span = b""
+        if w:  # the text from the first word of the passage to its last
+            at, end = 0, 0
+            for i, x in enumerate(words[: k + len(w)]):
+                at = raw.index(x, end)
+                end = at + len(x)
+                if i == k:
+                    begin = at
+            span = raw[begin:end]
+        kinds = [sum(quality.CLASS[c] == j for c in span) / max(1, len(span)) for j in range(len(quality._CLASSES))]
+        n = max(1, len(w))
+        stats = [len(w) / quality.PASSAGE, len(set(w)) / n, sum(a == b for a, b in zip(w, w[1:])) / n, sum(x.isupper() and not any(c >= 128 for c in x) or x.upper() == x and any(65 <= c <= 90 for c in x) for x in w) / n, sum(x.isalpha() for x in w) / n, np.log1p((len(span) + 1) / n)]
+        out.append((kinds + stats, [(x, x[:3], x[-3:]) for x in w]))
+    return out
+
+
+def test_passages(corpus):
+    texts = [None if t is None else t.encode() for _, t, *_ in corpus] + [b"", b" \n", b"AB ab Ab 9! ab ab", b"a", "\u00c4B \u00e4b".encode()]
+    got = quality.passage_features(texts)
+    want = [slow_passages(t) for t in texts]
+    assert got.counts.tolist() == [len(w) for w in want]
+    assert np.allclose(got.x, [x for w in want for x, _ in w]) and got.words.tolist() == [len(g) for w in want for _, g in w]
+    known = {}
+    for row, grams in zip(got.grams.tolist(), (g for w in want for _, own in w for g in own)):
+        for kind, (bucket, gram) in enumerate(zip(row, grams)):
+            assert known.setdefault((kind, gram), bucket) == bucket < quality.BUCKETS
+    assert len({b for (k, _), b in known.items() if k == 0}) > 0.8 * sum(k == 0 for k, _ in known)
+
+
+def test_long_texts_are_scored_whole(monkeypatch):
+    """A long text is read in pieces; no word is lost."""
+    rng = random.Random(1)
+    raw = prose(rng, 5000).encode()
+    monkeypatch.setattr(quality, "PIECE", 1 << 10)
+    pieces = quality._pieces(raw)
+    assert b"".join(pieces) == raw and [w for p in pieces for w in p.split()] == raw.split() and max(map(len, pieces)) < 1200
+    assert quality.passage_features([raw, b"x"]).words.sum() == 5001
+    assert b"".join(quality._pieces(b"x" * 5000)) == b"x" * 5000
+
+
+def test_attention_by_plain_loops():
+    """The forward pass by loops over documents and passages, and its gradient by finite differences."""
+    import math
+
+    rng = np.random.default_rng(2)
+    bags = [quality.passage_features([prose(random.Random(k), 30 + 40 * k).encode()]) for k in range(5)] + [quality.passage_features([b""])]
+    y, w = np.array([0.0, 1, 1, 0, 1, 0]), rng.uniform(0.5, 1, 6)
+    model = quality.Attention.fit(bags, y, w, steps=3)
+    b, p = quality.Passages.join(bags), model.p
+    got, attention = model.score(b)
+    at = word = 0
+    for k, n in enumerate(b.counts):
+        codes, gates = [], []
+        for i in range(at, at + n):
+            own = b.grams[word : word + b.words[i]]
+            word += b.words[i]
+            mean = [sum(p["E"][g, d] for row in own for g in row) / max(1, own.size) for d in range(quality.DIM)]
+            x = [*((b.x[i] - model.mean) / model.sd), *mean]
+            h = [math.tanh(sum(x[q] * p["W"][q, c] for q in range(len(x))) + p["b"][c]) for c in range(quality.CODE)]
+            gate = [math.tanh(sum(h[c] * p["V"][c, g] for c in range(len(h)))) / (1 + math.exp(-sum(h[c] * p["U"][c, g] for c in range(len(h))))) for g in range(quality.GATE)]
+            codes.append(h), gates.append(sum(g * v for g, v in zip(gate, p["w"])))
+        share = [math.exp(g) / sum(map(math.exp, gates)) for g in gates]
+        z = sum(sum(s * h[c] for s, h in zip(share, codes)) * p["o"][c] for c in range(quality.CODE)) + p["c"][0]
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-4) and attention[at : at + n] == pytest.approx(share, rel=1e-4)
+        at += n
+
+    def loss():
+        s = model.score(b)[0]
+        return -(w * (y * np.log(s) + (1 - y) * np.log(1 - s))).sum()
+
+    for name, grad in model.gradient(b, y, w).items():
+        flat = p[name].reshape(-1)
+        some = b.grams[:5].ravel().astype(int) * quality.DIM + 3 if name == "E" else rng.choice(flat.size, min(12, flat.size), replace=False)
+        step = 0.02 if name == "E" else 1e-3
+        for i in some:
+            old = flat[i]
+            flat[i] = old + step
+            up = loss()
+            flat[i] = old - step
+            down = loss()
+            flat[i] = old
+            assert grad.reshape(-1)[i] == pytest.approx((up - down) / (2 * step), rel=0.05, abs=3e-5), name
+
+
+def test_training_rows(spark):
+    """Labels are drawn among those that have a document; weights restore the classes; an id counts once."""
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(1000)] + [(3, 1), (None, 1), (4, None)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(900, 960)] + [(905, "other"), (None, "none"), (5000, "unlabelled")], "doc_id long, text string")
+    rows = quality.training_rows(docs, labels, "quality", lambda c: c % 2 == 1, 4).collect()
+    assert all(900 <= r.doc_id < 960 and r.doc_id % 2 == 1 and r.y == int(r.doc_id % 5 == 0) for r in rows)
+    assert Counter(r.y for r in rows) == {0: 4, 1: 4} and len({r.doc_id for r in rows}) == 8
+    assert {r.y: r.weight for r in rows} == {0: 24 / 4, 1: 6 / 4}
+    assert quality.training_rows(docs, labels.limit(0), "quality", lambda c: F.lit(True), 4).count() == 0
+
+
+def test_lexicon_by_counting(spark):
+    """The lexicons by plain counts over the texts of each part."""
+    rng = random.Random(5)
+    insults = ["idiocy", "moronic", "worthless", "scummy"]
+    rows = []
+    for i in range(240):
+        y = int(i % 4 == 0)
+        words = [rng.choice(WORDS) + str(rng.randrange(9)) for _ in range(30)] + ([rng.choice(insults), "m0ronic"] if y and i % 3 else [])
+        rng.shuffle(words)
+        rows.append((i % toxicity.PARTS, y, " ".join(words).encode()))
+    got = toxicity.learn_lexicons(spark.createDataFrame(rows, "part int, y int, t binary"))
+    for k in range(toxicity.PARTS + 1):
+        own = [(y, toxicity.terms_of(t.decode())) for p, y, t in rows if p != k]
+        total = Counter(y for y, _ in own)
+        for kind, name in enumerate(("words", "starts")):
+            seen = {y: Counter(w for label, terms in own if label == y for w in terms[kind]) for y in (0, 1)}
+            ratio = {w: n / total[1] / ((seen[0][w] + 0.5) / total[0]) for w, n in seen[1].items() if n >= toxicity.LEAST_DOCS}
+            want = {w: np.log(r * (1 - seen[1][w] ** -0.5)) for w, r in ratio.items() if r >= toxicity.LEAST_RATIO * (1 + kind)}
+            assert got[k][name] == pytest.approx(want) and (name == "starts" or b"moronic" in want)
+
+
+def test_tree_by_exhaustive_search():
+    """Every node of a tree splits where the gain is largest, found by trying all features and bins."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 12, (160, 3)).astype("f8")
+    y = (x[:, 0] + 2 * x[:, 1] > 14).astype("f8")
+    model = toxicity.Trees().fit(x, y, np.ones(160), np.arange(160) % 2)
+    b, g, h = model._bin(x), 0.5 - y, np.full(160, 0.25)
+    feature, cut, value = model._grow(b, g, h)
+    nodes = {0: np.arange(160)}
+    score = lambda r: g[r].sum() ** 2 / (h[r].sum() + toxicity.L2)
+    for k in range(2 ** (toxicity.DEPTH + 1) - 1):
+        rows = nodes[k]
+        assert value[k] == pytest.approx(-toxicity.RATE * g[rows].sum() / (h[rows].sum() + toxicity.L2))
+        if k >= len(feature):
+            continue
+        gains = [(score(rows[b[rows, f] <= c]) + score(rows[b[rows, f] > c]) - score(rows), f, c) for f in range(3) for c in range(12) if min((b[rows, f] <= c).sum(), (b[rows, f] > c).sum()) >= toxicity.MIN_LEAF]
+        best = max((x for x, *_ in gains), default=0)
+        right = b[rows, feature[k]] > cut[k]
+        if best > 1e-6:
+            assert score(rows[~right]) + score(rows[right]) - score(rows) == pytest.approx(best)
+        else:
+            assert not right.any()
+        nodes[2 * k + 1], nodes[2 * k + 2] = rows[~right], rows[right]
+    assert (model._leaf((feature, cut, value), b) == [next(value[k] for k, r in nodes.items() if k >= len(feature) and i in r) for i in range(160)]).all()
+
+
+def test_isotonic_by_min_max():
+    """Pool adjacent violators against the min-max formula of isotonic regression."""
+    rng = np.random.default_rng(7)
+    margin, y, weight = rng.integers(0, 15, 60).astype("f8"), rng.integers(0, 2, 60).astype("f8"), rng.uniform(0.5, 2, 60)
+    model = toxicity.Trees()
+    model._isotonic(margin, y, weight)
+    values = np.unique(margin)
+    mean = lambda a, b: np.average(y[(margin >= a) & (margin <= b)], weights=weight[(margin >= a) & (margin <= b)])
+    want = [max(min(mean(a, b) for b in values if b >= v) for a in values if a <= v) for v in values]
+    assert model.values[np.searchsorted(model.steps, values)] == pytest.approx(want)
+
+
 def test_trees_and_isotonic():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 4))
