@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,25 +19,52 @@ def sides(spark, b):
     return tuple(run(spark, a=b.xmin, b=b.ymin, c=b.xmax, d=b.ymax))
 
 
-def test_intersect(spark):
-    assert sides(spark, box(5, 5, 60, 60).intersect(box(50, 40, 80, 70))) == (50, 40, 60, 60)
-    assert sides(spark, box(0, 0, 0.6, 0.6, pixel=False).intersect(box(0.5, 0.5, 1, 1, pixel=False))) == (0.5, 0.5, 0.6, 0.6)
-    assert sides(spark, box(0, 0, 0.1, 0.1, pixel=False).intersect(box(0.2, 0.2, 0.3, 0.3, pixel=False))) == (0, 0, 0, 0)
-    assert sides(spark, box(0, 0, 1, 1).intersect(box(5, 5, 6, 6))) == (0, 0, -1, -1)
+def cells(b):
+    """A whole-numbered pixel box as the set of its pixels."""
+    return {(x, y) for x in range(b[0], b[2] + 1) for y in range(b[1], b[3] + 1)}
 
 
-def test_overlaps(spark):
-    a, b = box(0, 0, 60, 60), box(50, 50, 100, 100)
-    n = lambda *v: box(*v, pixel=False)
-    got = run(spark, j=a.jaccard(b), same=box(0, 0, 0, 0).jaccard(box(0, 0, 0, 0)), empty=box(0, 0, -1, -1).jaccard(box(0, 0, -1, -1)), q=n(0, 0, 0.1, 0.1).jaccard(n(0, 0, 0.05, 0.05)), half=n(0, 0, 1, 1).coverage(n(0, 0, 0.5, 1)), all=n(0, 0, 0.5, 1).coverage(n(0, 0, 1, 1)), c=box(50, 50, 99, 99).coverage(box(0, 0, 59, 59)))
-    assert got.j == pytest.approx(121 / (61**2 + 51**2 - 121)) and got.same == 1 and got.empty == 0
-    assert (got.q, got.half, got.all, got.c) == pytest.approx((0.25, 0.5, 1, 0.01 / 0.25))
+def test_overlaps_by_pixels(spark):
+    """Intersection, overlap and coverage of pixel boxes by counting pixels."""
+    rng = random.Random(3)
 
+    def draw():
+        x, y = rng.randint(0, 12), rng.randint(0, 12)
+        return x, y, x + rng.randint(0, 8), y + rng.randint(0, 8)
 
-def test_flip_and_rescale(spark):
-    crop = {k: F.lit(float(v)) for k, v in {"x": 0, "y": 0, "width": 100, "height": 100}.items()}
-    keep, b = B.transform_box(box(20, 40, 29, 49), crop, F.lit(True), F.lit(300.0), F.lit(300.0))
-    assert run(spark, ok=keep).ok and sides(spark, b) == (210, 120, 239, 149)
+    for _ in range(12):
+        p, q = draw(), draw()
+        a, b = box(*p), box(*q)
+        i, shared = a.intersect(b), len(cells(p) & cells(q))
+        got = run(spark, a=i.xmin, b=i.ymin, c=i.xmax, d=i.ymax, j=a.jaccard(b), s=a.coverage(b), n=a.size)
+        own = cells(p) & cells(q)
+        want = (min(x for x, _ in own), min(y for _, y in own), max(x for x, _ in own), max(y for _, y in own)) if own else (0, 0, -1, -1)
+        assert (got.a, got.b, got.c, got.d) == want and got.n == len(cells(p))
+        assert (got.j, got.s) == pytest.approx((shared / len(cells(p) | cells(q)), shared / len(cells(p))))
+
+
+def test_normal_boxes(spark):
+    n = lambda *v: box(*v, pixel=False)
+    assert sides(spark, n(0.125, 0.25, 0.75, 0.875).intersect(n(0.5, 0, 1, 0.5))) == (0.5, 0.25, 0.75, 0.5)
+    assert sides(spark, n(0, 0, 0.25, 0.25).intersect(n(0.5, 0.5, 1, 1))) == (0, 0, 0, 0)
+    got = run(spark, j=n(0, 0, 0.5, 0.5).jaccard(n(0.25, 0, 0.75, 0.5)), c=n(0, 0, 0.5, 0.5).coverage(n(0.25, 0, 0.75, 0.5)), e=box(3, 3, 2, 2).jaccard(box(3, 3, 2, 2)))
+    assert (got.j, got.c, got.e) == pytest.approx((1 / 3, 1 / 2, 0))
+
+
+@pytest.mark.parametrize("flip", [False, True])
+def test_crop_flip_and_rescale(spark, flip):
+    """A box follows the pixels of its image through a crop, a flip and a whole-numbered enlargement."""
+    image = np.zeros((40, 50), int)
+    image[11:19, 7:23] = 1
+    x, y, w, h, k = 10, 5, 30, 20, 3
+    out = image[y : y + h, x : x + w]
+    out = np.kron(out[:, ::-1] if flip else out, np.ones((k, k), int))
+    at = np.argwhere(out)
+    crop = {n: F.lit(float(v)) for n, v in {"x": x, "y": y, "width": w, "height": h}.items()}
+    keep, b = B.transform_box(box(7, 11, 22, 18), crop, F.lit(flip), F.lit(float(k * w)), F.lit(float(k * h)))
+    assert run(spark, ok=keep).ok and sides(spark, b) == (at[:, 1].min(), at[:, 0].min(), at[:, 1].max(), at[:, 0].max())
+    keep, _ = B.transform_box(box(41, 0, 45, 4), crop, F.lit(flip), F.lit(90.0), F.lit(60.0))
+    assert not run(spark, ok=keep).ok
 
 
 def test_expand_and_normalize(spark):
@@ -46,14 +76,14 @@ def test_expand_and_normalize(spark):
     assert run(spark, ok=n.is_normal()).ok and not run(spark, ok=box(0, 0, 60, 10).normalize(50, 50).is_normal()).ok
 
 
-@pytest.mark.parametrize("out,want", [((200, 100), (100, 50)), ((50, 25), (100, 50)), ((200, 50), (100, 25)), ((50, 100), (25, 50)), ((10, 10), (50, 50))])
-def test_cropbox_max_proportional(spark, out, want):
-    w, h = B.cropbox_max_proportional(F.lit(100.0), F.lit(50.0), F.lit(float(out[0])), F.lit(float(out[1])))
-    assert tuple(run(spark, w=w, h=h)) == want
-
-
-def test_calculate_scale(spark):
-    assert run(spark, s=B.calculate_scale(F.lit(500.0), F.lit(375.0), F.lit(800.0), F.lit(800.0))).s == pytest.approx(1.6)
+@pytest.mark.parametrize("size,out", [((90, 60), (30, 30)), ((64, 200), (16, 10)), ((35, 35), (7, 1)), ((120, 45), (8, 3))])
+def test_largest_crop_and_scale(spark, size, out):
+    """The crop has the output's proportions and touches a side; the scale is the largest at which the input fits."""
+    w, h = B.cropbox_max_proportional(*(F.lit(float(v)) for v in (*size, *out)))
+    got = run(spark, w=w, h=h, s=B.calculate_scale(*(F.lit(float(v)) for v in (*size, *out))))
+    assert got.w * out[1] == pytest.approx(got.h * out[0]) and got.w <= size[0] + 1e-9 and got.h <= size[1] + 1e-9
+    assert got.w == pytest.approx(size[0]) or got.h == pytest.approx(size[1])
+    assert max(size[0] * got.s / out[0], size[1] * got.s / out[1]) == pytest.approx(1)
 
 
 def test_geometry_and_rect(spark):
