@@ -19,9 +19,7 @@ RANGES = 1024
 
 def _running(df: DataFrame, key: str, ties: list[str], value: Column | None, out: str, ranges: int) -> DataFrame:
     """Adds the sum of ``value`` (null: a count) over all rows before each row in the order of ``key`` and ``ties``."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    width = max((float(high) - float(low)) / ranges, 1e-9) if low is not None else 1.0
-    df = df.withColumn("_range", F.coalesce(F.floor((F.col(key).cast("double") - F.lit(float(low or 0))) / width), F.lit(-1)))
+    df = df.withColumn("_range", F.coalesce(_range_of(df, key, ranges), F.lit(-1)))
     v = F.lit(1) if value is None else value
     sums = df.groupBy("_range").agg(F.sum(v).alias("_sum"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
@@ -31,6 +29,26 @@ def _running(df: DataFrame, key: str, ties: list[str], value: Column | None, out
     return df.join(F.broadcast(base), "_range").withColumn(out, (F.col("_base") + F.col("_own")).cast("long")).drop("_range", "_own", "_base")
 
 
+PIECES = 32  # between which quantiles of a key ranges are of equal width
+
+
+def _range_of(df: DataFrame, key: str, ranges: int) -> Column:
+    """A number that rises with the key: ranges of equal width within pieces that hold about equally many rows."""
+    cuts = sorted(set(df.approxQuantile(key, [k / PIECES for k in range(PIECES + 1)], 0.25 / PIECES)))
+    x, each = F.col(key).cast("double"), max(1, ranges // PIECES)
+    out = F.lit(0).cast("long") if len(cuts) < 2 else None
+    for k in reversed(range(len(cuts) - 1)):
+        within = F.floor((x - cuts[k]) / ((cuts[k + 1] - cuts[k]) / each))
+        here = F.least(F.greatest(within, F.lit(0)), F.lit(each - 1)) + k * each
+        out = here if out is None else F.when(x < cuts[k + 1], here).otherwise(out)
+    return F.when(x.isNotNull(), out)
+
+
+def move_to(df: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """The first ``count`` rows, and the rest, numbered from 0 again."""
+    return df.where(F.col("row_idx") < count), df.where(F.col("row_idx") >= count).withColumn("row_idx", F.col("row_idx") - count)
+
+
 def with_row_index(df: DataFrame, key: str, ties: tuple[str, ...] = (), out: str = "row_idx", ranges: int = RANGES) -> DataFrame:
     """Adds the position of each row in the order of a numeric ``key`` and ``ties``, from 0."""
     return _running(df, key, list(ties), None, out, ranges)

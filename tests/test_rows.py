@@ -107,3 +107,18 @@ def test_transpose(spark):
     got = {r.position: r["values"] for r in rows.transpose(df, "b", "s", "v").collect()}
     assert got == {i: [s * 10.0 + i for s in range(4)] for i in range(3)}
     assert math.isclose(sum(map(sum, got.values())), 192)
+
+
+def test_row_index_with_an_outlier(spark):
+    """Ranges follow the rows, so a key far away does not put all others into one."""
+    df = spark.createDataFrame([(float(x), x) for x in range(2000)] + [(1e15, 2000)], "k double, id long")
+    got = rows.with_row_index(df, "k", ("id",), ranges=64)
+    assert [r.row_idx for r in got.orderBy("id").collect()] == list(range(2001))
+    per = df.withColumn("r", rows._range_of(df, "k", 64)).groupBy("r").count().collect()
+    assert len(per) > 30 and max(r["count"] for r in per) < 400
+
+
+def test_move_to(events):
+    head, rest = rows.move_to(events, 3)
+    assert sorted(r.row_idx for r in head.collect()) == [0, 1, 2] and sorted(r.row_idx for r in rest.collect()) == list(range(1000))
+    assert rest.where("row_idx = 0").first().v == 6 and rows.move_to(events, 5000)[1].count() == 0
