@@ -6,16 +6,23 @@ bytes, for use over ``binaryFile`` rows.
 
 from __future__ import annotations
 
+import glob
 import io
+import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from .jpeg import jpeg_size, read_jpeg
+
 # --- block archives: fixed values of the format -------------------------------------------------------------------
 MAGIC, LEAD, HEAD_NAME, TAIL_NAME, END_NAME = 0o070707, b"MACR", "cpiohdr", "cpiotlr", "TRAILER!!!"
 ENTRY = struct.Struct("<13H")  # magic dev ino mode uid gid nlink rdev mtime(2) namesize filesize(2), sizes high first
@@ -55,18 +62,27 @@ def read_entries(stream: io.BufferedIOBase) -> Iterator[tuple[str, bytes]]:
         yield name, data
 
 
-def read_archive(data: bytes) -> list[list[bytes]]:
-    entries = read_entries(io.BytesIO(data))
+def read_records(stream: io.BufferedIOBase) -> Iterator[list[bytes]]:
+    """The records of an archive one by one; a record's elements follow each other."""
+    entries = read_entries(stream)
     name, head = next(entries, ("", b""))
-    if name != HEAD_NAME or len(head) != FILE_HEAD.size:
-        raise ValueError(f"unexpected header size. expected {FILE_HEAD.size} found {len(head)}")
-    if FILE_HEAD.unpack(head)[0] != LEAD:
-        raise ValueError("unrecognized format")
-    records: dict[str, list[bytes]] = {}
+    if name != HEAD_NAME or len(head) != FILE_HEAD.size or FILE_HEAD.unpack(head)[0] != LEAD:
+        raise ValueError("the archive does not begin with a block header")
+    record, elements = None, []
     for name, data in entries:
-        if name.startswith("rec_"):
-            records.setdefault(name.rsplit(".", 1)[0], []).append(data)
-    return list(records.values())
+        if not name.startswith("rec_"):
+            continue
+        if name.rsplit(".", 1)[0] != record:
+            if elements:
+                yield elements
+            record, elements = name.rsplit(".", 1)[0], []
+        elements.append(data)
+    if elements:
+        yield elements
+
+
+def read_archive(data: bytes) -> list[list[bytes]]:
+    return list(read_records(io.BytesIO(data)))
 
 
 class _Part(InputPartition):
@@ -79,9 +95,6 @@ class _ArchiveReader(DataSourceReader):
         self.path = path
 
     def partitions(self):
-        import glob
-        import os
-
         found = sorted(glob.glob(os.path.join(self.path, "*.cpio"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
         if not found:
             raise FileNotFoundError(f"no archive at {self.path}")
@@ -89,27 +102,42 @@ class _ArchiveReader(DataSourceReader):
 
     def read(self, partition):
         with open(partition.path, "rb") as f:
-            for r, elements in enumerate(read_archive(f.read())):
+            for r, elements in enumerate(read_records(f)):
                 yield partition.path, r, elements
 
 
-class _ArchiveWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
+@dataclass
+class _Written(WriterCommitMessage):
+    name: str | None
 
-    def write(self, rows):
-        import os
 
-        from pyspark import TaskContext
+class _ArchiveWriter(DataSourceWriter):
+    """Tasks write hidden files; only a finished job renames them, and an overwriting one drops what was there."""
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex[:12]
 
+    def write(self, rows):
         records = [[bytes(x) for x in row.elements] for row in rows]
-        if records:
-            os.makedirs(self.path, exist_ok=True)
-            name = os.path.join(self.path, f"block_{TaskContext.get().partitionId()}.cpio")
-            with open(name + ".part", "wb") as f:
-                f.write(write_archive(records))
-            os.replace(name + ".part", name)
-        return WriterCommitMessage()
+        if not records:
+            return _Written(None)
+        os.makedirs(self.path, exist_ok=True)
+        name = f"block_{self.job}_{TaskContext.get().partitionId():05d}_{uuid.uuid4().hex[:8]}.cpio"
+        with open(os.path.join(self.path, f".{name}"), "wb") as f:
+            f.write(write_archive(records))
+        return _Written(name)
+
+    def commit(self, messages):
+        old = glob.glob(os.path.join(self.path, "*.cpio")) if self.overwrite else []
+        for m in filter(None, messages):
+            if m.name:
+                os.replace(os.path.join(self.path, f".{m.name}"), os.path.join(self.path, m.name))
+        for path in old:
+            os.remove(path)
+
+    def abort(self, messages):
+        for path in glob.glob(os.path.join(self.path, f".block_{self.job}_*.cpio")):
+            os.remove(path)
 
 
 class BlockArchive(DataSource):
@@ -126,7 +154,7 @@ class BlockArchive(DataSource):
         return _ArchiveReader(self.options["path"])
 
     def writer(self, schema, overwrite):
-        return _ArchiveWriter(self.options["path"])
+        return _ArchiveWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -268,25 +296,50 @@ def read_png(data: bytes) -> np.ndarray:
     return img[..., ::-1] if img.shape[2] == 3 else img[..., 2::-1] if colour == 6 else img[..., :1]
 
 
-def decode_image(data: bytes | None, channels: int = 3) -> np.ndarray:
-    """An encoded image as 8-bit grey or blue-green-red. PNG and raw images are read here.
+#: What users of such loaders match on; a fixed text.
+BROKEN_IMAGE = "Decoding image failed due to invalid data in the image file."
+
+
+def _decode_any(data: bytes) -> np.ndarray:
+    if data[:8] == _PNG:
+        return read_png(data)
+    if data[:2] != b"\xff\xd8":
+        return read_raw_image(data)
+    try:
+        import cv2
+
+        return cv2.imdecode(np.frombuffer(data, "u1"), cv2.IMREAD_COLOR)
+    except ImportError:
+        return read_jpeg(data)
 
-    Other formats, JPEG among them, need Spark's ``image`` source over files (:func:`image_files`).
-    """
-    if not data:
-        raise ValueError("Decoding image failed due to invalid data in the image file.")
+
+def decode_image(data: bytes | None, channels: int = 3) -> np.ndarray:
+    """An encoded image (PNG, JPEG, raw) as 8-bit grey or blue-green-red."""
     try:
-        img = read_png(data) if data[:8] == _PNG else read_raw_image(data)
+        img = _decode_any(bytes(data or b""))
     except Exception as e:
-        raise ValueError("Decoding image failed due to invalid data in the image file.") from e
+        raise ValueError(BROKEN_IMAGE) from e
     if channels == 1 and img.shape[2] == 3:
         b, g, r = np.moveaxis(img.astype("f8"), 2, 0)
         img = np.rint(0.114 * b + 0.587 * g + 0.299 * r).astype("u1")[..., None]
     return np.repeat(img, 3, 2) if channels == 3 and img.shape[2] == 1 else img
 
 
+def image_size(data: bytes | None) -> tuple[int, int]:
+    """Width and height from an encoded image's header, without its pixels."""
+    try:
+        if data[:8] == _PNG:
+            return struct.unpack(">II", data[16:24])
+        if data[:2] == b"\xff\xd8":
+            return jpeg_size(bytes(data))
+        head = dict(line.split(b":", 1) for line in bytes(data).partition(b"\n\n")[0].split(b"\n"))
+        return int(head[b"width"]), int(head[b"height"])
+    except Exception as e:
+        raise ValueError(BROKEN_IMAGE) from e
+
+
 def image_files(spark: SparkSession, path: str):
     """Image files decoded by Spark: path, height, width, channels, data (blue-green-red); broken ones have ``_error``."""
     rows = spark.read.format("image").load(path).select("image.*")
-    bad = F.when(F.col("height") <= 0, F.lit("Decoding image failed due to invalid data in the image file."))
+    bad = F.when(F.col("height") <= 0, F.lit(BROKEN_IMAGE))
     return rows.select(F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("channels"), "data", bad.alias("_error"))

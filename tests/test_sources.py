@@ -84,6 +84,58 @@ def test_spark_reads_our_png(spark, tmp_path):
     assert (np.frombuffer(bytes(got["a"].data), "u1").reshape(12, 10, 3) == img).all() and got["b"]._error
 
 
+def jpeg(spark, path, w, h, grey=False):
+    jvm = spark._jvm
+    img = jvm.java.awt.image.BufferedImage(w, h, 10 if grey else 1)
+    for y in range(h):
+        for x in range(w):
+            img.setRGB(x, y, min(255, x * 6) << 16 | min(255, y * 5) << 8 | (x * y) % 256 // 2 + 60)
+    jvm.javax.imageio.ImageIO.write(img, "jpg", jvm.java.io.File(str(path)))
+    return path.read_bytes()
+
+
+@pytest.mark.parametrize("w,h,grey", [(37, 23, False), (8, 8, False), (64, 48, False), (19, 40, True)])
+def test_jpeg(spark, tmp_path, w, h, grey):
+    """Pixels as Spark's image source has them, to within two levels."""
+    raw = jpeg(spark, tmp_path / "a.jpg", w, h, grey)
+    want = containers.image_files(spark, str(tmp_path / "a.jpg")).first()
+    want = np.frombuffer(bytes(want.data), "u1").reshape(h, w, -1)
+    got = containers.decode_image(raw, 1 if grey else 3)
+    assert containers.image_size(raw) == (w, h) and got.shape == (h, w, 1 if grey else 3) and np.abs(got.astype(int) - want).max() <= 2
+    for broken in (raw[: len(raw) // 2], raw[:20], b"\xff\xd8" + b"x" * 50):
+        with pytest.raises(ValueError, match="Decoding image failed"):
+            containers.decode_image(broken)
+
+
+def test_motion_jpeg(spark, tmp_path):
+    raw = jpeg(spark, tmp_path / "a.jpg", 16, 16)
+    frames = containers.read_avi_frames(containers.write_avi([raw, raw], 16, 16))
+    assert len(frames) == 2 and (containers.decode_image(frames[1]) == containers.decode_image(raw)).all()
+
+
+def test_archive_commits(spark, tmp_path):
+    """An append adds, an overwrite replaces, and a job that fails leaves nothing."""
+    containers.register(spark)
+    out = str(tmp_path / "out")
+    make = lambda lo, hi: spark.createDataFrame([("", r, [str(r).encode()]) for r in range(lo, hi)], "path string, record int, elements array<binary>").repartition(2)
+    read = lambda: sorted(int(bytes(r.elements[0])) for r in spark.read.format("blockarchive").load(out).collect())
+    make(0, 5).write.format("blockarchive").mode("append").save(out)
+    make(5, 9).write.format("blockarchive").mode("append").save(out)
+    assert read() == list(range(9))
+    make(20, 24).write.format("blockarchive").mode("overwrite").save(out)
+    assert read() == list(range(20, 24))
+    bad = make(30, 34).withColumn("elements", F.when(F.col("record") == 33, F.array(F.lit(b"x"), F.lit(b"y"))).otherwise(F.col("elements"))).coalesce(1)
+    with pytest.raises(Exception, match="differ"):
+        bad.write.format("blockarchive").mode("append").save(out)
+    assert read() == list(range(20, 24)) and not [p for p in (tmp_path / "out").iterdir() if p.name.startswith(".block")]
+
+
+def test_crc_of_many():
+    rng = np.random.default_rng(3)
+    texts = [rng.bytes(int(n)) for n in rng.integers(0, 40, 60)] + [b"", b"123456789"]
+    assert manifest.crc32c_many(texts).tolist() == [manifest.crc32c(t) for t in texts] and manifest.crc32c_many([]).tolist() == []
+
+
 def test_video():
     frames = [containers.write_png(picture(seed=s)) + b"x" * (s % 2) for s in range(25)]
     data = containers.write_avi(frames, 10, 12)
