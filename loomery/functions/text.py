@@ -136,3 +136,29 @@ def root_join(path: Column, root: str) -> Column:
         return path
     root = root if root.endswith("/") else root + "/"
     return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root), path))
+
+
+def pack_int(value: Column, n_bytes: int, big_endian: bool = False) -> Column:
+    """The low ``n_bytes`` bytes (at most 8) of a whole number, two's complement."""
+    digits = F.lpad(F.hex(value.cast("bigint")), 16, "0")
+    digits = F.substring(digits, 17 - 2 * n_bytes, 2 * n_bytes)
+    order = range(n_bytes) if big_endian else reversed(range(n_bytes))
+    return F.unhex(F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in order)))
+
+
+def unpack_int(data: Column, n_bytes: int, big_endian: bool = False, signed: bool = True, offset: int = 0) -> Column:
+    """A whole number of ``n_bytes`` bytes (at most 7, or 8 if signed) from ``offset`` on; null if there are too few."""
+    at = lambda i: F.conv(F.hex(F.substring(data, offset + i + 1, 1)), 16, 10).cast("bigint")
+    order = list(range(n_bytes)) if big_endian else list(reversed(range(n_bytes)))
+    top, value = at(order[0]), F.lit(0).cast("bigint")
+    if signed:
+        top = F.when(top > 127, top - 256).otherwise(top)
+    for k, i in enumerate(order):
+        value = F.shiftleft(value, 8).bitwiseOR(top.bitwiseAND(255)) if k else top
+        top = at(order[k + 1]) if k + 1 < n_bytes else top
+    return F.when(F.octet_length(data) >= offset + n_bytes, value)
+
+
+def wide_length(data: Column) -> Column:
+    """Characters of UTF-8 bytes; null where they are no valid UTF-8."""
+    return F.when(F.is_valid_utf8(data), F.length(data.cast("string")))

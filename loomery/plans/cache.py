@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +24,23 @@ def is_complete(spark: SparkSession, path: str) -> bool:
 
 
 def store(df: DataFrame, path: str) -> DataFrame:
-    """Writes blocks (column ``block_id``) unless a complete cache is there, and reads them back."""
+    """Writes blocks (column ``block_id``) unless a complete cache is there, and reads them back.
+
+    A writer has a folder of its own and moves it into place when it is complete, so of several writers one wins and the
+    others read what it wrote.
+    """
     spark = df.sparkSession
     if not is_complete(spark, path):
-        df.repartition("block_id").sortWithinPartitions("block_id", "row_idx").write.mode("overwrite").partitionBy("block_id").parquet(path)
+        own = f"{path}.{uuid.uuid4().hex}"
+        df.repartition("block_id").sortWithinPartitions("block_id", "row_idx").write.partitionBy("block_id").parquet(own)
+        jvm = spark.sparkContext._jvm
+        source, target = jvm.org.apache.hadoop.fs.Path(own), jvm.org.apache.hadoop.fs.Path(path)
+        store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not is_complete(spark, path):
+            store.delete(target, True)  # what a stopped writer of an older kind has left
+            store.rename(source, target)
+        store.delete(source, True)
+        store.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{source.getName()}"), True)  # where a rename that came late lands
     return load(spark, path, df.columns)
 
 

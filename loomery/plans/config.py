@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 from typing import Any
@@ -101,6 +102,7 @@ _IMAGE = {"height": Key(convert=int), "width": Key(convert=int), "name": Key("",
 PROVIDERS = {
     "image": _IMAGE,
     "pixelmask": _IMAGE | {"channels": Key(1, int, lambda v: v in (1, 3))},
+    "depthmap": _IMAGE | {"channels": Key(1, int, lambda v: v in (1, 3))},
     "label": {"name": Key("", str), "binary": Key(False, _bool), "output_type": Key("uint32_t", str, _type)},
     "label_map": {"name": Key("", str), "output_type": Key("uint32_t", str, lambda v: v == "uint32_t"), "class_names": Key(convert=_names), "max_classes": Key(100, int)},
     "char_map": {"max_length": Key(convert=int), "alphabet": Key(convert=str), "name": Key("", str), "unknown_value": Key(0, int), "emit_length": Key(False, _bool), "output_type": Key("uint32_t", str, lambda v: v == "uint32_t")},
@@ -171,11 +173,26 @@ def loader(given: dict) -> Loader:
     return Loader(v, providers, augmentation(v["augmentation"]))
 
 
+def narrow(value: Any) -> Any:
+    """Plain values as the configuration has them: whole numbers of 32 bits (the low ones), real ones of single precision."""
+    if value is None or isinstance(value, (bool, str)):
+        return value
+    if isinstance(value, int):
+        return (value + 2**31) % 2**32 - 2**31
+    if isinstance(value, float):
+        return struct.unpack("<f", struct.pack("<f", value))[0]
+    if isinstance(value, (list, tuple)):
+        return [narrow(v) for v in value]
+    if isinstance(value, dict) and all(isinstance(k, str) for k in value):
+        return {k: narrow(v) for k, v in value.items()}
+    raise TypeError(f"{type(value).__name__} has no place in a configuration")
+
+
 def to_json(config: dict) -> str:
-    """A configuration as JSON; only plain values, and a dictionary at the top."""
+    """A configuration as JSON; only plain values, narrowed, and a dictionary at the top."""
     if not isinstance(config, dict):
         raise TypeError("configuration must be a dictionary")
-    return json.dumps(config)
+    return json.dumps(narrow(config))
 
 
 def dump_defaults(kind: str) -> str:

@@ -1,7 +1,9 @@
 """The loader: a configuration to an iterator of batches of numpy arrays.
 
-The plan is lazy and has one row per record with ``batch_id`` and ``slot``; only the iterator brings rows to the driver,
-one partition at a time. A record's error is raised when its batch is reached, with the record's index.
+The plan is lazy and has one row per record with ``batch_id`` and ``slot``. Records are put in order while they are no more
+than lines of the manifest; files are opened, and pixels decoded, in the partitions that this gives, a few batches each.
+The iterator brings one partition at a time to the driver, so a batch opens the files of its partition only. A record's
+error is raised when its batch is reached, with the record's index.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from ..operators.augment import with_augmentation
 from ..sources import manifest
 from . import cache, config, providers
 
-PIXELS = ("image", "pixelmask", "video")
+PIXELS = ("image", "pixelmask", "depthmap", "video")
+PART_BATCHES, MAX_PARTS = 4, 10_000  # batches of a partition, unless there are too many
 BOXES = ("boundingbox", "localization_ssd", "localization_rcnn")
 
 
@@ -33,7 +36,7 @@ class DataLoader:
 
     def __init__(self, spark: SparkSession, given: dict[str, Any]):
         self.spark, self.config = spark, json.loads(config.to_json(given))
-        self._cfg = cfg = config.loader(given)
+        self._cfg = cfg = config.loader(self.config)
         kinds, records = manifest.parse(manifest.read_lines(spark, cfg.manifest_filename))
         if len(kinds) != len(cfg.providers):
             raise ValueError(f"manifest has {len(kinds)} elements and etl {len(cfg.providers)}")
@@ -50,11 +53,11 @@ class DataLoader:
         self.ndata, self.batch_size = n, cfg.batch_size
         self.shapes = [s for kind, c in cfg.providers for s in providers.shapes(kind, c)]
         self.axes_info = tuple((name, tuple(zip(axes, shape))) for name, shape, _, axes in self.shapes)
-        encoded = manifest.load_files(manifest.typed(records, kinds, cfg.manifest_root), kinds)
+        self._records = records.select("row_idx", "e")
         if cfg.cache_directory:
             crc = manifest.manifest_crc(records, b"\0")
-            encoded = cache.store(rows.with_blocks(encoded, n, cfg.block_size), cache.cache_path(cfg.cache_directory, crc, cfg.block_size, len(kinds)))
-        self._encoded = encoded
+            encoded = rows.with_blocks(self._load(self._records, ("row_idx",)), n, cfg.block_size)
+            self._records = cache.store(encoded, cache.cache_path(cfg.cache_directory, crc, cfg.block_size, len(kinds)))
         self._first = next(self._batches(0, 1))
 
     def __len__(self) -> int:
@@ -74,13 +77,20 @@ class DataLoader:
         """Columns of a record, with shape, axes and output type as metadata."""
         return T.StructType([T.StructField(n, T.ArrayType(T._parse_datatype_string(providers.otype(k))), True, {"shape": list(s), "axes": list(a), "otype": k}) for n, s, k, a in self.shapes])
 
+    def _load(self, records: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+        return manifest.load_files(manifest.typed(records, self.kinds, self._cfg.manifest_root, keep), self.kinds)
+
     def plan(self, first: int = 0, last: int | None = None) -> DataFrame:
         """Records of batches [first, last): batch_id, slot, row_idx, the output columns and ``_error``."""
         cfg, last = self._cfg, self.batch_count if last is None else last
-        df, epoch = self._encoded, first * self.batch_size // self.ndata
+        df, epoch = self._records, first * self.batch_size // self.ndata
         if cfg.shuffle_enable:
             df = rows.shuffle_blocks(rows.with_blocks(df, self.ndata, cfg.block_size), cfg.random_seed, epoch, block_order=cfg.shuffle_manifest)
         df = rows.batches(df, self.ndata, self.batch_size, last).where(F.col("batch_id") >= first)
+        parts = max(1, min(MAX_PARTS, -(-(last - first) // PART_BATCHES)))
+        df = df.repartitionByRange(parts, "batch_id", "slot").sortWithinPartitions("batch_id", "slot")
+        if not cfg.cache_directory:
+            df = self._load(df, ("batch_id", "slot", "pos", "row_idx"))
         df = df.withColumn("_record", F.col("row_idx")).withColumn("_draw", F.pmod("pos", F.lit(2**31 - 1)))
         sized = next((i for i, (k, _) in enumerate(cfg.providers) if k in PIXELS), None)
         if any(k in PIXELS + BOXES for k, _ in cfg.providers):
@@ -131,7 +141,9 @@ class DataLoader:
         return out.withColumnsRenamed({s[0][len(prefix) :]: providers.inner_name(s[0]) for s in providers.shapes("localization_rcnn", c)}).drop("_json", "boxes") if prefix else out.drop("_json", "boxes")
 
     def _batches(self, first: int, last: int) -> Iterator[tuple[tuple[str, np.ndarray], ...]]:
-        df = self.plan(first, last).orderBy("batch_id", "slot")
+        df = self.plan(first, last)
+        if any(kind == "localization_rcnn" for kind, _ in self._cfg.providers):  # its targets are joined to the records
+            df = df.orderBy("batch_id", "slot")
         part: list[T.Row] = []
         for r in df.toLocalIterator(prefetchPartitions=True):
             if r["_error"]:

@@ -6,6 +6,9 @@ share the record's ``aug`` struct.
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
 from typing import Any
 
 import numpy as np
@@ -21,7 +24,7 @@ from ..functions.text import column_name as public_name
 from ..operators import pixels
 from ..operators.augment import Augmentation
 from ..sources.annotations import parse_annotations
-from ..sources.containers import decode_image, read_avi_frames
+from ..sources.containers import decode_image, image_size, read_avi_frames, write_png
 
 NUMPY = {"int8_t": "i1", "uint8_t": "u1", "int16_t": "i2", "uint16_t": "u2", "int32_t": "i4", "uint32_t": "u4", "float": "f4", "double": "f8", "char": "i1"}
 
@@ -39,7 +42,7 @@ def shapes(kind: str, cfg: dict[str, Any], bbox_shape: int = 4) -> list[tuple[st
     """(column, shape, output type, axis names) of a provider, in order, known before any data is read."""
     name = cfg.get("name") or None
     one = lambda base, shape, kind_, axes=(): (public_name(base, name), tuple(shape), kind_, tuple(axes) or tuple(map(str, range(len(shape)))))
-    if kind in ("image", "pixelmask"):
+    if kind in ("image", "pixelmask", "depthmap"):
         c, h, w = cfg["channels"], cfg["height"], cfg["width"]
         return [one(kind, (c, h, w), cfg["output_type"], ("channels", "height", "width")) if cfg["channel_major"] else one(kind, (h, w, c), cfg["output_type"], ("height", "width", "channels"))]
     if kind == "label":
@@ -159,7 +162,7 @@ def _numbers(kind: str) -> pa.DataType:
 
 
 def add_sizes(df: DataFrame, element: str, video: bool = False) -> DataFrame:
-    """Adds in_width and in_height of an encoded image (or of a video's first frame); a broken one sets ``_error``."""
+    """Adds in_width and in_height from the header of an encoded image (or of a video's first frame); a broken one sets ``_error``."""
     schema = T.StructType(df.schema.fields + [T.StructField("in_width", T.IntegerType()), T.StructField("in_height", T.IntegerType())])
 
     def run(batches):
@@ -167,8 +170,8 @@ def add_sizes(df: DataFrame, element: str, video: bool = False) -> DataFrame:
             w, h, errors = [], [], b.column("_error").to_pylist()
             for i, raw in enumerate(b.column(element).to_pylist()):
                 try:
-                    img = decode_image(read_avi_frames(raw)[0] if video else raw)
-                    h.append(img.shape[0]), w.append(img.shape[1])
+                    size = image_size(read_avi_frames(raw)[0] if video else raw)
+                    w.append(size[0]), h.append(size[1])
                 except (ValueError, IndexError, TypeError) as e:
                     h.append(None), w.append(None)
                     errors[i] = errors[i] or str(e)
@@ -178,6 +181,16 @@ def add_sizes(df: DataFrame, element: str, video: bool = False) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def dump(folder: str, record: int, aug: dict, img: np.ndarray) -> None:
+    """A record's augmented image as PNG with its draw as JSON beside it, for a look at what the loader does."""
+    os.makedirs(folder, exist_ok=True)
+    for suffix, data in (("png", write_png(np.ascontiguousarray(img))), ("txt", json.dumps(aug, default=float).encode())):
+        name = os.path.join(folder, f"{record}.{suffix}")
+        with open(f"{name}.{uuid.uuid4().hex}", "wb") as f:
+            f.write(data)
+        os.replace(f.name, name)
+
+
 def add_pixels(df: DataFrame, kind: str, cfg: dict[str, Any], element: str, aug: Augmentation) -> DataFrame:
     """Adds the column of an image, mask or video provider; a record that cannot be decoded has null and ``_error``."""
     frame = {"channels": 3, "output_type": "uint8_t", "channel_major": True, "bgr_to_rgb": False} | cfg["frame"] if kind == "video" else cfg
@@ -187,15 +200,15 @@ def add_pixels(df: DataFrame, kind: str, cfg: dict[str, Any], element: str, aug:
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(kind_of))])
     numbers = _numbers(frame["output_type"])
 
-    def picture(raw, a):
+    def picture(raw, a, scaled=True):
         img = decode_image(raw, frame["channels"])
         img = pixels.transform_image(img, a, aug.padding, aug.resize_short_size, aug.interpolation_method, aug.lighting[1])
         if aug.fixed_aspect_ratio or not aug.crop_enable:
             img = pixels.fit_canvas(img, frame["width"], frame["height"])
-        return pixels.standardize(img, aug.mean, aug.stddev) if dtype[0] == "f" else img
+        return pixels.standardize(img, aug.mean, aug.stddev) if scaled and dtype[0] == "f" else img
 
     def one(raw, a):
-        if kind == "pixelmask":
+        if kind in ("pixelmask", "depthmap"):
             mask = pixels.transform_mask(decode_image(raw, 3)[..., :1], a)
             return pixels.layout(np.repeat(mask, frame["channels"], 2), frame["channel_major"], False, dtype)
         if kind == "video":
@@ -208,6 +221,8 @@ def add_pixels(df: DataFrame, kind: str, cfg: dict[str, Any], element: str, aug:
             values, errors = [], b.column("_error").to_pylist()
             for i, (raw, a) in enumerate(zip(b.column(element).to_pylist(), b.column("aug").to_pylist())):
                 try:
+                    if aug.debug_output_directory and kind == "image" and not errors[i]:
+                        dump(aug.debug_output_directory, b.column("_record")[i].as_py(), a, picture(raw, a, False))
                     values.append(None if errors[i] else one(raw, a).ravel())
                 except (ValueError, IndexError, TypeError) as e:
                     values.append(None)

@@ -160,3 +160,55 @@ def test_stream(spark, tmp_path):
     q = manifests.for_each_batch(manifests.record_stream(spark, str(tmp_path / "in")), 2, lambda df, _: seen.append(sorted((r.batch_id, r.slot, r.e[0]) for r in df.collect())), str(tmp_path / "check"))
     q.awaitTermination(120)
     assert sorted(len(s) for s in seen) == [5, 5] and all([b for b, *_ in s] == [0, 0, 1, 1, 2] for s in seen)
+
+
+def test_a_batch_opens_its_files_only(spark, tmp_path):
+    """Making a loader, and its first batch, leave the files of far batches alone; order holds in a shuffled run too."""
+    n, bs = 200, 4
+    for i in range(n):
+        if i < 40:
+            (tmp_path / f"{i}.png").write_bytes(containers.write_png(picture(i)))
+    m = write(tmp_path / "m.tsv", n, ["FILE", "STRING"], lambda i: (f"{i}.png", str(i)))
+    loader = DataLoader(spark, {"manifest_filename": m, "manifest_root": str(tmp_path), "batch_size": bs, "etl": etl()})
+    run = iter(loader)
+    assert [ids(next(run)) for _ in range(5)] == [[4 * k + j for j in range(4)] for k in range(5)]
+    with pytest.raises(RuntimeError, match="record 40: Could not find file"):
+        list(run)
+    text = write(tmp_path / "t.tsv", n, ["STRING"], lambda i: (str(i),))
+    got = [int(x) for b in DataLoader(spark, {"manifest_filename": text, "batch_size": 7, "shuffle_manifest": True, "random_seed": 4, "etl": [{"type": "label"}]}) for x in b[0][1].ravel()]
+    assert sorted(got[:n]) == list(range(n)) and got[n:] == got[: len(got) - n]
+
+
+def test_depth_debug_and_batch_bytes(spark, tmp_path):
+    from loomery.plans import batches
+
+    m = images(tmp_path / "m.tsv", 6)
+    spec = [{"type": "image", "height": 8, "width": 8, "channel_major": False}, {"type": "label"}]
+    loader = DataLoader(spark, {"manifest_filename": m, "batch_size": 3, "etl": spec, "augmentation": [{"type": "image", "debug_output_directory": str(tmp_path / "debug"), "flip_enable": True}]})
+    got = list(loader)
+    for b in got:
+        back = batches.from_bytes(batches.to_bytes(b))
+        assert [n for n, _ in back] == [n for n, _ in b] and all(x.dtype == y.dtype and (x == y).all() for (_, x), (_, y) in zip(back, b))
+    for i in range(6):
+        assert (containers.read_png((tmp_path / "debug" / f"{i}.png").read_bytes()) == dict(got[i // 3])["image"][i % 3]).all()
+        assert "crop_width" in json.loads((tmp_path / "debug" / f"{i}.txt").read_text())
+    assert len(list((tmp_path / "debug").iterdir())) == 12
+    depth = dict(next(iter(DataLoader(spark, {"manifest_filename": m, "batch_size": 6, "etl": [{"type": "depthmap", "height": 4, "width": 4, "output_type": "float"}, {"type": "label"}]}))))["depthmap"]
+    assert depth.shape == (6, 1, 4, 4) and depth.dtype == np.float32 and (depth[5] == 0).all()
+
+
+def test_narrow_configuration():
+    assert json.loads(config.to_json({"a": 2**32 + 5, "b": [0.1, True, None, ("x", {"c": -(2**31) - 1})]})) == {"a": 5, "b": [float(np.float32(0.1)), True, None, ["x", {"c": 2**31 - 1}]]}
+    with pytest.raises(TypeError):
+        config.to_json({"a": b"bytes"})
+
+
+def test_cache_has_one_winner(spark, tmp_path):
+    from loomery.plans import cache
+
+    df = spark.range(50).selectExpr("id as row_idx", "id div 10 as block_id", "cast(id as string) as v")
+    path = str(tmp_path / "cache")
+    (tmp_path / "cache").mkdir()
+    for _ in range(2):
+        assert cache.store(df, path).count() == 50
+    assert [x.name for x in tmp_path.iterdir()] == ["cache"] and cache.load(spark, path, df.columns, 3).count() == 10
