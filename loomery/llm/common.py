@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,19 +74,48 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the classes of i[k] and j[k] for all k; label[x] is a smaller or equal index in x's class."""
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        while (label[label] != label).any():
+            label[:] = label[label]
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+
+
+FOREST_EDGES = 1 << 20  # edges that a task contracts at a time
+
+
+def _forest(batches):
+    """A task's edges to one edge per node, to the smallest node that these edges reach."""
+    ends = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if ends:
+        a, b = (np.concatenate([e[k] for e in ends]) for k in (0, 1))
+        nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+        label = np.arange(len(nodes))
+        unite(label, at[: len(a)], at[len(a) :])
+        low = np.flatnonzero(label != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[low]), pa.array(nodes[label[low]])], ["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph.
 
     ``edges`` has two long columns ``a`` and ``b``. Returns (node, root), root being the smallest node reachable, for
     every node that has an edge to another node. Rows with a null end and loops are ignored; no edges give no rows.
 
-    Alternating large-star and small-star steps: each needs only a minimum by node (pre-aggregated before its shuffle)
+    Tasks of at most ``FOREST_EDGES`` edges contract them first, so that what many edges say of the same nodes is said once; if
+    one task holds all, that is the result. Else alternating large-star and small-star steps follow: each needs only a minimum by node (pre-aggregated before its shuffle)
     and a join that Spark may split when one node has very many edges. Every round is a table in the shared folder.
     """
-    e = edges.where("a is not null and b is not null and a <> b")
-    e = stage_table(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    e = edges.where("a is not null and b is not null and a <> b").select("a", "b")
+    tasks = max(1, -(-e.count() // FOREST_EDGES))
+    e = stage_table(e.repartition(tasks).mapInArrow(_forest, "a long, b long").distinct(), "edges")
     seen = None
-    while True:
+    while tasks > 1:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state[0] == 0 or state == seen:
             break

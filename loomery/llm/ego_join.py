@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, stage_table
+from .common import components, stage_table, unite
 
 INTERVAL = 8192  # vectors in a sequence interval, at most
 INTERVAL_BYTES = 16 << 20  # bytes of vectors in one, at most; both bound a task's memory
@@ -109,18 +109,6 @@ INTERVAL_ARROW = pa.schema([("part", pa.int32()), ("iid", pa.int64()), ("dim", p
 INTERVAL_SQL = "part int, iid long, dim int, lo array<double>, hi array<double>, keys binary, reps binary, counts binary, units binary"
 
 
-def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Joins the classes of i[k] and j[k] for all k; label[x] is a smaller or equal index in x's class."""
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, label[i], low)
-        np.minimum.at(label, label[j], low)
-        while (label[label] != label).any():
-            label[:] = label[label]
-        apart = label[i] != label[j]
-        i, j = i[apart], j[apart]
-
-
 def _tiles(axes, least):
     eps2 = 2 - 2 * least + 1e-9
 

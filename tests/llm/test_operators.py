@@ -62,7 +62,9 @@ def union_find(pairs, nodes):
     return {n: find(n) for n in nodes}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [common.FOREST_EDGES, 50])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "FOREST_EDGES", most)
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5, 5), (None, 3)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
