@@ -187,7 +187,7 @@ def test_similar_texts(spark):
     df = spark.createDataFrame([*rows, (1000, ""), (1001, None), (1002, "a b")], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.near_texts(df, sketch=simhash.SIMILAR).collect()}
     assert all(got[2 * i] == 2 * i and got[2 * i + 1] in (2 * i, 2 * i + 1) for i in range(60))
-    assert sum(got[2 * i + 1] == 2 * i for i in range(60)) >= 40  # 0.79 of them by the odds
+    assert sum(got[2 * i + 1] == 2 * i for i in range(60)) >= 52  # 0.96 of them by the odds
     assert (got[1000], got[1001], got[1002]) == (1000, 1000, 1002)
 
 
