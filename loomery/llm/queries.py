@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, ego_join, line_dedup, mixing, quality, simhash, suffix_dedup, token_store, toxicity
+from . import chat, collocations, decontaminate, ego_join, fim, line_dedup, mixing, packing, quality, simhash, suffix_dedup, token_store, toxicity
 from .common import read
 
 
@@ -62,7 +62,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_simhash_near_dedup, op3_line_dedup, op4_suffix_array_dedup, op5_decontamination, op6_token_store, op7_quality, op8_chat_format, op9_weighted_mix, op10_toxicity)}
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), size=2048)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"), least=10, max_words=3, inside=50, top=2000)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(read(spark, sf_dir, "documents"), with_output=False)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_simhash_near_dedup, op3_line_dedup, op4_suffix_array_dedup, op5_decontamination, op6_token_store, op7_quality, op8_chat_format, op9_weighted_mix, op10_toxicity, op11_best_fit_packing, op12_collocations, op13_fill_in_middle)}
 
 _OP3 = r"""
 WITH u AS (
@@ -92,4 +105,42 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM c GROUP BY conv_id
 """
 
-SQL = {"op3_line_dedup": _OP3, "op8_chat_format": _OP8}
+_OP12 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, w[i : i + m - 1] AS g FROM i, (VALUES (1), (2), (3)) AS s(m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, g, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1 AND f >= 10),
+k AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM c),
+s AS (
+  SELECT k.lang, k.g, k.a, k.k, l.f AS l, r.f AS r, 1000000::HUGEINT * k.a * k.a // (l.f * r.f) AS score
+  FROM k JOIN f AS l ON l.lang = k.lang AND l.g = k.g[1 : k.k] JOIN f AS r ON r.lang = k.lang AND r.g = k.g[k.k + 1 : len(k.g)]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+t AS (SELECT lang, unnest([g[1 : 2], g[2 : 3]]) AS g, a FROM c WHERE len(g) = 3),
+u AS (SELECT lang, g, max(a) AS m FROM t GROUP BY ALL),
+d AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b LEFT JOIN u ON u.lang = b.lang AND u.g = b.g WHERE u.m IS NULL OR 100 * u.m < 50 * b.a),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM d)
+SELECT o.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+"""
+
+_OP13 = """
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || doc_id) AS h FROM documents),
+d AS (
+  SELECT doc_id, t, n, ('0x' || h[1:8])::BIGINT % (n + 1) AS x, ('0x' || h[9:16])::BIGINT % (n + 1) AS y,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+c AS (
+  SELECT doc_id, t, n, form, least(x, y) AS a, greatest(x, y) AS b,
+    left(t, least(x, y)) AS p, substring(t, least(x, y) + 1, abs(x - y)) AS m, substring(t, greatest(x, y) + 1) AS s FROM d)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM c
+"""
+
+SQL = {"op3_line_dedup": _OP3, "op8_chat_format": _OP8, "op12_collocations": _OP12, "op13_fill_in_middle": _OP13}
