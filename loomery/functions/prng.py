@@ -7,7 +7,7 @@ p5(p5(mix(seed, row, draw)) + shift(draw)). No product passes 2**62, so ANSI ove
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 M = 2147483647
@@ -18,10 +18,10 @@ def _p5(h):
     return ((square * square) % M) * h % M
 
 
-def with_draws(df: DataFrame, row: str, seed: int, draws: dict[str, int]) -> DataFrame:
+def with_draws(df: DataFrame, row: str, seed: int | Column, draws: dict[str, int]) -> DataFrame:
     """Adds a long column in [0, M) per name in ``draws``; each stage is a projection of its own to stay small."""
     r = F.col(row).cast("long")
-    df = df.withColumns({f"_h_{n}": (F.lit(seed * 7919 + 1).cast("long") + r * 48271 + F.lit(d * 69621).cast("long")) % M for n, d in draws.items()})
+    df = df.withColumns({f"_h_{n}": (F.lit(seed).cast("long") * 7919 + 1 + r * 48271 + F.lit(d * 69621).cast("long")) % M for n, d in draws.items()})
     df = df.withColumns({f"_h_{n}": _p5(F.col(f"_h_{n}")) for n in draws})
     df = df.withColumns({f"_h_{n}": (F.col(f"_h_{n}") + (d * 16807 + 11)) % M for n, d in draws.items()})
     return df.withColumns({n: _p5(F.col(f"_h_{n}")) for n in draws}).drop(*(f"_h_{n}" for n in draws))

@@ -1,7 +1,7 @@
 """Row selection, order and batching over an indexed table (columns ``row_idx`` 0..N-1, then anything).
 
-No operator sorts the whole table in one task: positions come from counts of numeric ranges and from windows within
-each range.
+No operator sorts the whole table in one task. A position is a partition's offset and a place in it: the table is range-sorted
+and staged once, its partitions are counted, and the counts are added up from one line per partition.
 """
 
 from __future__ import annotations
@@ -13,35 +13,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prng import M, unit, with_draws
+from ..sources.work import stage_table
 
-RANGES = 1024
+_PLACE = (1 << 33) - 1  # the part of monotonically_increasing_id that counts within a partition
 
 
-def _running(df: DataFrame, key: str, ties: list[str], value: Column | None, out: str, ranges: int) -> DataFrame:
-    """Adds the sum of ``value`` (null: a count) over all rows before each row in the order of ``key`` and ``ties``."""
-    df = df.withColumn("_range", F.coalesce(_range_of(df, key, ranges), F.lit(-1)))
-    v = F.lit(1) if value is None else value
-    sums = df.groupBy("_range").agg(F.sum(v).alias("_sum"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    base = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    own = Window.partitionBy("_range").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_own", F.coalesce(F.sum(v).over(own), F.lit(0)))
-    return df.join(F.broadcast(base), "_range").withColumn(out, (F.col("_base") + F.col("_own")).cast("long")).drop("_range", "_own", "_base")
+def _offsets(df: DataFrame, at: list[str], sums: list[Column]) -> list[tuple]:
+    """A line per partition: its key, then the sums over all partitions before it, in the order of the key."""
+    lines = sorted(tuple(r) for r in df.groupBy(*at).agg(*sums).collect())
+    out, before = [], [0] * len(sums)
+    for line in lines:
+        out.append((*line[: len(at)], *before))
+        before = [b + x for b, x in zip(before, line[len(at) :])]
+    return out
 
 
-PIECES = 32  # between which quantiles of a key ranges are of equal width
+def number_in_place(df: DataFrame, at: list[str], out: str) -> DataFrame:
+    """Adds positions, from 0, to rows that are in order already: by the columns ``at``, and as they stand among rows equal in these.
 
+    Rows that are equal in ``at`` must stand in one partition, as the lines of one split of a file do; then no row moves. The driver
+    gets a line per value of ``at``.
+    """
+    rows = df.withColumn("_id", F.monotonically_increasing_id())
+    lines = sorted(tuple(r) for r in rows.groupBy(*at).agg(F.count("*"), F.min("_id")).collect())
+    base, n = [], 0
+    for line in lines:
+        base.append((*line[:-2], n - line[-1]))
+        n += line[-2]
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in at)
+    offsets = df.sparkSession.createDataFrame(base, f"{kinds}, _base long")
+    return rows.join(F.broadcast(offsets), at).withColumn(out, F.col("_base") + F.col("_id")).drop("_base", "_id")
+
+
+def with_row_index(df: DataFrame, key: str, ties: tuple[str, ...] = (), out: str = "row_idx", ranges: int | None = None) -> DataFrame:
+    """Adds the position of each row in the order of ``key`` and ``ties``, from 0; rows equal in all of them keep their order.
 
-def _range_of(df: DataFrame, key: str, ranges: int) -> Column:
-    """A number that rises with the key: ranges of equal width within pieces that hold about equally many rows."""
-    cuts = sorted(set(df.approxQuantile(key, [k / PIECES for k in range(PIECES + 1)], 0.25 / PIECES)))
-    x, each = F.col(key).cast("double"), max(1, ranges // PIECES)
-    out = F.lit(0).cast("long") if len(cuts) < 2 else None
-    for k in reversed(range(len(cuts) - 1)):
-        within = F.floor((x - cuts[k]) / ((cuts[k + 1] - cuts[k]) / each))
-        here = F.least(F.greatest(within, F.lit(0)), F.lit(each - 1)) + k * each
-        out = here if out is None else F.when(x < cuts[k + 1], here).otherwise(out)
-    return F.when(x.isNotNull(), out)
+    The table is written once in that order, so what it is read from is read once. Rows that share a key may be in several partitions.
+    """
+    keys = [key, *ties, "_tie"]
+    rows = df.withColumn("_tie", F.monotonically_increasing_id())
+    ordered = (rows.repartitionByRange(ranges, *keys) if ranges else rows.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+    placed = ordered.drop("_tie").withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE))})
+    staged = stage_table(placed, "rows")
+    offsets = df.sparkSession.createDataFrame(_offsets(staged, ["_part"], [F.count("*")]), "_part int, _base long")
+    return staged.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_base") + F.col("_at")).drop("_part", "_at", "_base")
 
 
 def move_to(df: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
@@ -49,34 +64,42 @@ def move_to(df: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col("row_idx") < count), df.where(F.col("row_idx") >= count).withColumn("row_idx", F.col("row_idx") - count)
 
 
-def with_row_index(df: DataFrame, key: str, ties: tuple[str, ...] = (), out: str = "row_idx", ranges: int = RANGES) -> DataFrame:
-    """Adds the position of each row in the order of a numeric ``key`` and ``ties``, from 0."""
-    return _running(df, key, list(ties), None, out, ranges)
+def _last_choice(spark, n: int, want: int, fraction: float, seed: int) -> int:
+    """The row from which on all rows are taken, as so many are still wanted: it follows the (n - want)-th row that is not drawn."""
+    rest = n - want
+    ids = with_draws(spark.range(n).withColumnRenamed("id", "at"), "at", seed, {"_u": 0}).where(unit(F.col("_u")) >= fraction)
+    ids = ids.select("at", F.spark_partition_id().alias("_part"))
+    before = _offsets(ids, ["_part"], [F.count("*")])
+    part, base = next(((p, b) for p, b in reversed(before) if b < rest), (0, 0))
+    place = ids.withColumn("_k", F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE)))
+    found = place.where((F.col("_part") == part) & (F.col("_k") == rest - 1 - base)).head(1)
+    return found[0]["at"] + 1 if found else n
 
 
 def subset(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
-    """Exactly floor(N * fraction) rows, order kept, re-indexed: sequential sampling by running counts of hits."""
+    """Exactly floor(N * fraction) rows, order kept, re-indexed: sequential sampling.
+
+    Each row is drawn by itself. Rows are taken while they are wanted, and all from a row on once as many are wanted as are left. That
+    row follows from counts of draws by partition, so every row is kept or not by its own number, and nothing is joined.
+    """
     if not 0 < fraction <= 1:
         raise ValueError("subset_fraction must be > 0 and <= 1")
     if fraction == 1:
         return df
     n = df.count()
     want = int(n * fraction)
-    ids = with_draws(df.sparkSession.range(n).withColumnRenamed("id", "source_idx"), "source_idx", seed, {"_u": 0})
-    ids = _running(ids.select("source_idx", (unit(F.col("_u")) < fraction).cast("long").alias("_hit")), "source_idx", [], F.col("_hit"), "_c", RANGES)
-    keep = ((F.col("_hit") == 1) & (F.col("_c") < want)) | (want - F.col("_c") >= n - F.col("source_idx"))
-    return _renumber(df, with_row_index(ids.where(keep).select("source_idx"), "source_idx"))
+    if not want:
+        return df.limit(0)
+    tail = _last_choice(df.sparkSession, n, want, fraction, seed)
+    drawn = with_draws(df.withColumnRenamed("row_idx", "source_idx"), "source_idx", seed, {"_u": 0})
+    kept = drawn.where((unit(F.col("_u")) < fraction) | (F.col("source_idx") >= tail)).drop("_u")
+    return with_row_index(kept, "source_idx").where(F.col("row_idx") < want)
 
 
 def shuffle_rows(df: DataFrame, seed: int) -> DataFrame:
     """A permutation of all rows: ``source_idx`` keeps the old index, ``row_idx`` is the new one."""
-    ids = with_draws(df.sparkSession.range(df.count()).withColumnRenamed("id", "source_idx"), "source_idx", seed, {"_u": 1})
-    return _renumber(df, with_row_index(ids, "_u", ("source_idx",)).drop("_u"))
-
-
-def _renumber(df: DataFrame, places: DataFrame) -> DataFrame:
-    """Rows at their new places. ``places`` depends on row numbers alone, so the table is read for one join only."""
-    return df.withColumnRenamed("row_idx", "source_idx").join(places, "source_idx")
+    drawn = with_draws(df.withColumnRenamed("row_idx", "source_idx"), "source_idx", seed, {"_u": 1})
+    return with_row_index(drawn, "_u", ("source_idx",)).drop("_u")
 
 
 def shard(df: DataFrame, n_rows: int, node_id: int, node_count: int, batch_size: int) -> DataFrame:
@@ -111,19 +134,40 @@ def with_blocks(df: DataFrame, n_rows: int, block_size: int) -> DataFrame:
     return df.withColumn("block_id", F.floor(F.col("row_idx") / size).cast("long"))
 
 
+def with_epochs(df: DataFrame, first: int, last: int) -> DataFrame:
+    """Every row once per epoch from ``first`` to ``last``, with ``epoch``; no row moves."""
+    return df.withColumn("epoch", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
+
+
 def shuffle_blocks(df: DataFrame, seed: int, epoch: int = 0, within: bool = True, block_order: bool = True) -> DataFrame:
     """New order of a table with ``block_id``: blocks shuffled, rows shuffled in each block, or both.
 
-    Adds ``block_pos``, ``in_block`` and ``source_idx``; ``row_idx`` becomes the new position.
+    Adds ``block_pos``, ``in_block`` and ``source_idx``; ``row_idx`` becomes the new position. A table with ``epoch`` has an order of
+    its own in each, drawn from ``seed`` + epoch; without it that is ``epoch``'s.
+    """
+    passes = ["epoch"] if "epoch" in df.columns else []
+    salt = F.lit(seed).cast("long") + (F.col("epoch") if passes else F.lit(epoch))
+    df = df.withColumnRenamed("row_idx", "source_idx")
+    sizes = with_draws(df.groupBy(*passes, "block_id").agg(F.count("*").alias("_n")), "block_id", salt, {"_b": 2})  # a row per block
+    order = Window.partitionBy(*passes).orderBy(*(["_b"] if block_order else []), "block_id")
+    places = sizes.select(*passes, "block_id", (F.row_number().over(order) - 1).cast("long").alias("block_pos"), F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_at"))
+    keyed = with_draws(df, "source_idx", salt, {"_r": 3}) if within else df
+    rows = Window.partitionBy(*passes, "block_id").orderBy(*(["_r"] if within else []), "source_idx")
+    out = keyed.withColumn("in_block", (F.row_number().over(rows) - 1).cast("long")).join(places, [*passes, "block_id"])
+    return out.withColumn("row_idx", (F.col("_at") + F.col("in_block")).cast("long")).drop("_r", "_at")
+
+
+def deal_epochs(df: DataFrame, n_rows: int, seed: int, first: int, last: int, node_id: int, node_count: int, batch_size: int) -> DataFrame:
+    """A node's rows in each epoch from ``first`` to ``last``: all rows in an order drawn from ``seed`` and the epoch, then dealt.
+
+    Nodes derive the same order, so in every epoch their rows are disjoint and only N mod nodes rows go to none. ``row_idx`` is the place
+    in the epoch, ``source_idx`` the row's number in the table.
     """
-    key = with_draws(df.withColumnRenamed("row_idx", "source_idx"), "block_id", seed + epoch, {"_b": 2})
-    key = with_draws(key, "source_idx", seed + epoch, {"_r": 3})
-    sizes = key.groupBy("block_id", "_b").agg(F.count("*").alias("_n"))  # a row per block
-    order = Window.orderBy("_b", "block_id") if block_order else Window.orderBy("block_id")
-    places = sizes.select("block_id", (F.row_number().over(order) - 1).cast("long").alias("block_pos"), F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_at"))
-    rows = Window.partitionBy("block_id").orderBy(*(["_r"] if within else []), "source_idx")
-    out = key.withColumn("in_block", (F.row_number().over(rows) - 1).cast("long")).join(F.broadcast(places), "block_id")
-    return out.withColumn("row_idx", (F.col("_at") + F.col("in_block")).cast("long")).drop("_b", "_r", "_at")
+    drawn = with_epochs(df.withColumnRenamed("row_idx", "source_idx"), first, last)
+    drawn = with_draws(drawn, "source_idx", F.lit(seed).cast("long") + F.col("epoch"), {"_u": 1})
+    placed = with_row_index(drawn, "epoch", ("_u", "source_idx"), "_pos").drop("_u")
+    placed = placed.withColumn("row_idx", F.col("_pos") - (F.col("epoch") - first) * n_rows).withColumnRenamed("source_idx", "_from")
+    return shard(placed, n_rows, node_id, node_count, batch_size).drop("_pos", "source_idx").withColumnRenamed("_from", "source_idx")
 
 
 def batch_count(n_rows: int, batch_size: int, mode: str = "ONCE", count: int = 0) -> int:
@@ -140,11 +184,13 @@ def batch_count(n_rows: int, batch_size: int, mode: str = "ONCE", count: int = 0
 def batches(df: DataFrame, n_rows: int, batch_size: int, n_batches: int) -> DataFrame:
     """Adds ``epoch``, ``pos``, ``batch_id`` and ``slot``; every batch is full, the last wraps to the next epoch's head.
 
-    Rows repeat once per epoch that the batches reach, each row from its own index: no shuffle.
+    Rows repeat once per epoch that the batches reach, each row from its own index: no shuffle. A table that has ``epoch`` already, with
+    an order in each, is only numbered on.
     """
     total = n_batches * batch_size
-    epochs = math.ceil(total / n_rows) if n_rows else 0
-    df = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max(epochs - 1, 0))))).withColumn("pos", (F.col("epoch") * n_rows + F.col("row_idx")).cast("long"))
+    if "epoch" not in df.columns:
+        df = with_epochs(df, 0, max(math.ceil(total / n_rows) - 1, 0) if n_rows else 0)
+    df = df.withColumn("pos", (F.col("epoch") * n_rows + F.col("row_idx")).cast("long"))
     return df.where(F.col("pos") < total).withColumns({"epoch": F.col("epoch").cast("long"), "batch_id": F.floor(F.col("pos") / batch_size).cast("long"), "slot": (F.col("pos") % batch_size).cast("long")})
 
 

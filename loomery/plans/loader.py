@@ -1,9 +1,10 @@
 """The loader: a configuration to an iterator of batches of numpy arrays.
 
 The plan is lazy and has one row per record with ``batch_id`` and ``slot``. Records are put in order while they are no more
-than lines of the manifest; files are opened, and pixels decoded, in the partitions that this gives, a few batches each.
-The iterator brings one partition at a time to the driver, so a batch opens the files of its partition only. A record's
-error is raised when its batch is reached, with the record's index.
+than lines of the manifest; files are opened, pixels decoded and batches assembled in the partitions that this gives, a few batches
+each. A batch reaches the driver as one binary value per array; the iterator brings one partition at a time and has the next one
+made meanwhile, so a batch opens the files of its partition only. A record's error is raised when its batch is reached, with the
+record's index.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 from ..operators import anchors, rows
 from ..operators.augment import with_augmentation
 from ..sources import manifest
-from . import cache, config, providers
+from . import batches, cache, config, providers
 
 PIXELS = ("image", "pixelmask", "depthmap", "video")
 PART_BATCHES, MAX_PARTS = 4, 10_000  # batches of a partition, unless there are too many
@@ -46,9 +47,12 @@ class DataLoader:
             n = records.count()
         if n == 0:
             raise ValueError("manifest file is empty")
-        if cfg.shuffle_manifest:
+        self._deals = cfg.shuffle_manifest and cfg.node_count > 1
+        if self._deals:  # every epoch has a deal of its own
+            self._all, n = n, n // cfg.node_count
+        elif cfg.shuffle_manifest:
             records = rows.shuffle_rows(records, cfg.random_seed)
-        if cfg.node_count > 1:
+        elif cfg.node_count > 1:
             records, n = rows.shard(records, n, cfg.node_id, cfg.node_count, cfg.batch_size), n // cfg.node_count
         self.ndata, self.batch_size = n, cfg.batch_size
         self.shapes = [s for kind, c in cfg.providers for s in providers.shapes(kind, c)]
@@ -80,15 +84,29 @@ class DataLoader:
     def _load(self, records: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         return manifest.load_files(manifest.typed(records, self.kinds, self._cfg.manifest_root, keep), self.kinds)
 
+    def _ordered(self, first: int, last: int) -> DataFrame:
+        """Records of the epochs that batches [first, last) reach, each with its place in each epoch.
+
+        Under ``shuffle_manifest`` blocks have a new order in every epoch, or, with several nodes, records a new deal; under
+        ``shuffle_enable`` the records of a block have.
+        """
+        cfg = self._cfg
+        epochs = first * self.batch_size // self.ndata, max(first, last * self.batch_size - 1) // self.ndata
+        if self._deals:
+            df = rows.deal_epochs(self._records, self._all, cfg.random_seed, *epochs, cfg.node_id, cfg.node_count, cfg.batch_size).drop("source_idx")
+        else:
+            df = rows.with_epochs(self._records, *epochs)
+        by_block = cfg.shuffle_manifest and not self._deals
+        if cfg.shuffle_enable or by_block:
+            df = rows.shuffle_blocks(rows.with_blocks(df, self.ndata, cfg.block_size), cfg.random_seed, within=cfg.shuffle_enable, block_order=by_block)
+        return df
+
     def plan(self, first: int = 0, last: int | None = None) -> DataFrame:
         """Records of batches [first, last): batch_id, slot, row_idx, the output columns and ``_error``."""
         cfg, last = self._cfg, self.batch_count if last is None else last
-        df, epoch = self._records, first * self.batch_size // self.ndata
-        if cfg.shuffle_enable:
-            df = rows.shuffle_blocks(rows.with_blocks(df, self.ndata, cfg.block_size), cfg.random_seed, epoch, block_order=cfg.shuffle_manifest)
-        df = rows.batches(df, self.ndata, self.batch_size, last).where(F.col("batch_id") >= first)
+        df = rows.batches(self._ordered(first, last), self.ndata, self.batch_size, last).where(F.col("batch_id") >= first)
         parts = max(1, min(MAX_PARTS, -(-(last - first) // PART_BATCHES)))
-        df = df.repartitionByRange(parts, "batch_id", "slot").sortWithinPartitions("batch_id", "slot")
+        df = df.repartitionByRange(parts, "batch_id").sortWithinPartitions("batch_id", "slot")
         if not cfg.cache_directory:
             df = self._load(df, ("batch_id", "slot", "pos", "row_idx"))
         df = df.withColumn("_record", F.col("row_idx")).withColumn("_draw", F.pmod("pos", F.lit(2**31 - 1)))
@@ -140,26 +158,20 @@ class DataLoader:
         prefix = f"{c['name']}." if c.get("name") else ""
         return out.withColumnsRenamed({s[0][len(prefix) :]: providers.inner_name(s[0]) for s in providers.shapes("localization_rcnn", c)}).drop("_json", "boxes") if prefix else out.drop("_json", "boxes")
 
-    def _batches(self, first: int, last: int) -> Iterator[tuple[tuple[str, np.ndarray], ...]]:
+    def batch_plan(self, first: int = 0, last: int | None = None) -> DataFrame:
+        """A row per batch, made by tasks: batch_id, n_bytes, a0, a1, ... (an array's bytes each, in the order of the buffers), _error."""
         df = self.plan(first, last)
         if any(kind == "localization_rcnn" for kind, _ in self._cfg.providers):  # its targets are joined to the records
-            df = df.orderBy("batch_id", "slot")
-        part: list[T.Row] = []
-        for r in df.toLocalIterator(prefetchPartitions=True):
+            parts = max(1, min(MAX_PARTS, -(-((self.batch_count if last is None else last) - first) // PART_BATCHES)))
+            df = df.repartitionByRange(parts, "batch_id").sortWithinPartitions("batch_id", "slot")
+        return batches.assemble(df, [(name, shape, providers.NUMPY[kind]) for name, shape, kind, _ in self.shapes], self.batch_size, self._cfg.batch_major)
+
+    def _batches(self, first: int, last: int) -> Iterator[tuple[tuple[str, np.ndarray], ...]]:
+        made = {name: (providers.NUMPY[kind], (self.batch_size, *shape) if self._cfg.batch_major else (int(np.prod(shape)), self.batch_size)) for name, shape, kind, _ in self.shapes}
+        for r in self.batch_plan(first, last).toLocalIterator(prefetchPartitions=True):
             if r["_error"]:
-                raise RuntimeError(f"record {r['row_idx']}: {r['_error']}")
-            part.append(r)
-            if len(part) == self.batch_size:
-                yield self._pack(part)
-                part = []
-
-    def _pack(self, part: list[T.Row]) -> tuple[tuple[str, np.ndarray], ...]:
-        out = []
-        for name, shape, kind, _ in self.shapes:
-            x = np.array([r[name] for r in part], providers.NUMPY[kind])
-            x = x.reshape(len(part), *shape) if self._cfg.batch_major else np.ascontiguousarray(x.reshape(len(part), -1).T)
-            out.append((name, x))
-        return tuple(out)
+                raise RuntimeError(r["_error"])
+            yield tuple((name, np.frombuffer(bytearray(r[f"a{i}"]), kind).reshape(shape)) for i, (name, (kind, shape)) in enumerate(made.items()))
 
     def reset(self) -> None:
         self._running = None

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 import numpy as np
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -14,17 +12,10 @@ from ..functions.boxes import Box
 from ..functions.prng import M, sql_draw
 from ..operators import anchors, augment, rows
 from ..sources import containers, manifest
-from . import batches, cache, config, providers
+from ..sources.work import work_path
+from . import cache, config, providers
 from .loader import DataLoader
-from .queries import _BOXES, _ID, _ROWS, SEED, _sides, _sql_chars, box, boxes, query, r6, records, table
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(given or '/tmp/checkpoints').rstrip('/')}/loomery-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
+from .queries import _BOXES, _ID, _NODES, _ROWS, _SIZE, BATCH, BLOCK, SEED, _sides, _sql_chars, box, boxes, query, r6, records, table
 
 
 def local(path: str) -> str:
@@ -32,11 +23,11 @@ def local(path: str) -> str:
 
 
 def write_manifest(spark, sf_dir, columns: dict, kinds: list[str], source: str, key: str) -> str:
-    """Lines of a table as a manifest, in the order of a key, with a header, a comment and an empty line."""
+    """Lines of a table as a manifest in several files, in the order of a key, with a comment, a header and an empty line before."""
     lines = table(spark, sf_dir, source).select(F.col(key).cast("long").alias("k"), F.concat_ws("\t", *columns.values()).alias("value"))
     head = spark.createDataFrame([(-3, "# made for a query"), (-2, "@" + "\t".join(kinds)), (-1, "")], "k long, value string")
     path = work_path(spark, "manifest")
-    lines.unionByName(head).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)  # one small file: a manifest is one
+    lines.unionByName(head).repartitionByRange("k").sortWithinPartitions("k").select("value").write.text(path)
     return path
 
 
@@ -98,15 +89,45 @@ def loader_plan(spark, sf_dir):
     )
 
 
-@query(f"""WITH {_ROWS} SELECT (row_idx // 64)::BIGINT AS batch_id, (row_idx % 64)::BIGINT AS slot, (event_id % 1000)::BIGINT AS label, least(length(event_type), 8)::BIGINT AS n_chars, '(64, 1)' AS shape, 'uint32' AS kind FROM r WHERE row_idx < 192""")
+@query(f"""WITH {_ROWS}, b AS (SELECT pos // 64 AS batch_id, pos % 64 AS slot, pos % n.n AS at FROM n, range(((SELECT n FROM n) + 63) // 64 * 64) AS t(pos))
+SELECT b.batch_id::BIGINT AS batch_id, 3584::BIGINT AS n_bytes, string_agg(format('{{:02X}}{{:02X}}0000', (event_id % 1000)::BIGINT % 256, (event_id % 1000)::BIGINT // 256), '' ORDER BY b.slot) AS labels,
+  string_agg(format('{{:02X}}000000', least(length(event_type), 8)), '' ORDER BY b.slot) AS lengths, (sum(event_id) % 65521)::BIGINT AS blob FROM b JOIN r ON r.row_idx = b.at GROUP BY 1""")
 def loader_batches(spark, sf_dir):
-    """Three batches as the iterator gives them, through bytes and back (that many is the query)."""
-    run, out = iter(_loader(spark, sf_dir, iteration_mode="INFINITE")), []
-    for k in range(3):
-        arrays = dict(batches.from_bytes(batches.to_bytes(next(run))))
-        label, n = arrays["label"], arrays["kind.char_map_length"]
-        out += [(k, i, int(label[i, 0]), int(n[i, 0]), str(label.shape), label.dtype.name) for i in range(len(label))]
-    return spark.createDataFrame(out, "batch_id long, slot long, label long, n_chars long, shape string, kind string")
+    """Every batch of a pass as tasks assemble it: the bytes of its arrays."""
+    df = _loader(spark, sf_dir).batch_plan()
+    low = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.unhex(F.substr(F.hex("a4"), 16 * k + 1, F.lit(16))))
+    ids = F.aggregate(low, F.lit(0).cast("bigint"), lambda s, x: s + text.unpack_int(x, 8))
+    return df.select("batch_id", "n_bytes", F.hex("a0").alias("labels"), F.hex("a2").alias("lengths"), (ids % 65521).alias("blob"))
+
+
+_EPOCHS = 3
+
+
+@query(f"""WITH {_ROWS}, m AS (SELECT event_id, (row_number() OVER (ORDER BY {sql_draw('row_idx', SEED, 1)}, row_idx) - 1)::BIGINT AS place FROM r), s AS {_SIZE},
+b AS (SELECT m.*, epoch, m.place // s.size AS block_id, n FROM m, s, range({_EPOCHS}) AS t(epoch)),
+o AS (SELECT event_id, epoch * n + row_number() OVER (PARTITION BY epoch ORDER BY {sql_draw('block_id', f'({SEED} + epoch)', 2)}, block_id, place) - 1 AS pos FROM b)
+SELECT (pos // 64)::BIGINT AS batch_id, (pos % 64)::BIGINT AS slot, (event_id % 1000)::BIGINT AS label, event_id::DOUBLE AS blob FROM o WHERE pos < (SELECT {_EPOCHS} * n // 64 * 64 FROM n)""")
+def loader_epochs(spark, sf_dir):
+    """Three passes over a shuffled manifest: a block order of its own in each, batches across the passes."""
+    n = table(spark, sf_dir, "events").count()
+    df = _loader(spark, sf_dir, shuffle_manifest=True, random_seed=SEED, block_size=BLOCK, iteration_mode="COUNT", iteration_mode_count=_EPOCHS * n // 64).plan()
+    return df.select("batch_id", "slot", F.get("label", 0).cast("bigint").alias("label"), (F.get("blob", 0) + F.get("blob", 1) * 4294967296.0).cast("double").alias("blob"))
+
+
+@query(f"""WITH {_ROWS}, p AS (SELECT n // {_NODES} AS per, n // {_NODES} // {BATCH} AS batches, n // {_NODES} % {BATCH} AS tail FROM n),
+o AS (SELECT event_id, epoch, row_number() OVER (PARTITION BY epoch ORDER BY {sql_draw('row_idx', f'({SEED} + epoch)', 1)}, row_idx) - 1 AS row_idx FROM r, range({_EPOCHS}) AS t(epoch)),
+d AS (SELECT o.*, p.*, p.batches * {BATCH} * {_NODES} AS dealt FROM o, p)
+SELECT event_id, epoch::BIGINT AS epoch, CASE WHEN row_idx < dealt THEN row_idx % ({BATCH} * {_NODES}) // {BATCH} ELSE (row_idx - dealt) // tail END::INTEGER AS node_id,
+  CASE WHEN row_idx < dealt THEN row_idx // ({BATCH} * {_NODES}) * {BATCH} + row_idx % {BATCH} ELSE batches * {BATCH} + (row_idx - dealt) % tail END::BIGINT AS row_idx
+FROM d WHERE row_idx < per * {_NODES}""")
+def epoch_deals(spark, sf_dir):
+    """The records of each of three nodes in each of three epochs."""
+    ev = records(spark, sf_dir).select("row_idx", "event_id")
+    n, out = ev.count(), None
+    for k in range(_NODES):
+        part = rows.deal_epochs(ev, n, SEED, 0, _EPOCHS - 1, k, _NODES, BATCH).select("event_id", "epoch", F.lit(k).alias("node_id"), "row_idx")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("SELECT (n_nationkey // 5)::BIGINT AS batch_id, (n_nationkey % 5)::BIGINT AS slot, k::INTEGER AS position, (CASE WHEN k < 48 THEN n_nationkey * 3 + k // 3 ELSE n_nationkey * 3 + k % 16 END)::BIGINT AS value FROM nation, range(64) AS t(k)")

@@ -67,6 +67,40 @@ def test_shuffle_cache_and_shards(spark, tmp_path):
     assert len(DataLoader(spark, base | {"subset_fraction": 0.5})) == 10
 
 
+def test_epochs_under_shuffle_manifest(spark, tmp_path):
+    """Every pass has its own order of blocks, or of records dealt to nodes; batches go on across passes."""
+    n, bs = 60, 4
+    m = write(tmp_path / "m.tsv", n, ["STRING"], lambda i: (str(i),))
+    base = {"manifest_filename": m, "batch_size": bs, "block_size": 6, "etl": [{"type": "label"}], "shuffle_manifest": True, "random_seed": 2, "iteration_mode": "COUNT"}
+    labels = lambda given: [int(x) for b in DataLoader(spark, given) for x in b[0][1].ravel()]
+    got = labels(base | {"iteration_mode_count": 3 * n // bs})
+    passes = [tuple(got[k * n : (k + 1) * n]) for k in range(3)]
+    assert all(sorted(p) == list(range(n)) for p in passes) and len(set(passes)) == 3
+    blocks = [{p[i : i + 6] for i in range(0, n, 6)} for p in passes]
+    assert blocks[0] == blocks[1] == blocks[2]  # the same blocks, each as it was
+    for mixed in (False, True):
+        per = n // 3
+        nodes = [labels(base | {"iteration_mode_count": 3 * per // bs, "node_id": k, "node_count": 3, "shuffle_enable": mixed}) for k in range(3)]
+        deals = [[tuple(x[e * per : (e + 1) * per]) for x in nodes] for e in range(3)]
+        assert all(sorted(sum(d, ())) == list(range(n)) for d in deals) and len({d[0] for d in deals}) == 3
+    endless = iter(DataLoader(spark, base | {"iteration_mode": "INFINITE"}))
+    assert [int(x) for _ in range(3 * n // bs) for x in next(endless)[0][1].ravel()] == got
+
+
+def test_batches_are_assembled_in_tasks(spark, tmp_path):
+    m = images(tmp_path / "m.tsv", 10, broken=(6,))
+    loader = DataLoader(spark, {"manifest_filename": m, "batch_size": 4, "etl": etl(), "batch_major": False})
+    made = {r.batch_id: r for r in loader.batch_plan().collect()}
+    assert sorted(made) == [0, 1, 2] and {r.n_bytes for r in made.values()} == {4 * (8 * 8 * 3 + 4)} == {len(made[0].a0) + len(made[0].a1)}
+    assert made[0]._error is None and made[1]._error.startswith("record 6: ") and made[2]._error is None
+    images_ = np.frombuffer(made[2].a0, "u1").reshape(8 * 8 * 3, 4)
+    assert images_[2].tolist() == [8, 9, 0, 1] and np.frombuffer(made[2].a1, "<u4").tolist() == [8, 9, 0, 1]
+    run = iter(loader)
+    next(run)[0][1][:] = 0  # arrays are the user's own
+    with pytest.raises(RuntimeError, match="record 6"):
+        next(run)
+
+
 def test_batch_minor(spark, tmp_path):
     m = write(tmp_path / "m.tsv", 6, ["STRING"], lambda i: (str(i),))
     b = next(iter(DataLoader(spark, {"manifest_filename": m, "batch_size": 3, "batch_major": False, "etl": [{"type": "label", "output_type": "float"}]})))

@@ -109,13 +109,51 @@ def test_transpose(spark):
     assert math.isclose(sum(map(sum, got.values())), 192)
 
 
-def test_row_index_with_an_outlier(spark):
-    """Ranges follow the rows, so a key far away does not put all others into one."""
-    df = spark.createDataFrame([(float(x), x) for x in range(2000)] + [(1e15, 2000)], "k double, id long")
-    got = rows.with_row_index(df, "k", ("id",), ranges=64)
-    assert [r.row_idx for r in got.orderBy("id").collect()] == list(range(2001))
-    per = df.withColumn("r", rows._range_of(df, "k", 64)).groupBy("r").count().collect()
-    assert len(per) > 30 and max(r["count"] for r in per) < 400
+def test_tied_keys_are_split(spark):
+    """Rows of one key are in several partitions, in the order of their ties, and else in that of the table."""
+    df = spark.createDataFrame([(float(x >= 1000), 2000 - x) for x in range(2000)] + [(1e15, 0)], "k double, id long").coalesce(1)
+    got = rows.with_row_index(df, "k", ("id",), ranges=16)
+    assert [r.row_idx for r in got.orderBy("k", "id").collect()] == list(range(2001))
+    plain = rows.with_row_index(df, "k", ranges=16)
+    assert [r.id for r in plain.orderBy("row_idx").collect()] == [*range(2000, 0, -1), 0]
+    parts = plain.select(F.input_file_name().alias("f"), "k").distinct().groupBy("k").count().collect()
+    assert min(r["count"] for r in parts if r.k < 2) > 3
+
+
+def test_numbers_in_place(spark):
+    df = spark.createDataFrame([(p, x) for p in (2, 0, 1) for x in range(50)], "part long, x long").repartition(5, "part").sortWithinPartitions(F.desc("part"), F.desc("x"))
+    got = rows.number_in_place(df, ["part"], "n").orderBy("n").collect()
+    assert [(r.n, r.part, r.x) for r in got] == [(50 * p + 49 - x, p, x) for p in range(3) for x in range(49, -1, -1)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_subset_neither_joins_nor_sorts_what_is_left(events):
+    assert plan_of(rows.subset(events, 0.3)).count("Exchange") <= 2 and "SortMergeJoin" not in plan_of(rows.subset(events, 0.3))
+
+
+def test_epochs_have_their_own_order(events):
+    blocks = rows.with_blocks(rows.with_epochs(events, 2, 4), 1003, 100)
+    got = rows.shuffle_blocks(blocks, 3, within=False).collect()
+    order = {e: [r.source_idx for r in sorted((r for r in got if r.epoch == e), key=lambda r: r.row_idx)] for e in (2, 3, 4)}
+    assert all(sorted(o) == list(range(1003)) for o in order.values()) and len({tuple(o) for o in order.values()}) == 3
+    starts = [x for x in order[2] if x % 101 == 0]
+    assert all(order[2][order[2].index(s) : order[2].index(s) + 10] == list(range(s, s + 10)) for s in starts if s + 10 < 1003)
+
+
+@pytest.mark.parametrize("n,bs,nodes", [(1003, 7, 3), (20, 4, 1)])
+def test_deals_partition_every_epoch(events, n, bs, nodes):
+    got = {k: rows.deal_epochs(events.where(F.col("row_idx") < n), n, 5, 1, 3, k, nodes, bs).collect() for k in range(nodes)}
+    seen = set()
+    for epoch in (1, 2, 3):
+        mine = {k: sorted((r.row_idx, r.source_idx) for r in rs if r.epoch == epoch) for k, rs in got.items()}
+        assert all([p for p, _ in m] == list(range(n // nodes)) for m in mine.values())
+        all_ = [s for m in mine.values() for _, s in m]
+        assert len(set(all_)) == len(all_) == n // nodes * nodes
+        seen.add(tuple(all_))
+    assert len(seen) == 3
 
 
 def test_move_to(events):

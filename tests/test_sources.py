@@ -199,3 +199,26 @@ def test_audio(spark):
         got = spark.range(1).select(audio.window(kind, 33).alias("w")).first().w
         assert np.allclose(got, audio.window_array(kind, 33))
     assert np.allclose(audio.mel_to_hz(audio.hz_to_mel(440.0)), 440) and spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_manifest_in_several_files(spark, tmp_path):
+    """Lines follow the names of the files, whatever their sizes, and splits of a long one follow each other."""
+    n = 0
+    for k, size in enumerate((3, 4000, 1, 0, 700, 2)):
+        lines = ["# part"] + ["@STRING\tASCII_INT"] * (k == 0) + [f"{'x' * (i % 50)}\t{n + i}" for i in range(size)] + [""]
+        (tmp_path / f"part-{k}.txt").write_text("\n".join(lines))
+        n += size
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        lines = manifest.read_lines(spark, str(tmp_path))
+        kinds, records = manifest.parse(lines)
+        got = records.orderBy("row_idx").collect()
+        assert lines.rdd.getNumPartitions() > 6
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert kinds == ["STRING", "ASCII_INT"] and [r.row_idx for r in got] == list(range(n)) and [int(r.e[1]) for r in got] == list(range(n))
+    assert [r.line_no for r in got] == sorted(r.line_no for r in got)
+    (tmp_path / "part-9.txt").write_text("only one\n")
+    with pytest.raises(RuntimeError, match=f"at line: {got[-1].line_no + 1}, "):
+        manifest.parse(manifest.read_lines(spark, str(tmp_path)))
