@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 
 import numpy as np
@@ -32,6 +33,17 @@ ROWS = 1 << 16  # pieces and gaps that a task sweeps, about
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 
+#: A character that lower case or composition may treat by its neighbours, or by the version of Unicode.
+_BEYOND = re.compile("[^\x00-\u012f]").search
+#: A full stop or comma that follows one of its kind; any other begins a word of its own.
+_RUN = re.compile(r"[^\w\s][.,]|_[.,]").search
+_ALONE = re.compile(r"(?<=[^\W_])[.,]")
+
+
+def _simple(text: str) -> bool:
+    return text.isascii() or not _BEYOND(text)
+
+
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 ROW = "kind int, size int, id long, doc_id long, piece int, start long, ids_crc32 long"
 SWEPT = f"{ROW}, part int, rank long, offset int, sequence_id long"
@@ -42,9 +54,10 @@ class WordEncoder:
     """Ids as little-endian 32-bit numbers, as ``Tokenizer.encode(text, add_special_tokens=False).ids`` of a word-end vocabulary.
 
     White space is never part of a word there, and no normalisation reaches across a space or line feed, so a text is the sequence of what
-    stands between them. These parts are remembered in lower case where a text is ASCII. New ASCII parts are split into words,
-    of which new ones are encoded together and told apart by their word ends; other parts are encoded by themselves, and texts
-    with a special token as a whole. The memory is emptied when it takes ``CACHE_BYTES``.
+    stands between them, and full stops and commas after a letter or number begin a word. These parts are remembered, in lower
+    case where a text has only characters whose lower case stands alone. New parts of this kind are split into words, of which new ones are
+    encoded together and told apart by their word ends; other parts are encoded by themselves, and texts with a special
+    token as a whole. The memory is emptied when it takes ``CACHE_BYTES``.
     """
 
     def __init__(self, path: str):
@@ -59,7 +72,6 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.parts: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
         self.held = 0
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -71,46 +83,49 @@ class WordEncoder:
         if len(at) != len(words):
             raise ValueError("the tokenizer does not split words as its vocabulary says")
         raw, at = ids.tobytes(), [0, *at.tolist()]
-        self.words.update(zip(words, (raw[a:b] for a, b in zip(at, at[1:]))))
-
-    def _learn(self, parts: set[str]) -> None:
-        split = {p: self.split(p.lower()) for p in parts if p.isascii()}
-        words = [*{w for ws in split.values() for w in ws if w not in self.words}]
+        self.parts.update(zip(words, (raw[a:b] for a, b in zip(at, at[1:]))))
+
+    def _learn(self, parts: set[str]) -> set[str]:
+        """Adds parts and the words in them; returns what was added."""
+        split = {p: self.split(p.lower()) for p in parts if _simple(p) and not (p.isalpha() and p.islower())}
+        others = [p for p in parts if p not in split and not _simple(p)]
+        words = parts.difference(split, others)
+        words |= {w for ws in split.values() for w in ws if w not in self.parts}
         if words:
-            self._learn_words(words)
-        known = self.words.__getitem__
-        self.parts.update((p, b"".join(map(known, ws))) for p, ws in split.items())
-        others = [p for p in parts if not p.isascii()]
+            self._learn_words([*words])
+        known = self.parts.__getitem__
+        self.parts.update([(p, b"".join(map(known, ws))) for p, ws in split.items()])
         self.parts.update((p, x.tobytes()) for p, x in zip(others, self._ids(others)))
-        self._forget_long(self.words, words)
+        return words | parts
 
-    def _forget_long(self, memory: dict[str, bytes], learned) -> None:
+    def _forget_long(self, learned: set[str]) -> None:
         for x in learned:
             if len(x) > LONG:
-                del memory[x]
+                del self.parts[x]
             else:
-                self.held += 200 + 2 * len(x) + len(memory[x])
+                self.held += 200 + 2 * len(x) + len(self.parts[x])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         if self.held > CACHE_BYTES:
-            self.parts, self.words, self.held = {"": b""}, {}, 0
+            self.parts, self.held = {"": b""}, 0
         out: list[bytes] = [b""] * len(texts)
         split, new = [], set()
         for i, t in enumerate(texts):
             if any(s in t for s in self.special):
                 out[i] = self._ids([t])[0].tobytes()
                 continue
-            t = t.replace("\n", " ")
-            parts = (t.lower() if t.isascii() else t).split(" ")
+            t = (t.lower() if _simple(t) else t).replace("\n", " ")
+            t = _ALONE.sub(r" \g<0>", t) if _RUN(t) else t.replace(".", " .").replace(",", " ,")
+            parts = t.split(" ")
             found = [*map(self.parts.get, parts)]
             missing = [p for p, v in zip(parts, found) if v is None]
             new.update(missing)
             split.append((i, parts, found, bool(missing)))
-        self._learn(new)
+        learned = self._learn(new)
         known = self.parts.__getitem__
         for i, parts, found, some in split:
             out[i] = b"".join(map(known, parts) if some else found)
-        self._forget_long(self.parts, new)
+        self._forget_long(learned)
         return out
 
 
