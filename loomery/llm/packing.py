@@ -47,7 +47,8 @@ def _simple(text: str) -> bool:
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 ROW = "kind int, size int, id long, doc_id long, piece int, start long, ids_crc32 long"
 SWEPT = f"{ROW}, part int, rank long, offset int, sequence_id long"
-PLACED, LEFT, FREE, OPEN = 0, 1, 2, 3  # a piece in its place, a piece and a gap without partner, a gap that took something
+LINE = "line struct<placed: long, left: long, tokens: long, largest: int, free: long, smallest: int, open: long>"  # a task's sums
+PLACED, LEFT, FREE, OPEN, SUMS = 0, 1, 2, 3, 4  # a piece in its place, a piece and a gap without partner, a gap that took something, a line
 
 
 class WordEncoder:
@@ -167,6 +168,9 @@ def _cutter(path: str, size: int, end: bytes):
     return run
 
 
+LINE_ARROW = pa.struct([(f.split(": ")[0], pa.int32() if f.endswith("int") else pa.int64()) for f in LINE[len("line struct<") : -1].split(", ")])
+
+
 def sweep(kinds: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows that rise by size, pieces (kind 0) before gaps (1) of a size: for each piece the row of its gap (-1: none) and how
     much that gap took before it. A gap takes the largest piece that waits, again while the next one fits."""
@@ -185,7 +189,7 @@ def sweep(kinds: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _sweeper(size: int):
-    """A sorted range: places, leftovers with their ranks, updated gaps. A gap's id is its sequence's."""
+    """A sorted range: places, leftovers with their ranks, updated gaps, and a line of sums. A gap's id is its sequence's."""
     names = [c.split()[0] for c in SWEPT.split(", ")]
 
     def run(batches):
@@ -208,7 +212,12 @@ def _sweeper(size: int):
         narrow = {"kind", "size", "part", "offset"}
         columns = [pa.array(new[c].astype("i4" if c in narrow else "i8")) if c in new else rows.column(c) for c in names]
         keep = (status != OPEN) | (length - took > 0)
-        yield from pa.table(columns, names).filter(pa.array(keep)).to_batches()
+        left, free = length[status == LEFT], length[status == FREE]
+        sums = {"placed": placed.sum(), "left": len(left), "tokens": left.sum(), "largest": left.max(initial=0), "free": len(free), "smallest": free.min(initial=size), "open": (keep & (status == OPEN)).sum()}
+        out = pa.table(columns, names).filter(pa.array(keep)).append_column("line", pa.nulls(keep.sum(), LINE_ARROW))
+        yield from out.to_batches()
+        line = {"kind": SUMS, "part": TaskContext.get().partitionId(), "line": {k: int(v) for k, v in sums.items()}}
+        yield pa.RecordBatch.from_pylist([line], out.schema)
 
     return run
 
@@ -275,8 +284,8 @@ def best_fit(pieces: DataFrame, size: int, rows_per_task: int = ROWS) -> DataFra
     gap = lambda df: df.select(F.lit(1).alias("kind"), "size", "id", *(F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("piece", "int"), ("start", "long"), ("ids_crc32", "long"))))
     items = rows.where(~large)
     gaps = gap(rows.where(large & (F.col("size") < size)).select((size - F.col("size")).alias("size"), "id"))
-    n = rows.agg(F.count("*"), F.sum("size"), F.count(F.when(large, 1)), F.sum(F.when(large, F.col("size")))).first()
-    left, tokens, n_gaps, opened = n[0] - n[2], (n[1] or 0) - (n[3] or 0), n[2], 0
+    n = rows.agg(F.count("*"), F.sum("size"), F.count(F.when(large, 1))).first()
+    left, n_gaps, opened = n[0] - n[2], n[2], 0
     least = -(-(n[1] or 0) // size) - n[2]  # sequences that are missing for the sum to fit
 
     def opening(k: int) -> DataFrame:
@@ -288,12 +297,10 @@ def best_fit(pieces: DataFrame, size: int, rows_per_task: int = ROWS) -> DataFra
             opened, n_gaps = opened + least, n_gaps + least
         tasks = max(1, -(-(left + n_gaps) // rows_per_task))
         mixed = items.unionByName(gaps).repartitionByRange(tasks, "size", "kind", "id").sortWithinPartitions("size", "kind", "id")
-        swept = stage_table(mixed.mapInArrow(_sweeper(size), SWEPT), "swept")
-        sums = swept.groupBy("part", "kind").agg(F.count("*").alias("n"), F.sum("size").alias("t"), F.max("size").alias("high"), F.min("size").alias("low")).collect()  # four rows a task
-        by = {(s.part, s.kind): s for s in sums}
-        lines = [{"part": p, "left": by[p, LEFT].n if (p, LEFT) in by else 0, "largest": by[p, LEFT].high if (p, LEFT) in by else 0, "free": by[p, FREE].n if (p, FREE) in by else 0, "smallest": by[p, FREE].low if (p, FREE) in by else 0} for p in {s.part for s in sums}]
-        total = lambda kind, k: sum(s[k] for s in sums if s.kind == kind)  # noqa: B023, E731
-        placed, n_gaps, now_left, now_tokens = total(PLACED, "n"), total(OPEN, "n"), total(LEFT, "n"), total(LEFT, "t")
+        swept = stage_table(mixed.mapInArrow(_sweeper(size), f"{SWEPT}, {LINE}"), "swept")
+        lines = [r.line.asDict() | {"part": r.part} for r in swept.where(F.col("kind") == SUMS).select("part", "line").collect()]  # a line per task
+        swept = swept.drop("line")
+        placed, left, n_gaps, tokens = (sum(x[k] for x in lines) for k in ("placed", "left", "open", "tokens"))
         done.append(swept.where(F.col("kind") == PLACED))
         rest, gaps = swept.where(F.col("kind") == LEFT), gap(swept.where(F.col("kind") == OPEN))
         ranges = pair_ranges(lines)
@@ -305,15 +312,12 @@ def best_fit(pieces: DataFrame, size: int, rows_per_task: int = ROWS) -> DataFra
             met = swept.where(F.col("kind").isin(LEFT, FREE)).join(told, here).withColumn("_pair_id", F.col("_pair") + F.floor(nth / F.col("_each")))
             met = met.repartition(tasks, "_pair_id").sortWithinPartitions("_pair_id", F.desc("kind"), F.desc("rank")).select(*swept.columns)
             filled = stage_table(met.mapInArrow(_filler(size), SWEPT), "filled")
-            f = filled.groupBy("kind").agg(F.count("*").alias("n"), F.sum("size").alias("t")).collect()
-            f = {r.kind: r for r in f}
-            placed, now_left, now_tokens = placed + f[PLACED].n, now_left - f[PLACED].n, now_tokens - f[PLACED].t
-            n_gaps += f[OPEN].n if OPEN in f else 0
+            met_pieces = sum(high - low for kind, _, low, high, *_ in ranges if kind == LEFT)
+            placed, left, n_gaps = placed + met_pieces, left - met_pieces, n_gaps + sum(high - low for kind, _, low, high, *_ in ranges if kind == FREE)
             done.append(filled.where(F.col("kind") == PLACED))
             rest = rest.join(told.where(F.col("_kind") == LEFT), here, "left_anti")
             gaps = gaps.unionByName(gap(filled.where(F.col("kind") == OPEN)))
         items = rest.select(F.lit(0).alias("kind"), *row[1:])
-        left, tokens = now_left, now_tokens
         least = 0 if placed else -(-tokens // size)
     return functools.reduce(DataFrame.unionByName, [d.select(*row[1:], "sequence_id", "offset") for d in done])
 
