@@ -5,12 +5,14 @@ still free in it). In a round all of them are range-sorted by size, pieces befor
 upwards: pieces wait on a stack, and each gap takes the largest that waits, again while the next one fits. What finds no partner in its
 range is told by a line per task; from these lines the driver pairs the leftovers of lower ranges with the gaps of higher ones, nearest
 first, as intervals of ranks: the k-th piece goes to the gap that its rank says, so no two want the same place. Gaps that took
-something are updated and the next round begins. When a round places nothing, as many sequences are opened as the rest must
-fill at least. Every round is a table in the shared folder.
+something are updated and the next round begins. When a round places little, as many sequences are opened as the rest must
+fill at least. When what is left is one task's range, that task places it piece by piece, the largest first, each in the smallest gap that it
+fits. Every round is a table in the shared folder.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import os
 import re
@@ -18,6 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +30,8 @@ from .common import stage_table
 END_ID = 0
 CACHE_BYTES = 140 << 20  # what a worker remembers, about
 LONG = 100  # characters of a piece of text that is remembered, at most
-ROWS = 1 << 16  # pieces and gaps that a task sweeps, about
+ROWS = 1 << 14  # pieces and gaps that a task sweeps, about
+LITTLE = 0.02  # of the pieces without place: a round that places no more has new sequences opened
 
 #: What the pre-tokenizer splits a normalised text into; a fixed value of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -47,7 +51,7 @@ def _simple(text: str) -> bool:
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 ROW = "kind int, size int, id long, doc_id long, piece int, start long, ids_crc32 long"
 SWEPT = f"{ROW}, part int, rank long, offset int, sequence_id long"
-LINE = "line struct<placed: long, left: long, tokens: long, largest: int, free: long, smallest: int, open: long>"  # a task's sums
+LINE = "line struct<placed: long, left: long, largest: int, free: long, smallest: int, open: long>"  # a task's sums
 PLACED, LEFT, FREE, OPEN, SUMS = 0, 1, 2, 3, 4  # a piece in its place, a piece and a gap without partner, a gap that took something, a line
 
 
@@ -213,7 +217,7 @@ def _sweeper(size: int):
         columns = [pa.array(new[c].astype("i4" if c in narrow else "i8")) if c in new else rows.column(c) for c in names]
         keep = (status != OPEN) | (length - took > 0)
         left, free = length[status == LEFT], length[status == FREE]
-        sums = {"placed": placed.sum(), "left": len(left), "tokens": left.sum(), "largest": left.max(initial=0), "free": len(free), "smallest": free.min(initial=size), "open": (keep & (status == OPEN)).sum()}
+        sums = {"placed": placed.sum(), "left": len(left), "largest": left.max(initial=0), "free": len(free), "smallest": free.min(initial=size), "open": (keep & (status == OPEN)).sum()}
         out = pa.table(columns, names).filter(pa.array(keep)).append_column("line", pa.nulls(keep.sum(), LINE_ARROW))
         yield from out.to_batches()
         line = {"kind": SUMS, "part": TaskContext.get().partitionId(), "line": {k: int(v) for k, v in sums.items()}}
@@ -271,6 +275,44 @@ def _filler(size: int):
     return run
 
 
+def place_rest(pieces: list[int], gaps: list[int], size: int) -> list[tuple[int, int]]:
+    """Best fit of pieces in falling order: for each the number of its gap, and what is free there before it. Gaps from ``len(gaps)`` on are new."""
+    free = sorted((g, k) for k, g in enumerate(gaps))
+    out, n = [], len(gaps)
+    for piece in pieces:
+        at = bisect.bisect_left(free, (piece, -1))
+        if at < len(free):
+            have, k = free.pop(at)
+        else:
+            have, k, n = size, n, n + 1
+        out.append((k, have))
+        if have > piece:
+            bisect.insort(free, (have - piece, k))
+    return out
+
+
+def _finisher(size: int, opened: int):
+    """All that is left, in one partition, to its places."""
+    names = [c.split()[0] for c in SWEPT.split(", ")]
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        rows = pa.Table.from_batches(batches).sort_by([("kind", "ascending"), ("size", "descending"), ("id", "ascending")])
+        pieces, gaps = (rows.filter(pa.compute.equal(rows.column("kind"), k)) for k in (0, 1))
+        ids = gaps.column("id").to_pylist()
+        places = place_rest(pieces.column("size").to_pylist(), gaps.column("size").to_pylist(), size)
+        new = {
+            "kind": [PLACED] * len(places), "part": [0] * len(places), "rank": [0] * len(places), "offset": [size - have for _, have in places],
+            "sequence_id": [ids[k] if k < len(ids) else -1 - opened - (k - len(ids)) for k, _ in places],
+        }
+        types = {"kind": pa.int32(), "part": pa.int32(), "rank": pa.int64(), "offset": pa.int32(), "sequence_id": pa.int64()}
+        yield from pa.table([pa.array(new[c], types[c]) if c in new else pieces.column(c) for c in names], names).to_batches()
+
+    return run
+
+
 def best_fit(pieces: DataFrame, size: int, rows_per_task: int = ROWS) -> DataFrame:
     """Sequences for pieces (``id`` long, unique, not null; ``size`` int from 1 to ``size``; doc_id, piece, start, ids_crc32).
 
@@ -296,11 +338,16 @@ def best_fit(pieces: DataFrame, size: int, rows_per_task: int = ROWS) -> DataFra
             gaps = gaps.unionByName(opening(least))
             opened, n_gaps = opened + least, n_gaps + least
         tasks = max(1, -(-(left + n_gaps) // rows_per_task))
+        if tasks == 1:
+            last = items.unionByName(gaps).coalesce(1).mapInArrow(_finisher(size, opened), SWEPT)
+            done.append(stage_table(last, "rest"))
+            break
+        before = left
         mixed = items.unionByName(gaps).repartitionByRange(tasks, "size", "kind", "id").sortWithinPartitions("size", "kind", "id")
         swept = stage_table(mixed.mapInArrow(_sweeper(size), f"{SWEPT}, {LINE}"), "swept")
         lines = [r.line.asDict() | {"part": r.part} for r in swept.where(F.col("kind") == SUMS).select("part", "line").collect()]  # a line per task
         swept = swept.drop("line")
-        placed, left, n_gaps, tokens = (sum(x[k] for x in lines) for k in ("placed", "left", "open", "tokens"))
+        placed, left, n_gaps = (sum(x[k] for x in lines) for k in ("placed", "left", "open"))
         done.append(swept.where(F.col("kind") == PLACED))
         rest, gaps = swept.where(F.col("kind") == LEFT), gap(swept.where(F.col("kind") == OPEN))
         ranges = pair_ranges(lines)
@@ -318,7 +365,7 @@ def best_fit(pieces: DataFrame, size: int, rows_per_task: int = ROWS) -> DataFra
             rest = rest.join(told.where(F.col("_kind") == LEFT), here, "left_anti")
             gaps = gaps.unionByName(gap(filled.where(F.col("kind") == OPEN)))
         items = rest.select(F.lit(0).alias("kind"), *row[1:])
-        least = 0 if placed else -(-tokens // size)
+        least = 0 if placed > LITTLE * before or not left else -(-items.agg(F.sum("size")).first()[0] // size)
     return functools.reduce(DataFrame.unionByName, [d.select(*row[1:], "sequence_id", "offset") for d in done])
 
 
