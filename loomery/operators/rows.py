@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,6 +196,41 @@ def batches(df: DataFrame, n_rows: int, batch_size: int, n_batches: int) -> Data
     return df.where(F.col("pos") < total).withColumns({"epoch": F.col("epoch").cast("long"), "batch_id": F.floor(F.col("pos") / batch_size).cast("long"), "slot": (F.col("pos") % batch_size).cast("long")})
 
 
+def _smallest(keys: list[str], order: list[str], k: int, sorted_: bool):
+    """The first k rows of each key in each Arrow batch; batches that are sorted throughout go on from one to the next."""
+
+    def run(batches):
+        last, seen = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.table(b)
+            if not sorted_:
+                t = t.sort_by([(c, "ascending") for c in keys + order])
+            columns = [t.column(c).to_numpy() for c in keys]
+            new = np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0))
+            starts = np.flatnonzero(new)
+            place = np.arange(len(new)) - np.repeat(starts, np.diff(np.append(starts, len(new))))
+            if sorted_:
+                first, end = tuple(c[0] for c in columns), tuple(c[-1] for c in columns)
+                if first == last:
+                    place[: starts[1] if len(starts) > 1 else None] += seen
+                last, seen = end, int(place[-1]) + 1
+            yield from t.filter(pa.array(place < k)).to_batches()
+
+    return run
+
+
+def bottom_k(df: DataFrame, keys: list[str], order: list[str], k: int, by: list[str] | None = None) -> DataFrame:
+    """The k first rows of each key (numbers, not null) in an order (of numbers that differ within a key).
+
+    As an aggregate that can be merged: each task keeps k rows of a key, these are shuffled (by the columns ``by`` of the key, so that what
+    follows can use that), and k of them stay.
+    """
+    kept = df.mapInArrow(_smallest(keys, order, k, False), df.schema).repartition(*(by or keys)).sortWithinPartitions(*keys, *order)
+    return kept.mapInArrow(_smallest(keys, order, k, True), df.schema)
+
+
 def row_at(df: DataFrame, offset: int):
     """The row at an index; out of range is an error."""
     found = df.where(F.col("row_idx") == offset).head(1)

@@ -122,48 +122,47 @@ class DataLoader:
             lead = next(c for k, c in cfg.providers if k in PIXELS + BOXES)
             lead = lead.get("frame", lead)
             df = with_augmentation(df, cfg.augmentation, cfg.random_seed, w, h, lead["width"], lead["height"], "_draw", any(k == "localization_ssd" for k, _ in cfg.providers))
+        joined = [(i, c) for i, (kind, c) in enumerate(cfg.providers) if kind == "localization_rcnn"]
+        for i, c in joined:
+            df = self._rcnn(df, c, f"e{i}")
+        if joined:  # in order again before pixels are decoded
+            df = df.repartitionByRange(parts, "batch_id").sortWithinPartitions("batch_id", "slot")
         for i, (kind, c) in enumerate(cfg.providers):
             if kind in PIXELS:
                 df = providers.add_pixels(df, kind, c, f"e{i}", cfg.augmentation)
             elif kind == "blob":
                 df = providers.add_blob(df, c, f"e{i}")
-            elif kind == "localization_rcnn":
-                df = self._rcnn(df, c, f"e{i}")
-            elif kind in BOXES:
+            elif kind in BOXES and kind != "localization_rcnn":
                 df = providers.add_boxes(df, kind, c, f"e{i}", cfg.augmentation)
-            else:
+            elif kind not in BOXES:
                 df = df.withColumns(providers.text_provider(kind, c, F.col(f"e{i}")))
                 bad = F.col(providers.inner_name(providers.shapes(kind, c)[0][0])).isNull()
                 df = df.withColumn("_error", F.coalesce("_error", F.when(bad, F.lit(f"{kind} cannot be read"))))
         return df.select("batch_id", "slot", F.col("_record").alias("row_idx"), *(F.col(providers.inner_name(s[0])).alias(s[0]) for s in self.shapes), "_error")
 
     def _rcnn(self, df: DataFrame, c: dict, element: str) -> DataFrame:
-        """Anchor targets of each record, joined back by its position."""
+        """Anchor targets of each record, joined to it by its position while its files are bytes."""
         df = df.withColumn("_json", F.col(element).cast("string")).withColumnRenamed("_error", "_before")
-        df = manifest_boxes = providers.parse_annotations(df, "_json", c["class_names"]).withColumn("_error", F.coalesce("_before", "_error")).drop("_before", "width", "height", "depth")
-        a = F.col("aug")
-        moved = providers.transformed_boxes(F.col("boxes"), self._cfg.augmentation, False)
-        gt = manifest_boxes.select(F.col("pos").alias("image_id"), a["out_width"].alias("w"), a["out_height"].alias("h"), F.posexplode(F.slice(moved, 1, c["max_gt_boxes"])).alias("gt_idx", "b")).select("image_id", "w", "h", "gt_idx", "b.*")
-        grid = anchors.tile_anchors(self.spark, c["height"], c["width"], c["base_size"], c["ratios"], c["scales"], c["scaling_factor"])
-        over = anchors.overlaps(gt, grid).where((F.col("a_xmin") >= 0) & (F.col("a_ymin") >= 0) & (F.col("a_xmax") < F.col("w")) & (F.col("a_ymax") < F.col("h")))
-        chosen = anchors.sample(anchors.targets(anchors.label_anchors(over, c["negative_overlap"], c["positive_overlap"])), c["rois_per_image"], c["foreground_fraction"], self._cfg.random_seed)
-        images = df.select(F.col("pos").alias("image_id"))
-        planes = anchors.planes(anchors.scatter(chosen, images, grid))
-        m = c["max_gt_boxes"]
-        none = lambda n, kind: F.array_repeat(F.lit(0).cast(kind), n)
-        padded = anchors.padded_boxes(gt, m)
-        out = df.join(planes, df.pos == planes.image_id, "left").drop("image_id").join(padded, df.pos == padded.image_id, "left").drop("image_id")
-        scale = a["out_width"] / a["crop_width"]
-        out = out.withColumns({"image_shape": F.array(a["out_width"], a["out_height"]), "image_scale": F.array(scale.cast("float")), "gt_boxes": F.coalesce("gt_boxes", none(4 * m, "float")), "gt_box_count": F.array(F.coalesce("gt_box_count", F.lit(0))), "gt_class_count": F.coalesce("gt_class_count", none(m, "int")), "difficult_flag": F.coalesce("difficult_flag", none(m, "int"))})
+        df = providers.parse_annotations(df, "_json", c["class_names"]).withColumn("_error", F.coalesce("_before", "_error")).drop("_before", "_json", "width", "height", "depth")
+        a, m = F.col("aug"), c["max_gt_boxes"]
+        df = df.withColumn("boxes", F.slice(providers.transformed_boxes(F.col("boxes"), self._cfg.augmentation, False), 1, m))
+        gt = df.select(F.col("pos").alias("image_id"), a["out_width"].alias("w"), a["out_height"].alias("h"), F.posexplode_outer("boxes").alias("gt_idx", "b")).where("gt_idx is not null").select("image_id", "w", "h", "gt_idx", "b.*")
+        lattice = anchors.Lattice(c["height"], c["width"], c["base_size"], tuple(c["ratios"]), tuple(c["scales"]), c["scaling_factor"])
+        images = anchors.label_images(gt, lattice, F.col("w"), F.col("h"), c["negative_overlap"], c["positive_overlap"])
+        sparse = anchors.sample(images, lattice, c["rois_per_image"], c["foreground_fraction"], self._cfg.random_seed)
+        out = anchors.planes(df.join(sparse.withColumnRenamed("image_id", "pos"), "pos", "left"), lattice, tuple(df.columns))
+        fill = lambda v, n, kind: F.slice(F.concat(F.coalesce(v, F.array().cast(f"array<{kind}>")), F.array_repeat(F.lit(0).cast(kind), n)), 1, n)
+        sides = F.flatten(F.transform("boxes", lambda x: F.array(x["xmin"], x["ymin"], x["xmax"], x["ymax"]).cast("array<float>")))
+        ints = lambda k: fill(F.transform("boxes", lambda x: x[k].cast("int")), m, "int")
+        count = F.greatest(F.coalesce(F.size("boxes"), F.lit(0)), F.lit(0))
+        more = {"image_shape": F.array(a["out_width"], a["out_height"]), "image_scale": F.array((a["out_width"] / a["crop_width"]).cast("float")), "gt_boxes": fill(sides, 4 * m, "float"), "gt_box_count": F.array(count), "gt_class_count": ints("label"), "difficult_flag": ints("difficult")}
+        out = out.withColumns(more).drop("boxes")
         prefix = f"{c['name']}." if c.get("name") else ""
-        return out.withColumnsRenamed({s[0][len(prefix) :]: providers.inner_name(s[0]) for s in providers.shapes("localization_rcnn", c)}).drop("_json", "boxes") if prefix else out.drop("_json", "boxes")
+        return out.withColumnsRenamed({s[0][len(prefix) :]: providers.inner_name(s[0]) for s in providers.shapes("localization_rcnn", c)}) if prefix else out
 
     def batch_plan(self, first: int = 0, last: int | None = None) -> DataFrame:
         """A row per batch, made by tasks: batch_id, n_bytes, a0, a1, ... (an array's bytes each, in the order of the buffers), _error."""
         df = self.plan(first, last)
-        if any(kind == "localization_rcnn" for kind, _ in self._cfg.providers):  # its targets are joined to the records
-            parts = max(1, min(MAX_PARTS, -(-((self.batch_count if last is None else last) - first) // PART_BATCHES)))
-            df = df.repartitionByRange(parts, "batch_id").sortWithinPartitions("batch_id", "slot")
         return batches.assemble(df, [(name, shape, providers.NUMPY[kind]) for name, shape, kind, _ in self.shapes], self.batch_size, self._cfg.batch_major)
 
     def _batches(self, first: int, last: int) -> Iterator[tuple[tuple[str, np.ndarray], ...]]:

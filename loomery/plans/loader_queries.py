@@ -231,8 +231,8 @@ def rcnn_without_boxes(spark, sf_dir):
     from ..functions.boxes import calculate_scale
 
     images = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("image_id"))
-    none = spark.createDataFrame([], "image_id long, anchor_idx long, label int, dx double, dy double, dw double, dh double")
-    p = anchors.planes(anchors.scatter(none, images, anchors.tile_anchors(spark, 64, 48, 16, (1,), (1, 2, 4), 1 / 16)))
+    none = images.withColumn("sample", F.lit(None).cast(anchors.SAMPLE))
+    p = anchors.planes(none, anchors.Lattice(64, 48, 16, (1,), (1, 2, 4), 1 / 16))
     used = F.aggregate("labels_mask", F.lit(0).cast("bigint"), lambda s, x: s + x)
     k = F.col("image_id")
     scale = calculate_scale((k % 50 + 10).cast("double"), (k % 30 + 20).cast("double"), F.lit(60.0), F.lit(60.0))

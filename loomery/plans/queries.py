@@ -512,19 +512,25 @@ m AS (SELECT image_id, anchor_idx, axmin, aymin, axmax, aymax, max(iou) AS max_i
 l AS (SELECT *, CASE WHEN max_iou >= 0.7 OR tie THEN 1 WHEN max_iou < 0.3 THEN 0 ELSE -1 END::INTEGER AS label FROM m)""".replace(" GROUP BY ALL", " GROUP BY image_id, anchor_idx, axmin, aymin, axmax, aymax")
 
 
-def _over(spark, sf_dir):
-    return anchors.overlaps(_small_boxes(spark, sf_dir), anchors.inside(anchors.tile_anchors(spark, **_NET), 160, 160))
+_LATTICE, _SIDE = anchors.Lattice(**_NET), F.lit(160)
+
+
+def _labelled(spark, sf_dir):
+    return anchors.label_images(_small_boxes(spark, sf_dir), _LATTICE, _SIDE, _SIDE)
 
 
 @query(f"{_OVER} SELECT image_id, gt_idx, count(*)::BIGINT AS n_anchors, round(max(iou), 6) AS best, count(*) FILTER (iou > 0.3)::BIGINT AS n_near, round(sum(iou), 4) AS total FROM o GROUP BY 1, 2")
 def rcnn_overlap(spark, sf_dir):
     """Overlap of every box with every anchor, summed up by box."""
-    return _over(spark, sf_dir).groupBy("image_id", "gt_idx").agg(F.count("*").alias("n_anchors"), r6(F.max("iou")).alias("best"), F.count(F.when(F.col("iou") > 0.3, 1)).alias("n_near"), F.round(F.sum("iou"), 4).alias("total"))
+    over = anchors.overlaps(_small_boxes(spark, sf_dir), _LATTICE, _SIDE, _SIDE, outer=True)
+    sums = over.groupBy("image_id", "gt_idx").agg(r6(F.max("best")).alias("best"), F.count(F.when(F.col("iou") > 0.3, 1)).alias("n_near"), F.round(F.coalesce(F.sum("iou"), F.lit(0.0)), 4).alias("total"))
+    return sums.withColumn("n_anchors", F.size(_LATTICE.inside(_SIDE, _SIDE)).cast("bigint"))
 
 
 @query(f"{_LABEL} SELECT image_id::BIGINT AS image_id, anchor_idx, round(max_iou, 6) AS max_iou, gt.gt_idx::INTEGER AS gt_idx, label FROM l")
 def rcnn_labels(spark, sf_dir):
-    return anchors.label_anchors(_over(spark, sf_dir)).select("image_id", "anchor_idx", r6(F.col("max_iou")).alias("max_iou"), F.col("gt.gt_idx").alias("gt_idx"), F.col("label").cast("int").alias("label"))
+    """Best box, overlap and label of every anchor in every image."""
+    return anchors.label_anchors(_labelled(spark, sf_dir), _LATTICE).select("image_id", "anchor_idx", r6(F.col("max_iou")).alias("max_iou"), "gt_idx", "label")
 
 
 _TARGET = """t AS (SELECT *, (gt.xmin + 0.5 * (gt.xmax - gt.xmin + 1) - (axmin + 0.5 * (axmax - axmin + 1))) / (axmax - axmin + 1) AS dx, (gt.ymin + 0.5 * (gt.ymax - gt.ymin + 1) - (aymin + 0.5 * (aymax - aymin + 1))) / (aymax - aymin + 1) AS dy,
@@ -533,7 +539,7 @@ _TARGET = """t AS (SELECT *, (gt.xmin + 0.5 * (gt.xmax - gt.xmin + 1) - (axmin +
 
 @query(f"{_LABEL}, {_TARGET} SELECT image_id::BIGINT AS image_id, anchor_idx, round(dx, 5) AS dx, round(dy, 5) AS dy, round(dw, 5) AS dw, round(dh, 5) AS dh FROM t")
 def rcnn_targets(spark, sf_dir):
-    t = anchors.targets(anchors.label_anchors(_over(spark, sf_dir)))
+    t = anchors.targets(_labelled(spark, sf_dir), _LATTICE)
     return t.select("image_id", "anchor_idx", *(F.round(c, 5).alias(c) for c in ("dx", "dy", "dw", "dh")))
 
 
@@ -543,21 +549,20 @@ q AS (SELECT * FROM k WHERE CASE WHEN label = 1 THEN rank <= 16 ELSE rank <= 32
 
 
 def _sampled(spark, sf_dir):
-    return anchors.sample(anchors.targets(anchors.label_anchors(_over(spark, sf_dir))), 32, 0.5, SEED)
+    return anchors.sample(_labelled(spark, sf_dir), _LATTICE, 32, 0.5, SEED)
 
 
 @query(f"{_SAMPLED} SELECT image_id::BIGINT AS image_id, anchor_idx, label FROM q")
 def rcnn_sample(spark, sf_dir):
     """At most 32 anchors an image, half of them positive."""
-    return _sampled(spark, sf_dir).select("image_id", "anchor_idx", F.col("label").cast("int").alias("label"))
+    return _sampled(spark, sf_dir).select("image_id", F.explode("sample").alias("_s")).select("image_id", "_s.anchor_idx", "_s.label")
 
 
 @query(f"""{_SAMPLED} SELECT i.image_id::BIGINT AS image_id, count(*)::BIGINT AS n_anchors, count(*) FILTER (q.label = 1)::BIGINT AS n_pos, count(*) FILTER (q.label = 0)::BIGINT AS n_neg
 FROM (SELECT DISTINCT image_id FROM g) i CROSS JOIN a LEFT JOIN q ON q.image_id = i.image_id AND q.anchor_idx = a.anchor_idx GROUP BY 1""")
 def rcnn_planes(spark, sf_dir):
     """The loader's planes, counted: every anchor has a place, few are used."""
-    images = _small_boxes(spark, sf_dir).select("image_id").distinct()
-    p = anchors.planes(anchors.scatter(_sampled(spark, sf_dir), images, anchors.tile_anchors(spark, **_NET)))
+    p = anchors.planes(_sampled(spark, sf_dir), _LATTICE)
     total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x)
     half = lambda k: F.slice("labels_flat", k * 900 + 1, 900)
     return p.select("image_id", (F.size("bbtargets") / 4).cast("bigint").alias("n_anchors"), total(half(1)).alias("n_pos"), total(half(0)).alias("n_neg"))

@@ -160,3 +160,13 @@ def test_move_to(events):
     head, rest = rows.move_to(events, 3)
     assert sorted(r.row_idx for r in head.collect()) == [0, 1, 2] and sorted(r.row_idx for r in rest.collect()) == list(range(1000))
     assert rest.where("row_idx = 0").first().v == 6 and rows.move_to(events, 5000)[1].count() == 0
+
+
+def test_bottom_k(spark):
+    """The same rows as by a rank, from any layout."""
+    df = spark.range(5000).selectExpr("id % 7 % 3 as a", "cast(id % 5 as int) as b", "(id * 7919) % 100003 as u", "id").repartition(6)
+    got = rows.bottom_k(df, ["a", "b"], ["u", "id"], 11, by=["a"])
+    want = sorted((r.a, r.b, r.u, r.id) for r in df.collect())
+    best = [r for i, r in enumerate(want) if i < 11 or want[i - 11][:2] != r[:2]]
+    assert sorted(map(tuple, got.collect())) == best and got.columns == df.columns
+    assert "Window" not in plan_of(got) and rows.bottom_k(df.limit(0), ["a"], ["u"], 3).count() == 0
