@@ -52,12 +52,16 @@ def _targets(sizes: DataFrame, share: float) -> DataFrame:
 def _served(queued: DataFrame) -> DataFrame:
     """n and repeats: how often each row is in the mix, for rows that are in it.
 
-    A row is offered once per lap of its queue in which it starts before virtual time one.
+    A row is offered once per lap of its queue in which at least half of it lies before virtual time one, so that each source ends at the
+    side of its target that is nearer. Those that pass that time come last, in the order of their starts, so that the budget
+    cuts what the shares of the sources miss least.
     """
     laps = F.least(F.lit(MAX_REPEATS), F.ceil((F.col("target") - F.col("upto") + F.col("size")) / F.col("source_size"))).cast("int")
     served = queued.where((F.col("size") > 0) & (F.col("target") > 0)).withColumn("laps", laps).where("laps > 0")
     served = served.select("n", "h", "doc_id", "size", "budget", "source_size", "target", "upto", F.explode(F.sequence(F.lit(0), F.col("laps") - 1)).alias("lap"))
     served = served.withColumn("finish", (F.col("upto") + F.col("lap") * F.col("source_size")) / F.col("target"))
+    before_one = (F.col("target") - F.col("upto") - F.col("lap") * F.col("source_size") + F.col("size")) / F.col("size")  # the share of a row
+    served = served.where(before_one >= 0.5).withColumn("finish", F.when(F.col("finish") > 1, 1 + F.col("finish") - F.col("size") / F.col("target")).otherwise(F.col("finish")))
     served = served.withColumn("range", F.least(F.floor(F.col("finish") * RANGES), F.lit(RANGES)))
     sums = served.groupBy("range").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # a row per range

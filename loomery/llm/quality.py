@@ -22,11 +22,10 @@ from .common import drop_table, stage_table
 
 PASSAGE = 48
 TRAIN_DOCS = 3000  # labelled documents of each class that are learned from, at most
-TRAIN_PASSAGES = 12  # passages of such a document, spread over all of it, at most; scores use all passages
 BUCKETS, GRAMS, DIM = 1 << 13, 3, 8  # hashed n-grams, n-grams of a word, numbers of an embedding
 CODE, GATE, STEPS, BATCH, RATE, SEED = 16, 8, 240, 256, 0.02, 7
 LEAST = 0.3
-PIECE = 1 << 20  # bytes of a text that are read at a time; a passage ends there
+PIECE = 1 << 20  # bytes of a text that are read at a time, about; passages are the same at any size
 
 _CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:'\"?-()", b"!", b"|/\\<>{}[]=_", b"#$%&*@~^`+", bytes(range(0xC3, 0xC4)), bytes(range(0x80, 0xC0)), bytes(range(0xC0, 0xC3)) + bytes(range(0xC4, 0x100)), b" ", bytes(range(32)) + b"\x7f"]
 CLASS = np.zeros(256, "u1")
@@ -64,14 +63,17 @@ _POWERS = (np.ones(1, "u8"), np.ones(1, "u8"))
 
 
 def _pieces(raw: bytes) -> list[bytes]:
-    """A long text in parts of about PIECE bytes, cut at white space if there is some near."""
-    out, at = [], 0
-    while len(raw) - at > PIECE + (PIECE >> 4):
-        end = at + PIECE
-        near = np.flatnonzero(_SPACE[np.frombuffer(raw, "u1", PIECE >> 4, end)])
-        end += int(near[0]) if len(near) else 0
-        out.append(raw[at:end])
-        at = end
+    """A long text in parts of whole passages, of about PIECE bytes where passages are shorter."""
+    buf, out, at, take = np.frombuffer(raw, "u1"), [], 0, PIECE
+    while len(raw) - at > take:
+        blank = _SPACE[buf[at : at + take]]
+        start = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+        last = (len(start) - 1) // PASSAGE * PASSAGE
+        if last <= 0:  # no passage ends here
+            take *= 2
+            continue
+        out.append(raw[at : at + start[last]])
+        at, take = at + int(start[last]), PIECE
     return [*out, raw[at:]]
 
 
@@ -229,9 +231,7 @@ def _featurize(batches):
         out = []
         for raw in b.column("t").to_pylist():
             p = passage_features([raw])
-            at = np.unique(np.linspace(0, len(p.words) - 1, TRAIN_PASSAGES).round().astype(int))
-            grams = np.split(p.grams, np.cumsum(p.words)[:-1])
-            out.append((p.x[at].astype("f4").tobytes(), b"".join(grams[k].tobytes() for k in at), p.words[at].astype("i4")))
+            out.append((p.x.astype("f4").tobytes(), p.grams.tobytes(), p.words.astype("i4")))
         x, grams, words = ([r[k] for r in out] for k in range(3))
         cols = [b.column("doc_id"), b.column("y"), b.column("weight"), pa.array(x, pa.binary()), pa.array(grams, pa.binary()), pa.array(words, pa.list_(pa.int32()))]
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "y", "weight", "x", "grams", "words"])
@@ -240,7 +240,8 @@ def _featurize(batches):
 def train(docs: DataFrame, labels: DataFrame, learn=None, per_class: int = TRAIN_DOCS) -> Attention | None:
     """Fits a model; ``learn`` says for an id column which labelled rows may be learned from. None without labels.
 
-    Passages become numbers where the rows are, so that the driver gets a bounded number of them and no text.
+    Passages, all of a document's, become numbers where the rows are, so that the driver gets those of a bounded number of documents
+    and no text.
     """
     learn = learn or (lambda _: F.lit(True))
     rows = training_rows(docs, labels, "quality", learn, per_class)
