@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
-from ..functions.prng import unit, with_draws
+from ..functions.prng import bound, draw_of, unit, with_draws
 
 DRAWS = {n: 10 + i for i, n in enumerate("angle flip hue contrast brightness saturation scale distortion xoff yoff pad_x pad_y light_0a light_0b light_1a light_1b light_2a light_2b expand expand_ratio expand_x expand_y".split())}
 
@@ -158,21 +158,42 @@ def satisfies(patch: B.Box, objects: Column, constraint: dict, mode: str = "firs
     return found
 
 
+_PATCHES = "array<struct<sampler: int, trial: int, xmin: double, ymin: double, xmax: double, ymax: double>>"
+
+
+def _patch(row: Column, k: int, s: dict, trial: Column, seed: int) -> Column:
+    """The patch that :func:`sampler_patches` gives for a trial, as a struct."""
+    own = s.get("sampler") or {}
+    scale, (a0, a1) = own.get("scale", (1.0, 1.0)), own.get("aspect_ratio", (1.0, 1.0))
+    u = lambda r, d: unit(draw_of(r, seed, d))
+    drawn = lambda r: F.struct((F.lit(float(scale[0])) + u(r, 40) * float(scale[1] - scale[0])).alias("s"), u(r, 41).alias("a"), u(r, 42).alias("x"), u(r, 43).alias("y"))
+
+    def shape(v):
+        low, high = F.greatest(F.lit(float(a0)), v["s"] * v["s"]), F.least(F.lit(float(a1)), 1 / (v["s"] * v["s"]))
+        return bound(low + v["a"] * (high - low), lambda q: bound(F.struct((v["s"] * F.sqrt(q)).alias("w"), (v["s"] / F.sqrt(q)).alias("h")), lambda z: place(v, z)))
+
+    def place(v, z):
+        x, y = v["x"] * (1 - z["w"]), v["y"] * (1 - z["h"])
+        sides = {"xmin": x, "ymin": y, "xmax": x + z["w"], "ymax": y + z["h"]}
+        return F.struct(F.lit(k).alias("sampler"), trial.cast("int").alias("trial"), *(c.alias(n) for n, c in sides.items()))
+
+    return bound(bound(F.pmod(row.cast("long") * 7919 + F.lit(k * 1009) + trial, F.lit(2**31 - 1)), drawn), shape)
+
+
 def batch_samples(images: DataFrame, samplers: list[dict], seed: int, row: str = "image_id", objects: str = "objects", mode: str = "first") -> DataFrame:
-    """One patch per image: of each sampler's patches that satisfy it the first ``max_sample``; one of all, or the frame."""
-    patches = sampler_patches(images, samplers, seed, row)
-    ok = F.lit(False)
-    most = F.lit(-1)
-    for k, s in enumerate(samplers):
-        test = satisfies(B.Box.cols("xmin", "ymin", "xmax", "ymax", pixel=False), F.col(objects), s.get("sample_constraint") or {}, mode)
-        ok = F.when(F.col("sampler") == k, test).otherwise(ok)
-        most = F.when(F.col("sampler") == k, F.lit(int(s.get("max_sample", -1)))).otherwise(most)
-    tried = patches.select(row, "sampler", "trial", "xmin", "ymin", "xmax", "ymax", most.alias("_most"), ok.alias("_ok"))
-    # a running count, as a filter below the window would be pushed into the draws and repeat them many times over
-    rank = F.sum(F.col("_ok").cast("int")).over(Window.partitionBy(row, "sampler").orderBy("trial"))
-    good = tried.withColumn("_rank", rank).where(F.col("_ok") & ((F.col("_most") < 0) | (F.col("_rank") <= F.col("_most"))))
-    chosen = good.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("sampler", "trial", "xmin", "ymin", "xmax", "ymax"))).alias("_p"))
-    out = with_draws(images.select(row), row, seed, {"_pick": 44}).join(chosen, row, "left")
+    """One patch per image: of each sampler's patches that satisfy it the first ``max_sample``; one of all, or the frame.
+
+    Trials are folded in the image's own row and end once a sampler has its patches, so nothing is shuffled.
+    """
+    def fold(k: int, s: dict) -> Column:
+        most, constraint = int(s.get("max_sample", -1)), s.get("sample_constraint") or {}
+        good = lambda p: satisfies(B.Box.of(p, pixel=False), F.col(objects), constraint, mode)
+        more = lambda have, trial: bound(_patch(F.col(row), k, s, trial, seed), lambda p: F.when(good(p), F.concat(have, F.array(p))).otherwise(have))
+        step = lambda have, trial: F.when(F.size(have) >= most, have).otherwise(more(have, trial)) if most >= 0 else more(have, trial)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(int(s.get("max_trials", 100)) - 1)), F.array().cast(_PATCHES), step)
+
+    found = [fold(k, s) for k, s in enumerate(samplers)]
+    out = with_draws(images.withColumn("_p", F.concat(*found)), row, seed, {"_pick": 44})
     at = F.floor(unit(F.col("_pick")) * F.size("_p")).cast("int")
     full = F.struct(F.lit(-1).alias("sampler"), F.lit(-1).alias("trial"), F.lit(0.0).alias("xmin"), F.lit(0.0).alias("ymin"), F.lit(1.0).alias("xmax"), F.lit(1.0).alias("ymax"))
     return out.select(row, F.coalesce(F.get("_p", at), full).alias("_c")).select(row, "_c.*")

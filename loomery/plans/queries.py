@@ -579,6 +579,7 @@ _SAMPLERS = [
 def _images(spark, sf_dir):
     b = boxes(spark, sf_dir)
     n = box().normalize(F.lit(512.0), F.lit(512.0))
+    b = b.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "image_id")  # small rows that take long: as many tasks as asked for
     return b.groupBy("image_id").agg(F.array_sort(F.collect_list(n.struct())).alias("objects"))
 
 
