@@ -1,65 +1,18 @@
-"""What the corpus operators share: stage tables in the shared folder and connected components.
+"""What the corpus operators share: joins that no hot key gathers, and connected components.
 
-Stage tables are plain Parquet below the folder named by ``spark.checkpoint.dir``. They cut lineage, so a lost
-executor costs at most the stage that was running, and they are read back by any executor.
+Their stage tables are those of the core (:mod:`loomery.sources.work`).
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only by a session in local mode that names no shared folder, as in tests on one machine.
-LOCAL_SHARED = "/tmp/checkpoints/loomery"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A cluster's session that names none is an error."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (given or LOCAL_SHARED).rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path below the application's own folder; :func:`drop_work` deletes them all."""
-    return f"{_work_dir(spark)}/{uuid.uuid4().hex}-{name}"
-
-
-def _work_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/loomery-{spark.sparkContext.applicationId}"
-
-
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._loomery_path = path
-    return out
+from ..sources.work import drop_table, drop_work, shared_dir, stage_table, work_path  # noqa: F401
 
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def drop_table(*tables: DataFrame) -> None:
-    """Delete stage tables that nothing reads any more."""
-    for table in tables:
-        path = getattr(table, "_loomery_path", None)
-        if path:
-            _delete(table.sparkSession, path)
-
-
-def drop_work(spark: SparkSession) -> None:
-    """Delete every stage table and token store of this application: results are lazy, so call it when they are written."""
-    _delete(spark, _work_dir(spark))
+HOT = 1000  # see join_counted
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -74,6 +27,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def join_counted(rows: DataFrame, per: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Joins rows with ``per``, which has a row per key with ``share``, the number of rows that have it.
+
+    Keys that count over one in HOT of ``total`` rows join by broadcast, wherever their rows are: as the shares add up to no
+    more than ``total``, fewer than HOT keys are broadcast. The others are shuffled, so no task gets more than its share.
+    """
+    often = F.broadcast(per.where(F.col("share") > total / HOT))
+    rest = rows.join(often.select(*keys), keys, "left_anti").join(per.where(F.col("share") <= total / HOT), keys)
+    return rows.join(often, keys).unionByName(rest)
+
+
 def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Joins the classes of i[k] and j[k] for all k; label[x] is a smaller or equal index in x's class."""
     while len(i):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, stage_table, unite
+from .common import components, join_counted, stage_table, unite
 
 INTERVAL = 8192  # vectors in a sequence interval, at most
 INTERVAL_BYTES = 16 << 20  # bytes of vectors in one, at most; both bound a task's memory
@@ -243,8 +243,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     roots = components(found.select("a", "b"))
     links = found.groupBy("dim", "key").agg(F.sum("links").alias("links"))
     info = reps.drop("unit").join(links, ["dim", "key"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    info = info.select("dim", "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "rep").alias("root"))
-    out = rows.select("vec_id", "dim", "key").join(info, ["dim", "key"], "left")
-    comp = F.when(F.col("vec_id").isNotNull(), F.coalesce("root", "vec_id"))
-    n = F.when(F.col("vec_id").isNotNull(), F.col("links"))
-    return out.select("vec_id", F.coalesce(n, F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(True)).alias("kept"))
+    info = info.select("dim", "key", F.col("n").alias("share"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "rep").alias("root"))
+    info = stage_table(info, "classes")
+    linked = join_counted(valid.select("vec_id", "dim", "key"), info, ["dim", "key"], valid.count())
+    linked = linked.select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("root").alias("component_id"))
+    alone = rows.where("dim is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -14,7 +14,7 @@ anchors, about one byte in 190, therefore find every repeat:
 3. An anchor with more than ``GROUP`` contexts does not fit one task. Its contexts stay where they are, and their windows
    are hashed and counted as rows.
 
-An anchor or a context with a large share of all rows meets its like in no task: see :func:`_join_counted`.
+An anchor or a context with a large share of all rows meets its like in no task: see :func:`.common.join_counted`.
 Texts travel compressed, and only hashes of runs are shuffled otherwise.
 """
 
@@ -29,13 +29,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, stage_table
+from .common import drop_table, join_counted, stage_table
 
 LENGTH = 400
 GRAM = 16
 GROUP = 40_000  # contexts of one anchor that a task resolves
 PAIRWISE = 24  # contexts of one anchor whose common prefixes are taken pair by pair after the sort
-HOT = 1000  # see _join_counted
 BUFFER = 2 << 20  # bytes of text that are hashed at a time
 
 
@@ -322,30 +321,19 @@ def _windows(length):
     return run
 
 
-def _join_counted(rows: DataFrame, per: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """Joins rows with ``per``, which has a row per key with ``share``, the number of rows that have it.
-
-    Keys that count over one in HOT of ``total`` rows join by broadcast, wherever their rows are: as the shares add up to no
-    more than ``total``, fewer than HOT keys are broadcast. The others are shuffled, so no task gets more than its share.
-    """
-    often = F.broadcast(per.where(F.col("share") > total / HOT))
-    rest = rows.join(often.select(*keys), keys, "left_anti").join(per.where(F.col("share") <= total / HOT), keys)
-    return rows.join(often, keys).unionByName(rest)
-
-
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """doc_id, k (hash of the text) and spans (flat byte start, end; they may overlap) of what repeats."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
     rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
     runs = stage_table(rows.mapInArrow(_scan(length), RUN_SQL), "runs")
     often = stage_table(runs.groupBy("g").agg(F.count("*").alias("share")).where("share > 1"), "often")
-    some = stage_table(_join_counted(runs, often, ["g"], runs.count()).drop("share"), "anchors")
+    some = stage_table(join_counted(runs, often, ["g"], runs.count()).drop("share"), "anchors")
     drop_table(runs, often)
     ctx = ["g", "c1", "c2"]
     contexts = some.groupBy(*ctx).agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "k", "lo", "n", "off")).alias("one"))
     contexts = stage_table(contexts, "contexts")
     several = stage_table(contexts.groupBy("g").agg(F.count("*").alias("share")).where("share > 1"), "several")
-    want = _join_counted(contexts, several, ["g"], contexts.count())
+    want = join_counted(contexts, several, ["g"], contexts.count())
     want = want.select("one.doc_id", "one.k", F.struct(*ctx, "one.lo", "one.n", "one.off", (F.col("share") > group).alias("wide")).alias("w"))
     want = want.groupBy("doc_id", "k").agg(F.collect_list("w").alias("want"))
     texts = rows.mapInArrow(_squeeze, "doc_id long, k long, z binary")
@@ -366,7 +354,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = F.array(F.col("lo"), F.col("lo") + F.col("n") - 1 + length)
     pairs = F.transform(F.sequence(F.lit(0), (F.size("ranges") / 2 - 1).cast("int")), lambda i: F.array(at - F.get("ranges", 2 * i + 1), at - F.get("ranges", 2 * i) + length))
     spans = F.when(F.col("ranges").isNull(), whole).otherwise(F.flatten(pairs))
-    hit = _join_counted(some, found, ctx, some.count()).select("doc_id", "k", spans.alias("s"))
+    hit = join_counted(some, found, ctx, some.count()).select("doc_id", "k", spans.alias("s"))
     return hit.groupBy("doc_id", "k").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
