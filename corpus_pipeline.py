@@ -27,7 +27,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of texts with similarity 0.8 or more by five-word shingles.
+    """Keeps the document with the smallest id of each group of texts with a Jaccard similarity of 0.8 or more by five-word shingles.
 
     Documents without an id stay, whatever their text. Rows that share an id are one document: they stay or go together.
     """
