@@ -79,7 +79,7 @@ class Box:
         """The box on a larger canvas; one that would leave the canvas is an error."""
         out = self.translate(dx, dy)
         bad = (out.xmax > width) | (out.ymax > height)
-        check = lambda x: F.when(bad, F.raise_error(F.lit("Invalid parameters to expand boundingbox")).cast("double")).otherwise(x)
+        check = lambda x: F.when(bad, F.raise_error(F.lit("a box would leave the canvas")).cast("double")).otherwise(x)
         return Box(check(out.xmin), out.ymin, out.xmax, out.ymax, self.pixel)
 
     def normalize(self, width, height) -> Box:

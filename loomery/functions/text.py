@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -146,6 +148,36 @@ def pack_int(value: Column, n_bytes: int, big_endian: bool = False) -> Column:
     return F.unhex(F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in order)))
 
 
+def _real_type(n_bytes: int, big_endian: bool) -> np.dtype:
+    return np.dtype(f"{'>' if big_endian else '<'}f{n_bytes}")
+
+
+def pack_float(value: Column, n_bytes: int, big_endian: bool = False) -> Column:
+    """The 4 or 8 bytes of a real number, rounded to single precision for 4; null stays null."""
+    kind = _real_type(n_bytes, big_endian)
+
+    @F.pandas_udf("binary")
+    def pack(values: pd.Series) -> pd.Series:
+        with np.errstate(over="ignore"):
+            raw = values.to_numpy("f8").astype(kind).tobytes()
+        return pd.Series([raw[i : i + n_bytes] for i in range(0, len(raw), n_bytes)])
+
+    return F.when(value.isNotNull(), pack(value.cast("double")))
+
+
+def unpack_float(data: Column, n_bytes: int, big_endian: bool = False, offset: int = 0) -> Column:
+    """A real number of 4 or 8 bytes from ``offset`` on; null if there are too few bytes."""
+    kind = _real_type(n_bytes, big_endian)
+
+    @F.pandas_udf("double")
+    def unpack(raws: pd.Series) -> pd.Series:
+        return pd.Series(np.frombuffer(b"".join(raws), kind).astype("f8"))
+
+    enough = F.octet_length(data) >= offset + n_bytes
+    part = F.when(enough, F.substring(data, offset + 1, n_bytes)).otherwise(F.lit(bytes(n_bytes)))
+    return F.when(enough, unpack(part))
+
+
 def unpack_int(data: Column, n_bytes: int, big_endian: bool = False, signed: bool = True, offset: int = 0) -> Column:
     """A whole number of ``n_bytes`` bytes (at most 7, or 8 if signed) from ``offset`` on; null if there are too few."""
     at = lambda i: F.conv(F.hex(F.substring(data, offset + i + 1, 1)), 16, 10).cast("bigint")

@@ -114,7 +114,7 @@ def expand(img: np.ndarray, dx: int, dy: int, width: int, height: int) -> np.nda
     """Pastes an image on a zero canvas."""
     h, w = img.shape[:2]
     if dx < 0 or dy < 0 or dx + w > width or dy + h > height:
-        raise ValueError("Invalid parameters to expand image")
+        raise ValueError("the image would leave the canvas")
     out = np.zeros((height, width, *img.shape[2:]), img.dtype)
     out[dy : dy + h, dx : dx + w] = img
     return out

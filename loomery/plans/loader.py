@@ -23,9 +23,7 @@ from ..operators.augment import with_augmentation
 from ..sources import manifest
 from . import batches, cache, config, providers
 
-PIXELS = ("image", "pixelmask", "depthmap", "video")
 PART_BATCHES, MAX_PARTS = 4, 10_000  # batches of a partition, unless there are too many
-BOXES = ("boundingbox", "localization_ssd", "localization_rcnn")
 
 
 class DataLoader:
@@ -110,34 +108,27 @@ class DataLoader:
         if not cfg.cache_directory:
             df = self._load(df, ("batch_id", "slot", "pos", "row_idx"))
         df = df.withColumn("_record", F.col("row_idx")).withColumn("_draw", F.pmod("pos", F.lit(2**31 - 1)))
-        sized = next((i for i, (k, _) in enumerate(cfg.providers) if k in PIXELS), None)
-        if any(k in PIXELS + BOXES for k, _ in cfg.providers):
+        kinds = [providers.REGISTRY[k] for k, _ in cfg.providers]
+        sized = next((i for i, k in enumerate(kinds) if k.picture), None)
+        lead = next((i for i, k in enumerate(kinds) if k.picture or k.boxed), None)
+        if lead is not None:
             if sized is not None:
                 df = providers.add_sizes(df, f"e{sized}", cfg.providers[sized][0] == "video")
                 w, h = F.col("in_width"), F.col("in_height")
             else:
-                box = next(i for i, (k, _) in enumerate(cfg.providers) if k in BOXES)
-                size = F.from_json(F.col(f"e{box}").cast("string"), "size struct<width: int, height: int>")["size"]
+                size = F.from_json(F.col(f"e{lead}").cast("string"), "size struct<width: int, height: int>")["size"]
                 w, h = size["width"], size["height"]
-            lead = next(c for k, c in cfg.providers if k in PIXELS + BOXES)
-            lead = lead.get("frame", lead)
-            df = with_augmentation(df, cfg.augmentation, cfg.random_seed, w, h, lead["width"], lead["height"], "_draw", any(k == "localization_ssd" for k, _ in cfg.providers))
-        joined = [(i, c) for i, (kind, c) in enumerate(cfg.providers) if kind == "localization_rcnn"]
-        for i, c in joined:
-            df = self._rcnn(df, c, f"e{i}")
-        if joined:  # in order again before pixels are decoded
+            to = cfg.providers[lead][1]
+            to = to.get("frame", to)
+            df = with_augmentation(df, cfg.augmentation, cfg.random_seed, w, h, to["width"], to["height"], "_draw", any(k == "localization_ssd" for k, _ in cfg.providers))
+        for i, (_, c) in enumerate(cfg.providers):
+            if kinds[i].joined:
+                df = self._rcnn(df, c, f"e{i}")
+        if any(k.joined for k in kinds):  # in order again before pixels are decoded
             df = df.repartitionByRange(parts, "batch_id").sortWithinPartitions("batch_id", "slot")
-        for i, (kind, c) in enumerate(cfg.providers):
-            if kind in PIXELS:
-                df = providers.add_pixels(df, kind, c, f"e{i}", cfg.augmentation)
-            elif kind == "blob":
-                df = providers.add_blob(df, c, f"e{i}")
-            elif kind in BOXES and kind != "localization_rcnn":
-                df = providers.add_boxes(df, kind, c, f"e{i}", cfg.augmentation)
-            elif kind not in BOXES:
-                df = df.withColumns(providers.text_provider(kind, c, F.col(f"e{i}")))
-                bad = F.col(providers.inner_name(providers.shapes(kind, c)[0][0])).isNull()
-                df = df.withColumn("_error", F.coalesce("_error", F.when(bad, F.lit(f"{kind} cannot be read"))))
+        for i, (_, c) in enumerate(cfg.providers):
+            if kinds[i].add:
+                df = kinds[i].add(df, c, f"e{i}", cfg.augmentation)
         return df.select("batch_id", "slot", F.col("_record").alias("row_idx"), *(F.col(providers.inner_name(s[0])).alias(s[0]) for s in self.shapes), "_error")
 
     def _rcnn(self, df: DataFrame, c: dict, element: str) -> DataFrame:

@@ -178,6 +178,43 @@ def pack_unpack(spark, sf_dir):
     )
 
 
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice::DOUBLE AS back, round(l_discount::FLOAT::DOUBLE, 9) AS single, true AS halves FROM lineitem")
+def pack_unpack_reals(spark, sf_dir):
+    """Real numbers to bytes of either order and size and back."""
+    x, y = F.col("l_extendedprice").cast("double"), F.col("l_discount").cast("double")
+    raw = text.pack_float(x, 8)
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", text.unpack_float(text.pack_float(x, 8, True), 8, True).alias("back"), F.round(text.unpack_float(F.concat(F.lit(b"\x01"), text.pack_float(y, 4)), 4, offset=1), 9).alias("single"),
+        (text.pack_int(text.unpack_int(raw, 8), 8) == raw).alias("halves"),
+    )
+
+
+def _word_count() -> providers.Provider:
+    """A provider as a user adds one: how many words a text has, and its first letters, by keys of its own."""
+
+    def add(df, cfg, element, aug):
+        words = F.size(F.filter(F.split(F.col(element).cast("string"), cfg["separator"]), lambda w: w != ""))
+        name = lambda base: providers.column_name(base, cfg["name"])
+        return df.withColumns({name("n_words"): F.array(words), name("twice"): F.array(words * cfg["times"], words)})
+
+    return providers.Provider(lambda c: providers._columns(c, ("n_words", (1,), "int32_t"), ("twice", (2,), "int32_t")), add)
+
+
+@query("""WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx FROM documents), n AS (SELECT count(*) AS n FROM d), b AS (SELECT pos, pos % n.n AS row_idx FROM n, range(((SELECT n FROM n) + 15) // 16 * 16) AS t(pos)),
+w AS (SELECT row_idx, len(list_filter(string_split(translate(text, chr(9) || chr(10) || chr(13), '   '), 'e'), lambda x: x <> '')) AS k FROM d)
+SELECT (pos // 16)::BIGINT AS batch_id, (pos % 16)::BIGINT AS slot, k::BIGINT AS n_words, (3 * k)::BIGINT AS more FROM b JOIN w USING (row_idx)""")
+def loader_own_provider(spark, sf_dir):
+    """A user's provider, registered with its keys, in a loader over all texts."""
+    line = F.translate(F.col("text"), "\t\n\r", "   ")
+    path = write_manifest(spark, sf_dir, {"a": line}, ["STRING"], "documents", "doc_id")
+    providers.register("word_count", _word_count(), {"separator": config.Key(" ", str), "times": config.Key(2, int, lambda v: v > 0)})
+    try:
+        df = DataLoader(spark, {"manifest_filename": path, "batch_size": 16, "etl": [{"type": "word_count", "separator": "e", "times": 3}]}).plan()
+    finally:
+        providers.unregister("word_count")
+    return df.select("batch_id", "slot", F.get("n_words", 0).cast("bigint").alias("n_words"), F.get("twice", 0).cast("bigint").alias("more"))
+
+
 @query("SELECT doc_id, length(text)::INTEGER AS n, NULL::INTEGER AS broken FROM documents")
 def wide_length(spark, sf_dir):
     """Characters of UTF-8 bytes; bytes that are none have no length."""

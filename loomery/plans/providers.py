@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
@@ -25,6 +27,7 @@ from ..operators import pixels
 from ..operators.augment import Augmentation
 from ..sources.annotations import parse_annotations
 from ..sources.containers import decode_image, image_size, read_avi_frames, write_png
+from . import config
 
 NUMPY = {"int8_t": "i1", "uint8_t": "u1", "int16_t": "i2", "uint16_t": "u2", "int32_t": "i4", "uint32_t": "u4", "float": "f4", "double": "f8", "char": "i1"}
 
@@ -38,34 +41,84 @@ def column_name(base: str, name: str | None) -> str:
     return inner_name(public_name(base, name))
 
 
-def shapes(kind: str, cfg: dict[str, Any], bbox_shape: int = 4) -> list[tuple[str, tuple[int, ...], str, tuple[str, ...]]]:
-    """(column, shape, output type, axis names) of a provider, in order, known before any data is read."""
-    name = cfg.get("name") or None
-    one = lambda base, shape, kind_, axes=(): (public_name(base, name), tuple(shape), kind_, tuple(axes) or tuple(map(str, range(len(shape)))))
-    if kind in ("image", "pixelmask", "depthmap"):
+Columns = list[tuple[str, tuple[int, ...], str, tuple[str, ...]]]
+
+
+def _columns(cfg: dict[str, Any], *spec) -> Columns:
+    """(name, shape, output type, axis names) from (base name, shape, output type[, axis names])."""
+    return [(public_name(base, cfg.get("name") or None), tuple(shape), kind, tuple(axes[0]) if axes else tuple(map(str, range(len(shape))))) for base, shape, kind, *axes in spec]
+
+
+def _picture_columns(kind: str):
+    def columns(cfg):
         c, h, w = cfg["channels"], cfg["height"], cfg["width"]
-        return [one(kind, (c, h, w), cfg["output_type"], ("channels", "height", "width")) if cfg["channel_major"] else one(kind, (h, w, c), cfg["output_type"], ("height", "width", "channels"))]
-    if kind == "label":
-        return [one("label", (1,), cfg["output_type"])]
-    if kind == "label_map":
-        return [one("label_map", (cfg["max_classes"],), "uint32_t")]
-    if kind == "char_map":
-        out = [one("char_map", (1, cfg["max_length"]), "uint32_t", ("character", "sequence"))]
-        return out + ([one("char_map_length", (1,), "uint32_t")] if cfg["emit_length"] else [])
-    if kind == "blob":
-        return [one("blob", (cfg["output_count"],), cfg["output_type"])]
-    if kind == "boundingbox":
-        return [one("boundingbox", (cfg["max_bbox_count"], bbox_shape), "float")]
-    if kind == "video":
-        f = cfg["frame"]
-        return [one("video", (f.get("channels", 3), cfg["max_frame_count"], f["height"], f["width"]), f.get("output_type", "uint8_t"), ("channels", "frames", "height", "width"))]
+        layout = ((c, h, w), ("channels", "height", "width")) if cfg["channel_major"] else ((h, w, c), ("height", "width", "channels"))
+        return _columns(cfg, (kind, layout[0], cfg["output_type"], layout[1]))
+
+    return columns
+
+
+def _char_map_columns(cfg):
+    length = [("char_map_length", (1,), "uint32_t")] if cfg["emit_length"] else []
+    return _columns(cfg, ("char_map", (1, cfg["max_length"]), "uint32_t", ("character", "sequence")), *length)
+
+
+def _video_columns(cfg):
+    f = cfg["frame"]
+    shape = f.get("channels", 3), cfg["max_frame_count"], f["height"], f["width"]
+    return _columns(cfg, ("video", shape, f.get("output_type", "uint8_t"), ("channels", "frames", "height", "width")))
+
+
+def _ssd_columns(cfg):
     m = cfg["max_gt_boxes"]
-    if kind == "localization_ssd":
-        spec = [("image_shape", (2, 1), "int32_t"), ("gt_boxes", (m, 4), "float"), ("gt_box_count", (1, 1), "int32_t"), ("gt_class_count", (m, 1), "int32_t"), ("difficult_flag", (m, 1), "int32_t")]
-        return [one(*s) for s in spec]
-    a = len(cfg["ratios"]) * len(cfg["scales"]) * int(cfg["height"] * cfg["scaling_factor"]) * int(cfg["width"] * cfg["scaling_factor"])
-    spec = [("bbtargets", (4 * a,), "float"), ("bbtargets_mask", (4 * a,), "float"), ("labels_flat", (1, 2 * a), "int32_t"), ("labels_mask", (2 * a, 1), "int32_t"), ("image_shape", (2, 1), "int32_t"), ("gt_boxes", (m, 4), "float"), ("gt_box_count", (1, 1), "int32_t"), ("gt_class_count", (m, 1), "int32_t"), ("image_scale", (1, 1), "float"), ("difficult_flag", (m, 1), "int32_t")]
-    return [one(*s) for s in spec]
+    return _columns(cfg, ("image_shape", (2, 1), "int32_t"), ("gt_boxes", (m, 4), "float"), ("gt_box_count", (1, 1), "int32_t"), ("gt_class_count", (m, 1), "int32_t"), ("difficult_flag", (m, 1), "int32_t"))
+
+
+def _rcnn_columns(cfg):
+    m, a = cfg["max_gt_boxes"], len(cfg["ratios"]) * len(cfg["scales"]) * int(cfg["height"] * cfg["scaling_factor"]) * int(cfg["width"] * cfg["scaling_factor"])
+    planes = [("bbtargets", (4 * a,), "float"), ("bbtargets_mask", (4 * a,), "float"), ("labels_flat", (1, 2 * a), "int32_t"), ("labels_mask", (2 * a, 1), "int32_t")]
+    boxes = [("image_shape", (2, 1), "int32_t"), ("gt_boxes", (m, 4), "float"), ("gt_box_count", (1, 1), "int32_t"), ("gt_class_count", (m, 1), "int32_t"), ("image_scale", (1, 1), "float"), ("difficult_flag", (m, 1), "int32_t")]
+    return _columns(cfg, *planes, *boxes)
+
+
+@dataclass(frozen=True)
+class Provider:
+    """What a type of element becomes.
+
+    ``columns`` says from a checked configuration what a record gets, before any data is read. ``add`` takes (df, configuration, column of
+    the element, augmentation) and adds these columns, under :func:`inner_name`, as arrays; a record that it cannot read gets
+    ``_error``. A ``picture``'s size starts the shared draw; a ``boxed`` one follows it; ``joined`` ones are added by the loader itself,
+    before anything is decoded.
+    """
+
+    columns: Callable[[dict[str, Any]], Columns]
+    add: Callable[[DataFrame, dict[str, Any], str, Augmentation], DataFrame] | None = None
+    picture: bool = False
+    boxed: bool = False
+    joined: bool = False
+
+
+REGISTRY: dict[str, Provider] = {}
+
+
+def register(name: str, provider: Provider, keys: dict[str, config.Key] | None = None) -> None:
+    """Makes ``name`` a type of the etl list. ``keys`` are what its configuration may hold, each with default, converter and check."""
+    if name in REGISTRY:
+        raise ValueError(f"there is a provider '{name}' already")
+    if keys is not None:
+        config.PROVIDERS[name] = {"name": config.Key("", str)} | keys
+    if name not in config.PROVIDERS:
+        raise ValueError(f"provider '{name}' has no keys")
+    REGISTRY[name] = provider
+
+
+def unregister(name: str) -> None:
+    del REGISTRY[name], config.PROVIDERS[name]
+
+
+def shapes(kind: str, cfg: dict[str, Any]) -> Columns:
+    """(column, shape, output type, axis names) of a provider, in order, known before any data is read."""
+    return REGISTRY[kind].columns(cfg)
 
 
 def _array(value: Column, kind: str) -> Column:
@@ -233,5 +286,26 @@ def add_pixels(df: DataFrame, kind: str, cfg: dict[str, Any], element: str, aug:
     return df.mapInArrow(run, schema)
 
 
+def _add_text(kind: str):
+    def add(df, cfg, element, aug):
+        df = df.withColumns(text_provider(kind, cfg, F.col(element)))
+        bad = F.col(inner_name(shapes(kind, cfg)[0][0])).isNull()
+        return df.withColumn("_error", F.coalesce("_error", F.when(bad, F.lit(f"{kind} cannot be read"))))
+
+    return add
+
+
+for _kind in ("image", "pixelmask", "depthmap"):
+    register(_kind, Provider(_picture_columns(_kind), lambda df, c, e, aug, kind=_kind: add_pixels(df, kind, c, e, aug), picture=True))
+register("video", Provider(_video_columns, lambda df, c, e, aug: add_pixels(df, "video", c, e, aug), picture=True))
+register("label", Provider(lambda c: _columns(c, ("label", (1,), c["output_type"])), _add_text("label")))
+register("label_map", Provider(lambda c: _columns(c, ("label_map", (c["max_classes"],), "uint32_t")), _add_text("label_map")))
+register("char_map", Provider(_char_map_columns, _add_text("char_map")))
+register("blob", Provider(lambda c: _columns(c, ("blob", (c["output_count"],), c["output_type"])), lambda df, c, e, aug: add_blob(df, c, e)))
+register("boundingbox", Provider(lambda c: _columns(c, ("boundingbox", (c["max_bbox_count"], 4), "float")), lambda df, c, e, aug: add_boxes(df, "boundingbox", c, e, aug), boxed=True))
+register("localization_ssd", Provider(_ssd_columns, lambda df, c, e, aug: add_boxes(df, "localization_ssd", c, e, aug), boxed=True))
+register("localization_rcnn", Provider(_rcnn_columns, boxed=True, joined=True))
+
+
 def item_size(kind: str) -> int:
     return OTYPES[kind][1]

@@ -101,6 +101,37 @@ def test_batches_are_assembled_in_tasks(spark, tmp_path):
         next(run)
 
 
+def test_a_provider_of_ones_own(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from loomery.plans import providers
+
+    def add(df, cfg, element, aug):
+        n = F.length(element)
+        error = F.coalesce("_error", F.when(n > cfg["most"], F.lit("too long")))
+        return df.withColumns({providers.column_name("length", cfg["name"]): F.array(n), "_error": error})
+
+    own = providers.Provider(lambda c: [(f"{c['name']}.length", (1,), "uint8_t", ("n",))], add)
+    providers.register("text_length", own, {"most": config.Key(convert=int, check=lambda v: v > 0)})
+    try:
+        m = write(tmp_path / "m.tsv", 4, ["STRING", "STRING"], lambda i: ("x" * (i + 1), str(i)))
+        given = {"manifest_filename": m, "batch_size": 2, "etl": [{"type": "text_length", "most": 3, "name": "t"}, {"type": "label"}]}
+        run = iter(DataLoader(spark, given))
+        b = dict(next(run))
+        assert b["t.length"].tolist() == [[1], [2]] and b["t.length"].dtype == np.uint8 and b["label"].tolist() == [[0], [1]]
+        with pytest.raises(RuntimeError, match="record 3: too long"):
+            next(run)
+        for broken, what in (({"type": "text_length"}, "'most' not set"), ({"type": "text_length", "most": 0}, "out of range"), ({"type": "text_length", "mosd": 1}, "did you mean 'most'")):
+            with pytest.raises(ValueError, match=what):
+                config.loader(given | {"etl": [broken, {"type": "label"}]})
+        with pytest.raises(ValueError, match="already"):
+            providers.register("text_length", own, {})
+    finally:
+        providers.unregister("text_length")
+    with pytest.raises(ValueError, match="unsupported etl type"):
+        config.loader(given)
+
+
 def test_batch_minor(spark, tmp_path):
     m = write(tmp_path / "m.tsv", 6, ["STRING"], lambda i: (str(i),))
     b = next(iter(DataLoader(spark, {"manifest_filename": m, "batch_size": 3, "batch_major": False, "etl": [{"type": "label", "output_type": "float"}]})))

@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +83,24 @@ def test_rounding(spark):
     values = [k / 4 for k in range(-30, 31)] + [10**6 + 0.5, 10**6 + 1.5]
     got = spark.createDataFrame([(v,) for v in values], "v double").select("v", X.unbiased_round(F.col("v")).alias("x")).collect()
     assert all(r.x == round(r.v) for r in got)
+
+
+def test_reals_to_bytes_and_back(spark):
+    import struct
+
+    values = [0.0, -0.0, 1.0, -1.5, 3.141592653589793, 1e-310, 5e-324, -2.2250738585072014e-308, 1.7976931348623157e308, 1e300, 2.0**-149, 2.0**-126, 3.4028234663852886e38, 0.1, 1e-40, float("inf"), -float("inf"), float("nan"), 2.0**52 + 1, 4503599627370497.5, 1 - 2.0**-53, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
+    for n, kind in ((8, "d"), (4, "f")):
+        for big in (False, True):
+            raw = X.pack_float(F.col("v"), n, big)
+            got = df.select(raw.alias("raw"), X.unpack_float(raw, n, big).alias("back")).collect()
+            for v, r in zip(values, got):
+                if v is None:
+                    assert r.raw is None and r.back is None
+                    continue
+                with np.errstate(over="ignore"):
+                    single = np.float32(v) if n == 4 else v
+                want = struct.pack((">" if big else "<") + kind, single)
+                assert bytes(r.raw) == want, (v, n)
+                assert math.isnan(r.back) if math.isnan(v) else struct.pack("<d", r.back) == struct.pack("<d", float(single)), (v, n)
+    assert df.select(X.unpack_float(F.lit(b"abc"), 4).alias("x")).first().x is None
