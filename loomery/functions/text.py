@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -156,11 +156,11 @@ def pack_float(value: Column, n_bytes: int, big_endian: bool = False) -> Column:
     """The 4 or 8 bytes of a real number, rounded to single precision for 4; null stays null."""
     kind = _real_type(n_bytes, big_endian)
 
-    @F.pandas_udf("binary")
-    def pack(values: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def pack(values: pa.Array) -> pa.Array:
         with np.errstate(over="ignore"):
-            raw = values.to_numpy("f8").astype(kind).tobytes()
-        return pd.Series([raw[i : i + n_bytes] for i in range(0, len(raw), n_bytes)])
+            raw = values.to_numpy(zero_copy_only=False).astype(kind).tobytes()
+        return pa.array([raw[i : i + n_bytes] for i in range(0, len(raw), n_bytes)], pa.binary())
 
     return F.when(value.isNotNull(), pack(value.cast("double")))
 
@@ -169,13 +169,12 @@ def unpack_float(data: Column, n_bytes: int, big_endian: bool = False, offset: i
     """A real number of 4 or 8 bytes from ``offset`` on; null if there are too few bytes."""
     kind = _real_type(n_bytes, big_endian)
 
-    @F.pandas_udf("double")
-    def unpack(raws: pd.Series) -> pd.Series:
-        return pd.Series(np.frombuffer(b"".join(raws), kind).astype("f8"))
+    @F.arrow_udf("double")
+    def unpack(raws: pa.Array) -> pa.Array:
+        return pa.array(np.frombuffer(b"".join(x or bytes(n_bytes) for x in raws.to_pylist()), kind).astype("f8"))
 
     enough = F.octet_length(data) >= offset + n_bytes
-    part = F.when(enough, F.substring(data, offset + 1, n_bytes)).otherwise(F.lit(bytes(n_bytes)))
-    return F.when(enough, unpack(part))
+    return F.when(enough, unpack(F.when(enough, F.substring(data, offset + 1, n_bytes))))
 
 
 def unpack_int(data: Column, n_bytes: int, big_endian: bool = False, signed: bool = True, offset: int = 0) -> Column:
