@@ -38,6 +38,11 @@ def draw_of(row: Column, seed: int, draw: int) -> Column:
     return bound((bound(first, _p5) + (draw * 16807 + 11)) % M, _p5)
 
 
+def draws_of(rows, seed: int, draw: int):
+    """The draws of :func:`with_draws` for whole numbers, or arrays of them (of 64 bits)."""
+    return (_p5((_p5((seed * 7919 + 1 + rows * 48271 + draw * 69621) % M) + draw * 16807 + 11) % M)) % M
+
+
 def unit(draw):
     """A draw as a double in [0, 1)."""
     return draw / F.lit(float(M))

@@ -1,11 +1,25 @@
-"""Cache of encoded records by block, as Parquet; complete once its marker is written."""
+"""Cache of encoded records by block, as Parquet; complete once its marker is written.
+
+A block is a folder. An epoch's order is a scan whose input partitions are the blocks in that order, each shuffled where it is
+read, so records of a cached run are never exchanged to be shuffled.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import LongType, StructField, StructType
+
+from ..functions.prng import draws_of
+from ..operators.rows import block_list
 
 
 def cache_path(directory: str, manifest_crc: int, block_size: int, columns: int) -> str:
@@ -48,3 +62,70 @@ def load(spark: SparkSession, path: str, columns: list[str], block: int | None =
     """Cached records; one block reads that block's files only."""
     df = spark.read.parquet(path).withColumn("block_id", F.col("block_id").cast("long"))
     return (df if block is None else df.where(F.col("block_id") == block)).select(*columns)
+
+
+PLACES = ("row_idx", "source_idx", "block_id", "block_pos", "in_block", "epoch")
+
+
+@dataclass
+class _Block(InputPartition):
+    """A block in its place: rows from ``start`` on in the order of its epoch."""
+
+    block: int
+    place: int
+    start: int
+    epoch: int
+
+
+class _BlockReader(DataSourceReader):
+    def __init__(self, schema: StructType, about: dict):
+        self.columns, self.about = [f.name for f in schema.fields if f.name not in PLACES], about
+        self.names = schema.names
+
+    def partitions(self):
+        a, out = self.about, []
+        blocks = block_list(a["n_rows"], a["block_size"])
+        for epoch in range(a["first"], a["last"] + 1):
+            order, start = list(range(len(blocks))), 0
+            if a["block_order"]:
+                order.sort(key=lambda b: (draws_of(b, a["seed"] + epoch, 2), b))
+            for place, b in enumerate(order):
+                out.append(_Block(b, place, start, epoch))
+                start += blocks[b][1]
+        return out
+
+    def read(self, partition):
+        from pyarrow import fs
+
+        a = self.about
+        store, path = fs.FileSystem.from_uri(a["path"]) if ":" in a["path"] else (fs.LocalFileSystem(), a["path"])
+        t = pq.read_table(f"{path}/block_id={partition.block}", columns=["row_idx", *self.columns], filesystem=store, partitioning=None)
+        at = t.column("row_idx").to_numpy().astype("i8")
+        order = np.lexsort((at, draws_of(at, a["seed"] + partition.epoch, 3))) if a["within"] else np.argsort(at)
+        t, n = t.take(pa.array(order)), len(order)
+        places = {"row_idx": partition.start + np.arange(n), "source_idx": at[order], "block_id": np.full(n, partition.block), "block_pos": np.full(n, partition.place), "in_block": np.arange(n), "epoch": np.full(n, partition.epoch)}
+        columns = [pa.array(places[c].astype("i8")) if c in places else t.column(c) for c in self.names]
+        yield from pa.table(columns, self.names).to_batches()
+
+
+class BlockScan(DataSource):
+    """Cached blocks in the orders of some epochs, a partition each."""
+
+    @classmethod
+    def name(cls):
+        return "cachedblocks"
+
+    def reader(self, schema):
+        return _BlockReader(schema, json.loads(self.options["about"]))
+
+
+def scan(spark: SparkSession, path: str, columns: list[str], n_rows: int, block_size: int, seed: int, first: int, last: int, within: bool = True, block_order: bool = True) -> DataFrame:
+    """The rows of the epochs from ``first`` to ``last`` in the orders that :func:`..operators.rows.shuffle_blocks` gives, with its columns and ``epoch``.
+
+    ``path`` is mounted where tasks run, or a URI that Arrow's file systems know. No row is exchanged: a task reads a block.
+    """
+    spark.dataSource.register(BlockScan)
+    kept = [f for f in load(spark, path, columns).schema.fields if f.name not in PLACES]
+    schema = StructType([*kept, *(StructField(c, LongType()) for c in PLACES)])
+    about = {"path": path.removeprefix("file://"), "n_rows": n_rows, "block_size": block_size, "seed": seed, "first": first, "last": last, "within": within, "block_order": block_order}
+    return spark.read.format("cachedblocks").schema(schema).option("about", json.dumps(about)).load()

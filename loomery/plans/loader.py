@@ -59,7 +59,8 @@ class DataLoader:
         if cfg.cache_directory:
             crc = manifest.manifest_crc(records, b"\0")
             encoded = rows.with_blocks(self._load(self._records, ("row_idx",)), n, cfg.block_size)
-            self._records = cache.store(encoded, cache.cache_path(cfg.cache_directory, crc, cfg.block_size, len(kinds)))
+            self._cached = cache.cache_path(cfg.cache_directory, crc, cfg.block_size, len(kinds))
+            self._records = cache.store(encoded, self._cached)
         self._first = next(self._batches(0, 1))
 
     def __len__(self) -> int:
@@ -95,6 +96,8 @@ class DataLoader:
         else:
             df = rows.with_epochs(self._records, *epochs)
         by_block = cfg.shuffle_manifest and not self._deals
+        if cfg.cache_directory and (cfg.shuffle_enable or by_block):  # blocks are read in the order of the epoch
+            return cache.scan(self.spark, self._cached, self._records.columns, self.ndata, cfg.block_size, cfg.random_seed, *epochs, cfg.shuffle_enable, by_block)
         if cfg.shuffle_enable or by_block:
             df = rows.shuffle_blocks(rows.with_blocks(df, self.ndata, cfg.block_size), cfg.random_seed, within=cfg.shuffle_enable, block_order=by_block)
         return df

@@ -63,6 +63,20 @@ def cache_block(spark, sf_dir):
     return cache.load(spark, path, ["event_id", "block_id"], block=1)
 
 
+@query(
+    f"""WITH {_ROWS}, s AS {_SIZE}, b AS (SELECT event_id, row_idx, epoch, row_idx // size AS block_id FROM r, s, range(1, 3) AS t(epoch)),
+k AS (SELECT *, {sql_draw('block_id', f'({SEED} + epoch)', 2)} AS kb, {sql_draw('row_idx', f'({SEED} + epoch)', 3)} AS kr FROM b)
+SELECT event_id, epoch::BIGINT AS epoch, block_id::BIGINT AS block_id, row_idx::BIGINT AS source_idx, (row_number() OVER (PARTITION BY epoch, block_id ORDER BY kr, row_idx) - 1)::BIGINT AS in_block,
+  (dense_rank() OVER (PARTITION BY epoch ORDER BY kb, block_id) - 1)::BIGINT AS block_pos, (row_number() OVER (PARTITION BY epoch ORDER BY kb, block_id, kr, row_idx) - 1)::BIGINT AS row_idx FROM k"""
+)
+def cached_shuffle(spark, sf_dir):
+    """Two epochs of a cache, blocks in their orders and records shuffled where they are read."""
+    ev = records(spark, sf_dir)
+    n, path = ev.count(), work_path(spark, "cache")
+    cache.store(rows.with_blocks(ev, n, BLOCK), path)
+    return cache.scan(spark, path, ["event_id"], n, BLOCK, SEED, 1, 2)
+
+
 _LOADED = f"""WITH {_ROWS}, b AS (SELECT pos // 64 AS batch_id, pos % 64 AS slot, pos % n.n AS at FROM n, range(((SELECT n FROM n) + 63) // 64 * 64) AS t(pos))
 SELECT b.batch_id::BIGINT AS batch_id, b.slot::BIGINT AS slot, (event_id % 1000)::BIGINT AS label, array_to_string({_sql_chars('event_type', 8, 'abcdefghijklmnopqrstuvwxyz')}, ',') AS char_map, least(length(event_type), 8)::BIGINT AS n_chars,
   CASE event_type WHEN 'click' THEN '1,0' WHEN 'view' THEN '2,0' ELSE '0,0' END AS classes, event_id::DOUBLE AS blob FROM b JOIN r ON r.row_idx = b.at"""

@@ -268,6 +268,25 @@ def test_narrow_configuration():
         config.to_json({"a": b"bytes"})
 
 
+def test_cached_blocks_are_shuffled_where_they_are_read(spark, tmp_path):
+    from loomery.operators import rows
+    from loomery.plans import cache
+
+    df = rows.with_blocks(spark.range(103).selectExpr("id as row_idx", "cast(id as string) as v"), 103, 10)
+    path = str(tmp_path / "cache")
+    cache.store(df, path)
+    for within, order in ((True, True), (True, False), (False, True)):
+        got = cache.scan(spark, path, df.columns, 103, 10, 5, 2, 3, within, order)
+        want = rows.shuffle_blocks(rows.with_epochs(df, 2, 3), 5, within=within, block_order=order).select(got.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() and got.rdd.getNumPartitions() == 2 * 10
+    m = images(tmp_path / "m.tsv", 20)
+    base = {"manifest_filename": m, "batch_size": 5, "block_size": 7, "etl": etl(), "random_seed": 3, "shuffle_enable": True, "shuffle_manifest": True, "iteration_mode": "COUNT", "iteration_mode_count": 8}
+    plain = [i for b in DataLoader(spark, base) for i in ids(b)]
+    assert [i for b in DataLoader(spark, base | {"cache_directory": str(tmp_path / "c")}) for i in ids(b)] == plain
+    assert sorted(plain[:20]) == sorted(plain[20:]) == list(range(20)) and plain[:20] != plain[20:]
+
+
 def test_cache_has_one_winner(spark, tmp_path):
     from loomery.plans import cache
 
