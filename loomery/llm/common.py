@@ -5,6 +5,10 @@ Their stage tables are those of the core (:mod:`loomery.sources.work`).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +42,21 @@ def join_counted(rows: DataFrame, per: DataFrame, keys: list[str], total: int) -
     return rows.join(often, keys).unionByName(rest)
 
 
+def released(run):
+    """A task's function that gives memory back when it has ended, as the worker that ran it goes on to other tasks."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # the C library of Linux
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Joins the classes of i[k] and j[k] for all k; label[x] is a smaller or equal index in x's class."""
     while len(i):

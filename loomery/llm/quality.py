@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, stage_table
+from .common import drop_table, released, stage_table
 
 PASSAGE = 48
 TRAIN_DOCS = 3000  # labelled documents of each class that are learned from, at most
@@ -245,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, per_class: int = TRAIN
     """
     learn = learn or (lambda _: F.lit(True))
     rows = training_rows(docs, labels, "quality", learn, per_class)
-    got = sorted(rows.mapInArrow(_featurize, BAG_SQL).collect(), key=lambda r: r.doc_id)
+    got = sorted(rows.mapInArrow(released(_featurize), BAG_SQL).collect(), key=lambda r: r.doc_id)
     if not got:
         return None
     one = lambda r: Passages(np.frombuffer(bytes(r.x), "f4").reshape(-1, N_FEATURES).astype("f8"), np.frombuffer(bytes(r.grams), "u2").reshape(-1, GRAMS), np.array(r.words, "i8"), np.array([len(r.words)]))
@@ -287,7 +287,7 @@ def score(docs: DataFrame, model: Attention | None, id_col: str = "doc_id", text
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(_scorer(shared, "t"), "doc_id long, score double")
+    return rows.mapInArrow(released(_scorer(shared, "t")), "doc_id long, score double")
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -308,4 +308,4 @@ def _keeper(shared, least, text_col):
 def keep_good(docs: DataFrame, model: Attention | None, text_col: str = "text", least: float = LEAST) -> DataFrame:
     """The documents that score at least ``least``, with their own columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_keeper(shared, least, text_col), docs.schema)
+    return docs.mapInArrow(released(_keeper(shared, least, text_col)), docs.schema)

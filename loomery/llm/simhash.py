@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_counted, stage_table
+from .common import components, join_counted, released, stage_table
 
 SEED, COMBO = 42, 3
 FEW, BLOCK = 64, 8192
@@ -241,16 +241,16 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows give no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-    rows = stage_table(rows.mapInArrow(_fingerprints(sketch), "doc_id long, fp array<long>"), "fingerprints")
+    rows = stage_table(rows.mapInArrow(released(_fingerprints(sketch)), "doc_id long, fp array<long>"), "fingerprints")
     reps = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("share"))
     byte = lambda p: F.shiftrightunsigned(F.get("fp", p // 8), 56 - 8 * (p % 8)).bitwiseAND(255)
     key = lambda c, ps: F.lit(c << 8 * COMBO) + byte(ps[0]) * 65536 + byte(ps[1]) * 256 + byte(ps[2])
     lists = reps.where("rep is not null").select(F.explode(F.array(*(key(c, ps) for c, ps in enumerate(sketch.combos)))).alias("key"), "fp", "rep")
-    found = stage_table(lists.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_lists(sketch), LINKS_SQL), "links")
+    found = stage_table(lists.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(released(_lists(sketch)), LINKS_SQL), "links")
     links = found.where("a is not null").select("a", "b")
     hot = found.where("key is not null").select("key", "block", "fps", "reps")
     if not hot.isEmpty():
-        links = links.unionByName(_block_pairs(hot).mapInArrow(_blocks(sketch), LINKS_SQL).select("a", "b"))
+        links = links.unionByName(_block_pairs(hot).mapInArrow(released(_blocks(sketch)), LINKS_SQL).select("a", "b"))
     roots = components(links)
     classes = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "share", F.coalesce("root", "rep").alias("component_id"))
     classes = stage_table(classes, "classes")

@@ -26,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import work_path
+from .common import released, work_path
 
 END_ID = 2
 PACK = 4 << 20
 DICT_BYTES = 64 << 10
 DICT_DOCS = 1000  # documents that the dictionary is trained on; it only changes sizes
 DICT_TEXT = 32 << 10  # bytes of such a document, at most
-CACHE_BYTES = 140 << 20  # what a worker remembers, about
+CACHE_BYTES = 110 << 20  # what a worker remembers, about
 LONG = 100  # characters of a piece that is remembered, at most
 LEVEL = 3
 
@@ -242,7 +242,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
     about = [(bytearray(raw), sha, os.path.basename(tokenizer_path), END_ID, width)]
     spark.createDataFrame(about, "dictionary binary, sha256 string, tokenizer string, end_id int, width int").coalesce(1).write.parquet(f"{path}/dictionary")
     ordered = rows.withColumn("_tie", F.xxhash64("text")).repartitionByRange(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
-    ordered.mapInArrow(_packer(tokenizer_path, width, spark.sparkContext.broadcast(raw), sha), PACKS).write.parquet(f"{path}/packs")
+    ordered.mapInArrow(released(_packer(tokenizer_path, width, spark.sparkContext.broadcast(raw), sha)), PACKS).write.parquet(f"{path}/packs")
     packs = spark.read.schema(PACKS).parquet(f"{path}/packs")
     sums = {r.part: r.n for r in packs.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}  # a number per task
     start, n = {}, 0
@@ -279,7 +279,7 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
         raise ValueError("packs were written with another dictionary")
     rows = packs.join(F.broadcast(spark.read.parquet(f"{path}/bases")), "part")  # a row per task that wrote
     columns = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    return rows.mapInArrow(_reader(spark.sparkContext.broadcast(raw), about.width, with_ids), columns)
+    return rows.mapInArrow(released(_reader(spark.sparkContext.broadcast(raw), about.width, with_ids)), columns)
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
