@@ -48,6 +48,10 @@ def inside(anchors: DataFrame, width, height) -> DataFrame:
     return anchors.where((F.col("xmin") >= 0) & (F.col("ymin") >= 0) & (F.col("xmax") < width) & (F.col("ymax") < height))
 
 
+def _real(side: Column | float) -> Column:
+    return (side if isinstance(side, Column) else F.lit(side)).cast("double")
+
+
 def _span(low: Column, high: Column) -> Column:
     """Whole numbers from low to high; none if high is less."""
     return F.slice(F.sequence(low, F.greatest(low, high)), F.lit(1), F.greatest(high - low + 1, F.lit(0)))
@@ -89,10 +93,10 @@ class Lattice:
         s = F.lit(1 / self.scaling)
         return F.greatest(F.ceil(-low / s), F.lit(0).cast("long")), F.least(F.ceil((limit - high) / s) - 1, F.lit(cells - 1).cast("long"))
 
-    def inside(self, width: Column, height: Column) -> Column:
+    def inside(self, width: Column | float, height: Column | float) -> Column:
         """Numbers of the anchors within the image, as an array."""
         rows, cols = self.shape
-        w, h = width.cast("double"), height.cast("double")
+        w, h = _real(width), _real(height)
         line = lambda k, y: F.transform(_span(*self._range(k["x0"], k["x1"], w, cols)), lambda x: self._number(k["kind"], y, x))
         return F.flatten(F.transform(self._kinds(), lambda k: F.flatten(F.transform(_span(*self._range(k["y0"], k["y1"], h, rows)), lambda y: line(k, y)))))
 
@@ -116,13 +120,13 @@ def _iou(shared: Column, box: Column, anchor: Column) -> Column:
     return shared / (box + anchor - shared)
 
 
-def overlaps(boxes: DataFrame, lattice: Lattice, width: Column, height: Column, outer: bool = False) -> DataFrame:
+def overlaps(boxes: DataFrame, lattice: Lattice, width: Column | float, height: Column | float, outer: bool = False) -> DataFrame:
     """A row per box and anchor that share something: the box's columns, ``best`` (its largest overlap), anchor_idx, iou.
 
     Only anchors within ``width`` and ``height`` count. With ``outer`` a box that meets none has rows without anchor.
     """
     rows, cols = lattice.shape
-    w, h = width.cast("double"), height.cast("double")
+    w, h = _real(width), _real(height)
     size = (F.col("xmax") - F.col("xmin") + 1) * (F.col("ymax") - F.col("ymin") + 1)
     x = lambda k: lattice._axis(F.col("xmin"), F.col("xmax"), k["x0"], k["x1"], w, cols).alias("xs")
     y = lambda k: lattice._axis(F.col("ymin"), F.col("ymax"), k["y0"], k["y1"], h, rows).alias("ys")
@@ -138,7 +142,7 @@ def overlaps(boxes: DataFrame, lattice: Lattice, width: Column, height: Column,
     return out.withColumns({"anchor_idx": lattice._number(F.col("_k.kind"), F.col("_y.g"), F.col("_x.g")), "iou": _iou(F.col("_x.n") * F.col("_y.n"), size, F.col("_k.area"))}).drop("_k", "_x", "_y")
 
 
-def label_images(boxes: DataFrame, lattice: Lattice, width: Column, height: Column, negative: float = 0.3, positive: float = 0.7, zero_column_positive: bool = True) -> DataFrame:
+def label_images(boxes: DataFrame, lattice: Lattice, width: Column | float, height: Column | float, negative: float = 0.3, positive: float = 0.7, zero_column_positive: bool = True) -> DataFrame:
     """A row per image: ``gts`` (its boxes), ``near`` (anchor_idx, max_iou, gt_idx, label of the anchors that meet a box), ``far_label`` (that of all
     others, whose best box is the first), and the width and height within which anchors count.
 
@@ -146,7 +150,7 @@ def label_images(boxes: DataFrame, lattice: Lattice, width: Column, height: Colu
     ``zero_column_positive`` even where that best is no overlap at all, and then every anchor is. Boxes are shuffled once, by image.
     """
     sides = ["gt_idx", "xmin", "ymin", "xmax", "ymax"]
-    rows = boxes.select("image_id", *sides, width.cast("double").alias("_w"), height.cast("double").alias("_h")).repartition("image_id")
+    rows = boxes.select("image_id", *sides, _real(width).alias("_w"), _real(height).alias("_h")).repartition("image_id")
     over = overlaps(rows, lattice, F.col("_w"), F.col("_h"))
     near = over.groupBy("image_id", "anchor_idx").agg(F.max("iou").alias("max_iou"), F.min_by("gt_idx", F.struct(-F.col("iou"), "gt_idx")).alias("gt_idx"), F.bool_or(F.col("iou") == F.col("best")).alias("_tie"))
     near = near.groupBy("image_id").agg(F.collect_list(F.struct("anchor_idx", "max_iou", "gt_idx", "_tie")).alias("_near"))

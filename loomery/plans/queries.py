@@ -512,7 +512,7 @@ m AS (SELECT image_id, anchor_idx, axmin, aymin, axmax, aymax, max(iou) AS max_i
 l AS (SELECT *, CASE WHEN max_iou >= 0.7 OR tie THEN 1 WHEN max_iou < 0.3 THEN 0 ELSE -1 END::INTEGER AS label FROM m)""".replace(" GROUP BY ALL", " GROUP BY image_id, anchor_idx, axmin, aymin, axmax, aymax")
 
 
-_LATTICE, _SIDE = anchors.Lattice(**_NET), F.lit(160)
+_LATTICE, _SIDE = anchors.Lattice(**_NET), 160
 
 
 def _labelled(spark, sf_dir):
