@@ -69,7 +69,7 @@ def test_crop_flip_and_rescale(spark, flip):
 
 def test_expand_and_normalize(spark):
     assert sides(spark, box(1, 2, 3, 4).expand(10, 20, 100, 100)) == (11, 22, 13, 24)
-    with pytest.raises(Exception, match="Invalid parameters"):
+    with pytest.raises(Exception, match="leave the canvas"):
         sides(spark, box(1, 2, 3, 4).expand(98, 0, 100, 100))
     n = box(10, 20, 29, 39).normalize(F.lit(100.0), F.lit(50.0))
     assert sides(spark, n) == pytest.approx((0.1, 0.4, 0.3, 0.8)) and sides(spark, n.unnormalize(F.lit(100.0), F.lit(50.0))) == pytest.approx((10, 20, 29, 39))
