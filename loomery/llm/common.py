@@ -42,6 +42,14 @@ def join_counted(rows: DataFrame, per: DataFrame, keys: list[str], total: int) -
     return rows.join(often, keys).unionByName(rest)
 
 
+def give_back() -> None:
+    """Gives memory that this process has freed back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library of Linux
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def released(run):
     """A task's function that gives memory back when it has ended, as the worker that ran it goes on to other tasks."""
 
@@ -49,10 +57,7 @@ def released(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # the C library of Linux
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return task
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, released, stage_table
+from .common import drop_table, give_back, released, stage_table
 
 PASSAGE = 48
 TRAIN_DOCS = 3000  # labelled documents of each class that are learned from, at most
@@ -182,7 +182,8 @@ class Attention:
         rng, x = np.random.default_rng(SEED), np.concatenate([b.x for b in bags])
         n = N_FEATURES + DIM
         p = {"E": rng.normal(0, 0.3, (BUCKETS, DIM)), "W": rng.normal(0, n**-0.5, (n, CODE)), "b": np.zeros(CODE), "V": rng.normal(0, CODE**-0.5, (CODE, GATE)), "U": rng.normal(0, CODE**-0.5, (CODE, GATE)), "w": rng.normal(0, 0.3, GATE), "o": rng.normal(0, 0.3, CODE), "c": np.zeros(1)}
-        self = cls(x.mean(0), x.std(0) + 1e-3, p)
+        self = cls(x.mean(0, dtype="f8"), x.std(0, dtype="f8") + 1e-3, p)
+        del x
         m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in "12")
         weights, order = weights / weights.mean(), np.zeros(0, "i8")
         for step in range(1, steps + 1):
@@ -248,8 +249,14 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, per_class: int = TRAIN
     got = sorted(rows.mapInArrow(released(_featurize), BAG_SQL).collect(), key=lambda r: r.doc_id)
     if not got:
         return None
-    one = lambda r: Passages(np.frombuffer(bytes(r.x), "f4").reshape(-1, N_FEATURES).astype("f8"), np.frombuffer(bytes(r.grams), "u2").reshape(-1, GRAMS), np.array(r.words, "i8"), np.array([len(r.words)]))
-    return Attention.fit([one(r) for r in got], np.array([r.y for r in got], "f8"), np.array([r.weight for r in got]))
+    one = lambda r: Passages(np.frombuffer(bytes(r.x), "f4").reshape(-1, N_FEATURES), np.frombuffer(bytes(r.grams), "u2").reshape(-1, GRAMS), np.array(r.words, "i8"), np.array([len(r.words)]))
+    y, weights = np.array([r.y for r in got], "f8"), np.array([r.weight for r in got])
+    bags = [one(r) for r in got]
+    del got
+    model = Attention.fit(bags, y, weights)
+    del bags
+    give_back()
+    return model
 
 
 def _scorer(shared, column):
