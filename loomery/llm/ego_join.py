@@ -2,9 +2,9 @@
 
 Vectors are scaled to length one, so cosine >= c is Euclidean distance <= eps = sqrt(2 - 2c). They are turned to the
 principal axes, sorted by the eps-grid cells of the leading axes, and cut into sequence intervals with a bounding box.
-The sequence is joined with itself from long stretches of intervals to short ones: a pair of stretches whose boxes are
-further apart than eps is skipped, any other gives way to the pairs of its ``FAN`` parts, so that no key holds all
-pairs. Pairs of intervals are joined by halving both, again skipping distant halves. In a leaf a bound from the leading axes and the length of the rest (Cauchy-Schwarz)
+The sequence is joined with itself part by part, where the parts are read: intervals whose boxes are further apart than eps
+are skipped, so that vectors are written once, whatever the number of pairs. Pairs of intervals are joined by halving both, again
+skipping distant halves. In a leaf a bound from the leading axes and the length of the rest (Cauchy-Schwarz)
 leaves few pairs, and those are decided by the dot product in double precision.
 
 Exact copies are one vector with a count, and a tile returns link counts and a spanning forest, never its pairs.
@@ -25,7 +25,8 @@ from .common import components, join_counted, stage_table, unite
 
 INTERVAL = 8192  # vectors in a sequence interval, at most
 INTERVAL_BYTES = 16 << 20  # bytes of vectors in one, at most; both bound a task's memory
-FAN_BITS = 3  # a stretch has 2 ** FAN_BITS parts
+PARTS = 16  # parts of the sequence, at least, if it has as many intervals; tasks are pairs of parts
+PART_BYTES = 64 << 20  # bytes of vectors in a part, about
 LEAF = 512
 HEAD = 16  # principal axes used for boxes and for the bound
 CELLS = 4  # of those, axes that the grid order uses
@@ -172,38 +173,19 @@ def _tiles(axes, least):
     return run
 
 
-def interval_pairs(seq: DataFrame, eps2: float) -> DataFrame:
-    """Pairs (a, b, dim) of intervals, a <= b in the sequence, whose boxes are within the square root of ``eps2``.
+def interval_tiles(seq: DataFrame, eps2: float, tasks: int) -> DataFrame:
+    """Pairs of intervals, a <= b in the sequence, whose boxes are within the square root of ``eps2``, with their vectors.
 
-    Stretches are numbers of range partitions without their last bits. The pair of the whole sequence with itself is
-    split bit by bit on both sides, and pairs too far apart go at each step, before they are split further.
+    Either side reads the staged sequence in ``tasks`` parts, and a task joins a part with a part as it reads them. So no vector is
+    shuffled or written again, however many pairs there are, and a task holds one part and a pair at a time.
     """
-    edges = [f"{s}{i}" for s in "lh" for i in range(HEAD)]
-    boxes = seq.select("dim", "part", "iid", *(F.get("lo", i).alias(f"l{i}") for i in range(HEAD)), *(F.get("hi", i).alias(f"h{i}") for i in range(HEAD)))
-    top = seq.agg(F.max("part")).first()[0] or 0
-    levels = -(-int(top).bit_length() // FAN_BITS)
-
-    def stretches(shift):
-        node = F.shiftright("part", shift)
-        return boxes.groupBy("dim", node.alias("node")).agg(*(F.min(c).alias(c) if c[0] == "l" else F.max(c).alias(c) for c in edges))
-
-    def side(df, s, parent):
-        return df.select(F.col("dim").alias(f"{s}_dim"), parent.alias(f"{s}_up"), F.col("node").alias(f"{s}_node"), *(F.col(c).alias(f"{s}_{c}") for c in edges))
-
-    def near(i):
-        gap = F.greatest(F.lit(0.0), F.col(f"a_l{i}") - F.col(f"b_h{i}"), F.col(f"b_l{i}") - F.col(f"a_h{i}"))
-        return gap * gap
-
-    def split(pairs, parts, parent):
-        left, right = side(parts, "a", parent), side(parts, "b", parent)
-        out = pairs.join(left, (pairs.dim == left.a_dim) & (pairs.a == left.a_up)).drop("a_dim", "a_up")
-        out = out.join(right, (out.dim == right.b_dim) & (out.b == right.b_up)).where("a_node <= b_node")
-        return out.where(sum((near(i) for i in range(HEAD)), F.lit(0.0)) <= eps2).select("dim", F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-
-    pairs = stretches(FAN_BITS * levels).select("dim", F.col("node").alias("a"), F.col("node").alias("b"))
-    for k in reversed(range(levels)):
-        pairs = split(pairs, stretches(FAN_BITS * k), F.shiftright("node", FAN_BITS))
-    return split(pairs, boxes.withColumn("node", F.col("iid")), F.col("part"))
+    carried = ("keys", "reps", "counts", "units")
+    side = lambda s: seq.coalesce(tasks).select(*(F.col(c).alias(f"{s}_{c}") for c in ("iid", "dim", "lo", "hi", *carried)))
+    gap = lambda i: F.greatest(F.lit(0.0), F.get("l_lo", i) - F.get("r_hi", i), F.get("r_lo", i) - F.get("l_hi", i))
+    near = (F.col("l_iid") <= F.col("r_iid")) & (F.col("l_dim") == F.col("r_dim")) & (sum((gap(i) * gap(i) for i in range(HEAD)), F.lit(0.0)) <= eps2)
+    own = lambda c: F.when(F.col("a") != F.col("b"), F.col(c)).alias(c)  # noqa: E731  a tile of one interval carries it once
+    pairs = side("l").join(side("r").hint("shuffle_replicate_nl"), near).withColumnsRenamed({"l_iid": "a", "r_iid": "b", "l_dim": "dim"})
+    return pairs.select("a", "b", "dim", *(f"l_{c}" for c in carried), *(own(f"r_{c}") for c in carried))
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.9) -> DataFrame:
@@ -231,13 +213,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     tasks = max(1, sum(-(-n // interval_size(dim)) for dim, n in sizes.items()))
     cut = reps.mapInArrow(_cells(axes, eps), sized).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     seq = stage_table(cut.mapInArrow(_intervals(axes, {dim: interval_size(dim) for dim in sizes}), INTERVAL_SQL), "intervals")
-    pairs = stage_table(interval_pairs(seq, 2 - 2 * least + 1e-9), "pairs")
-
-    side = lambda s, at: seq.select(F.col("iid").alias(at), *(F.col(c).alias(f"{s}_{c}") for c in ("keys", "reps", "counts", "units")))
-    own = lambda c: F.when(F.col("a") != F.col("b"), F.col(c)).alias(c)  # noqa: E731  a tile of one interval carries it once
-    tiles = pairs.join(side("l", "a"), "a").join(side("r", "b"), "b")
-    tiles = tiles.select("a", "b", "dim", *(f"l_{c}" for c in ("keys", "reps", "counts", "units")), *(own(f"r_{c}") for c in ("keys", "reps", "counts", "units")))
-    tiles = tiles.repartition(max(tasks, min(4 * tasks * tasks, 2000)), "a", "b")
+    parts = max(PARTS, -(-sum(8 * dim * n for dim, n in sizes.items()) // PART_BYTES))
+    tiles = interval_tiles(seq, 2 - 2 * least + 1e-9, min(tasks, parts))
     found = stage_table(tiles.mapInArrow(_tiles(axes, least), "dim int, key binary, links long, a long, b long"), "links")
 
     roots = components(found.select("a", "b"))
