@@ -27,17 +27,6 @@ def with_draws(df: DataFrame, row: str, seed: int | Column, draws: dict[str, int
     return df.withColumns({n: _p5(F.col(f"_h_{n}")) for n in draws}).drop(*(f"_h_{n}" for n in draws))
 
 
-def bound(value: Column, f) -> Column:
-    """``f`` of a value that is worked out once, for use where no projection can hold it."""
-    return F.get(F.transform(F.array(value), f), 0)
-
-
-def draw_of(row: Column, seed: int, draw: int) -> Column:
-    """The draw of :func:`with_draws` as one expression, for rows that exist only within an array."""
-    first = (F.lit(seed).cast("long") * 7919 + 1 + row.cast("long") * 48271 + F.lit(draw * 69621).cast("long")) % M
-    return bound((bound(first, _p5) + (draw * 16807 + 11)) % M, _p5)
-
-
 def draws_of(rows, seed: int, draw: int):
     """The draws of :func:`with_draws` for whole numbers, or arrays of them (of 64 bits)."""
     return (_p5((_p5((seed * 7919 + 1 + rows * 48271 + draw * 69621) % M) + draw * 16807 + 11) % M)) % M

@@ -7,11 +7,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import boxes as B
-from ..functions.prng import bound, draw_of, unit, with_draws
+from ..functions.prng import M, draws_of, unit, with_draws
 
 DRAWS = {n: 10 + i for i, n in enumerate("angle flip hue contrast brightness saturation scale distortion xoff yoff pad_x pad_y light_0a light_0b light_1a light_1b light_2a light_2b expand expand_ratio expand_x expand_y".split())}
 
@@ -158,42 +162,124 @@ def satisfies(patch: B.Box, objects: Column, constraint: dict, mode: str = "firs
     return found
 
 
-_PATCHES = "array<struct<sampler: int, trial: int, xmin: double, ymin: double, xmax: double, ymax: double>>"
-
-
-def _patch(row: Column, k: int, s: dict, trial: Column, seed: int) -> Column:
-    """The patch that :func:`sampler_patches` gives for a trial, as a struct."""
+def _trials(rows: np.ndarray, k: int, s: dict, seed: int) -> list[np.ndarray]:
+    """xmin, ymin, xmax, ymax of the patches that :func:`sampler_patches` gives, a line per trial."""
     own = s.get("sampler") or {}
-    scale, (a0, a1) = own.get("scale", (1.0, 1.0)), own.get("aspect_ratio", (1.0, 1.0))
-    u = lambda r, d: unit(draw_of(r, seed, d))
-    drawn = lambda r: F.struct((F.lit(float(scale[0])) + u(r, 40) * float(scale[1] - scale[0])).alias("s"), u(r, 41).alias("a"), u(r, 42).alias("x"), u(r, 43).alias("y"))
-
-    def shape(v):
-        low, high = F.greatest(F.lit(float(a0)), v["s"] * v["s"]), F.least(F.lit(float(a1)), 1 / (v["s"] * v["s"]))
-        return bound(low + v["a"] * (high - low), lambda q: bound(F.struct((v["s"] * F.sqrt(q)).alias("w"), (v["s"] / F.sqrt(q)).alias("h")), lambda z: place(v, z)))
+    (s0, s1), (a0, a1) = own.get("scale", (1.0, 1.0)), own.get("aspect_ratio", (1.0, 1.0))
+    at = (rows % M * 7919 + k * 1009 + np.arange(int(s.get("max_trials", 100)))[:, None]) % M
+    u = [draws_of(at, seed, d) / float(M) for d in (40, 41, 42, 43)]
+    scale = float(s0) + u[0] * float(s1 - s0)
+    low, high = np.maximum(float(a0), scale * scale), np.minimum(float(a1), 1 / (scale * scale))
+    root = np.sqrt(low + u[1] * (high - low))
+    w, h = scale * root, scale / root
+    x, y = u[2] * (1 - w), u[3] * (1 - h)
+    return [x, y, x + w, y + h]
+
+
+class _Objects:
+    """The objects of a batch of images, with what :func:`satisfies` says of them: nan is greater than all, and an unknown side limits nothing."""
+
+    def __init__(self, column: pa.Array):
+        n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        flat = column.flatten()
+        raw = [pc.struct_field(flat, c).cast(pa.float64()) for c in ("xmin", "ymin", "xmax", "ymax")]
+        self.image, self.n, self.missing = np.repeat(np.arange(len(n)), n), len(n), column.is_null().to_numpy(zero_copy_only=False)
+        xmin, ymin, xmax, ymax = (c.to_numpy(zero_copy_only=False) for c in raw)
+        self.size = np.where((xmax < xmin) | (ymax < ymin), 0.0, (xmax - xmin) * (ymax - ymin))
+        self.unknown = np.any([c.is_null().to_numpy(zero_copy_only=False) for c in raw], axis=0)
+        ends = (-np.inf, -np.inf, np.inf, np.inf)
+        self.sides = [np.where(np.isnan(v), np.inf, v) for v in (c.fill_null(e).to_numpy(zero_copy_only=False) for c, e in zip(raw, ends))]
+
+    def meets(self, patch: list[np.ndarray], constraint: dict, mode: str) -> tuple[np.ndarray, np.ndarray]:
+        """For a patch of each image: whether it meets the constraint, and whether that is unknown."""
+        limits = [(g, constraint.get(f"min_{g}"), constraint.get(f"max_{g}")) for g, _ in _GROUPS]
+        limits = [x for x in limits if x[1:] != (None, None)][: 1 if mode == "first" else None]
+        if not limits:
+            return np.ones(self.n, bool), np.zeros(self.n, bool)
+        x0, y0, x1, y1 = (side[self.image] for side in patch)
+        w, h = np.minimum(x1, self.sides[2]) - np.maximum(x0, self.sides[0]), np.minimum(y1, self.sides[3]) - np.maximum(y0, self.sides[1])
+        shared = np.where((w < 0) | (h < 0), 0.0, w * h)
+        whole = (x1 - x0) * (y1 - y0)
+        yes, unknown = np.zeros(self.n, bool), self.missing.copy()
+        for group, low, high in limits:
+            by = {"jaccard_overlap": whole + self.size - shared, "sample_coverage": whole, "object_coverage": self.size}[group]
+            m = np.where(shared == 0, 0.0, shared / by)
+            never = np.zeros(len(m), bool) if group == "sample_coverage" else self.unknown & (shared != 0)
+            good = ~never & ((m >= low) | np.isnan(m) if low is not None else True) & (m <= high if high is not None else True)
+            yes[self.image[good]] = True
+            unknown[self.image[never]] = True
+        return yes, unknown & ~yes
+
+
+def _tested(samplers: list[dict], seed: int, mode: str, batches):
+    """For some images at a time: their columns, and per sampler the sides of its trials, whether they meet its constraint, and whether that is unknown."""
+    total = sum(int(s.get("max_trials", 100)) for s in samplers)
+    for whole in batches:
+        for start in range(0, whole.num_rows, step := max(1, CELLS // max(total, 1))):
+            b = whole.slice(start, step)
+            rows, objects, found = b.column(0).cast(pa.int64()), _Objects(b.column(1)), []
+            known = rows.is_valid().to_numpy(zero_copy_only=False)
+            for k, s in enumerate(samplers):
+                with np.errstate(all="ignore"):
+                    sides = _trials(rows.fill_null(0).to_numpy(), k, s, seed)
+                    tests = [objects.meets([side[t] for side in sides], s.get("sample_constraint") or {}, mode) for t in range(len(sides[0]))]
+                yes, unknown = (np.array([t[i] for t in tests]).reshape(sides[0].shape) for i in (0, 1))
+                found.append((sides, yes & known, unknown | ~known))
+            yield b, found
+
+
+CELLS = 1 << 19  # trials of images that a task has at a time
+_SIDES = ("xmin", "ymin", "xmax", "ymax")
+
+
+def _schema(images: DataFrame, row: str, *more: T.StructField) -> T.StructType:
+    own = [T.StructField("sampler", T.IntegerType()), T.StructField("trial", T.IntegerType())]
+    return T.StructType([images.schema[row], *own, *(T.StructField(c, T.DoubleType()) for c in _SIDES), *more])
+
+
+def tested_patches(images: DataFrame, samplers: list[dict], seed: int, row: str = "image_id", objects: str = "objects", mode: str = "first") -> DataFrame:
+    """:func:`sampler_patches` of images with arrays of objects, and ``meets``: what :func:`satisfies` says of each patch.
+
+    Trials and tests are arrays over a batch of images, so nothing is shuffled. An image without a number has patches without sides.
+    """
 
-    def place(v, z):
-        x, y = v["x"] * (1 - z["w"]), v["y"] * (1 - z["h"])
-        sides = {"xmin": x, "ymin": y, "xmax": x + z["w"], "ymax": y + z["h"]}
-        return F.struct(F.lit(k).alias("sampler"), trial.cast("int").alias("trial"), *(c.alias(n) for n, c in sides.items()))
+    def run(batches):
+        for b, found in _tested(samplers, seed, mode, batches):
+            for k, (sides, yes, unknown) in enumerate(found):
+                trials, n = yes.shape
+                lost = np.repeat(b.column(0).is_null().to_numpy(zero_copy_only=False), trials)
+                own = [b.column(0).take(pa.array(np.repeat(np.arange(n), trials))), pa.array(np.full(n * trials, k, "i4")), pa.array(np.tile(np.arange(trials, dtype="i4"), n))]
+                own += [pa.array(side.T.ravel(), mask=lost) for side in sides]
+                free = not any(v is not None for v in (samplers[k].get("sample_constraint") or {}).values())
+                meets = pa.array(np.ones(n * trials, bool)) if free else pa.array(yes.T.ravel(), mask=unknown.T.ravel())
+                yield pa.RecordBatch.from_arrays([*own, meets], [row, "sampler", "trial", *_SIDES, "meets"])
 
-    return bound(bound(F.pmod(row.cast("long") * 7919 + F.lit(k * 1009) + trial, F.lit(2**31 - 1)), drawn), shape)
+    return images.select(row, objects).mapInArrow(run, _schema(images, row, T.StructField("meets", T.BooleanType())))
 
 
 def batch_samples(images: DataFrame, samplers: list[dict], seed: int, row: str = "image_id", objects: str = "objects", mode: str = "first") -> DataFrame:
     """One patch per image: of each sampler's patches that satisfy it the first ``max_sample``; one of all, or the frame.
 
-    Trials are folded in the image's own row and end once a sampler has its patches, so nothing is shuffled.
+    Trials and tests are arrays over a batch of images, so nothing is shuffled.
     """
-    def fold(k: int, s: dict) -> Column:
-        most, constraint = int(s.get("max_sample", -1)), s.get("sample_constraint") or {}
-        good = lambda p: satisfies(B.Box.of(p, pixel=False), F.col(objects), constraint, mode)
-        more = lambda have, trial: bound(_patch(F.col(row), k, s, trial, seed), lambda p: F.when(good(p), F.concat(have, F.array(p))).otherwise(have))
-        step = lambda have, trial: F.when(F.size(have) >= most, have).otherwise(more(have, trial)) if most >= 0 else more(have, trial)
-        return F.aggregate(F.sequence(F.lit(0), F.lit(int(s.get("max_trials", 100)) - 1)), F.array().cast(_PATCHES), step)
-
-    found = [fold(k, s) for k, s in enumerate(samplers)]
-    out = with_draws(images.withColumn("_p", F.concat(*found)), row, seed, {"_pick": 44})
-    at = F.floor(unit(F.col("_pick")) * F.size("_p")).cast("int")
-    full = F.struct(F.lit(-1).alias("sampler"), F.lit(-1).alias("trial"), F.lit(0.0).alias("xmin"), F.lit(0.0).alias("ymin"), F.lit(1.0).alias("xmax"), F.lit(1.0).alias("ymax"))
-    return out.select(row, F.coalesce(F.get("_p", at), full).alias("_c")).select(row, "_c.*")
+
+    def run(batches):
+        for b, found in _tested(samplers, seed, mode, batches):
+            kept, n = [], b.num_rows
+            for s, (_, yes, _) in zip(samplers, found):
+                most = int(s.get("max_sample", -1))
+                kept.append(yes & (np.cumsum(yes, axis=0) <= most) if most >= 0 else yes)
+            kept = np.concatenate([np.zeros((0, n), bool), *kept])
+            about = np.array([(k, t) for k, f in enumerate(found) for t in range(len(f[1]))], "i4").reshape(-1, 2)
+            count = kept.sum(axis=0)
+            pick = np.floor(b.column(2).fill_null(0).to_numpy() / float(M) * count).astype("i8")
+            some = count > 0
+            at = (np.cumsum(kept, axis=0) == pick + 1).argmax(axis=0) if len(kept) else np.zeros(n, "i8")
+            out = [b.column(0)]
+            out += [pa.array(np.where(some, about[at, i] if len(about) else -1, -1).astype("i4")) for i in (0, 1)]
+            for i, frame in enumerate((0.0, 0.0, 1.0, 1.0)):
+                out.append(pa.array(np.where(some, np.concatenate([f[0][i] for f in found])[at, np.arange(n)] if found else frame, frame)))
+            yield pa.RecordBatch.from_arrays(out, [row, "sampler", "trial", *_SIDES])
+
+    drawn = with_draws(images.select(row, objects), row, seed, {"_pick": 44})
+    return drawn.mapInArrow(run, _schema(images, row))
