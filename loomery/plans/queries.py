@@ -580,7 +580,7 @@ def _images(spark, sf_dir):
     b = boxes(spark, sf_dir)
     n = box().normalize(F.lit(512.0), F.lit(512.0))
     b = b.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "image_id")  # small rows that take long: as many tasks as asked for
-    return b.groupBy("image_id").agg(F.array_sort(F.collect_list(n.struct())).alias("objects"))
+    return b.groupBy("image_id").agg(F.collect_list(n.struct()).alias("objects"))
 
 
 def _sql_patches() -> str:
@@ -609,10 +609,7 @@ g AS (SELECT image_id, sampler, trial, x0, y0, x1, y1, bool_or(CASE WHEN sampler
 @query(f"{_MEETS} SELECT image_id, sampler, trial, meets FROM g")
 def sample_constraint(spark, sf_dir):
     """Which patches meet their sampler's constraint for some box."""
-    p = augment.sampler_patches(_images(spark, sf_dir), _SAMPLERS, SEED)
-    patch = Box.cols("xmin", "ymin", "xmax", "ymax", pixel=False)
-    tests = [augment.satisfies(patch, F.col("objects"), s["sample_constraint"]) for s in _SAMPLERS]
-    return p.select("image_id", "sampler", "trial", F.when(F.col("sampler") == 0, tests[0]).otherwise(tests[1]).alias("meets"))
+    return augment.tested_patches(_images(spark, sf_dir), _SAMPLERS, SEED).select("image_id", "sampler", "trial", "meets")
 
 
 @query(
