@@ -1,9 +1,13 @@
 """What grew faster than its input, or too near a limit."""
 
+import tracemalloc
+
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loomery.functions.boxes import Box
 from loomery.operators import augment
+from loomery.sources import containers
 
 SAMPLERS = [
     {"max_sample": 2, "max_trials": 6, "sampler": {"scale": (0.3, 1.0), "aspect_ratio": (0.5, 2.0)}, "sample_constraint": {"min_jaccard_overlap": 0.1, "max_object_coverage": 0.4}},
@@ -37,3 +41,26 @@ def test_patches_are_tested_in_batches(spark, monkeypatch):
     assert len({(r.sampler, r.trial) for r in found.values()}) > 3
     nothing = augment.batch_samples(images.where("image_id is null"), SAMPLERS, 3).collect()
     assert [tuple(r) for r in nothing] == [(None, -1, -1, 0.0, 0.0, 1.0, 1.0)] * 2
+
+
+def test_archives_are_written_and_read_as_they_come(tmp_path, monkeypatch):
+    class Here:
+        partitionId = staticmethod(lambda: 3)  # noqa: N815
+
+    monkeypatch.setattr(containers, "TaskContext", type("T", (), {"get": staticmethod(Here)}))
+    rows = lambda: (Row(path="", record=0, elements=[str(i).encode(), bytes([i % 251]) * 500_001]) for i in range(300))
+    writer, none = containers._ArchiveWriter(str(tmp_path / "a"), False), containers._ArchiveWriter(str(tmp_path / "b"), False)
+    tracemalloc.start()
+    writer.commit([writer.write(rows()), none.write(iter([]))])
+    reader = containers._ArchiveReader(str(tmp_path / "a"))
+    n = 0
+    for part in reader.partitions():
+        for batch in reader.read(part):
+            for r in batch.to_pylist():
+                assert r["record"] == n and r["elements"] == [str(n).encode(), bytes([n % 251]) * 500_001]
+                n += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 300 and peak < 50 << 20  # of 150 MB
+    (path,) = (tmp_path / "a").iterdir()
+    assert path.read_bytes() == containers.write_archive([[bytes(x) for x in r.elements] for r in rows()])
