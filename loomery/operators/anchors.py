@@ -164,12 +164,12 @@ def label_images(boxes: DataFrame, lattice: Lattice, width: Column | float, heig
     return out.select("image_id", "gts", F.coalesce(labelled, none).alias("near"), label(F.lit(0.0), F.lit(False)).alias("far_label"), "_w", "_h")
 
 
-def label_anchors(images: DataFrame, lattice: Lattice) -> DataFrame:
-    """A row per image and anchor within it, from :func:`label_images`: image_id, anchor_idx, max_iou, gt_idx, label. No row moves."""
+def label_anchors(images: DataFrame, lattice: Lattice, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row per image and anchor within it, from :func:`label_images`: image_id, the image's columns ``keep``, anchor_idx, max_iou, gt_idx, label. No row moves."""
     far = F.array_except(lattice.inside(F.col("_w"), F.col("_h")), F.transform("near", lambda a: a["anchor_idx"]))
     first = F.get("gts", 0)["gt_idx"].cast("int")
     others = F.transform(far, lambda i: F.struct(i.alias("anchor_idx"), F.lit(0.0).alias("max_iou"), first.alias("gt_idx"), F.col("far_label").alias("label")))
-    return images.select("image_id", F.explode_outer(F.concat("near", others)).alias("_a")).where(F.col("_a.anchor_idx").isNotNull()).select("image_id", "_a.*")
+    return images.select("image_id", *keep, F.explode_outer(F.concat("near", others)).alias("_a")).where(F.col("_a.anchor_idx").isNotNull()).select("image_id", *keep, "_a.*")
 
 
 def _target(lattice: Lattice, number: Column, gt: Column) -> dict[str, Column]:
@@ -185,9 +185,11 @@ def _box(gts: Column, gt_idx: Column) -> Column:
 
 
 def targets(images: DataFrame, lattice: Lattice) -> DataFrame:
-    """:func:`label_anchors` with dx, dy, dw, dh of the best box of each anchor."""
-    far = label_anchors(images, lattice).join(images.select("image_id", "gts"), "image_id").withColumn("_g", _box(F.col("gts"), F.col("gt_idx")))
-    return far.withColumns(_target(lattice, F.col("anchor_idx"), F.col("_g"))).drop("gts", "_g")
+    """:func:`label_anchors` with dx, dy, dw, dh of the best box of each anchor, which the image's own row has: nothing is joined."""
+    images = images.withColumn("_ids", F.transform("gts", lambda g: g["gt_idx"]))
+    rows = label_anchors(images, lattice, ("gts", "_ids"))
+    rows = rows.withColumn("_g", F.get("gts", (F.array_position("_ids", F.col("gt_idx")) - 1).cast("int"))).drop("gts", "_ids")
+    return rows.withColumns(_target(lattice, F.col("anchor_idx"), F.col("_g"))).drop("_g")
 
 
 def sample(images: DataFrame, lattice: Lattice, rois: int = 256, foreground: float = 0.5, seed: int = 0, shuffle: bool = True) -> DataFrame:
