@@ -1,6 +1,6 @@
 """Cache of encoded records by block, as Parquet; complete once its marker is written.
 
-A block is a folder. An epoch's order is a scan whose input partitions are the blocks in that order, each shuffled where it is
+A block is a folder. An epoch's order is a scan of the blocks in that order, each shuffled where it is
 read, so records of a cached run are never exchanged to be shuffled.
 """
 
@@ -38,7 +38,13 @@ def is_complete(spark: SparkSession, path: str) -> bool:
 
 
 def store(df: DataFrame, path: str) -> DataFrame:
-    """Writes blocks (column ``block_id``) unless a complete cache is there, and reads them back.
+    """:func:`write`, and reads the blocks back."""
+    write(df, path)
+    return load(df.sparkSession, path, df.columns)
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Writes blocks (column ``block_id``) unless a complete cache is there.
 
     A writer has a folder of its own and moves it into place when it is complete, so of several writers one wins and the
     others read what it wrote.
@@ -55,7 +61,6 @@ def store(df: DataFrame, path: str) -> DataFrame:
             store.rename(source, target)
         store.delete(source, True)
         store.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{source.getName()}"), True)  # where a rename that came late lands
-    return load(spark, path, df.columns)
 
 
 def load(spark: SparkSession, path: str, columns: list[str], block: int | None = None) -> DataFrame:
@@ -67,8 +72,11 @@ def load(spark: SparkSession, path: str, columns: list[str], block: int | None =
 PLACES = ("row_idx", "source_idx", "block_id", "block_pos", "in_block", "epoch")
 
 
+MAX_TASKS = 1000  # of a scan; where there are more blocks, a task reads some, one after the other
+
+
 @dataclass
-class _Block(InputPartition):
+class _Block:
     """A block in its place: rows from ``start`` on in the order of its epoch."""
 
     block: int
@@ -77,6 +85,13 @@ class _Block(InputPartition):
     epoch: int
 
 
+@dataclass
+class _Blocks(InputPartition):
+    """Blocks that follow each other."""
+
+    blocks: list[_Block]
+
+
 class _BlockReader(DataSourceReader):
     def __init__(self, schema: StructType, about: dict):
         self.columns, self.about = [f.name for f in schema.fields if f.name not in PLACES], about
@@ -92,24 +107,30 @@ class _BlockReader(DataSourceReader):
             for place, b in enumerate(order):
                 out.append(_Block(b, place, start, epoch))
                 start += blocks[b][1]
-        return out
+        some = -(-len(out) // self.about["tasks"])
+        return [_Blocks(out[i : i + some]) for i in range(0, len(out), max(some, 1))]
 
     def read(self, partition):
         from pyarrow import fs
 
+        path = self.about["path"]
+        store, path = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+        for block in partition.blocks:
+            yield from self._rows(store, path, block)
+
+    def _rows(self, store, path, block):
         a = self.about
-        store, path = fs.FileSystem.from_uri(a["path"]) if ":" in a["path"] else (fs.LocalFileSystem(), a["path"])
-        t = pq.read_table(f"{path}/block_id={partition.block}", columns=["row_idx", *self.columns], filesystem=store, partitioning=None)
+        t = pq.read_table(f"{path}/block_id={block.block}", columns=["row_idx", *self.columns], filesystem=store, partitioning=None)
         at = t.column("row_idx").to_numpy().astype("i8")
-        order = np.lexsort((at, draws_of(at, a["seed"] + partition.epoch, 3))) if a["within"] else np.argsort(at)
+        order = np.lexsort((at, draws_of(at, a["seed"] + block.epoch, 3))) if a["within"] else np.argsort(at)
         t, n = t.take(pa.array(order)), len(order)
-        places = {"row_idx": partition.start + np.arange(n), "source_idx": at[order], "block_id": np.full(n, partition.block), "block_pos": np.full(n, partition.place), "in_block": np.arange(n), "epoch": np.full(n, partition.epoch)}
+        places = {"row_idx": block.start + np.arange(n), "source_idx": at[order], "block_id": np.full(n, block.block), "block_pos": np.full(n, block.place), "in_block": np.arange(n), "epoch": np.full(n, block.epoch)}
         columns = [pa.array(places[c].astype("i8")) if c in places else t.column(c) for c in self.names]
         yield from pa.table(columns, self.names).to_batches()
 
 
 class BlockScan(DataSource):
-    """Cached blocks in the orders of some epochs, a partition each."""
+    """Cached blocks in the orders of some epochs, some that follow each other in a partition."""
 
     @classmethod
     def name(cls):
@@ -122,10 +143,12 @@ class BlockScan(DataSource):
 def scan(spark: SparkSession, path: str, columns: list[str], n_rows: int, block_size: int, seed: int, first: int, last: int, within: bool = True, block_order: bool = True) -> DataFrame:
     """The rows of the epochs from ``first`` to ``last`` in the orders that :func:`..operators.rows.shuffle_blocks` gives, with its columns and ``epoch``.
 
-    ``path`` is mounted where tasks run, or a URI that Arrow's file systems know. No row is exchanged: a task reads a block.
+    ``path`` is mounted where tasks run, or a URI that Arrow's file systems know. No row is exchanged: a task
+    reads a block, or, beyond ``MAX_TASKS``, some that follow each other. One block tells the columns, as listing all takes long.
     """
     spark.dataSource.register(BlockScan)
-    kept = [f for f in load(spark, path, columns).schema.fields if f.name not in PLACES]
+    kinds = spark.read.parquet(f"{path}/block_id=0").select(*(c for c in columns if c not in PLACES)).schema if n_rows else load(spark, path, columns).schema
+    kept = [f for f in kinds.fields if f.name not in PLACES]
     schema = StructType([*kept, *(StructField(c, LongType()) for c in PLACES)])
-    about = {"path": path.removeprefix("file://"), "n_rows": n_rows, "block_size": block_size, "seed": seed, "first": first, "last": last, "within": within, "block_order": block_order}
+    about = {"path": path.removeprefix("file://"), "n_rows": n_rows, "block_size": block_size, "seed": seed, "first": first, "last": last, "within": within, "block_order": block_order, "tasks": MAX_TASKS}
     return spark.read.format("cachedblocks").schema(schema).option("about", json.dumps(about)).load()

@@ -73,7 +73,7 @@ def cached_shuffle(spark, sf_dir):
     """Two epochs of a cache, blocks in their orders and records shuffled where they are read."""
     ev = records(spark, sf_dir)
     n, path = ev.count(), work_path(spark, "cache")
-    cache.store(rows.with_blocks(ev, n, BLOCK), path)
+    cache.write(rows.with_blocks(ev, n, BLOCK), path)
     return cache.scan(spark, path, ["event_id"], n, BLOCK, SEED, 1, 2)
 
 

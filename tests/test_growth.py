@@ -6,7 +6,8 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loomery.functions.boxes import Box
-from loomery.operators import augment
+from loomery.operators import anchors, augment
+from loomery.plans import cache
 from loomery.sources import containers
 
 SAMPLERS = [
@@ -64,3 +65,23 @@ def test_archives_are_written_and_read_as_they_come(tmp_path, monkeypatch):
     assert n == 300 and peak < 50 << 20  # of 150 MB
     (path,) = (tmp_path / "a").iterdir()
     assert path.read_bytes() == containers.write_archive([[bytes(x) for x in r.elements] for r in rows()])
+
+
+def test_targets_join_nothing_more_than_labels(spark):
+    lattice = anchors.Lattice(64, 64, scales=(1, 2))
+    boxes = spark.createDataFrame([(1, 0, 3.0, 4.0, 30.0, 30.0), (1, 1, 20.0, 20.0, 50.0, 60.0)], "image_id long, gt_idx int, xmin double, ymin double, xmax double, ymax double")
+    images = anchors.label_images(boxes, lattice, 64, 64)
+    plans = [anchors.label_anchors(images, lattice), anchors.targets(images, lattice)]
+    joins = [sum("Join" in line for line in p._jdf.queryExecution().optimizedPlan().toString().splitlines()) for p in plans]
+    assert joins[0] == joins[1]
+
+
+def test_a_scan_has_a_bounded_number_of_tasks(spark, tmp_path, monkeypatch):
+    df = spark.range(103).selectExpr("id AS row_idx", "id * 2 AS v", "id div 11 AS block_id")
+    path = str(tmp_path / "cache")
+    cache.write(df, path)
+    scan = lambda: cache.scan(spark, path, df.columns, 103, 10, 5, 2, 3)
+    want = sorted(map(tuple, scan().collect()))
+    monkeypatch.setattr(cache, "MAX_TASKS", 3)
+    few = scan()
+    assert few.rdd.getNumPartitions() <= 3 and sorted(map(tuple, few.collect())) == want and len(want) == 206
