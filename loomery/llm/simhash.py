@@ -4,9 +4,13 @@ The index has one posting list per ``COMBO`` byte positions and their values. Tw
 most 4 bits agree in at least 4 of their 8 bytes, so in at least 3 of the first 7: with one list per three of these,
 every pair to be found meets in a list, and a list holds one in 2**24 of unrelated fingerprints. Whenever two
 fingerprints meet, the positional bytes that they share are tallied; pairs with fewer than the guaranteed minimum are
-dropped, and the rest is verified bit by bit. That holds for short lists, which are paired; for long ones, which give a
-spanning forest of their links instead of their pairs; and for lists beyond ``BLOCK`` members, which are cut into blocks
-that are compared two at a time in tasks of their own.
+dropped, and the rest is verified bit by bit. That holds for short lists, which are paired; for long ones, which are
+walked; and for lists beyond ``BLOCK`` members, which are cut into blocks that are compared two at a time in tasks of their own.
+All of them give a spanning forest of their links, never their pairs.
+
+A large group of near copies meets in every list. So the lists are read in rounds (``ROUNDS``): the first few lists join most of such
+a group, and in the next round its members go by the name of their component, so that a list gives only links between
+components that no earlier round has joined, and compares no two members of one.
 
 A wider sketch (``words`` > 1) tells similar texts from others by more bits than an index can guarantee: then the
 lists are fixed combinations of positions, which find a measured share of the pairs (see :data:`SIMILAR`).
@@ -14,6 +18,7 @@ lists are fixed combinations of positions, which find a measured share of the pa
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 from itertools import combinations
@@ -21,13 +26,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_counted, released, stage_table
+from .common import components, contract, drop_table, join_counted, released, stage_table
 
 SEED, COMBO = 42, 3
 FEW, BLOCK = 64, 8192
+ROUNDS = (4, 12)  # lists that have been read after each round but the last
 
 
 @dataclass(frozen=True)
@@ -126,12 +132,13 @@ def _linked(x: np.ndarray, y: np.ndarray, sketch: Sketch) -> np.ndarray:
 
 
 def _pairs(key, fp, rep, sketch):
-    """Links within lists of at most FEW members, each pair in the first list that has it."""
+    """Links within lists of at most FEW members, each pair in the first list that has it, but those within one node."""
     out, combos = [], np.array(sketch.combos)
     for d in range(1, FEW):
         i = np.flatnonzero(key[d:] == key[:-d]) if d < len(key) else []
         if not len(i):
             break
+        i = i[rep[i] != rep[i + d]]
         i = i[_linked(fp[i], fp[i + d], sketch)]
         first = (fp[i] == fp[i + d])[:, combos].all(2).argmax(1)
         i = i[first == key[i] >> 8 * COMBO]
@@ -140,17 +147,19 @@ def _pairs(key, fp, rep, sketch):
 
 
 def forest(fp, rep, sketch: Sketch = EXACT):
-    """A spanning forest of the links among fingerprints that share a list."""
+    """A spanning forest of the links among fingerprints that share a list; those with the same ``rep`` are one node."""
     out, left = [], np.arange(len(fp))
     while len(left) > 1:
-        todo, left = [left[0]], left[1:]
+        same = rep[left] == rep[left[0]]
+        todo, left = left[same].tolist(), left[~same]
         while todo and len(left):
             at = todo.pop()
             hit = _linked(fp[left], fp[at], sketch)
             if hit.any():
-                new = left[hit]
-                out.append((np.full(len(new), rep[at]), rep[new]))
-                todo.extend(new.tolist())
+                new = np.unique(rep[left[hit]])
+                out.append((np.full(len(new), rep[at]), new))
+                hit = np.isin(rep[left], new)
+                todo.extend(left[hit].tolist())
                 left = left[~hit]
     return out
 
@@ -159,7 +168,7 @@ LINKS_SQL = "a long, b long, key long, block int, fps binary, reps binary"
 
 
 def _batch(pairs=(), blocks=()):
-    a, b = (np.concatenate([np.zeros(0, "i8"), *(p[k] for p in pairs)]) for k in (0, 1))
+    a, b = contract(*(np.concatenate([np.zeros(0, "i8"), *(p[k] for p in pairs)]) for k in (0, 1)))
     none, k = [None] * len(a), [None] * len(blocks)
     cols = [pa.array(a.tolist() + k, pa.int64()), pa.array(b.tolist() + k, pa.int64())]
     for c, kind in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary())):
@@ -232,6 +241,16 @@ def _block_pairs(hot: DataFrame) -> DataFrame:
     return numbers.join(side("x"), ["key", "x_block"]).join(side("y"), ["key", "y_block"])
 
 
+def _links(nodes: DataFrame, keys: list[Column], sketch: Sketch) -> list[DataFrame]:
+    """Tables with the links (a, b) that the lists of these keys give among fingerprints (fp, rep)."""
+    lists = nodes.select(F.explode(F.array(*keys)).alias("key"), "fp", "rep")
+    found = stage_table(lists.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(released(_lists(sketch)), LINKS_SQL), "links")
+    hot = found.where("key is not null").select("key", "block", "fps", "reps")
+    if hot.isEmpty():
+        return [found]
+    return [found, stage_table(_block_pairs(hot).mapInArrow(released(_blocks(sketch)), LINKS_SQL), "links")]
+
+
 def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: Sketch = EXACT) -> DataFrame:
     """Fingerprints whole texts and joins those that the sketch links into components.
 
@@ -242,17 +261,18 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
     rows = stage_table(rows.mapInArrow(released(_fingerprints(sketch)), "doc_id long, fp array<long>"), "fingerprints")
-    reps = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("share"))
+    reps = stage_table(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("share")), "reps")
     byte = lambda p: F.shiftrightunsigned(F.get("fp", p // 8), 56 - 8 * (p % 8)).bitwiseAND(255)
     key = lambda c, ps: F.lit(c << 8 * COMBO) + byte(ps[0]) * 65536 + byte(ps[1]) * 256 + byte(ps[2])
-    lists = reps.where("rep is not null").select(F.explode(F.array(*(key(c, ps) for c, ps in enumerate(sketch.combos)))).alias("key"), "fp", "rep")
-    found = stage_table(lists.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(released(_lists(sketch)), LINKS_SQL), "links")
-    links = found.where("a is not null").select("a", "b")
-    hot = found.where("key is not null").select("key", "block", "fps", "reps")
-    if not hot.isEmpty():
-        links = links.unionByName(_block_pairs(hot).mapInArrow(released(_blocks(sketch)), LINKS_SQL).select("a", "b"))
-    roots = components(links)
-    classes = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "share", F.coalesce("root", "rep").alias("component_id"))
-    classes = stage_table(classes, "classes")
+    named, roots = reps.withColumn("component_id", F.col("rep")), None
+    ends = [n for n in ROUNDS if n < len(sketch.combos)] + [len(sketch.combos)]
+    for start, end in zip([0, *ends], ends):
+        nodes = named.where("rep is not null").select("fp", F.col("component_id").alias("rep"))
+        tables = _links(nodes, [key(c, sketch.combos[c]) for c in range(start, end)], sketch)
+        edges = [t.select("a", "b") for t in tables] + ([roots.toDF("a", "b")] if roots else [])
+        old, roots = roots, stage_table(components(functools.reduce(DataFrame.unionByName, edges)), "roots")
+        drop_table(*tables, old)
+        named = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "rep", "share", F.coalesce("root", "rep").alias("component_id"))
+    classes = stage_table(named.select("fp", "share", "component_id"), "classes")
     hexed = F.concat(*(F.lpad(F.lower(F.hex(F.get("fp", k))), 16, "0") for k in range(sketch.words)))
     return join_counted(rows, classes, ["fp"], rows.count()).select("doc_id", hexed.alias("fingerprint"), "component_id")
