@@ -18,6 +18,7 @@ import hashlib
 import os
 import re
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,15 @@ PACK = 4 << 20
 DICT_BYTES = 64 << 10
 DICT_DOCS = 1000  # documents that the dictionary is trained on; it only changes sizes
 DICT_TEXT = 32 << 10  # bytes of such a document, at most
-CACHE_BYTES = 110 << 20  # what a worker remembers, about
+CACHE_BYTES = 55 << 20  # what a worker remembers that is new, about, and as much again that is old
 LONG = 100  # characters of a piece that is remembered, at most
 LEVEL = 3
 
 
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: How a byte-level vocabulary writes bytes: those that print as themselves, the others from U+0100 on.
+BYTE_CHARS = {b: 256 + k for k, b in enumerate(sorted({*range(256)}.difference(_PRINTED)))}
+
 #: What the byte-level pre-tokenizer splits a text into; a fixed value of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -59,10 +64,11 @@ class Encoder:
 
     The byte-level pre-tokenizer never joins what stands before a space with what follows it if neither is white space,
     so a text is the sequence of its pieces, each but the first with its space, and a piece is the sequence of its words.
-    Pieces and words are remembered; new words are encoded many at a time. Runs of white space with a space in them,
+    Pieces and words are remembered; new words are encoded by the model alone. Runs of white space with a space in them,
     special tokens and MARK are the exceptions: a text that has one is encoded as a whole. Pieces with white space at an end
     are not remembered, so that each text with one is searched for such runs, nor are long pieces. What a process has
-    remembered serves its later tasks too, until it takes ``CACHE_BYTES``.
+    remembered serves its later tasks too. When that takes ``CACHE_BYTES`` it becomes old: pieces that come
+    again are taken over from there, and the rest goes the next time, so that what is frequent is encoded once.
     """
 
     def __init__(self, path: str, width: int):
@@ -71,41 +77,26 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.width = Tokenizer.from_file(path), f"<u{width}", width
+        if self.tokenizer.normalizer is not None or type(self.tokenizer.pre_tokenizer).__name__ != "ByteLevel":
+            raise ValueError("the tokenizer does not split words as its vocabulary says")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.leads = sorted({x[:1] for x in self.special})
         self.split = regex.compile(PATTERN).findall
         self.spaced: dict[str, bytes] = {}  # pieces
-        self.words: dict[str, bytes] = {}  # words of pieces that are not just letters
-        vocabulary = self.tokenizer.get_vocab()
-        self.after_space = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.after_space[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # how the vocabulary writes a space
-        self.newline = vocabulary["\u010a"]
+        self.words: dict[str, bytes] = {}  # words of pieces that are not just letters, with the space before them
+        self.raw_id = [i.to_bytes(width, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
+        self.old_spaced: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
         self.held = 0  # bytes that spaced and words take, about
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-
-    def _learn(self, plain: list[str], words: list[str]) -> None:
-        """Encodes new words. Those of letters are joined to one text, in which each is a word of its own."""
-        if plain:
-            ids = self._ids(" " + " ".join(plain))
-            self._cut(ids, np.append(np.flatnonzero(self.after_space[ids]), len(ids)), 0, plain, self.spaced)
-        letters = [w for w in words if w.isalpha()]
-        if letters:
-            ids = self._ids("\n".join(letters) + "\n")
-            self._cut(ids, np.append(-1, np.flatnonzero(ids == self.newline)), 1, letters, self.words)
-        rest = [w for w in words if not w.isalpha()]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.words[w] = np.array(e.ids, self.kind).tobytes()
-
-    def _cut(self, ids: np.ndarray, marks: np.ndarray, skip: int, words: list[str], to: dict[str, bytes]) -> None:
-        if len(marks) != len(words) + 1:
-            raise ValueError("the tokenizer does not split words as its vocabulary says")
-        raw, at = ids.tobytes(), (marks * self.width).tolist()
-        skip *= self.width
-        to.update(zip(words, (raw[a + skip : b] for a, b in zip(at, at[1:]))))
+    def _encoded(self, words: Iterable[str]) -> Iterator[bytes]:
+        """The ids of words, a word at a time by the tokenizer's model, which is all that is left to do for what its pre-tokenizer parts."""
+        merge, raw = self.tokenizer.model.tokenize, self.raw_id.__getitem__
+        for w in words:
+            yield b"".join([raw(t.id) for t in merge(w.encode().decode("latin-1").translate(BYTE_CHARS))])
 
     def _pieces(self, text: str) -> list[str]:
         """Parts of a text that are encoded one by one; a part without MARK has a space before it.
@@ -116,42 +107,63 @@ class Encoder:
             return (MARK + text).split(" ")
         return (MARK + text.replace(".", f" {MARK}.").replace(",", f" {MARK},").replace("\n", f" {MARK}\n {MARK}")).split(" ")
 
+    def _special(self, text: str) -> bool:
+        return any(c in text for c in self.leads) and any(x in text for x in self.special)
+
+    def _taken_over(self, new: set[str], old: dict[str, bytes], to: dict[str, bytes]) -> set[str]:
+        """What is new; what is old is taken over."""
+        known = {x: old[x] for x in old.keys() & new}
+        to.update(known)
+        self._count(known, to)
+        return new.difference(known)
+
+    def _count(self, kept, to: dict[str, bytes]) -> None:
+        self.held += 200 * len(kept) + 2 * sum(map(len, kept)) + sum(map(len, map(to.__getitem__, kept)))
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         plain = []
         if self.held > CACHE_BYTES:
-            self.spaced.clear(), self.words.clear()
-            self.held = 0
+            self.old_spaced, self.old_words, self.spaced, self.words, self.held = self.spaced, self.words, {}, {}, 0
         get, new, odd = self.spaced.get, set(), set()
         for i, t in enumerate(texts):
-            if "  " in t or t[:2] == "\n " or MARK in t or any(s in t for s in self.special):
+            if "  " in t or t[:2] == "\n " or MARK in t or self._special(t):
                 out[i] = self.whole(t)
+                continue
+            pieces = self._pieces(t)
+            found = [*map(get, pieces)]
+            missing = [k for k, v in enumerate(found) if v is None]
+            if missing:
+                unknown = [pieces[k] for k in missing]
+                if _RUN(f" {' '.join(unknown)} "):
+                    at_run = [x for x in unknown if _at_run(x)]
+                    if at_run and _RUN(t):
+                        out[i] = self.whole(t)
+                        continue
+                    odd.update(at_run)
+                new.update(unknown)
+                plain.append((i, found, missing, unknown))
             else:
-                pieces = self._pieces(t)
-                found = [*map(get, pieces)]
-                missing = [x for x, v in zip(pieces, found) if v is None]
-                at_run = [x for x in missing if _at_run(x)]
-                if at_run and _RUN(t):
-                    out[i] = self.whole(t)
-                    continue
-                odd.update(at_run)
-                new.update(missing)
-                plain.append((i, pieces, found, bool(missing)))
+                out[i] = b"".join(found)
+        new = self._taken_over(new, self.old_spaced, self.spaced)
         letters = [x for x in new if x.isalpha()]
         other = {x: self.split(x[1:] if x[:1] == MARK else " " + x) for x in new.difference(letters)}
-        inside = {w for p in other.values() for w in p}
-        fresh = [w for w in inside if w not in self.words]
-        self._learn(letters, fresh)
+        fresh = {w for p in other.values() for w in p}.difference(self.words)
+        fresh = self._taken_over(fresh, self.old_words, self.words)
+        self.spaced.update(zip(letters, self._encoded(" " + x for x in letters)))
+        self.words.update(zip(fresh, self._encoded(fresh)))
         known = self.words.__getitem__
         self.spaced.update((x, b"".join(map(known, p))) for x, p in other.items())
-        for i, pieces, found, some in plain:
-            out[i] = b"".join([get(x) if v is None else v for x, v in zip(pieces, found)] if some else found)
-        for learned, kept, drop in ((new, self.spaced, odd), (fresh, self.words, ())):
-            for x in learned:
-                if len(x) > LONG or x in drop:
-                    del kept[x]
-                else:
-                    self.held += 200 + 2 * len(x) + len(kept[x])
+        known = self.spaced.__getitem__
+        for i, found, missing, unknown in plain:
+            for k, v in zip(missing, map(known, unknown)):
+                found[k] = v
+            out[i] = b"".join(found)
+        for learned, to, drop in ((new, self.spaced, odd), (fresh, self.words, set())):
+            gone = drop | {x for x in learned if len(x) > LONG}
+            for x in gone:
+                del to[x]
+            self._count(learned - gone, to)
         return out
 
     def encode(self, text: str) -> bytes:

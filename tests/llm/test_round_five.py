@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from loomery.llm import simhash
+from loomery.llm import simhash, token_store
+from loomery.llm.queries import tokenizer_path
 
 
 @pytest.mark.parametrize("rounds", [(4, 12), ()])
@@ -37,3 +38,21 @@ def test_one_node_is_not_compared_with_itself(monkeypatch):
     fp = simhash.np.array([[0] * 8, [0] * 7 + [255], [0] * 7 + [240], [9] * 8], "u1")
     out = simhash.forest(fp, simhash.np.array([5, 5, 7, 8]))
     assert [(a.tolist(), b.tolist()) for a, b in out] == [([5], [7])]
+
+
+def test_frequent_words_are_encoded_once(monkeypatch):
+    """Words that come again and again stay known while others pass through a small memory."""
+    monkeypatch.setattr(token_store, "CACHE_BYTES", 100_000)
+    enc = token_store.Encoder(tokenizer_path(), 2)
+    often, asked, encoded = [f"w{k}x h\u00e9l{'lo' * (k % 5)}" for k in range(100)], [], enc._encoded
+
+    def seen(words):
+        words = [*words]
+        asked.extend(words)
+        return encoded(words)
+
+    monkeypatch.setattr(enc, "_encoded", seen)
+    for n in range(60):
+        texts = [" ".join(often), " ".join(f"rare{chr(97 + k % 26)}{n}q{k}" for k in range(60))]
+        assert [enc.encode_all(texts)[k] for k in (0, 1)] == [enc.whole(t) for t in texts]
+    assert sum(" " + "h\u00e9llo" == w for w in asked) == 1 and sum(w == " w" for w in asked) == 1
