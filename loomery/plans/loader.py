@@ -2,7 +2,7 @@
 
 The plan is lazy and has one row per record with ``batch_id`` and ``slot``. Records are put in order while they are no more
 than lines of the manifest; files are opened, pixels decoded and batches assembled in the partitions that this gives, a few batches
-each. A batch reaches the driver as one binary value per array; the iterator brings one partition at a time and has the next one
+each for the iterator and more for a whole plan. A batch reaches the driver as one binary value per array; the iterator brings one partition at a time and has the next one
 made meanwhile, so a batch opens the files of its partition only. A record's error is raised when its batch is reached, with the
 record's index.
 """
@@ -23,7 +23,8 @@ from ..operators.augment import with_augmentation
 from ..sources import manifest
 from . import batches, cache, config, providers
 
-PART_BATCHES, MAX_PARTS = 4, 10_000  # batches of a partition, unless there are too many
+PART_BATCHES, MAX_PARTS = 4, 10_000  # batches of a partition that the iterator brings, unless there are too many
+TASK_BATCHES, MAX_TASKS = 64, 1000  # batches of a task of a whole plan, unless there are too many
 
 
 class DataLoader:
@@ -102,11 +103,16 @@ class DataLoader:
             df = rows.shuffle_blocks(rows.with_blocks(df, self.ndata, cfg.block_size), cfg.random_seed, within=cfg.shuffle_enable, block_order=by_block)
         return df
 
-    def plan(self, first: int = 0, last: int | None = None) -> DataFrame:
-        """Records of batches [first, last): batch_id, slot, row_idx, the output columns and ``_error``."""
+    def _parts(self, n: int, iterated: bool) -> int:
+        """Partitions of a plan of n batches: small ones for the iterator; else as many as Spark's shuffles have, or more, as a task has a cost of its own."""
+        most = max(1, min(MAX_PARTS, -(-n // PART_BATCHES)))
+        return most if iterated else min(most, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_TASKS, -(-n // TASK_BATCHES))))
+
+    def plan(self, first: int = 0, last: int | None = None, iterated: bool = False) -> DataFrame:
+        """Records of batches [first, last): batch_id, slot, row_idx, the output columns and ``_error``. ``iterated``: in partitions of a few batches."""
         cfg, last = self._cfg, self.batch_count if last is None else last
         df = rows.batches(self._ordered(first, last), self.ndata, self.batch_size, last).where(F.col("batch_id") >= first)
-        parts = max(1, min(MAX_PARTS, -(-(last - first) // PART_BATCHES)))
+        parts = self._parts(last - first, iterated)
         df = df.repartitionByRange(parts, "batch_id").sortWithinPartitions("batch_id", "slot")
         if not cfg.cache_directory:
             df = self._load(df, ("batch_id", "slot", "pos", "row_idx"))
@@ -154,14 +160,14 @@ class DataLoader:
         prefix = f"{c['name']}." if c.get("name") else ""
         return out.withColumnsRenamed({s[0][len(prefix) :]: providers.inner_name(s[0]) for s in providers.shapes("localization_rcnn", c)}) if prefix else out
 
-    def batch_plan(self, first: int = 0, last: int | None = None) -> DataFrame:
+    def batch_plan(self, first: int = 0, last: int | None = None, iterated: bool = False) -> DataFrame:
         """A row per batch, made by tasks: batch_id, n_bytes, a0, a1, ... (an array's bytes each, in the order of the buffers), _error."""
-        df = self.plan(first, last)
+        df = self.plan(first, last, iterated)
         return batches.assemble(df, [(name, shape, providers.NUMPY[kind]) for name, shape, kind, _ in self.shapes], self.batch_size, self._cfg.batch_major)
 
     def _batches(self, first: int, last: int) -> Iterator[tuple[tuple[str, np.ndarray], ...]]:
         made = {name: (providers.NUMPY[kind], (self.batch_size, *shape) if self._cfg.batch_major else (int(np.prod(shape)), self.batch_size)) for name, shape, kind, _ in self.shapes}
-        for r in self.batch_plan(first, last).toLocalIterator(prefetchPartitions=True):
+        for r in self.batch_plan(first, last, True).toLocalIterator(prefetchPartitions=True):
             if r["_error"]:
                 raise RuntimeError(r["_error"])
             yield tuple((name, np.frombuffer(bytearray(r[f"a{i}"]), kind).reshape(shape)) for i, (name, (kind, shape)) in enumerate(made.items()))
