@@ -17,6 +17,7 @@ import functools
 import hashlib
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -35,45 +36,78 @@ DICT_BYTES = 64 << 10
 DICT_DOCS = 1000  # documents that the dictionary is trained on; it only changes sizes
 DICT_TEXT = 32 << 10  # bytes of such a document, at most
 CACHE_BYTES = 55 << 20  # what a worker remembers that is new, about, and as much again that is old
-LONG = 100  # characters of a piece that is remembered, at most
+LONG = 100  # bytes of a word that is remembered, at most
+AT_ONCE = 4 << 20  # characters of texts that are encoded together, about
 LEVEL = 3
 
 
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: How a byte-level vocabulary writes bytes: those that print as themselves, the others from U+0100 on.
 BYTE_CHARS = {b: 256 + k for k, b in enumerate(sorted({*range(256)}.difference(_PRINTED)))}
+_WRITTEN = np.array([BYTE_CHARS.get(b, b) for b in range(256)], "<u4")
+#: A byte that UTF-8 never has; it stands between words.
+GAP = 0xFF
 
-#: What the byte-level pre-tokenizer splits a text into; a fixed value of the vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+MARK = "\x01"  # a control character, encoded like any other
+#: Where a long text may be cut: no word of the pre-tokenizer goes on across white space that stands alone.
+_CUT = re.compile(r"(?<=\S)[ \n](?=\S)").search
 
+SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
+#: White space as the byte-level pre-tokenizer has it.
+_WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
-MARK = "\x01"
-#: Full stops, commas and line feeds that are not alone between words or before a space.
-_TOUCHING = re.compile(r"[.,\n](?:(?<=[\W_][.,])|(?<=\s\n)|(?<=\n)(?=\s)|(?<=[.,])(?=[^\w\s]|_))").search
-#: A space in a run of white space. The pre-tokenizer may put it in one word with what stands on both sides of it.
-_RUN = re.compile(r" \s|\s ").search
 
+@functools.cache
+def kinds() -> np.ndarray:
+    """What every code point is; one table per process. UNKNOWN are those that Python's Unicode does not have and the tokenizer's may."""
+    by = {"Cn": UNKNOWN} | {x: LETTER for x in ("Lu", "Ll", "Lt", "Lm", "Lo")} | {x: NUMBER for x in ("Nd", "Nl", "No")}
+    out = np.array([by.get(unicodedata.category(chr(c)), OTHER) for c in range(0x110000)], "u1")
+    out[_WHITE] = SPACE
+    return out
 
-def _at_run(piece: str) -> bool:
-    """Whether a piece has white space at an end where a space may be next to it."""
-    return piece[-1:].isspace() and piece != MARK + "\n" or piece[:1].isspace()
+
+def word_starts(points: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the words of the byte-level pre-tokenizer start in code points of a kind each; ``first`` tells where texts that are not empty start.
+
+    As its pattern says: ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``.
+    """
+    n = len(points)
+    start = np.ones(n, "?")
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start[first] = True
+    inner = np.ones(n, "?")
+    inner[first] = False
+    white = kind == SPACE
+    # the last of some white space belongs to what follows it if it is a space, else it is a word
+    after = np.flatnonzero(start[1:] & inner[1:] & white[:-1]) + 1
+    start[after - 1] = True
+    start[after] = points[after - 1] != 0x20
+    mark = np.flatnonzero((points == 0x27) & start)
+    if len(mark):
+        at = lambda k: np.where((mark + k < n) & inner[np.minimum(mark + k, n - 1)], points[np.minimum(mark + k, n - 1)], 0)
+        one, two = at(1), at(2)
+        two = np.where(one > 0, two, 0)
+        short = np.isin(one, [*map(ord, "stmd")])
+        long = (two == ord("e")) & np.isin(one, [ord("r"), ord("v")]) | (two == ord("l")) & (one == ord("l"))
+        start[mark[short | long] + 1] = False
+        ends = np.concatenate([mark[short] + 2, mark[long] + 3])
+        start[ends[ends < n]] = True
+    return np.flatnonzero(start)
 
 
 class Encoder:
     """Ids as little-endian bytes, the same as ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
-    The byte-level pre-tokenizer never joins what stands before a space with what follows it if neither is white space,
-    so a text is the sequence of its pieces, each but the first with its space, and a piece is the sequence of its words.
-    Pieces and words are remembered; new words are encoded by the model alone. Runs of white space with a space in them,
-    special tokens and MARK are the exceptions: a text that has one is encoded as a whole. Pieces with white space at an end
-    are not remembered, so that each text with one is searched for such runs, nor are long pieces. What a process has
-    remembered serves its later tasks too. When that takes ``CACHE_BYTES`` it becomes old: pieces that come
-    again are taken over from there, and the rest goes the next time, so that what is frequent is encoded once.
+    Texts are parted into the words of the byte-level pre-tokenizer, many texts at a time as arrays of code points. Arrow
+    numbers the different words, these are looked up, and the ids of a text are gathered by the numbers. New words are encoded by
+    the model alone. A text that holds a special token, or a character that is newer than Python's Unicode, is encoded as a whole.
+    What a process has remembered serves its later tasks too. When that takes ``CACHE_BYTES`` it becomes old: words that come
+    again are taken over from there, and the rest goes the next time, so that what is frequent is encoded once. Long words are
+    not remembered.
     """
 
     def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.width = Tokenizer.from_file(path), f"<u{width}", width
@@ -81,89 +115,93 @@ class Encoder:
             raise ValueError("the tokenizer does not split words as its vocabulary says")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.leads = sorted({x[:1] for x in self.special})
-        self.split = regex.compile(PATTERN).findall
-        self.spaced: dict[str, bytes] = {}  # pieces
-        self.words: dict[str, bytes] = {}  # words of pieces that are not just letters, with the space before them
         self.raw_id = [i.to_bytes(width, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
-        self.old_spaced: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
-        self.held = 0  # bytes that spaced and words take, about
+        self.words: dict[bytes, bytes] = {}  # with the space before them
+        self.old_words: dict[bytes, bytes] = {}
+        self.held = 0  # bytes that words take, about
+
+    @property
+    def spaced(self) -> dict[bytes, bytes]:
+        """Another name of what is remembered."""
+        return self.words
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _encoded(self, words: Iterable[str]) -> Iterator[bytes]:
         """The ids of words, a word at a time by the tokenizer's model, which is all that is left to do for what its pre-tokenizer parts."""
-        merge, raw = self.tokenizer.model.tokenize, self.raw_id.__getitem__
-        for w in words:
-            yield b"".join([raw(t.id) for t in merge(w.encode().decode("latin-1").translate(BYTE_CHARS))])
-
-    def _pieces(self, text: str) -> list[str]:
-        """Parts of a text that are encoded one by one; a part without MARK has a space before it.
-
-        Full stops, commas and line feeds that stand alone are parts of their own, so that words repeat more often.
-        """
-        if _TOUCHING(text):
-            return (MARK + text).split(" ")
-        return (MARK + text.replace(".", f" {MARK}.").replace(",", f" {MARK},").replace("\n", f" {MARK}\n {MARK}")).split(" ")
+        joined = bytes([GAP]).join([w.encode() for w in words])
+        if joined:
+            merge, raw = self.tokenizer.model.tokenize, self.raw_id.__getitem__
+            for w in _WRITTEN[np.frombuffer(joined, "u1")].tobytes().decode("utf-32-le").split(chr(_WRITTEN[GAP])):
+                yield b"".join([raw(t.id) for t in merge(w)])
 
     def _special(self, text: str) -> bool:
         return any(c in text for c in self.leads) and any(x in text for x in self.special)
 
-    def _taken_over(self, new: set[str], old: dict[str, bytes], to: dict[str, bytes]) -> set[str]:
-        """What is new; what is old is taken over."""
-        known = {x: old[x] for x in old.keys() & new}
-        to.update(known)
-        self._count(known, to)
-        return new.difference(known)
-
-    def _count(self, kept, to: dict[str, bytes]) -> None:
-        self.held += 200 * len(kept) + 2 * sum(map(len, kept)) + sum(map(len, map(to.__getitem__, kept)))
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        plain = []
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words; new ones are encoded and remembered, old ones taken over."""
         if self.held > CACHE_BYTES:
-            self.old_spaced, self.old_words, self.spaced, self.words, self.held = self.spaced, self.words, {}, {}, 0
-        get, new, odd = self.spaced.get, set(), set()
-        for i, t in enumerate(texts):
-            if "  " in t or t[:2] == "\n " or MARK in t or self._special(t):
-                out[i] = self.whole(t)
-                continue
-            pieces = self._pieces(t)
-            found = [*map(get, pieces)]
-            missing = [k for k, v in enumerate(found) if v is None]
-            if missing:
-                unknown = [pieces[k] for k in missing]
-                if _RUN(f" {' '.join(unknown)} "):
-                    at_run = [x for x in unknown if _at_run(x)]
-                    if at_run and _RUN(t):
-                        out[i] = self.whole(t)
-                        continue
-                    odd.update(at_run)
-                new.update(unknown)
-                plain.append((i, found, missing, unknown))
-            else:
-                out[i] = b"".join(found)
-        new = self._taken_over(new, self.old_spaced, self.spaced)
-        letters = [x for x in new if x.isalpha()]
-        other = {x: self.split(x[1:] if x[:1] == MARK else " " + x) for x in new.difference(letters)}
-        fresh = {w for p in other.values() for w in p}.difference(self.words)
-        fresh = self._taken_over(fresh, self.old_words, self.words)
-        self.spaced.update(zip(letters, self._encoded(" " + x for x in letters)))
-        self.words.update(zip(fresh, self._encoded(fresh)))
-        known = self.words.__getitem__
-        self.spaced.update((x, b"".join(map(known, p))) for x, p in other.items())
-        known = self.spaced.__getitem__
-        for i, found, missing, unknown in plain:
-            for k, v in zip(missing, map(known, unknown)):
+            self.old_words, self.words, self.held = self.words, {}, 0
+        found = [*map(self.words.get, words)]
+        missing = [k for k, v in enumerate(found) if v is None]
+        if missing:
+            old = self.old_words.get
+            for k in missing:
+                found[k] = old(words[k])
+            fresh = [k for k in missing if found[k] is None]
+            for k, v in zip(fresh, self._encoded([words[k].decode() for k in fresh])):
                 found[k] = v
-            out[i] = b"".join(found)
-        for learned, to, drop in ((new, self.spaced, odd), (fresh, self.words, set())):
-            gone = drop | {x for x in learned if len(x) > LONG}
-            for x in gone:
-                del to[x]
-            self._count(learned - gone, to)
+            kept = [k for k in missing if len(words[k]) <= LONG]
+            self.words.update((words[k], found[k]) for k in kept)
+            self.held += 200 * len(kept) + sum(len(words[k]) + len(found[k]) for k in kept)
+        return found
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        long = {k for k, t in enumerate(texts) if len(t) > 2 * AT_ONCE and not self._special(t)}
+        rest = iter(self._encode_some([t for k, t in enumerate(texts) if k not in long]))
+        return [self._encode_long(t) if k in long else next(rest) for k, t in enumerate(texts)]
+
+    def _encode_long(self, text: str) -> bytes:
+        out, a = [], 0
+        while a < len(text):
+            cut = _CUT(text, a + AT_ONCE)
+            b = cut.start() if cut else len(text)
+            out += self._encode_some([text[a:b]])
+            a = b
+        return b"".join(out)
+
+    def _encode_some(self, texts: list[str]) -> list[bytes]:
+        out = [self.whole(t) if self._special(t) else b"" for t in texts]
+        plain = [k for k, t in enumerate(texts) if t and not out[k]]  # a special token is an id at least
+        if not plain:
+            return out
+        joined = "".join([texts[k] for k in plain])
+        raw, points = joined.encode(), np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        first = np.cumsum([0] + [len(texts[k]) for k in plain])
+        kind = kinds()[points]
+        if kind.max() == UNKNOWN:
+            odd = {plain[k] for k in (np.searchsorted(first, np.flatnonzero(kind == UNKNOWN), "right") - 1).tolist()}
+            rest = iter(self._encode_some([texts[k] for k in plain if k not in odd]))
+            for k in plain:
+                out[k] = self.whole(texts[k]) if k in odd else next(rest)
+            return out
+        at = word_starts(points, kind, first[:-1])
+        text_at = np.searchsorted(at, first)
+        if len(raw) > len(points):  # from code points to bytes
+            at = np.flatnonzero((np.frombuffer(raw, "u1") & 0xC0) != 0x80)[at]
+        bounds = pa.py_buffer(np.append(at, len(raw)).astype("i8"))
+        words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, bounds, pa.py_buffer(raw)]).dictionary_encode()
+        of = words.indices.to_numpy()
+        known = self._known(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids, sizes = np.frombuffer(b"".join(known), self.kind), np.fromiter(map(len, known), "i8", len(known)) // self.width
+        n = sizes[of]
+        ends = np.cumsum(n)
+        take = np.repeat((np.cumsum(sizes) - sizes)[of] - (ends - n), n)
+        take += np.arange(len(take))
+        made, ends = ids[take].tobytes(), np.concatenate([[0], ends])[text_at] * self.width
+        for k, a, b in zip(plain, ends.tolist(), ends[1:].tolist()):
+            out[k] = made[a:b]
         return out
 
     def encode(self, text: str) -> bytes:
@@ -214,7 +252,7 @@ def _packer(path, width, shared, sha):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 docs.append(doc), texts.append(text or "")
                 n += len(texts[-1])
-                if n > 1 << 20:
+                if n > AT_ONCE:
                     yield from zip(docs, enc.encode_all(texts))
                     docs, texts, n = [], [], 0
             yield from zip(docs, enc.encode_all(texts))
