@@ -30,21 +30,40 @@ def _offsets(df: DataFrame, at: list[str], sums: list[Column]) -> list[tuple]:
     return out
 
 
+def _shifted(df: DataFrame, at: list[str], key: str, out: str) -> DataFrame | None:
+    """Positions from stored numbers ``key`` that have no gap among rows equal in ``at``: a number and a shift. None if one has a gap."""
+    lines = sorted(tuple(r) for r in df.groupBy(*at).agg(F.count("*"), F.min(key), F.max(key)).collect())
+    base, n = [], 0
+    for *where, count, first, last in lines:
+        if last - first + 1 != count:
+            return None
+        base.append((*where, n - first))
+        n += count
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in at)
+    offsets = df.sparkSession.createDataFrame(base, f"{kinds}, _base long")
+    return df.join(F.broadcast(offsets), at).withColumn(out, F.col("_base") + F.col(key)).drop("_base")
+
+
 def number_in_place(df: DataFrame, at: list[str], out: str) -> DataFrame:
     """Adds positions, from 0, to rows that are in order already: by the columns ``at``, and as they stand among rows equal in these.
 
-    Rows that are equal in ``at`` must stand in one partition, as the lines of one split of a file do; then no row moves. The driver
-    gets a line per value of ``at``.
+    Rows that are equal in ``at`` must stand together in one partition, as the lines of one split of a file do; then no row moves. The
+    table is written once with its places, since a scan has other splits and partitions when cores come and go or the session's settings
+    change. The driver gets a line per value of ``at``.
     """
-    rows = df.withColumn("_id", F.monotonically_increasing_id())
-    lines = sorted(tuple(r) for r in rows.groupBy(*at).agg(F.count("*"), F.min("_id")).collect())
-    base, n = [], 0
-    for line in lines:
-        base.append((*line[:-2], n - line[-1]))
-        n += line[-2]
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in at)
-    offsets = df.sparkSession.createDataFrame(base, f"{kinds}, _base long")
-    return rows.join(F.broadcast(offsets), at).withColumn(out, F.col("_base") + F.col("_id")).drop("_base", "_id")
+    placed = _shifted(stage_table(df.withColumn("_id", F.monotonically_increasing_id()), "placed"), at, "_id", out)
+    if placed is None:
+        raise ValueError(f"rows that are equal in {', '.join(at)} must stand together")
+    return placed.drop("_id")
+
+
+def number_left(df: DataFrame, at: list[str], key: str, out: str) -> DataFrame:
+    """Adds positions, from 0, to rows left of a table that :func:`number_in_place` gave ``key``.
+
+    No row moves if what is gone stood before or after all that is left among rows equal in ``at``; else rows are sorted by ``key``.
+    """
+    placed = _shifted(df, at, key, out)
+    return with_row_index(df, key, out=out) if placed is None else placed
 
 
 def with_row_index(df: DataFrame, key: str, ties: tuple[str, ...] = (), out: str = "row_idx", ranges: int | None = None) -> DataFrame:

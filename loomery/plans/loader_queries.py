@@ -23,11 +23,14 @@ def local(path: str) -> str:
 
 
 def write_manifest(spark, sf_dir, columns: dict, kinds: list[str], source: str, key: str) -> str:
-    """Lines of a table as a manifest in several files, in the order of a key, with a comment, a header and an empty line before."""
-    lines = table(spark, sf_dir, source).select(F.col(key).cast("long").alias("k"), F.concat_ws("\t", *columns.values()).alias("value"))
-    head = spark.createDataFrame([(-3, "# made for a query"), (-2, "@" + "\t".join(kinds)), (-1, "")], "k long, value string")
+    """Lines of a table as a manifest in several files, in the order of a key (null last), with a comment, a header and an empty line before.
+
+    Lines that share a key keep their order. A line's first element must not be empty or begin with # or @, which the format has for its own.
+    """
+    lines = table(spark, sf_dir, source).select(F.when(F.col(key).isNull(), 2).otherwise(1).alias("part"), F.col(key).cast("long").alias("k"), F.monotonically_increasing_id().alias("tie"), F.concat_ws("\t", *columns.values()).alias("value"))
+    head = spark.createDataFrame([(0, 0, 0, "# made for a query"), (0, 0, 1, "@" + "\t".join(kinds)), (0, 0, 2, "")], "part int, k long, tie long, value string")
     path = work_path(spark, "manifest")
-    lines.unionByName(head).repartitionByRange("k").sortWithinPartitions("k").select("value").write.text(path)
+    lines.unionByName(head).repartitionByRange("part", "k", "tie").sortWithinPartitions("part", "k", "tie").select("value").write.text(path)
     return path
 
 
@@ -38,9 +41,9 @@ def write_manifest(spark, sf_dir, columns: dict, kinds: list[str], source: str,
 def manifest_file(spark, sf_dir):
     """A manifest file with header, comment and empty line, read, parsed and typed; every seventh number is none."""
     number = F.when(F.col("event_id") % 7 == 0, "none").otherwise(F.concat((F.col("event_id") % 1000).cast("string"), F.lit(".9")))
-    path = write_manifest(spark, sf_dir, {"a": F.col("event_type"), "b": number}, ["STRING", "ASCII_INT"], "events", "event_id")
+    path = write_manifest(spark, sf_dir, {"a": number, "b": F.col("event_type")}, ["ASCII_INT", "STRING"], "events", "event_id")
     kinds, found = manifest.parse(manifest.read_lines(spark, path))
-    return manifest.typed(found, kinds).select("row_idx", "e0", F.coalesce("e1", F.lit(-1)).alias("e1"), F.col("_error").isNotNull().alias("broken"))
+    return manifest.typed(found, kinds).select("row_idx", F.col("e1").alias("e0"), F.coalesce("e0", F.lit(-1)).alias("e1"), F.col("_error").isNotNull().alias("broken"))
 
 
 @query("SELECT doc_id, md5(text) AS digest, octet_length(encode(text))::BIGINT AS n_bytes FROM documents")
@@ -218,15 +221,19 @@ def _word_count() -> providers.Provider:
 w AS (SELECT row_idx, len(list_filter(string_split(translate(text, chr(9) || chr(10) || chr(13), '   '), 'e'), lambda x: x <> '')) AS k FROM d)
 SELECT (pos // 16)::BIGINT AS batch_id, (pos % 16)::BIGINT AS slot, k::BIGINT AS n_words, (3 * k)::BIGINT AS more FROM b JOIN w USING (row_idx)""")
 def loader_own_provider(spark, sf_dir):
-    """A user's provider, registered with its keys, in a loader over all texts."""
-    line = F.translate(F.col("text"), "\t\n\r", "   ")
-    path = write_manifest(spark, sf_dir, {"a": line}, ["STRING"], "documents", "doc_id")
+    """A user's provider, registered with its keys, in a loader over all texts.
+
+    A number before each text says whether there is one: a text alone may be empty or begin with # or @, and no line would stand for it.
+    """
+    line = F.coalesce(F.translate(F.col("text"), "\t\n\r", "   "), F.lit(""))
+    path = write_manifest(spark, sf_dir, {"a": F.when(F.col("text").isNull(), "0").otherwise("1"), "b": line}, ["STRING", "STRING"], "documents", "doc_id")
     providers.register("word_count", _word_count(), {"separator": config.Key(" ", str), "times": config.Key(2, int, lambda v: v > 0)})
     try:
-        df = DataLoader(spark, {"manifest_filename": path, "batch_size": 16, "etl": [{"type": "word_count", "separator": "e", "times": 3}]}).plan()
+        df = DataLoader(spark, {"manifest_filename": path, "batch_size": 16, "etl": [{"type": "label"}, {"type": "word_count", "separator": "e", "times": 3}]}).plan()
     finally:
         providers.unregister("word_count")
-    return df.select("batch_id", "slot", F.get("n_words", 0).cast("bigint").alias("n_words"), F.get("twice", 0).cast("bigint").alias("more"))
+    words = lambda c: F.when(F.get("label", 0) == 1, F.get(c, 0).cast("bigint"))
+    return df.select("batch_id", "slot", words("n_words").alias("n_words"), words("twice").alias("more"))
 
 
 @query("SELECT doc_id, length(text)::INTEGER AS n, NULL::INTEGER AS broken FROM documents")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_float, ascii_int, root_join
-from ..operators.rows import number_in_place, with_row_index
+from ..operators.rows import number_in_place, number_left, with_row_index
 
 #: What users of such loaders match on; fixed texts.
 NO_FILE, NO_HEADER, TWO_HEADERS, OTHER_LENGTH, NO_ELEMENT = "doesn't exist", "Metadata must be defined before any data", "Metadata must be defined only once", "manifest file has a line with differing number of files", "Could not find file"
@@ -24,15 +24,15 @@ TYPES = ("FILE", "BINARY", "STRING", "ASCII_INT", "ASCII_FLOAT")
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a text file, or of the files of a folder in the order of their names, with their number (line_no, from 0).
 
-    Lines stay where they are read: they are numbered from counts of each file's splits, which ``file`` and ``at`` name.
+    Lines are stored as they are read, with their first letter (``lead``), and numbered from counts of each file's splits, which ``file`` and ``at`` name.
     """
     try:
-        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+        lines = spark.read.text(path).select("value", F.substring("value", 1, 1).alias("lead"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(f"Manifest file {path} {NO_FILE}") from e
         raise
-    return number_in_place(lines, ["file", "at"], "line_no").select("line_no", "value", "file", "at")
+    return number_in_place(lines, ["file", "at"], "line_no").select("line_no", "value", "lead", "file", "at")
 
 
 def lines_of(spark: SparkSession, text: str) -> DataFrame:
@@ -47,7 +47,7 @@ def parse(lines: DataFrame) -> tuple[list[str], DataFrame]:
     Records of another length than the header are an error that names the line, counted from 0. Lines as :func:`read_lines` gives them
     stay in place; others are put in the order of ``line_no``.
     """
-    lead = F.substring("value", 1, 1)
+    lead = F.col("lead") if "lead" in lines.columns else F.substring("value", 1, 1)
     headers = lines.where(lead == "@").orderBy("line_no").limit(2).collect()
     if not headers:
         raise ValueError(NO_HEADER)
@@ -57,14 +57,14 @@ def parse(lines: DataFrame) -> tuple[list[str], DataFrame]:
     for k in kinds:
         if k not in TYPES:
             raise ValueError(f"invalid metadata type {k!r}")
-    rows = lines.where((F.col("value") != "") & ~lead.isin("@", "#"))
+    rows = lines.where(~lead.isin("", "@", "#"))
     if not rows.where(F.col("line_no") < headers[0].line_no).isEmpty():
         raise ValueError(NO_HEADER)
     rows = rows.withColumn("e", F.split("value", "\t", -1))
     bad = rows.where(F.size("e") != len(kinds)).orderBy("line_no").limit(1).collect()
     if bad:
         raise RuntimeError(f"at line: {bad[0].line_no}, {OTHER_LENGTH} ({len(bad[0].e)}) vs ({len(kinds)})")
-    placed = number_in_place(rows, ["file", "at"], "row_idx") if "file" in lines.columns else with_row_index(rows, "line_no")
+    placed = number_left(rows, ["file", "at"], "line_no", "row_idx") if "file" in lines.columns else with_row_index(rows, "line_no")
     return kinds, placed.select("row_idx", "line_no", "e")
 
 
